@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard
+from . import decontaminate, mixing, ngram_jaccard, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE: dict[str, str] = {}
