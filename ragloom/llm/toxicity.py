@@ -31,7 +31,7 @@ SAMPLE = 6_000
 BITS = 18
 HEAD = 5
 Z_LEAST, Z_FEATURES = 4.0, 3_000
-PENALTY, RIDGE, STEPS = 4.0, 1e-3, 300
+PENALTY, RIDGE, STEPS = 4.0, 1e-4, 400
 
 #: Terms that may be swapped within a group without changing whether a sentence is toxic.
 IDENTITY = (
