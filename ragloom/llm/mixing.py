@@ -8,7 +8,8 @@ cap / weight and running sums give in closed form, whatever the number of source
 A document is then taken floor(target / size) whole times, and once more if the fractional part picks
 it. The pick is systematic: the documents of a source stand in order of size (ties by a seeded hash),
 and document number j goes once more where floor((j + 1) * f + u) > floor(j * f + u). Neighbours in
-this order have nearly equal sizes, so the words taken miss the target by about one document at most.
+this order have nearly equal sizes, so the words taken miss the target by about one document at most;
+of PHASES values of u a source uses the one that comes nearest.
 
 Ranks come from counts by (source, size) and by (source, size, salt), so no task holds a whole source.
 
@@ -28,6 +29,7 @@ EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17
 SALTS = 256
+PHASES = 16
 
 
 def n_words(text: Column) -> Column:
@@ -77,11 +79,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: float = EPOCHS, seed:
     ranked = ranked.select("doc_id", "source", "size", "source_key", "j").unionByName(sized.where("size = 0").select("doc_id", "source", "size", "source_key", F.lit(0).cast("long").alias("j")))
 
     ratio = F.col("target") / F.col("source_size")
-    shift = F.pmod(F.xxhash64("source_key", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     fraction = F.col("ratio") - F.floor("ratio")
-    again = F.floor((F.col("j") + 1) * fraction + shift) - F.floor(F.col("j") * fraction + shift)
+    again = lambda u: F.floor((F.col("j") + 1) * fraction + u) - F.floor(F.col("j") * fraction + u)
     out = ranked.join(targets, "source_key").withColumn("ratio", F.when(F.col("source_size") > 0, ratio).otherwise(0.0))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor("ratio") + again).otherwise(0).cast("long"))
+    out = c.materialise(out, "ranked")
+    phases = [F.lit((k + 0.5) / PHASES) for k in range(PHASES)]
+    sums = out.groupBy("source_key").agg(F.first("target").alias("t"), *[F.sum((F.floor("ratio") + again(u)) * F.col("size")).alias(f"p{k}") for k, u in enumerate(phases)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{k}") - F.col("t")).alias("miss"), u.alias("u")) for k, u in enumerate(phases)]))["u"]
+    out = out.join(sums.select("source_key", best.alias("u")), "source_key")
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor("ratio") + again(F.col("u"))).otherwise(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
