@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_jaccard, toxicity
+from . import decontaminate, merkle, mixing, ngram_jaccard, pii, quality, quotes, secret_scan, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+    "op2_quality": quality.op2_quality,
+    "op3_quotes": quotes.op3_quotes,
+    "op4_pii": pii.op4_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_merkle": merkle.op7_merkle,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_merkle": merkle.OP7_SQL}
