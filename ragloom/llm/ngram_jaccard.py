@@ -41,6 +41,10 @@ COUNTERS = 1 << 18
 #: (doc_id, region) pairs up to this number are broadcast (16 bytes each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 8
+#: Least and largest number of counters of the contracted space, a byte each.
+DIMS = (64, 8192)
+#: Larger regions go whole into one island, to be split by pivots in step 3.
+WIDE = 2048
 MAX_SPLITS = 12
 
 
@@ -69,6 +73,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in c.signed(np.array([s.sum(dtype=np.uint64), c.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])))
 
 
+def contract(s: np.ndarray) -> bytes:
+    """Counters of a set by hash; halving their number by adding them up is what fewer counters hold."""
+    dims = min(max(DIMS[0], 1 << max(len(s) // 8 - 1, 0).bit_length()), DIMS[1])
+    return np.minimum(np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 255).astype(np.uint8).tobytes()
+
+
 def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(46)).astype(np.int64)
 
@@ -80,8 +90,9 @@ def _scan(n: int):
         import pyarrow as pa
 
         for batch in batches:
-            ids, size, s1, s2, seen = batch.column(0).to_pylist(), [], [], [], []
+            ids, size, s1, s2, seen, maps = batch.column(0).to_pylist(), [], [], [], [], []
             for s in shingle_sets(c.texts_of(batch.column(1)), n):
+                maps.append(contract(s))
                 a, b = signature(s)
                 size.append(len(s)), s1.append(a), s2.append(b), seen.append(s)
             rows = len(ids)
@@ -91,7 +102,7 @@ def _scan(n: int):
             counts = np.bincount(_bucket(every[first[many > 1]]), weights=many[many > 1], minlength=COUNTERS).astype(np.int64)
             hot = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array(np.concatenate([np.zeros(rows, np.int32), np.ones(len(hot), np.int32)])), "doc_id": pa.array([*ids, *hot.tolist()], pa.int64()), "n": pa.array(np.concatenate([np.array(size, np.int64), counts[hot]])), "s1": pa.array([*s1, *[0] * len(hot)], pa.int64()), "s2": pa.array([*s2, *[0] * len(hot)], pa.int64()), "cls": pa.array([*map(class_hash, size, s1, s2), *[0] * len(hot)], pa.int64())}
+                {"kind": pa.array(np.concatenate([np.zeros(rows, np.int32), np.ones(len(hot), np.int32)])), "doc_id": pa.array([*ids, *hot.tolist()], pa.int64()), "n": pa.array(np.concatenate([np.array(size, np.int64), counts[hot]])), "s1": pa.array([*s1, *[0] * len(hot)], pa.int64()), "s2": pa.array([*s2, *[0] * len(hot)], pa.int64()), "cls": pa.array([*map(class_hash, size, s1, s2), *[0] * len(hot)], pa.int64()), "v": pa.array([*maps, *[None] * len(hot)], pa.binary())}
             )
 
     return run
@@ -125,6 +136,85 @@ def _prefixes(n: int, num: int, den: int, counters: np.ndarray):
     return run
 
 
+def _runs(group):
+    """A task over rows sorted by their first column: group(rows of whole runs), batch by batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, state = None, {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            key = t.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
+            held = t.slice(last)
+            if last:
+                yield from group(pa, t.slice(0, last), state)
+        if held is not None and len(held):
+            yield from group(pa, held, state)
+
+    return run
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+
+def _regions(pa, t, state):
+    """Of rows (key, cls): each set of members once a task, as (gid, cls)."""
+    done = state.setdefault("done", set())
+    if len(done) > 1_000_000:
+        done.clear()
+    key, cls = t.column(0).to_numpy(), t.column(1).to_numpy()
+    at = _starts(key)
+    gids, out = [], []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        own = cls[lo:hi]
+        own = np.unique(own) if hi - lo > 2 else np.array([min(own), max(own)])
+        name = hash(own.tobytes())
+        if name not in done:
+            done.add(name)
+            gids.append(np.full(len(own), c.signed(c.mix(own.view(np.uint64)).sum(dtype=np.uint64, keepdims=True))[0]))
+            out.append(own)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gids)), pa.array(np.concatenate(out))], names=["gid", "cls"])
+
+
+def _neighbours(num: int, den: int):
+    """Of rows (gid, cls, n, v): edges that connect what may be within r in a region."""
+
+    def fold(v: np.ndarray, dims: int) -> np.ndarray:
+        return v.astype(np.int32).reshape(-1, dims).sum(axis=0)
+
+    def group(pa, t, state):
+        gid, cls, n = (t.column(k).to_numpy() for k in ("gid", "cls", "n"))
+        v = [np.frombuffer(b, dtype=np.uint8) for b in t.column("v").to_pylist()]
+        at = _starts(gid)
+        got: set[tuple[int, int]] = set()
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = sorted(range(lo, hi), key=lambda i: (n[i], cls[i]))
+            size = n[own]
+            root = np.arange(len(own))
+            levels: dict[int, np.ndarray] = {}
+            for k, x in enumerate(own):
+                end = np.searchsorted(size, size[k] * den // num, side="right")
+                rest = np.flatnonzero(root[k + 1 : end] != root[k]) + k + 1
+                if not len(rest):
+                    continue
+                dims = len(v[x])
+                if dims not in levels:
+                    levels[dims] = np.array([fold(v[y], dims) if len(v[y]) >= dims else np.zeros(dims, np.int32) for y in own])
+                m = levels[dims]
+                apart = np.abs(m[rest] - m[k]).sum(axis=1)
+                for y in rest[apart * (num + den) <= (size[rest] + size[k]) * (den - num)]:
+                    if root[y] != root[k]:
+                        got.add((int(cls[x]), int(cls[own[y]])))
+                        root[root == root[y]] = root[k]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+    return group
+
+
 def class_hash(size: int, s1: int, s2: int) -> int:
     x = (s1 * 0x9E3779B97F4A7C15 + s2 * 0xC2B2AE3D27D4EB4F + size * 0x165667B19E3779F9) & (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
@@ -305,20 +395,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, num: int = NUM, den: i
     """
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = c.materialise(own.mapInArrow(_scan(n), "kind int, doc_id long, n long, s1 long, s2 long, cls long"), "sets")
+    scanned = c.materialise(own.mapInArrow(_scan(n), "kind int, doc_id long, n long, s1 long, s2 long, cls long, v binary"), "sets")
     counted = scanned.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect()  # COUNTERS rows at most
     counters = np.zeros(COUNTERS, dtype=np.int32)
     for r in counted:
         counters[r[0]] = min(r[1], 2**31 - 1)
-    each = scanned.where("kind = 0").select("doc_id", "n", "s1", "s2", "cls")
-    classes = c.materialise(each.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls")), "classes")
+    each = scanned.where("kind = 0").select("doc_id", "n", "s1", "s2", "cls", "v")
+    classes = c.materialise(each.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls"), F.min("v").alias("v")), "classes")
 
     # 2: islands
     keys = c.materialise(own.select("text").mapInArrow(_prefixes(n, num, den, counters), "key long, cls long"), "keys")
-    shared = keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("key", "a")
-    near = keys.join(shared, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    islands = c.materialise(c.components(near), "islands")
+    shared = keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("m")).where("a < z").select("key", "a", "m")
+    rows = c.materialise(keys.join(shared, "key").select("key", "cls", "a", "m"), "shared")
     c.drop_scratch(keys)
+    wide = rows.where((F.col("m") > WIDE) & (F.col("a") != F.col("cls"))).select("a", F.col("cls").alias("b"))
+    regions = rows.where(F.col("m") <= WIDE).select("key", "cls").repartition("key").sortWithinPartitions("key").mapInArrow(_runs(_regions), "gid long, cls long").distinct()
+    placed = regions.join(classes.select("cls", "n", "v"), "cls").select("gid", "cls", "n", "v")
+    near = placed.repartition("gid").sortWithinPartitions("gid").mapInArrow(_runs(_neighbours(num, den)), "a long, b long").union(wide).distinct()
+    islands = c.materialise(c.components(near), "islands")
+    c.drop_scratch(rows)
     members = c.materialise(classes.select("rep", "n", F.col("cls").alias("id")).join(islands, "id").select(F.col("rep").alias("doc_id"), F.col("component").alias("region"), "n"), "members")
 
     # 3 and 4: regions
