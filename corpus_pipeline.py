@@ -1,12 +1,78 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate, scan and mix the documents of sf_dir."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, redact and mix the documents of sf_dir.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
+the columns of documents. Null texts are kept by the filters and have size 0 in the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ragloom.llm import common as c
+from ragloom.llm import decontaminate, mixing, ngram_jaccard, secret_scan, toxicity
+from ragloom.llm.native import let
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: doc_ids to drop up to this number are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+PLACEHOLDER = "[SECRET]"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = c.materialise(ids.select("doc_id"), "dropped")
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = docs.select(*COLUMNS)
+    model = toxicity.fit(own, c.table(spark, sf_dir, "labels"))
+    return toxicity.score(own, model).where("score < 0.5").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group stays."""
+    groups = ngram_jaccard.ngram_jaccard_join(docs)
+    return _without(docs, groups.where("doc_id <> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, c.table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("n_hit > 0"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans found become PLACEHOLDER; n_chars counts what is left."""
+
+    def redact(spans):
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(a, s):
+            gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+            grown = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.when(s["start"] >= a["at"], F.lit(PLACEHOLDER)).otherwise("")).alias("out"))
+            return F.when(s["end"] <= a["at"], a).otherwise(grown)
+
+        return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+
+    spans = secret_scan.spans_of(F.col("text"))
+    clean = docs.withColumn("text", F.col("text").cast("string")).withColumn("ragloom_spans", spans)
+    some = F.size("ragloom_spans") > 0
+    text = F.when(some, let(F.col("ragloom_spans"), redact)).otherwise(F.col("text"))
+    clean = clean.withColumn("redacted", text).withColumn("n_chars", F.when(some, F.length("redacted").cast("long")).otherwise(F.col("n_chars")))
+    return clean.withColumn("text", F.col("redacted")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
 
 ORACLE_SQL = None
 
@@ -14,7 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is written to the shared folder and read again as the next one's input."""
     docs = c.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = c.materialise(docs, f"stage-{k}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, merkle, mixing, ngram_jaccard, pii, quality, quotes, secret_scan, toxicity
+from . import decontaminate, merkle, mixing, ngram_jaccard, pii, quality, quotes, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_merkle": merkle.op7_merkle,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {"op7_merkle": merkle.OP7_SQL}
