@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes that end words: ASCII space and \t \n \v \f \r.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Texts are hashed in pieces of about this many bytes.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -396,10 +396,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, num: int = NUM, den: i
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = c.materialise(own.mapInArrow(_scan(n), "kind int, doc_id long, n long, s1 long, s2 long, cls long, v binary"), "sets")
-    counted = scanned.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect()  # COUNTERS rows at most
+    counted = scanned.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     counters = np.zeros(COUNTERS, dtype=np.int32)
-    for r in counted:
-        counters[r[0]] = min(r[1], 2**31 - 1)
+    counters[counted.column("doc_id").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**31 - 1)
     each = scanned.where("kind = 0").select("doc_id", "n", "s1", "s2", "cls", "v")
     classes = c.materialise(each.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls"), F.min("v").alias("v")), "classes")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LENGTH, GRAM = 400, 32
-SHARD = 1_000_000
+SHARD = 500_000
 #: Documents with ranges or contexts to fetch up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -353,6 +353,19 @@ def _cut(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
 
 
+def _united(ranges):
+    """Ranges in order, those that touch or overlap as one."""
+    kind = "array<struct<s:bigint,e:bigint>>"
+    begin = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"), F.from_json(F.lit("[]"), kind).alias("out"))
+    flush = lambda a: F.when(a["e"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))))
+
+    def step(a, x):
+        grown = F.struct(a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["out"].alias("out"))
+        return F.when(x["s"] <= a["e"], grown).otherwise(F.struct(x["s"].alias("s"), x["e"].alias("e"), flush(a).alias("out")))
+
+    return F.aggregate(F.array_sort(ranges), begin, step, flush)
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; kept are the bytes left."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -376,7 +389,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     partial = c.materialise(matched, "matched")
     ranges = ranges.union(runs.join(full, ["a", "ctx"], "left_semi").select("doc_id", (F.col("pos") - F.col("l")).cast("long"), (F.col("pos") + F.col("r")).cast("long")))
     ranges = ranges.union(runs.join(partial, ["a", "ctx"]).select("doc_id", F.col("pos") + F.col("s"), F.col("pos") + F.col("e")))
-    by_doc = c.materialise(ranges.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
+    by_doc = c.materialise(ranges.groupBy("doc_id").agg(_united(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")
     found = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
     return own.join(found, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

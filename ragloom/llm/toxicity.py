@@ -64,9 +64,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word = c.span_hash(prefix, starts, ends) >> np.uint64(64 - BITS)
         head = (c.span_hash(prefix, starts, np.minimum(ends, starts + HEAD)) >> np.uint64(64 - BITS)) + np.uint64(1 << BITS)
         both = np.unique(np.concatenate([own, own]).astype(np.int64) << (BITS + 1) | np.concatenate([word, head]).astype(np.int64))
-        owners.append(both >> (BITS + 1))
-        out.append(both & (1 << BITS + 1) - 1)
-    return (np.concatenate(owners), np.concatenate(out)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        owners.append((both >> (BITS + 1)).astype(np.int32))
+        out.append((both & (1 << BITS + 1) - 1).astype(np.int32))
+    return (np.concatenate(owners), np.concatenate(out)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
 class Model:
@@ -112,6 +112,7 @@ def train(texts: list[bytes], labels: np.ndarray, penalty: float = PENALTY) -> M
         return own[ok], column[f[ok]]
 
     rows, cols = matrix(own, f)
+    del own, f
     pairs = [i for i, t in enumerate(texts) if _TERM.search(t.decode(errors="replace"))]
     other_rows, other_cols = matrix(*features([swap_identity(texts[i].decode(errors="replace")).encode() for i in pairs]))
     w, b = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
