@@ -34,7 +34,8 @@ from . import common as c
 
 LENGTH, GRAM = 400, 32
 SHARD = 500_000
-#: Documents with ranges or contexts to fetch up to this number are broadcast; more are joined by shuffle.
+#: Contexts to fetch, or ranges to cut, up to this number are broadcast (about 40 bytes each); more are
+#: joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _U = np.uint64
@@ -380,17 +381,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     full = groups.where("full").select("a", "ctx")
     several = groups.groupBy("a").agg(F.count("*").alias("m"), F.min("full").alias("all_full")).where("m > 1 and not all_full").select("a")
     wanted = c.materialise(groups.join(several, "a", "left_semi").select("a", "ctx", "lo.doc_id", "lo.pos", "lo.l", "lo.r"), "wanted")
-    size = wanted.agg(F.sum(F.col("l") + F.col("r")).alias("b"), F.countDistinct("doc_id").alias("d")).collect()[0]
+    size = wanted.agg(F.sum(F.col("l") + F.col("r")).alias("b"), F.count("*").alias("m")).collect()[0]
     buckets = max(1, -(-(size["b"] or 0) // shard))
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(F.pmod("a", F.lit(buckets)).cast("long").alias("bucket"), "a", "ctx", "pos", "l", "r")).alias("w"))
-    few = size["d"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_ROWS * length
+    few = size["m"] <= BROADCAST_ROWS
     cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts, "bucket long, a long, ctx long, doc_id long, pos int, l int, bytes binary")
     matched = cut.groupBy("bucket").applyInArrow(_match(length, shard), "a long, ctx long, s long, e long")
     partial = c.materialise(matched, "matched")
     ranges = ranges.union(runs.join(full, ["a", "ctx"], "left_semi").select("doc_id", (F.col("pos") - F.col("l")).cast("long"), (F.col("pos") + F.col("r")).cast("long")))
     ranges = ranges.union(runs.join(partial, ["a", "ctx"]).select("doc_id", F.col("pos") + F.col("s"), F.col("pos") + F.col("e")))
     by_doc = c.materialise(ranges.groupBy("doc_id").agg(_united(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")
-    found = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
+    cuts = by_doc.agg(F.sum(F.size("ranges"))).collect()[0][0] or 0
+    found = F.broadcast(by_doc) if cuts <= BROADCAST_ROWS else by_doc
     return own.join(found, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
