@@ -2,6 +2,185 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import evaluation as E
+from .operators import retrieval as R
+from .plans.search import hybrid_search
+from .sources import files as S
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _chunks(s, d):
+    return _t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), F.col("lang").alias("notebook_id"), F.col("doc_id").alias("ord"), "text")
+
+
+def _vectors(s, d):
+    return _t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+def _vector_queries(s, d):
+    return _t(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+def _queries(s, d):
+    return _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _captions(s, d):
+    return _t(s, d, "pages").select("page_id", F.explode(S.headings(F.col("html"))).alias("caption"))
+
+
+def q_vector(s, d):
+    return R.vector_top_k(_vector_queries(s, d), _vectors(s, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+
+
+def q_bm25(s, d):
+    return R.bm25_top_k(_queries(s, d), _chunks(s, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
+def q_hybrid(s, d):
+    v = _t(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return hybrid_search(_queries(s, d).join(v, "query_id"), _chunks(s, d), _vectors(s, d), 10, per_source=2)
+
+
+def q_rrf(s, d):
+    v = q_vector(s, d).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))
+    return R.rrf(v.unionByName(v.withColumn("weight", F.lit(0.25)).where("rank <= 5")), 5).select("query_id", "chunk_id", "rank", "score", "hit_source")
+
+
+def q_rank_cap(s, d):
+    h = q_vector(s, d).join(_chunks(s, d).select("chunk_id", "source_id"), "chunk_id")
+    return R.cap_per_source(h, 1).select("query_id", "chunk_id", "source_id", "score")
+
+
+def q_metrics(s, d):
+    e = _t(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    golden = q.join(e, "label").select("query_id", F.col("vec_id").alias("relevant_id"))
+    return E.metrics(q_vector(s, d), golden, 5).select("query_id", F.round("recall", 9).alias("recall"), "hit", F.round("rr", 9).alias("rr"))
+
+
+def q_scope_counts(s, d):
+    return _chunks(s, d).groupBy("notebook_id").agg(F.count("*").alias("n_chunks"), F.countDistinct("source_id").alias("n_sources"))
+
+
+def q_neighbours(s, d):
+    c = _chunks(s, d)
+    return R.neighbours(c.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("hit_id"), "source_id", "ord"), c, 40).select("hit_id", "near_id")
+
+
+def q_representatives(s, d):
+    c = _chunks(s, d).withColumn("heading_path", F.array("notebook_id"))
+    return R.representatives(c, 3).select("source_id", "chunk_id")
+
+
+def q_noise(s, d):
+    return _chunks(s, d).select("chunk_id", T.is_low_content(F.col("text")).alias("low"), (F.length(F.trim("text")) < 25).alias("short"))
+
+
+def q_sentences(s, d):
+    return _chunks(s, d).select("chunk_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+def q_bigrams(s, d):
+    return _queries(s, d).select("query_id", F.size(T.bigrams(F.col("query"))).cast("long").alias("n_bigrams"))
+
+
+def q_windows(s, d):
+    w = _chunks(s, d).select("chunk_id", F.posexplode(T.windows(F.col("text"), 350, 60)).alias("n", "piece"))
+    return w.select("chunk_id", F.col("n").cast("long").alias("n"), F.length("piece").cast("long").alias("chars"), F.md5("piece").alias("digest"))
+
+
+def q_headings(s, d):
+    return _captions(s, d).select("page_id", "caption")
+
+
+def q_caption_idf(s, d):
+    return R.caption_idf(_captions(s, d).select("caption")).select("caption", "df", F.round("idf", 6).alias("idf"))
+
+
+def q_caption_join(s, d):
+    return R.caption_join(_queries(s, d), _captions(s, d).select("caption").distinct())
+
+
+def q_citations(s, d):
+    c = _t(s, d, "conversations").where("role = 'assistant'")
+    answers = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat("text", F.lit(" [1] and [3].")).alias("answer"))
+    hits = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit(1).alias("rank"), "text")
+    return E.verify_citations(answers, hits)
+
+
+def q_prompt(s, d):
+    turn = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+    return _t(s, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["line"]), "\n")).alias("prompt_md5"))
+
+
+def q_ingest(s, d):
+    f = _t(s, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("n_chars").cast("string").alias("fingerprint"), "doc_id")
+    state = f.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 3 == 1, F.col("fingerprint")).otherwise("old").alias("fingerprint"))
+    return R.ingest_plan(f, state).select("path", "outcome", S.detect_kind(F.col("path")).alias("kind"))
+
+
+def q_upsert(s, d):
+    o = _t(s, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("price"))
+    return R.upsert(o.withColumn("version", F.lit(1)), o.where("chunk_id % 2 = 0").withColumn("price", F.col("price") + 1).withColumn("version", F.lit(2)))
+
+
+def q_recency(s, d):
+    e = _t(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("created"), F.max("ts").alias("now"))
+    days = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("created").cast("timestamp"))) / 86_400_000_000
+    return e.select("user_id", F.when(days < 7, 1.10).when(days < 30, 1.05).otherwise(1.0).alias("boost"))
+
+
+QUERIES = {
+    "hybrid_search": q_hybrid, "vector_top_k": q_vector, "bm25_top_k": q_bm25, "rrf_fusion": q_rrf, "cap_per_source": q_rank_cap, "ir_metrics": q_metrics, "scope_counts": q_scope_counts,
+    "neighbour_chunks": q_neighbours, "representatives": q_representatives, "noise_filter": q_noise, "sentence_split": q_sentences, "char_bigrams": q_bigrams, "sliding_windows": q_windows,
+    "page_headings": q_headings, "caption_idf": q_caption_idf, "caption_overlap_join": q_caption_join, "citation_check": q_citations, "prompt_assembly": q_prompt, "ingest_plan": q_ingest, "upsert": q_upsert, "recency_boost": q_recency,
+}
+
+_VEC = """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM q, embeddings),
+ r AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, chunk_id) AS INT) "rank", round(sc, 5) score FROM s),
+ v AS (SELECT * FROM r WHERE "rank" <= 10) """
+_BM = """WITH tok AS (SELECT doc_id chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term FROM documents),
+ post AS (SELECT term, chunk_id, count(*) tf FROM tok GROUP BY 1, 2), dl AS (SELECT d.doc_id chunk_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) l FROM documents d),
+ st AS (SELECT count(*) n, avg(l) a FROM dl), qt AS (SELECT query_id, term, count(*) qf FROM (SELECT item_id query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term FROM benchmark) GROUP BY 1, 2),
+ df AS (SELECT term, count(*) df FROM post GROUP BY 1),
+ sc AS (SELECT query_id, post.chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) * qf), 6) s FROM qt JOIN post USING (term) JOIN df USING (term) JOIN dl ON dl.chunk_id = post.chunk_id, st GROUP BY 1, 2),
+ r AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INT) "rank", round(s, 4) score FROM sc) """
+_HEAD = """WITH h AS (SELECT page_id, trim(regexp_replace(x, '<[^>]*>', '', 'g')) caption FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) x FROM pages)) """
+_BI = "CASE WHEN length({0}) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2))) END"
+
+ORACLE = {
+    "vector_top_k": _VEC + "SELECT * FROM v",
+    "bm25_top_k": _BM + 'SELECT * FROM r WHERE "rank" <= 10',
+    "rrf_fusion": _VEC + """, u AS (SELECT query_id, chunk_id, "rank", 0.5 w FROM v UNION ALL SELECT query_id, chunk_id, "rank", 0.25 FROM v WHERE "rank" <= 5),
+ f AS (SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) / (60 + "rank")), 9) score, CASE WHEN count(*) >= 2 THEN 'hybrid' ELSE 'single' END hit_source FROM u GROUP BY 1, 2)
+ SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", score, hit_source FROM f) WHERE "rank" <= 5""",
+    "cap_per_source": _VEC + "SELECT query_id, chunk_id, source_id, score FROM (SELECT v.*, source source_id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) nth FROM v JOIN documents ON doc_id = chunk_id) WHERE nth <= 1",
+    "ir_metrics": _VEC + """, g AS (SELECT DISTINCT a.vec_id query_id, b.vec_id chunk_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0), n AS (SELECT query_id, count(*) n FROM g GROUP BY 1),
+ f AS (SELECT query_id, sum(CASE WHEN "rank" <= 5 THEN 1 ELSE 0 END) m, min("rank") best FROM v JOIN g USING (query_id, chunk_id) GROUP BY 1)
+ SELECT query_id, round(coalesce(CAST(m AS DOUBLE) / n, 0), 9) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(1.0::DOUBLE / best, 0), 9) rr FROM n LEFT JOIN f USING (query_id)""",
+    "scope_counts": "SELECT lang notebook_id, count(*) n_chunks, count(DISTINCT source) n_sources FROM documents GROUP BY 1",
+    "neighbour_chunks": "SELECT a.doc_id hit_id, b.doc_id near_id FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id BETWEEN a.doc_id - 40 AND a.doc_id + 40 WHERE a.doc_id % 100 = 0",
+    "representatives": "SELECT source_id, chunk_id FROM (SELECT source source_id, doc_id chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) n FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) f FROM documents) WHERE f = 1) WHERE n <= 3",
+    "sentence_split": "SELECT doc_id chunk_id, CAST(len(list_filter(regexp_extract_all(text, '[^。.!?\\n]*[。.!?\\n]|[^。.!?\\n]+$'), lambda x: trim(x, ' ') <> '')) AS BIGINT) n_sentences FROM documents",
+    "char_bigrams": "SELECT item_id query_id, CAST(len(" + _BI.format("t") + ") AS BIGINT) n_bigrams FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') t FROM benchmark)",
+    "sliding_windows": "SELECT doc_id chunk_id, CAST(i AS BIGINT) n, CAST(length(substring(text, i * 290 + 1, 350)) AS BIGINT) chars, md5(substring(text, i * 290 + 1, 350)) digest FROM (SELECT doc_id, text, unnest(range(0, 1 + CAST(greatest(ceil((length(text) - 350) / 290.0), 0) AS BIGINT))) i FROM documents WHERE length(text) > 0)",
+    "page_headings": _HEAD + "SELECT page_id, caption FROM h",
+    "caption_idf": _HEAD + "SELECT caption, df, round(greatest(least(ln((n + 1.0::DOUBLE) / (df + 1)) / greatest(ln((n + 1.0::DOUBLE) / 2), 1e-6), 1.0), 0.0), 6) idf FROM (SELECT caption, count(*) df FROM h GROUP BY 1), (SELECT count(*) n FROM h)",
+    "caption_overlap_join": _HEAD + ", c AS (SELECT DISTINCT caption, regexp_replace(caption, '\\s+', '', 'g') t FROM h), cb AS (SELECT caption, " + _BI.format("t") + " b FROM c), q AS (SELECT item_id query_id, regexp_replace(text, '\\s+', '', 'g') t FROM benchmark), qb AS (SELECT query_id, " + _BI.format("t") + " b FROM q), p AS (SELECT query_id, caption, len(list_intersect(qb.b, cb.b)) x, len(qb.b) + len(cb.b) y FROM qb, cb) SELECT query_id, caption, round(CAST(x AS DOUBLE) / (y - x), 9) overlap FROM p WHERE x > 0 AND round(CAST(x AS DOUBLE) / (y - x), 9) >= 0.10",
+    "citation_check": "SELECT conv_id * 100 + turn query_id, CAST(2 AS BIGINT) total, CAST(1 AS BIGINT) unsupported, 0.5::DOUBLE ratio FROM conversations WHERE role = 'assistant'",
+    "prompt_assembly": "SELECT conv_id, md5(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn)) prompt_md5 FROM conversations GROUP BY 1",
+    "ingest_plan": "SELECT 'd/' || doc_id || '.md' path, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'unchanged' ELSE 'changed' END outcome, 'markdown' kind FROM documents",
+    "upsert": "SELECT o_orderkey chunk_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END price, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END version FROM orders",
+    "recency_boost": "SELECT user_id, CAST(CASE WHEN d < 7 THEN 1.10 WHEN d < 30 THEN 1.05 ELSE 1.0 END AS DOUBLE) boost FROM (SELECT user_id, date_diff('microsecond', min(ts), max(ts)) / 86400000000 d FROM events GROUP BY 1)",
+}
