@@ -28,7 +28,7 @@ def read_files(spark: SparkSession, path: str, hidden: bool = False) -> DataFram
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda b: b != "")
+    return F.filter(F.transform(F.split(text, "\n\n"), lambda b: F.trim(b)), lambda b: b != "")
 
 
 def pages(text: Column) -> Column:
