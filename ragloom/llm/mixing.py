@@ -29,6 +29,8 @@ EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17
 SALTS = 256
+#: Tables with a row for each source are broadcast up to this number of sources, else joined by shuffle.
+BROADCAST_SOURCES = 100_000
 PHASES = 16
 
 
@@ -78,15 +80,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: float = EPOCHS, seed:
     ranked = salted.withColumn("r2", number - 1).join(at_cell, ["source_key", "size", "salt"]).withColumn("j", F.col("r0") + F.col("r1") + F.col("r2"))
     ranked = ranked.select("doc_id", "source", "size", "source_key", "j").unionByName(sized.where("size = 0").select("doc_id", "source", "size", "source_key", F.lit(0).cast("long").alias("j")))
 
+    few = targets.count() <= BROADCAST_SOURCES
+    small = lambda df: F.broadcast(df) if few else df
     ratio = F.col("target") / F.col("source_size")
     fraction = F.col("ratio") - F.floor("ratio")
     again = lambda u: F.floor((F.col("j") + 1) * fraction + u) - F.floor(F.col("j") * fraction + u)
-    out = ranked.join(targets, "source_key").withColumn("ratio", F.when(F.col("source_size") > 0, ratio).otherwise(0.0))
+    out = ranked.join(small(targets), "source_key").withColumn("ratio", F.when(F.col("source_size") > 0, ratio).otherwise(0.0))
     out = c.materialise(out, "ranked")
     phases = [F.lit((k + 0.5) / PHASES) for k in range(PHASES)]
     sums = out.groupBy("source_key").agg(F.first("target").alias("t"), *[F.sum((F.floor("ratio") + again(u)) * F.col("size")).alias(f"p{k}") for k, u in enumerate(phases)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{k}") - F.col("t")).alias("miss"), u.alias("u")) for k, u in enumerate(phases)]))["u"]
-    out = out.join(sums.select("source_key", best.alias("u")), "source_key")
+    out = out.join(small(sums.select("source_key", best.alias("u"))), "source_key")
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.floor("ratio") + again(F.col("u"))).otherwise(0).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
