@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Phrases and keywords that routing looks for; replace them for other languages.
 REFUSALS = ("わかりません", "見つかりません", "not found", "i don't know", "cannot answer")
 SUMMARY_WORDS = ("要約", "まとめ", "概要", "summary", "summarize", "overview")
+SUFFIX = " ｜ シナリオ: "
 STOP = ("<end_of_turn>", "<|im_end|>")
 
 
@@ -66,11 +67,45 @@ def cut_at_stop(text: Column, stops: tuple[str, ...] = STOP) -> Column:
     return F.when(F.array_min(ends).isNull(), text).otherwise(F.substring(text, F.lit(1), F.array_min(ends) - 1))
 
 
-def middle_truncate(tokens: Column, context: int, answer: int) -> Column:
-    """Keeps the head and the tail of a token array that exceeds context - (answer + 64)."""
-    budget = max(context - (answer + 64), 1)
-    head = min(96, budget // 4)
-    return F.when(F.size(tokens) <= budget, tokens).otherwise(F.concat(F.slice(tokens, 1, head), F.slice(tokens, -(budget - head), budget - head)))
+def gemma_prompt(turns: Column, system: Column, user: Column) -> Column:
+    """Turn markers of models without a system role: the system text goes in front of the first user turn."""
+    lead = F.when(F.trim(system) != "", F.concat(F.trim(system), F.lit("\n\n"))).otherwise("")
+    first = F.array_position(F.transform(turns, lambda t: t["role"]), "user")
+    line = lambda role, body: F.concat(F.lit("<start_of_turn>"), role, F.lit("\n"), body, F.lit("<end_of_turn>\n"))
+    past = F.transform(turns, lambda t, i: line(F.when(t["role"] == "assistant", "model").otherwise("user"), F.when(i + 1 == first, F.concat(lead, t["text"])).otherwise(t["text"])))
+    return F.concat(F.array_join(past, ""), line(F.lit("user"), F.when(first > 0, user).otherwise(F.concat(lead, user))), F.lit("<start_of_turn>model\n"))
+
+
+def parse_expand(reply: Column) -> Column:
+    """Up to 3 paraphrases (2..60 characters), 3 subquestions (4..80) and one passage (30 or more, cut at 240), in this order."""
+
+    def tagged(tag, strip, low, high, most, number=False):
+        got = F.regexp_extract_all(reply, F.lit(rf"(?m)^\s*{tag} ?:[ \t]*(.*?)\s*$"), F.lit(1))
+        bare = lambda x: F.regexp_replace(x, strip, "") if strip else x
+        clean = F.transform(got, lambda x: F.substring(F.trim(F.regexp_replace(bare(x), r"^[0-9.)．]+", "")) if number else bare(x), 1, high))
+        return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= low)), 1, most)
+
+    quotes = "[\"「」『』'\\-*#]+"
+    edge, edge2 = f"^{quotes}|{quotes}$", f"^{quotes.replace('#', '#・')}|{quotes.replace('#', '#・')}$"
+    return F.concat(tagged("PARAPHRASE", edge, 2, 60, 3), tagged("SUBQUESTION", edge2, 4, 80, 3, True), tagged("HYDE", "", 30, 240, 1))
+
+
+def must_include(answer: Column, items: Column) -> Column:
+    """Whether each item (an array of alternatives) has one alternative in the answer."""
+    return F.forall(items, lambda any_of: F.exists(any_of, lambda s: F.contains(answer, s)))
+
+
+def middle_truncate(tokens: Column, context: int, answer: int, head: int = 96, tail: int = 256) -> Column:
+    """Cuts the middle of a token array to context - (answer + 64), 64 at least.
+
+    The head keeps up to `head` tokens or a quarter, the tail up to `tail` or a half; a budget that these
+    two exceed keeps the end alone.
+    """
+    budget, n = max(context - (answer + 64), 64), F.size(tokens)
+    first = F.least(F.lit(head), F.floor(n / 4).cast("int"))
+    last = F.least(F.lit(tail), F.floor(n / 2).cast("int"))
+    kept = F.concat(F.slice(tokens, F.lit(1), first), F.slice(tokens, n - (budget - first) + 1, budget - first))
+    return F.when(n <= budget, tokens).when(first + last < budget, kept).otherwise(F.slice(tokens, F.lit(-budget), F.lit(budget)))
 
 
 def compress(sentences: Column, least: float = 0.20, keep: int = 3, ratio: float = 0.3) -> Column:
@@ -84,8 +119,8 @@ def compress(sentences: Column, least: float = 0.20, keep: int = 3, ratio: float
 
 def enrich(text: Column, terms: Column) -> Column:
     """Adds terms to a leading (...), or puts a new one in front."""
-    extra = F.array_join(F.array_sort(F.array_distinct(terms)), " ")
-    return F.when(F.size(terms) == 0, text).when(text.rlike(r"^\([^)]*\)"), F.concat(F.regexp_extract(text, r"^\(([^)]*)\)", 0).substr(F.lit(1), F.instr(text, ")") - 1), F.lit(" "), extra, F.substring(text, F.instr(text, ")"), F.length(text)))).otherwise(F.concat(F.lit("("), extra, F.lit(")\n"), text))
+    extra = F.array_join(F.array_sort(F.array_distinct(terms)), ", ")
+    return F.when(F.size(terms) == 0, text).when(text.rlike(r"^\([^)]*\)"), F.concat(F.regexp_extract(text, r"^\(([^)]*)\)", 0).substr(F.lit(1), F.instr(text, ")") - 1), F.lit(SUFFIX), extra, F.substring(text, F.instr(text, ")"), F.length(text)))).otherwise(F.concat(F.lit("("), extra, F.lit(")\n"), text))
 
 
 def risk_findings(text: Column) -> Column:

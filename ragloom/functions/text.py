@@ -70,8 +70,72 @@ def is_specific_query(text: Column) -> Column:
     """Article numbers, quotations, addresses, code, or long questions."""
     quoted = text.rlike(r"\"[^\"]{2,}\"|「[^」]{2,}」")
     address = text.rlike(r"https?://|[\w.+-]+@[\w-]+\.\w")
-    code = text.rlike(r"[A-Z_]{4,}|[a-z]+_[a-z]+|(?<![A-Za-z])[A-Z][a-z]+[A-Z][A-Za-z]*") | (F.regexp_count(text, F.lit("[(){};=%<>]")) >= 2)
-    return text.rlike(r"第[0-9０-９一二三四五六七八九十百]+条|(?i:article) \d") | quoted | address | code | (F.length(text) >= 50)
+    return text.rlike(r"第[0-9０-９一二三四五六七八九十百]+条|(?i:article) \d") | quoted | address | has_code(text) | (F.length(text) >= 50)
+
+
+def has_code(text: Column) -> Column:
+    """Runs of 4 capitals or underscores, two code symbols, snake_case of 4 characters, CamelCase of 5."""
+    snake = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]{4})[A-Za-z0-9]*_"
+    camel = r"(?<![A-Za-z])(?=[A-Za-z]{5})[A-Z][A-Za-z]+?[A-Z]"
+    return text.rlike(rf"[A-Z_]{{4}}|{snake}|{camel}") | (F.regexp_count(text, F.lit("[(){};=%<>]")) >= 2)
+
+
+def article_lead(text: Column) -> Column:
+    """Up to 80 characters of the first sentence behind a leading article number; a revision note before it is skipped."""
+    t = F.regexp_replace(text, r"^\s+", "")
+    note = F.regexp_extract(t, r"^\(([^)]*)\)", 1)
+    t = F.when((note != "") & is_revision_note(note), F.regexp_replace(t, r"^\([^)]*\)\s*", "")).otherwise(t)
+    numeral = "0-9一二三四五六七八九十百千〇零"
+    lead = F.regexp_extract(t, rf"^第[{numeral}]+条(?:の[0-9一二三四五六七八九十]+)?[\s　]*([^。\n]{{1,80}})", 1)
+    lead = F.regexp_replace(lead, r"\s+$", "")
+    return F.when(lead != "", lead)
+
+
+def caption_or_lead(text: Column) -> Column:
+    return F.coalesce(caption(text), article_lead(text))
+
+
+def extract_terms(text: Column) -> Column:
+    """Sorted distinct ASCII words of two or more characters, and pairs of Japanese ones with particles taken out first."""
+    ascii_words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{2,}"), F.lit(0)), lambda w: w.rlike("[A-Za-z0-9]"))
+    bare = F.regexp_replace(text, r"[\sはがをにでとのへや、。?？]", "")
+    pairs = F.regexp_extract_all(bare, F.lit(r"(?=([一-龥ぁ-んァ-ヶ]{2}))"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(ascii_words, F.lower), pairs)))
+
+
+def embedding_text(heading_path: Column, text: Column) -> Column:
+    return F.when(F.size(heading_path) > 0, F.concat(F.array_join(heading_path, " / "), F.lit("\n"), text)).otherwise(text)
+
+
+def fts_text(heading_path: Column, text: Column) -> Column:
+    return F.concat(F.array_join(heading_path, " "), F.lit("\n"), text)
+
+
+def inject_caption(heading_path: Column, text: Column) -> Column:
+    """Puts (last heading) in front, unless there is none, it has parentheses or the text starts with one."""
+    last = F.trim(F.coalesce(F.try_element_at(heading_path, F.lit(-1)), F.lit("")))
+    skip = (last == "") | last.rlike(r"[()（）]") | F.ltrim(text).startswith("(")
+    return F.when(skip, text).otherwise(F.concat(F.lit("("), last, F.lit(")\n"), text))
+
+
+def chunk_summary(text: Column) -> Column:
+    return F.substring(F.split(text, "\n")[0], 1, 80)
+
+
+def compressor_sentences(text: Column) -> Column:
+    """Trimmed sentences; the ASCII period does not end one."""
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?\n])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def sentence_spans(text: Column) -> Column:
+    """Array of (start, end, text) in bytes, end exclusive, separators at the left sentence."""
+    begin = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,text:string>>")
+
+    def step(a, s):
+        at = F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))
+        return F.concat(a, F.array(F.struct(at.alias("start"), (at + F.octet_length(s)).alias("end"), s.alias("text"))))
+
+    return F.filter(F.aggregate(F.split(text, from_sentences), begin, step), lambda x: F.trim(x["text"]) != "")
 
 
 def is_revision_note(text: Column) -> Column:
@@ -104,9 +168,9 @@ def windows(text: Column, size: int, overlap: int) -> Column:
 
 def hybrid_weight(query: Column, base: float) -> Column:
     """Leans towards vectors for kana, towards keywords for kanji and alphanumerics; clamped to 0.05..0.95."""
-    n = F.greatest(F.length(query), F.lit(1))
-    kana = F.regexp_count(query, F.lit(r"[぀-ヿ]")) / n
-    other = F.regexp_count(query, F.lit(r"[一-鿿A-Za-z0-9]")) / n
+    n = F.regexp_count(query, F.lit(r"\S"))
+    share = lambda p: F.coalesce(F.try_divide(F.regexp_count(query, F.lit(p)), n), F.lit(0.0))
+    kana, other = share(r"[぀-ヿ]"), share(r"[一-鿿A-Za-z0-9０-９]")
     moved = base + F.greatest(F.least(kana - other, F.lit(1.0)), F.lit(-1.0)) * 0.2
     return F.when(F.length(query) < 4, F.lit(base)).otherwise(F.greatest(F.least(moved, F.lit(0.95)), F.lit(0.05)))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
 from ..functions import text as T
+from .retrieval import _small
 
 
 def metrics(hits: DataFrame, golden: DataFrame, k: int) -> DataFrame:
@@ -36,7 +38,35 @@ def verify_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return answers.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"), F.coalesce(F.try_divide("unsupported", "total"), F.lit(0.0)).alias("ratio"))
 
 
+#: Characters that do not count for faithfulness.
+IGNORED = r"""[、。・「」『』（）【】,.;:!?()\[\]"']"""
+
+
 def faithfulness(answer, contexts):
-    """Share of the answer's bigrams found in the contexts; 1 for an empty answer."""
-    a = T.bigrams(F.regexp_replace(answer, r"\p{Punct}", ""))
-    return F.when(F.size(a) == 0, 1.0).otherwise(T.containment(a, T.bigrams(F.regexp_replace(contexts, r"\p{Punct}", ""))))
+    """Share of the answer's bigrams found in the contexts; 1 for an empty answer or a refusal."""
+    bare = lambda x: T.bigrams(F.regexp_replace(x, IGNORED, ""))
+    a = bare(answer)
+    return F.when((F.size(a) == 0) | P.looks_like_refusal(answer), 1.0).otherwise(T.containment(a, bare(contexts)))
+
+
+def faithfulness_summary(scores: DataFrame) -> DataFrame:
+    """Mean, least and largest score; zeros without rows."""
+    zero = lambda c: F.coalesce(F.round(c, 9), F.lit(0.0))
+    return scores.agg(zero(F.avg("score")).alias("mean"), zero(F.min("score")).alias("low"), zero(F.max("score")).alias("high"))
+
+
+def citation_spans(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, rank, sentence, overlap): per marker the sentence of the hit that is nearest to the answer's."""
+    marks = answers.select("query_id", F.explode(T.sentences(F.col("answer"))).alias("said")).select("query_id", "said", F.explode(T.citation_ids(F.col("said"))).alias("rank"))
+    own = hits.select("query_id", "rank", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+    j = marks.join(own, ["query_id", "rank"]).withColumn("overlap", F.round(T.jaccard(T.overlap_tokens(F.col("said")), T.overlap_tokens(F.col("sentence"))), 9))
+    best = F.max_by(F.struct("sentence", "overlap"), F.struct("overlap", (-F.col("at")).alias("at")))
+    return j.groupBy("query_id", "rank", "said").agg(best.alias("x")).select("query_id", "rank", "said", "x.sentence", "x.overlap")
+
+
+def weight_sweep(runs: DataFrame, golden: DataFrame, k: int) -> DataFrame:
+    """Mean metrics of each run (run_id, query_id, chunk_id, rank) over the golden queries."""
+    keyed = runs.withColumn("query_id", F.struct("run_id", "query_id"))
+    wanted = golden.join(_small(runs.select("run_id").distinct()))
+    per = metrics(keyed, wanted.select(F.struct("run_id", "query_id").alias("query_id"), "relevant_id"), k)
+    return per.groupBy(F.col("query_id.run_id").alias("run_id")).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "hit", "ndcg", "rr")])

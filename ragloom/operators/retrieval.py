@@ -102,7 +102,7 @@ def caption_join(queries: DataFrame, captions: DataFrame, least: float = 0.10) -
 
 def lexical_boost(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     """score *= 1 + alpha * share of query terms found in the text."""
-    terms = F.array_sort(F.array_distinct(F.filter(T.words(F.col("query")), lambda w: F.length(w) >= 2)))
+    terms = T.extract_terms(F.col("query"))
     found = F.size(F.filter(terms, lambda w: F.contains(F.lower("text"), w)))
     return hits.withColumn("score", F.when(F.size(terms) == 0, F.col("score")).otherwise(F.round(F.col("score") * (1 + alpha * found / F.size(terms)), 9)))
 

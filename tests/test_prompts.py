@@ -17,7 +17,9 @@ def test_prompt_functions(spark):
         P.chat_prompt(F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("text")))).alias("chat"),
         P.cut_at_stop(F.lit("abc<|im_end|>d<end_of_turn>")).alias("cut"),
         P.cut_at_stop(F.lit("abc")).alias("uncut"),
-        P.middle_truncate(F.sequence(F.lit(1), F.lit(50)), 104, 20).alias("short"),
+        P.middle_truncate(F.sequence(F.lit(1), F.lit(50)), 104, 20).alias("whole"),  # a budget is 64 at least
+        P.middle_truncate(F.sequence(F.lit(1), F.lit(500)), 500, 36).alias("short"),
+        P.middle_truncate(F.sequence(F.lit(1), F.lit(500)), 300, 36).alias("tail"),
         P.compress(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(v).alias("score")) for t, v in (("a", 0.1), ("b", 0.9), ("c", 0.0), ("d", 0.15), ("e", 0.05))])).alias("kept"),
         P.enrich(F.lit("(cap)\nbody"), F.array(F.lit("z"), F.lit("y"))).alias("inside"),
         P.enrich(F.lit("body"), F.array(F.lit("z"))).alias("front"),
@@ -27,8 +29,9 @@ def test_prompt_functions(spark):
     assert (row["hi"], row["article"], row["open"]) == ("smalltalk", "lookup", None)
     assert tuple(row["intent"]) == ("summary", None, ["a", "b"]) and row["items"] == ["one", "two", "三"]
     assert row["variants"] == ["q", "a", "b"] and row["chat"] == "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\n"
-    assert (row["cut"], row["uncut"]) == ("abc", "abc") and row["short"] == [1, 2, 3, 4, 5, *range(36, 51)]
-    assert row["kept"] == "a b d" and row["inside"] == "(cap y z)\nbody" and row["front"] == "(z)\nbody"
+    assert (row["cut"], row["uncut"]) == ("abc", "abc") and row["whole"] == [*range(1, 51)]
+    assert row["short"] == [*range(1, 97), *range(197, 501)] and row["tail"] == [*range(301, 501)]
+    assert row["kept"] == "a b d" and row["inside"] == "(cap ｜ シナリオ: y, z)\nbody" and row["front"] == "(z)\nbody"
     assert tuple(row["risk"][0]) == ("high", "liability")
 
 
