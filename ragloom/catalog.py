@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_text
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import retrieval as R
@@ -51,6 +52,26 @@ def q_hybrid(s, d):
     return hybrid_search(_queries(s, d).join(v, "query_id"), _chunks(s, d), _vectors(s, d), 10, per_source=2)
 
 
+def q_vector_scoped(s, d):
+    e = _t(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
+    return R.vector_top_k(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"), "label"), 10, "label").select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+
+
+def q_bm25_scoped(s, d):
+    return R.bm25_top_k(_queries(s, d).withColumn("notebook_id", F.lit("en")), _chunks(s, d), 10, scope="notebook_id").select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
+def q_multi(s, d):
+    words = F.split("query", r"\s+")
+    q = _queries(s, d)
+    part = lambda no, text, w: q.select("query_id", F.lit(no).alias("no"), text.alias("query"), F.lit(w).alias("weight"))
+    v = part(0, F.col("query"), 1.0).unionByName(part(1, F.array_join(F.slice(words, 1, 6), " "), 0.7)).unionByName(part(2, F.array_join(F.reverse(F.slice(F.reverse(words), 1, 6)), " "), 0.7))
+    v = v.withColumn("vid", F.concat_ws("/", "query_id", "no"))
+    ranked = R.bm25_top_k(v.select(F.col("vid").alias("query_id"), "query"), _chunks(s, d), 20).select(F.col("query_id").alias("vid"), "chunk_id", "rank")
+    return R.rrf(ranked.join(v.select("vid", "query_id", "weight"), "vid"), 10).select("query_id", "chunk_id", "rank", "score", "hit_source")
+
+
 def q_rrf(s, d):
     v = q_vector(s, d).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))
     return R.rrf(v.unionByName(v.withColumn("weight", F.lit(0.25)).where("rank <= 5")), 5).select("query_id", "chunk_id", "rank", "score", "hit_source")
@@ -125,13 +146,13 @@ def q_prompt(s, d):
 
 def q_ingest(s, d):
     f = _t(s, d, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("n_chars").cast("string").alias("fingerprint"), "doc_id")
-    state = f.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 3 == 1, F.col("fingerprint")).otherwise("old").alias("fingerprint"))
+    state = f.join(_t(s, d, "labels"), "doc_id").select("path", F.when(F.col("quality") == 1, F.col("fingerprint")).otherwise("old").alias("fingerprint"))
     return R.ingest_plan(f, state).select("path", "outcome", S.detect_kind(F.col("path")).alias("kind"))
 
 
 def q_upsert(s, d):
-    o = _t(s, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("price"))
-    return R.upsert(o.withColumn("version", F.lit(1)), o.where("chunk_id % 2 = 0").withColumn("price", F.col("price") + 1).withColumn("version", F.lit(2)))
+    o = _t(s, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return R.upsert(o.withColumn("version", F.lit(1)), o.where("status = 'F'").withColumn("price", F.col("price") + 1).withColumn("version", F.lit(2)))
 
 
 def q_recency(s, d):
@@ -144,6 +165,8 @@ QUERIES = {
     "hybrid_search": q_hybrid, "vector_top_k": q_vector, "bm25_top_k": q_bm25, "rrf_fusion": q_rrf, "cap_per_source": q_rank_cap, "ir_metrics": q_metrics, "scope_counts": q_scope_counts,
     "neighbour_chunks": q_neighbours, "representatives": q_representatives, "noise_filter": q_noise, "sentence_split": q_sentences, "char_bigrams": q_bigrams, "sliding_windows": q_windows,
     "page_headings": q_headings, "caption_idf": q_caption_idf, "caption_overlap_join": q_caption_join, "citation_check": q_citations, "prompt_assembly": q_prompt, "ingest_plan": q_ingest, "upsert": q_upsert, "recency_boost": q_recency,
+    "vector_top_k_scoped": q_vector_scoped, "bm25_top_k_scoped": q_bm25_scoped, "multi_query_rrf": q_multi,
+    **catalog_text.QUERIES,
 }
 
 _VEC = """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -180,7 +203,25 @@ ORACLE = {
     "caption_overlap_join": _HEAD + ", c AS (SELECT DISTINCT caption, regexp_replace(caption, '\\s+', '', 'g') t FROM h), cb AS (SELECT caption, " + _BI.format("t") + " b FROM c), q AS (SELECT item_id query_id, regexp_replace(text, '\\s+', '', 'g') t FROM benchmark), qb AS (SELECT query_id, " + _BI.format("t") + " b FROM q), p AS (SELECT query_id, caption, len(list_intersect(qb.b, cb.b)) x, len(qb.b) + len(cb.b) y FROM qb, cb) SELECT query_id, caption, round(CAST(x AS DOUBLE) / (y - x), 9) overlap FROM p WHERE x > 0 AND round(CAST(x AS DOUBLE) / (y - x), 9) >= 0.10",
     "citation_check": "SELECT conv_id * 100 + turn query_id, CAST(2 AS BIGINT) total, CAST(1 AS BIGINT) unsupported, 0.5::DOUBLE ratio FROM conversations WHERE role = 'assistant'",
     "prompt_assembly": "SELECT conv_id, md5(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn)) prompt_md5 FROM conversations GROUP BY 1",
-    "ingest_plan": "SELECT 'd/' || doc_id || '.md' path, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'unchanged' ELSE 'changed' END outcome, 'markdown' kind FROM documents",
-    "upsert": "SELECT o_orderkey chunk_id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END price, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END version FROM orders",
+    "ingest_plan": "SELECT 'd/' || doc_id || '.md' path, CASE WHEN quality IS NULL THEN 'new' WHEN quality = 1 THEN 'unchanged' ELSE 'changed' END outcome, 'markdown' kind FROM documents LEFT JOIN labels USING (doc_id)",
+    "upsert": "SELECT o_orderkey chunk_id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END price, o_orderstatus status, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END version FROM orders",
     "recency_boost": "SELECT user_id, CAST(CASE WHEN d < 7 THEN 1.10 WHEN d < 30 THEN 1.05 ELSE 1.0 END AS DOUBLE) boost FROM (SELECT user_id, date_diff('microsecond', min(ts), max(ts)) / 86400000000 d FROM events GROUP BY 1)",
+    "noise_filter": "SELECT doc_id chunk_id, length(trim(text)) < 4 OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 4 low, length(trim(text)) < 25 short FROM documents",
+    "vector_top_k_scoped": _VEC.replace("embedding qv FROM", "embedding qv, label l0 FROM").replace("FROM q, embeddings", "FROM q, embeddings WHERE label = l0") + "SELECT * FROM v",
+    "bm25_top_k_scoped": _BM.replace("JOIN dl ON dl.chunk_id = post.chunk_id, st GROUP", "JOIN dl ON dl.chunk_id = post.chunk_id JOIN documents ON doc_id = post.chunk_id, st WHERE lang = 'en' GROUP") + 'SELECT * FROM r WHERE "rank" <= 10',
+    "multi_query_rrf": _BM.replace("WITH tok", """WITH qw AS (SELECT item_id, text, regexp_split_to_array(text, '\\s+') w FROM benchmark), qv AS (SELECT item_id, '0' no, text FROM qw UNION ALL SELECT item_id, '1', array_to_string(w[1:6], ' ') FROM qw UNION ALL SELECT item_id, '2', array_to_string(w[greatest(len(w) - 5, 1):], ' ') FROM qw), tok""").replace("SELECT item_id query_id, unnest(", "SELECT item_id || '/' || no query_id, unnest(").replace("FROM benchmark) GROUP", "FROM qv) GROUP")
+    + """, u AS (SELECT CAST(split_part(query_id, '/', 1) AS BIGINT) query_id, chunk_id, "rank", CASE WHEN split_part(query_id, '/', 2) = '0' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END w FROM r WHERE "rank" <= 20),
+ f AS (SELECT query_id, chunk_id, round(sum(w / (60 + "rank")), 9) score, CASE WHEN count(*) >= 2 THEN 'hybrid' ELSE 'single' END hit_source FROM u GROUP BY 1, 2)
+ SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", score, hit_source FROM f) WHERE "rank" <= 10""",
+    "hybrid_search": _BM + """, vq AS (SELECT vec_id query_id, embedding qv FROM embeddings JOIN benchmark ON item_id = vec_id),
+ vs AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM vq, embeddings),
+ vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, chunk_id) "rank" FROM vs),
+ u AS (SELECT query_id, chunk_id, "rank" FROM vr WHERE "rank" <= 50 UNION ALL SELECT r.query_id, r.chunk_id, r."rank" FROM r JOIN vq USING (query_id) WHERE r."rank" <= 50),
+ f AS (SELECT query_id, chunk_id, round(sum(0.5::DOUBLE / (60 + "rank")), 9) s, CASE WHEN count(*) >= 2 THEN 'hybrid' ELSE 'single' END hit_source FROM u GROUP BY 1, 2),
+ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) k FROM f),
+ t AS (SELECT query_id, chunk_id, source source_id, hit_source, s, lower(d.text) body, list_distinct(list_transform(list_filter(regexp_extract_all(b.text, '[A-Za-z0-9_]{2,}'), lambda w: regexp_matches(w, '[A-Za-z0-9]')), lambda w: lower(w))) ts FROM p JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE k <= 50),
+ l AS (SELECT query_id, chunk_id, source_id, hit_source, CASE WHEN len(ts) = 0 THEN s ELSE round(s * (1 + 0.5::DOUBLE * len(list_filter(ts, lambda w: contains(body, w))) / len(ts)), 9) END score FROM t),
+ c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, chunk_id) nth FROM l)
+ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", chunk_id, source_id, score, hit_source FROM c WHERE nth <= 2) WHERE "rank" <= 10""",
+    **catalog_text.oracle(_VEC, _HEAD, _BI),
 }

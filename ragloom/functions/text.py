@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from_sentences = r"(?<=[。.!?\n])"
 
 
+#: Overlapping pairs of characters: one is consumed, two are seen. Linear in the text's length.
+PAIRS = r"(?s)(?=(..))."
+
+
 def bigrams(text: Column) -> Column:
     """Distinct adjacent pairs of characters, white space dropped."""
-    t = F.regexp_replace(text, r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(PAIRS), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Set overlap; 0 if either is empty."""
+    """Overlap of two sets; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
+    return F.when(both == 0, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -38,7 +40,7 @@ def bigram_tokens(text: Column) -> Column:
     """Overlapping pairs of CJK runs (single characters kept), other runs as lower-case words."""
     cjk = r"[぀-ヿ㐀-䶿一-鿿豈-﫿]"
     runs = F.regexp_extract_all(text, F.lit(rf"{cjk}+|(?:(?!{cjk})[\p{{L}}\p{{N}}])+"), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    pairs = lambda r: F.regexp_extract_all(r, F.lit(PAIRS), F.lit(1))
     return F.flatten(F.transform(runs, lambda r: F.when(~r.rlike(cjk), F.array(F.lower(r))).when(F.length(r) == 1, F.array(r)).otherwise(pairs(r))))
 
 
@@ -160,10 +162,10 @@ def citation_ids(text: Column) -> Column:
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Sliding character windows; the last partial one is kept."""
+    """Sliding character windows; the last partial one is kept. Windows of the overlap alone are cut off."""
     step = max(size - overlap, 1)
     last = F.greatest(F.ceil((F.length(text) - size) / F.lit(step)), F.lit(0)).cast("int")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size))))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), last + 1))
 
 
 def hybrid_weight(query: Column, base: float) -> Column:

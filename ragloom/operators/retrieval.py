@@ -28,9 +28,12 @@ def top_k(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", t
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of queries (query_id, qv) among vectors (chunk_id, v): a stated query set in blocks."""
-    return top_k(vectors.join(_small(queries)).select("query_id", "chunk_id", cosine(F.col("qv"), F.col("v")).alias("score")), k)
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None) -> DataFrame:
+    """Exact cosine top-k of queries (query_id, qv) among vectors (chunk_id, v): a stated query set in blocks.
+
+    scope: a column of both; a query then sees the vectors of its scope alone, filtered before the top k.
+    """
+    return top_k(vectors.join(_small(queries), scope).select("query_id", "chunk_id", cosine(F.col("qv"), F.col("v")).alias("score")), k)
 
 
 def postings(chunks: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
@@ -39,8 +42,11 @@ def postings(chunks: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
     return t.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), t.select("chunk_id", F.size("tokens").alias("len"))
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 top-k of queries (query_id, query) among chunks (chunk_id, text); repeated query terms count again."""
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1: float = 1.2, b: float = 0.75, scope: str | None = None) -> DataFrame:
+    """BM25 top-k of queries (query_id, query) among chunks (chunk_id, text); repeated query terms count again.
+
+    scope: a column of both that hits must share; the statistics stay those of all chunks.
+    """
     post, size = postings(chunks, tokens(F.col("text")))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
@@ -48,6 +54,9 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     scored = hit.join(df, "term").join(terms, "term").join(size, "chunk_id").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    if scope:
+        asked, held = queries.select("query_id", F.col(scope).alias("asked")), chunks.select("chunk_id", F.col(scope).alias("held"))
+        scored = scored.join(_small(asked), "query_id").join(held, "chunk_id").where("asked = held")
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("qf")
     return top_k(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
