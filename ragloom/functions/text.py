@@ -12,6 +12,11 @@ from_sentences = r"(?<=[。.!?\n])"
 PAIRS = r"(?s)(?=(..))."
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, though body uses it inside a lambda or several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bigrams(text: Column) -> Column:
     """Distinct adjacent pairs of characters, white space dropped."""
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(PAIRS), F.lit(1)))

@@ -20,7 +20,7 @@ def overlap(query: Column, caption: Column) -> Column:
 
 
 def _best(query: Column, items: Column) -> Column:
-    found = F.array_max(F.transform(items, lambda x: overlap(query, x)))
+    found = T.let(T.bigrams(query), lambda q: F.array_max(F.transform(items, lambda x: T.jaccard(q, T.bigrams(x)))))
     return F.coalesce(found, F.lit(0.0))
 
 

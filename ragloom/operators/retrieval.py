@@ -111,9 +111,9 @@ def caption_join(queries: DataFrame, captions: DataFrame, least: float = 0.10) -
 
 def lexical_boost(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     """score *= 1 + alpha * share of query terms found in the text."""
-    terms = T.extract_terms(F.col("query"))
-    found = F.size(F.filter(terms, lambda w: F.contains(F.lower("text"), w)))
-    return hits.withColumn("score", F.when(F.size(terms) == 0, F.col("score")).otherwise(F.round(F.col("score") * (1 + alpha * found / F.size(terms)), 9)))
+    share = lambda terms, body: F.coalesce(F.try_divide(F.size(F.filter(terms, lambda w: F.contains(body, w))), F.size(terms)), F.lit(0.0))
+    found = T.let(F.struct(T.extract_terms(F.col("query")).alias("terms"), F.lower("text").alias("body")), lambda x: share(x["terms"], x["body"]))
+    return hits.withColumn("score", F.round(F.col("score") * (1 + alpha * found), 9))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
