@@ -7,6 +7,7 @@ than a few megabytes of intermediate arrays whatever the length of its documents
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Texts are hashed in pieces of about this many bytes.
 PIECE_BYTES = 500_000
+#: Batches are taken in slices of about this many bytes of text.
+SLICE_BYTES = 4_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -162,6 +165,32 @@ def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
+def slices(batches, column: int = 0, limit: int = SLICE_BYTES) -> Iterator:
+    """Slices of Arrow batches of about limit bytes in a column; a longer text stands alone.
+
+    Memory that the task has freed goes back to the system when the batches end: an idle worker holds none.
+    """
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.maximum(np.cumsum(size) - 1, 0) // limit
+        at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0, 0]
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield batch.slice(lo, hi - lo)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts_of(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null counts as empty."""
     import pyarrow as pa

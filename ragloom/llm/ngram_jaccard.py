@@ -83,27 +83,37 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(46)).astype(np.int64)
 
 
+def _scanned(pa, kind: int, ids, n: list[int], s1: list[int], s2: list[int], cls: list[int], v: list[bytes | None]):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, *(pa.array(x, pa.int64()) for x in (n, s1, s2, cls)), pa.array(v, pa.binary())], names=["kind", "doc_id", "n", "s1", "s2", "cls", "v"])
+
+
 def _scan(n: int):
     """Per document its set size and signature; per task the counters of shingles seen again."""
 
     def run(batches):
         import pyarrow as pa
 
+        none = np.zeros(0, np.uint64)
         for batch in batches:
-            ids, size, s1, s2, seen, maps = batch.column(0).to_pylist(), [], [], [], [], []
-            for s in shingle_sets(c.texts_of(batch.column(1)), n):
-                maps.append(contract(s))
-                a, b = signature(s)
-                size.append(len(s)), s1.append(a), s2.append(b), seen.append(s)
-            rows = len(ids)
-            every = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            many = np.diff(np.append(first, len(every)))
-            counts = np.bincount(_bucket(every[first[many > 1]]), weights=many[many > 1], minlength=COUNTERS).astype(np.int64)
+            seen = []
+            for part in c.slices([batch], 1):
+                sets = list(shingle_sets(c.texts_of(part.column(1)), n))
+                marks, size = [signature(s) for s in sets], [len(s) for s in sets]
+                seen += sets
+                names = [class_hash(k, *m) for k, m in zip(size, marks, strict=True)]
+                yield _scanned(pa, 0, part.column(0), size, [m[0] for m in marks], [m[1] for m in marks], names, [contract(s) for s in sets])
+            del sets
+            every = np.concatenate([none, *seen])
+            seen.clear()
+            every.sort()
+            same = every[1:] == every[:-1]
+            # a shingle in m > 1 sets has m - 1 equal neighbours, the first of which has none before it
+            start = same.copy()
+            start[1:] &= ~same[:-1]
+            counts = sum(np.bincount(_bucket(every[1:][x]), minlength=COUNTERS) for x in (same, start))
             hot = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array(np.concatenate([np.zeros(rows, np.int32), np.ones(len(hot), np.int32)])), "doc_id": pa.array([*ids, *hot.tolist()], pa.int64()), "n": pa.array(np.concatenate([np.array(size, np.int64), counts[hot]])), "s1": pa.array([*s1, *[0] * len(hot)], pa.int64()), "s2": pa.array([*s2, *[0] * len(hot)], pa.int64()), "cls": pa.array([*map(class_hash, size, s1, s2), *[0] * len(hot)], pa.int64()), "v": pa.array([*maps, *[None] * len(hot)], pa.binary())}
-            )
+            yield _scanned(pa, 1, pa.array(hot, pa.int64()), counts[hot].tolist(), *[[0] * len(hot)] * 3, [None] * len(hot))
+        c.release()
 
     return run
 
@@ -115,7 +125,7 @@ def _prefixes(n: int, num: int, den: int, counters: np.ndarray):
         import pyarrow as pa
 
         done: set[int] = set()
-        for batch in batches:
+        for batch in c.slices(batches, 0):
             keys, owners = [], []
             for s in shingle_sets(c.texts_of(batch.column(0)), n):
                 if not len(s):
@@ -152,6 +162,7 @@ def _runs(group):
                 yield from group(pa, t.slice(0, last), state)
         if held is not None and len(held):
             yield from group(pa, held, state)
+        c.release()
 
     return run
 
@@ -224,7 +235,7 @@ def _sets(n: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in c.slices(batches, 1):
             blobs = [s.tobytes() for s in shingle_sets(c.texts_of(batch.column(1)), n)]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(b) // 8 for b in blobs], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64())], names=["region", "id", "n", "elems", "core"])
 

@@ -149,19 +149,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.toArrow().sort_by([("doc_id", "ascending")])
-    return train(c.texts_of(rows.column("text").combine_chunks()), rows.column("toxic").to_numpy())
+    model = train(c.texts_of(rows.column("text").combine_chunks()), rows.column("toxic").to_numpy())
+    del rows
+    c.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score to docs."""
     names = docs.columns
     out = "ragloom_score" if "score" in names else "score"
+    at = names.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
+        for batch in c.slices(batches, at):
+            column = batch.column(at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(c.texts_of(column)))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
