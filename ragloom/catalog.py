@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_text
+from . import catalog_documents, catalog_text
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import retrieval as R
@@ -134,7 +134,7 @@ def q_caption_join(s, d):
 
 def q_citations(s, d):
     c = _t(s, d, "conversations").where("role = 'assistant'")
-    answers = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat("text", F.lit(" [1] and [3].")).alias("answer"))
+    answers = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(F.lit("[1] and [3] "), "text").alias("answer"))
     hits = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit(1).alias("rank"), "text")
     return E.verify_citations(answers, hits)
 
@@ -167,6 +167,7 @@ QUERIES = {
     "page_headings": q_headings, "caption_idf": q_caption_idf, "caption_overlap_join": q_caption_join, "citation_check": q_citations, "prompt_assembly": q_prompt, "ingest_plan": q_ingest, "upsert": q_upsert, "recency_boost": q_recency,
     "vector_top_k_scoped": q_vector_scoped, "bm25_top_k_scoped": q_bm25_scoped, "multi_query_rrf": q_multi,
     **catalog_text.QUERIES,
+    **catalog_documents.QUERIES,
 }
 
 _VEC = """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -224,4 +225,5 @@ ORACLE = {
  c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, chunk_id) nth FROM l)
  SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", chunk_id, source_id, score, hit_source FROM c WHERE nth <= 2) WHERE "rank" <= 10""",
     **catalog_text.oracle(_VEC, _HEAD, _BI),
+    **catalog_documents.ORACLE,
 }

@@ -67,6 +67,14 @@ def cut_at_stop(text: Column, stops: tuple[str, ...] = STOP) -> Column:
     return F.when(F.array_min(ends).isNull(), text).otherwise(F.substring(text, F.lit(1), F.array_min(ends) - 1))
 
 
+def held_back(text: Column, stops: tuple[str, ...] = STOP) -> Column:
+    """What may be shown of a growing text: up to the earliest stop string, without an end that may begin one."""
+    whole = cut_at_stop(text, stops)
+    begins = sorted({s[:n] for s in stops for n in range(1, len(s))}, key=lambda b: (-len(b), b))
+    held = F.coalesce(*[F.when(F.endswith(whole, F.lit(b)), len(b)) for b in begins], F.lit(0))
+    return F.when(whole == text, F.substring(text, F.lit(1), F.length(text) - held)).otherwise(whole)
+
+
 def gemma_prompt(turns: Column, system: Column, user: Column) -> Column:
     """Turn markers of models without a system role: the system text goes in front of the first user turn."""
     lead = F.when(F.trim(system) != "", F.concat(F.trim(system), F.lit("\n\n"))).otherwise("")

@@ -162,8 +162,32 @@ def defined_terms(text: Column) -> Column:
 
 
 def citation_ids(text: Column) -> Column:
-    """Distinct numbers of [n] markers, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,6})\]"), F.lit(1)), lambda x: x.cast("int")))
+    """Distinct numbers of [n] markers of one or two digits, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda x: x.cast("int")))
+
+
+def running(lengths: Column) -> Column:
+    """0 and the running sums of an array of integers."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+
+def citation_marks(text: Column) -> Column:
+    """Array of (n, at) of every [n] marker of one or two digits; at counts characters from 0."""
+    pattern = r"\[\d{1,2}\]"
+
+    def place(marks: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        ends = running(F.transform(marks, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
+        return let(ends, lambda e: F.transform(marks, lambda m, i: F.struct(F.regexp_extract(m, r"\d+", 0).cast("int").alias("n"), (F.get(e, i + 1) - F.length(m)).alias("at"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+
+
+def surrounding_sentence(text: Column, at: Column) -> Column:
+    """The sentence around a character position (from 0), without its separators."""
+    before, behind = F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.length(text))
+    both = F.concat(F.regexp_extract(before, r"[^。.!?\n]*$", 0), F.regexp_extract(behind, r"^[^。.!?\n]*", 0))
+    return F.regexp_replace(both, r"^\s+|\s+$", "")
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 SEPARATORS = ("\n\n", "。", "？", "！", "\n", "、", " ", "")
 
 
@@ -18,45 +20,61 @@ class ChunkConfig:
     least: int = 80
 
 
+def _units(text: str, sep: str) -> list[str]:
+    *whole, rest = text.split(sep)
+    return [u + sep for u in whole] + ([rest] if rest else [])
+
+
+def _windows(text: str, config: ChunkConfig) -> list[str]:
+    step = max(config.target - config.overlap, 1)
+    return [text[i : i + config.target] for i in range(0, max(len(text) - config.target + step, 1), step)]
+
+
 def recursive_split(text: str, config: ChunkConfig = ChunkConfig(), level: int = 0) -> list[str]:
-    """Pieces filled greedily up to the target at the coarsest separator; those over `most` split finer."""
-    if len(text) <= config.target or level >= len(SEPARATORS):
-        return [text] if text.strip() else []
-    sep = SEPARATORS[level]
-    if not sep:
-        step = max(config.target - config.overlap, 1)
-        return [text[i : i + config.target] for i in range(0, max(len(text) - config.overlap, 1), step)]
-    units = [u + sep for u in text.split(sep)]
-    units[-1] = units[-1][: -len(sep)]
-    pieces, held = [], ""
-    for u in units:
-        if held and len(held) + len(u) > config.target:
-            pieces.append(held)
-            held = held[-config.overlap :] if config.overlap and len(u) <= config.target else ""
-        held += u
-    pieces.append(held)
-    out = []
-    for p in pieces:
-        out += recursive_split(p, config, level + 1) if len(p) > config.most else [p] if p.strip() else []
-    return out
+    """A text of up to `most` characters whole; a longer one filled up to the target from units of the coarsest
+    separator, each piece with the end of the one before; pieces over `most` are split finer."""
+    if len(text) <= config.most:
+        return [text]
+    if not SEPARATORS[level]:
+        return _windows(text, config)
+    pieces = [""]
+    for unit in _units(text, SEPARATORS[level]):
+        if pieces[-1] and len(pieces[-1]) + len(unit) > config.target:
+            pieces.append(pieces[-1][-config.overlap :] if config.overlap else "")
+        pieces[-1] += unit
+    return [q for p in pieces for q in recursive_split(p, config, level + 1)]
+
+
+def merge_short(pieces: DataFrame, least: int) -> DataFrame:
+    """(source_id, ord, text, heading_path, page) of pieces (source_id, block_idx, part, text, heading_path, page).
+
+    A piece under `least` characters goes to the chunk before it where that has the same heading path. All
+    windows and groups are by source, so one shuffle serves them.
+    """
+    order = Window.partitionBy("source_id").orderBy("block_idx", "part")
+    same = F.lag("part").over(order).isNotNull() & F.lag("heading_path").over(order).eqNullSafe(F.col("heading_path"))
+    got = pieces.withColumn("first", F.when((F.length("text") < least) & same, 0).otherwise(1))
+    got = got.withColumn("ord", (F.sum("first").over(order) - 1).cast("int"))
+    one = got.groupBy("source_id", "ord").agg(F.array_sort(F.collect_list(F.struct("block_idx", "part", "text", "heading_path", "page"))).alias("x"))
+    return one.select("source_id", "ord", F.array_join(F.transform("x", lambda p: p["text"]), "\n").alias("text"), F.col("x")[0]["heading_path"].alias("heading_path"), F.col("x")[0]["page"].alias("page"))
 
 
 def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(source_id, ord, chunk_id, text, heading_path, page) of blocks (source_id, block_idx, ...); no shuffle before ord."""
+    """(source_id, ord, chunk_id, text, heading_path, page) of blocks (source_id, block_idx, ...); pieces of low content drop out."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             own = batch.to_pylist()
-            rows = [(b["source_id"], b["block_idx"], i, p.strip(), b["heading_path"], b["page"]) for b in own for i, p in enumerate(recursive_split(b["text"] or "", config))]
+            rows = [(b["source_id"], b["block_idx"], i, p, b["heading_path"], b["page"]) for b in own for i, p in enumerate(recursive_split(b["text"] or "", config))]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True)], names=["source_id", "block_idx", "part", "text", "heading_path", "page"])
 
     got = blocks.select(F.col("source_id").cast("string"), F.col("block_idx").cast("int"), "text", "heading_path", F.col("page").cast("int")).mapInArrow(run, "source_id string, block_idx int, part int, text string, heading_path array<string>, page int")
-    order = F.row_number().over(Window.partitionBy("source_id").orderBy("block_idx", "part")) - 1
-    return got.withColumn("ord", order).withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", F.col("ord").cast("string")), 256)).drop("block_idx", "part")
+    got = merge_short(got.where(~T.is_low_content(F.col("text"))), config.least)
+    return got.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", F.col("ord").cast("string")), 256)).select("source_id", "ord", "chunk_id", "text", "heading_path", "page")
 
 
 def chapters(lines: DataFrame) -> DataFrame:

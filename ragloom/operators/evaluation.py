@@ -30,10 +30,14 @@ def summarise(per_query: DataFrame) -> DataFrame:
 
 
 def verify_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per answer: markers, those that point to no hit or to one without shared words, and their ratio."""
-    marks = answers.select("query_id", "answer", F.explode(T.citation_ids(F.col("answer"))).alias("rank"))
+    """Per answer: markers, those that point to no hit or whose sentence shares no words with it, and their ratio.
+
+    A sentence without words cannot be judged and counts as supported.
+    """
+    marks = answers.select("query_id", "answer", F.explode(T.citation_marks(F.col("answer"))).alias("m"))
+    marks = marks.select("query_id", F.col("m.n").alias("rank"), T.overlap_tokens(T.surrounding_sentence(F.col("answer"), F.col("m.at"))).alias("said"))
     j = marks.join(hits.select("query_id", "rank", "text"), ["query_id", "rank"], "left")
-    bad = F.col("text").isNull() | (T.containment(T.overlap_tokens(F.col("answer")), T.overlap_tokens(F.col("text"))) < 0.05)
+    bad = F.col("text").isNull() | ((F.size("said") > 0) & (T.containment(F.col("said"), T.overlap_tokens(F.col("text"))) < 0.05))
     got = j.groupBy("query_id").agg(F.count("*").alias("total"), F.sum(bad.cast("int")).alias("unsupported"))
     return answers.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"), F.coalesce(F.try_divide("unsupported", "total"), F.lit(0.0)).alias("ratio"))
 
