@@ -7,6 +7,12 @@ conversation that has the hash, else to the earliest of all messages before it,
 of conv_id. Originals are reduced to one row per hash, and per hash and conversation, before the join: a
 passage that everybody quotes costs one row, and the join makes no more rows than there are passages.
 
+A passage without such a match in its own conversation is also looked for as a run of lines, of any
+length: the original holds the passage's lines in consecutive places, blank lines left out. Runs are
+hashed only where a line equals the first line of such a passage, and only in the numbers of lines that
+passages with that first line have. The order is: own conversation by whole match, then by run; all
+messages before by whole match, then by run. Parts of a line are not looked for.
+
 The result has one row per message: its text without quotes, what it replies to (the original of its
 first passage of the least level) and the root of its thread, so that (conv_id, root_turn, turn) is the
 order of replies. All of it is DataFrame functions. Threads are found by pointer doubling in the shared
@@ -59,6 +65,11 @@ def passage_hash(text: Column) -> Column:
     return F.when(normalise(text) != "", F.sha2(normalise(text), 256))
 
 
+def lines_of(text: Column) -> Column:
+    """Normalised lines that are not blank."""
+    return F.filter(F.transform(F.split(text, "\n"), normalise), lambda x: x != "")
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, own, quotes): own text, and passages of level 1 or more."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -74,21 +85,46 @@ def _originals(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted, "hash", "left_semi")
 
 
+def _run_hash(lines: Column) -> Column:
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
+def _runs(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash) of the runs of own lines that equal a wanted passage's lines."""
+    heads = wanted.groupBy(F.sha2(F.get("lines", F.lit(0)), 256).alias("head")).agg(F.collect_set(F.size("lines")).alias("sizes"))
+    own = parsed.select("id", "conv_id", "turn", lines_of(F.col("own")).alias("lines"))
+    at = own.select("id", F.size("lines").alias("m"), F.posexplode("lines").alias("i", "line")).withColumn("head", F.sha2("line", 256)).join(heads, "head")
+    at = at.select("id", "i", F.filter("sizes", lambda n: n <= F.col("m") - F.col("i")).alias("sizes")).groupBy("id").agg(F.collect_list(F.struct("i", "sizes")).alias("at"))
+    runs = own.join(at, "id").select("conv_id", "turn", "lines", F.explode("at").alias("a")).select("conv_id", "turn", "lines", F.col("a.i").alias("i"), F.explode("a.sizes").alias("n"))
+    every = runs.select("conv_id", "turn", _run_hash(F.slice("lines", F.col("i") + 1, F.col("n"))).alias("hash"))
+    return every.join(wanted.select(_run_hash(F.col("lines")).alias("hash")).distinct(), "hash", "left_semi")
+
+
+def _earliest(quotes: DataFrame, originals: DataFrame) -> DataFrame:
+    """Adds near and far: the earliest originals before each quote, in its own conversation and of all."""
+    near = originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
+    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    found = quotes.join(near, ["hash", "conv_id"], "left").join(first, "hash", "left")
+    here = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
+    return found.select(*quotes.columns, here.alias("near"), F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first")).alias("far"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, text, n_quotes, max_level, reply_conv, reply_turn, root_conv, root_turn."""
-    parsed = c.materialise(parse(messages), "quotes")
-    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("k", "q")).select("conv_id", "turn", "k", "q.level", passage_hash(F.col("q.text")).alias("hash"))
+    parsed = c.materialise(parse(messages).withColumn("id", F.monotonically_increasing_id()), "quotes")
+    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("k", "q")).select("conv_id", "turn", "k", "q.level", "q.text", passage_hash(F.col("q.text")).alias("hash"))
     base = parsed.select("conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda x: x["level"])), F.lit(0)).alias("max_level"))
     if quotes.isEmpty():
         none = F.lit(None).cast("long")
         return base.select("*", none.alias("reply_conv"), none.alias("reply_turn"), F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"))
     originals = c.materialise(_originals(parsed, quotes.select("hash").distinct()), "originals")
-    near = originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = quotes.join(near, ["hash", "conv_id"], "left").join(first, "hash", "left")
-    me = F.struct("conv_id", "turn")
-    at = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(F.col("first") < me, F.col("first"))
-    found = found.withColumn("at", at).where("at is not null")
+    found = c.materialise(_earliest(quotes, originals), "found")
+    loose = found.where("near is null").withColumn("lines", lines_of(F.col("text"))).where(F.size("lines") > 0)
+    loose = c.materialise(loose.drop("text", "near", "hash").withColumn("hash", _run_hash(F.col("lines"))), "loose")
+    runs = c.materialise(_runs(parsed, loose.select("lines").distinct()), "runs")
+    tried = _earliest(loose.drop("lines").withColumnRenamed("far", "whole"), runs)
+    at = ["conv_id", "turn", "level", "k"]
+    found = found.where("near is not null").select(*at, F.col("near").alias("at")).union(tried.select(*at, F.coalesce("near", "whole", "far").alias("at"))).where("at is not null")
     reply = found.groupBy("conv_id", "turn").agg(F.min_by("at", F.struct("level", "k")).alias("reply"))
     reply = c.materialise(reply.select("conv_id", "turn", F.col("reply.conv_id").alias("up_conv"), F.col("reply.turn").alias("up_turn")), "replies")
     # pointer doubling: replies go to earlier messages, so no cycles

@@ -108,6 +108,29 @@ def test_quotes_link_to_originals_in_reply_order(spark):
     assert quotes.link_quotes(empty).count() == 0
 
 
+def test_quotes_of_parts_link_to_runs_of_lines(spark):
+    rows = [
+        (5, 0, "u", "Alpha one\nBeta two\nGamma three\nDelta four"),
+        (5, 1, "a", "> Beta two\n> Gamma  Three\n\nYes, I agree\nbut see\r\n\r\nsecond part of it\n\nthird part of it"),
+        (5, 2, "u", "> Yes, I agree\nok"),
+        (5, 3, "a", "> second part of it\n>\n> third part of it\nBeta two\nGamma three more"),
+        (5, 4, "u", "> Alpha one\n> Gamma three\nno run"),
+        (5, 5, "u", "> Delta four\n> Alpha one\nno run either"),
+        (6, 0, "u", "> Beta two\n> Gamma three\nfrom elsewhere"),
+        (7, 0, "u", "yes, i agree"),
+        (7, 1, "u", "first\nyes, i agree\nlast"),
+        (8, 0, "u", "intro\nyes, i agree"),
+        (8, 1, "u", "> yes, i agree\nown conversation first"),
+    ]
+    frame = spark.createDataFrame([*rows, rows[0]], "conv_id long, turn long, role string, text string")
+    got = quotes.link_quotes(frame).collect()
+    link = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"], r["root_conv"], r["root_turn"]) for r in got}
+    assert len(got) == len(rows) + 1
+    assert link[5, 1] == (5, 0, 5, 0) and link[5, 2] == (5, 1, 5, 0) and link[5, 3] == (5, 1, 5, 0)
+    assert link[5, 4] == (None, None, 5, 4) and link[5, 5] == (None, None, 5, 5)
+    assert link[6, 0] == (5, 0, 5, 0) and link[8, 1] == (8, 0, 8, 0)
+
+
 # ---------------------------------------------------------------- PII and secrets
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
