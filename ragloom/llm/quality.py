@@ -9,8 +9,10 @@ the chi-squared law, and a document is rejected where its squared Mahalanobis di
 
 Everything is a DataFrame function: each step is one map-side combined aggregation by group and
 distance bin, so no group is gathered and a group of any size costs a table of bins. Statistics are
-fixed-point integers, so sums do not depend on the order of rows. Groups of fewer than LEAST documents
-pool by language, then altogether; where even that has fewer than LEAST, the method keeps all.
+fixed-point integers, so sums do not depend on the order of rows. Documents of
+a group of fewer than LEAST passing documents are judged by an estimate over all passing documents of
+their language, other groups' included; where the language has fewer than LEAST too, by one over the
+whole corpus, however small. So every document that passes the base rules has a distance and a verdict.
 
 Null texts have no words and fail the base rules (n_words < 10). A null language or source is a group
 of its own. Repeated rows count as often as they stand; ties share a bin, hence a verdict. An empty
@@ -96,12 +98,17 @@ def _statistics(counts: DataFrame) -> DataFrame:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds group: language and source, or the pool that a small one belongs to."""
+    """Adds group, whose estimate judges the document, and teaches, the groups whose estimates it enters."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("-")) for k in ("lang", "source"))
     own = stats.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
-    own = own.withColumn("small", F.col("n") < LEAST).withColumn("pool", F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).over(Window.partitionBy("lang")))
-    name = F.when(~F.col("small"), F.concat_ws("\u0001", lang, source)).when(F.col("pool") >= LEAST, lang).otherwise("*")
-    names = own.select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("group"))
+    same = Window.partitionBy("lang")
+    own = own.withColumn("small", F.col("n") < LEAST).withColumn("rare", F.sum("n").over(same) < LEAST)
+    own = c.materialise(own.withColumn("pools", F.max(F.col("small") & (F.col("n") > 0)).over(same)), "groups")
+    whole = F.lit(None if own.where("rare and n > 0").isEmpty() else "*").cast("string")
+    alone = F.concat_ws("\u0001", lang, source)
+    group = F.when(~F.col("small"), alone).when(~F.col("rare"), lang).otherwise("*")
+    teaches = F.array_compact(F.array(F.when(~F.col("small"), alone), F.when(~F.col("rare") & F.col("pools"), lang), whole))
+    names = own.select(F.col("lang").alias("l"), F.col("source").alias("s"), group.alias("group"), teaches.alias("teaches"))
     return stats.join(names, stats["lang"].eqNullSafe(names["l"]) & stats["source"].eqNullSafe(names["s"])).drop("l", "s")
 
 
@@ -173,12 +180,10 @@ def _concentrate(stats: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Counts, base_failed, distance (squared, null where the method has no say) and kept, per document."""
+    """Counts, base_failed, distance (squared, null where the base rules fail) and kept, per document."""
     counts = c.materialise(_statistics(quality_counts(docs)), "counts")
     stats = _grouped(counts)
-    passed = stats.where(~F.col("base_failed"))
-    sizes = passed.groupBy("group").count().where(F.col("count") >= LEAST).select("group")
-    passed = passed.join(sizes, "group", "left_semi").select("group", *DIMS)
+    passed = stats.where(~F.col("base_failed")).select(F.explode("teaches").alias("group"), *DIMS)
     estimate = c.materialise(_start(passed), "mcd")
     for _ in range(STEPS):
         estimate = c.materialise(_concentrate(passed, estimate), "mcd")
@@ -188,7 +193,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     middle = bins.withColumn("run", run).withColumn("all", F.sum("n").over(part)).where(F.col("run") * 2 >= F.col("all")).groupBy("group").agg(F.exp(F.min("bin") / BINS).alias("middle"))
     scaled = c.materialise(estimate.join(middle, "group").withColumn("scale", F.lit(MEDIAN) / F.greatest("middle", F.lit(MEDIAN / SCALE))), "mcd")
     out = stats.join(scaled, "group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 

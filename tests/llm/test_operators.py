@@ -86,6 +86,23 @@ def test_quality_counts_and_outliers(make_docs, odd_texts):
     assert quality.quality(make_docs([]).limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_language_then_corpus(make_docs):
+    rng = np.random.default_rng(2)
+    plain = lambda: " ".join("".join(rng.choice(list("abcdefg"), size=rng.integers(3, 8))) for _ in range(60))
+    odd = lambda: " ".join("ab###" + str(rng.integers(10**6)) for _ in range(60))
+    texts = {k: plain() for k in range(120)} | {k: odd() for k in (200, 210, 220)} | {k: plain() for k in (201, 211, 221)} | {230: "few words"}
+    langs = {210: "xx", 211: "xx", 220: None, 221: None, 230: "yy"}
+    sources = {200: "s1", 201: "s1", 220: None, 221: None}
+    got = {r["doc_id"]: r for r in quality.quality(make_docs(texts, langs=langs, sources=sources)).collect()}
+    assert all((r["distance"] is None) == r["base_failed"] for r in got.values()) and got[230]["base_failed"]
+    assert not any(got[k]["kept"] for k in (200, 210, 220, 230))
+    assert all(r["kept"] for k, r in got.items() if k < 120 or k in (201, 211, 221))
+    few = {k: plain() for k in range(20)} | {20: odd()}
+    got = {r["doc_id"]: r for r in quality.quality(make_docs(few, langs={0: None, 1: "xx"})).collect()}
+    assert not got[20]["kept"] and all(got[k]["kept"] and got[k]["distance"] is not None for k in range(20))
+    assert quality.quality(make_docs({0: plain()})).first()["distance"] is not None
+
+
 # ---------------------------------------------------------------- quotes
 
 
