@@ -208,6 +208,16 @@ def test_markov_models_tell_held_out_samples_apart():
     assert np.mean(right) > 0.97
 
 
+def test_markov_alone_decides_on_letters_and_short_tokens(make_docs):
+    strange = ["kQzXwVbTjRpLmNcHdGfSyJqZ", "xqzjvkwpbfhgtmzrqlxk", "Xq7zK2vW9pRt", "QzXkVwJpBqTr"]
+    plain = ["internationalization", "AbstractSingletonProxyFactoryBean", "responsibility", "max_retry_count", "4432507379035540", "2024-01-31"]
+    texts = [f"see {t} here" for t in strange + plain]
+    got = {r["doc_id"]: [s["text"] for s in r["spans"]] for r in secret_scan.find_secrets(make_docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[t] for t in strange] + [[] for _ in plain]
+    held = secret_scan.labelled(500, seed=98)
+    assert any(y and s.isalpha() for s, y in held) and any(y and len(s) < 20 for s, y in held)
+
+
 def test_boosted_trees_learn_and_agree_with_their_column(spark):
     rng = np.random.default_rng(2)
     x = rng.random((800, 2)).round(3)
