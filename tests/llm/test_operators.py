@@ -256,6 +256,14 @@ def test_decontamination_matches_brute_force_in_one_pass_and_in_several(spark, m
         assert got == want
 
 
+def test_items_without_id_hit_but_are_not_named(spark, make_docs):
+    passage = " ".join(f"term{k}" for k in range(12))
+    docs = make_docs([f"so {passage} it goes", "nothing of the kind"])
+    benchmark = spark.createDataFrame([(None, passage), ("a", "term0 other " * 6)], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert (got[0]["n_hit"], got[0]["items"], got[1]["n_hit"]) == (12, [], 0)
+
+
 def test_index_answers_phrases_and_proximity(make_docs):
     docs = make_docs(["the quick brown fox and the lazy dog", "quick fox brown", "fox quick. brown the quick brown fox"])
     index = decontaminate.build_index(docs)
