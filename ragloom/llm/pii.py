@@ -1,9 +1,10 @@
 """PII: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Base rules find e-mail addresses, IP numbers, card numbers and phone numbers; their spans always stay.
-Wider generators propose further spans (phones without +, addresses spelled "name at host dot com",
-base matches that failed their check, long runs of digits), which may overlap each other and the base
-spans. Boosted trees score a proposal by its format (length, digits, separators, checksum) and by the
+Wider generators propose further spans (phones without + in groups of 2-5, 3-4 and 2-5 digits, addresses
+spelled "name at host dot com", runs of 11 to 21 digits), which may overlap each other and the base
+spans. Not proposed: base matches that failed their check, as such, and national numbers under 11 digits
+in groups of two (01 23 45 67 89, 912 34 56 78). Boosted trees score a proposal by its format (length, digits, separators, checksum) and by the
 words around it; the score is calibrated on held-out samples and a threshold per generator keeps the
 selections at PRECISION. Of overlapping selections the best score stays, and none overlaps a base span.
 
