@@ -114,9 +114,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of bytes: span_hash() reads the hash of any span off them."""
+    """Polynomial prefix sums of bytes, or of 64-bit hashes: span_hash() reads the hash of any span off them."""
     out = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE_CODES[data] * powers(_BASE, len(data)), out=out[1:])
+    np.cumsum((_BYTE_CODES[data] if data.dtype == np.uint8 else data) * powers(_BASE, len(data)), out=out[1:])
     return out
 
 

@@ -14,9 +14,14 @@ can matter, and put so that equal strings meet:
    sorted by Larsson-Sadakane refinement (ranks of doubling prefixes; only unsorted groups are sorted
    again), Kasai's recurrence gives their common prefixes, and neighbours that share `length` bytes but
    come from different places repeat. Further shards of a bucket are merged by binary search of one's
-   distinct windows among the other's.
+   distinct windows among the other's. A k-gram with more than HOT bytes of contexts is dealt in blocks, and
+   each pair of blocks is a bucket: a task holds HOT bytes at most, whatever the k-gram.
 4. Repeated ranges go back to all places of their contexts, are united by document, and are cut out.
 
+The same four steps over lower-cased words instead of bytes find passages of `passage` words or more that stand
+in another document too, whatever their bytes and white space: shared lists their ranges of words. Nothing
+is cut for them, as 51 words can be fewer than `length` bytes.
+
 Null texts are empty. Texts shorter than `length` keep everything. Repeated rows are copies of each
 other, so long ones go whole; doc_id is the key of the result and must be unique. Matches never cross
 documents. An empty table gives an empty result. Other columns are ignored, so their names cannot clash.
@@ -33,7 +38,11 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LENGTH, GRAM = 400, 32
+#: Words of a shared passage, and of its k-grams: over 50 words.
+PASSAGE, PASSAGE_GRAM = 51, 6
 SHARD = 500_000
+#: Bytes of contexts of one k-gram that go to one bucket.
+HOT = 8_000_000
 #: Contexts to fetch, or ranges to cut, up to this number are broadcast (about 40 bytes each); more are
 #: joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -45,23 +54,26 @@ _U = np.uint64
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of data in order of their first depth bytes, ties by position.
+    """Positions of data (bytes, or words as 64-bit numbers) in order of their first depth items, ties by position.
 
-    Larsson-Sadakane: ranks of prefixes of h bytes give those of 2h; groups that are single are left.
-    The end of data sorts before every byte.
+    Larsson-Sadakane: ranks of prefixes of h items give those of 2h; groups that are single are left.
+    The end of data sorts before every item.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(7, np.uint64)])
-    key = np.zeros(n, dtype=_U)
-    for j in range(7):  # nine bits a byte: seven bytes
-        key = key << _U(9) | padded[j : j + n]
+    if data.dtype == np.uint8:
+        h = 7  # nine bits a byte: seven bytes
+        padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(7, np.uint64)])
+        key = np.zeros(n, dtype=_U)
+        for j in range(h):
+            key = key << _U(9) | padded[j : j + n]
+    else:
+        h, key = 1, data
     sa = np.argsort(key, kind="stable")
     sorted_key = key[sa]
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
     first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    h = 7
     while h < depth:
         step = min(h, depth - h)  # the last step overlaps
         last = np.concatenate([first[1:], [True]])
@@ -84,7 +96,7 @@ _I = 1 << 31
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, stride: int = 16) -> np.ndarray:
-    """Bytes (up to limit) that each suffix shares with the one before it in sa.
+    """Items (up to limit) that each suffix shares with the one before it in sa.
 
     Kasai's recurrence in text order, for every stride-th position at once: a suffix shares at least one
     byte less with its neighbour than the suffix before it did. As sa is sorted to a depth only, the
@@ -94,10 +106,14 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, stride: int =
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     prefix = c.prefix_hash(data)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n + 1, dtype=_U)
-    for j in range(8):
-        word[:n] |= wide[j : j + n].astype(_U) << _U(8 * j)
+    many = 8 if data.dtype == np.uint8 else 1  # items that are compared at once
+    if many == 8:
+        wide = np.concatenate([data, np.zeros(8, np.uint8)])
+        for j in range(8):
+            word[:n] |= wide[j : j + n].astype(_U) << _U(8 * j)
+    else:
+        word[:n] = data
     out = np.zeros(n + 1, dtype=np.int64)
     for j in range(stride):
         i = np.arange(j, n, stride)
@@ -110,25 +126,28 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, stride: int =
         while len(live):
             x = word[i[live] + h[live]] ^ word[b[live] + h[live]]
             low = x & (~x + _U(1))
-            same = np.where(x == 0, 8, np.log2(np.maximum(low, _U(1)).astype(np.float64)).astype(np.int64) // 8)
+            same = np.where(x == 0, many, np.log2(np.maximum(low, _U(1)).astype(np.float64)).astype(np.int64) // 8 if many == 8 else 0)
             h[live] = np.minimum(h[live] + same, room[live])
-            live = live[(same == 8) & (h[live] < room[live])]
+            live = live[(same == many) & (h[live] < room[live])]
         out[i] = h
     return out[sa]
 
 
 class Shard:
-    """Contexts side by side; windows lists the starts of windows, place their origin."""
+    """Contexts side by side; windows lists the starts of windows, place their origin.
+
+    With apart, all windows of a context have its place, so windows of equal places do not repeat each other.
+    """
 
-    def __init__(self, blobs: list[bytes], places: list[int], length: int):
+    def __init__(self, blobs: list[bytes], places: list[int], length: int, kind: type = np.uint8, apart: bool = False):
         self.length = length
-        self.data = np.frombuffer(b"".join(blobs), dtype=np.uint8)
-        sizes = np.array([len(b) for b in blobs])
+        self.data = np.frombuffer(b"".join(blobs), dtype=kind)
+        sizes = np.array([len(b) // self.data.itemsize for b in blobs])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         many = sizes - length + 1
         off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.windows = np.repeat(starts, many) + off
-        self.place = np.repeat(np.array(places, dtype=np.int64), many) + off
+        self.place = np.repeat(np.array(places, dtype=np.int64), many) + (0 if apart else off)
         self.repeated = np.zeros(len(self.windows), dtype=bool)
         number = np.full(len(self.data), -1, dtype=np.int64)
         number[self.windows] = np.arange(len(self.windows))
@@ -182,13 +201,12 @@ class Shard:
         live, step = np.arange(len(a)), 0
         while len(live) and step < self.length:
             width = min(16, self.length - step)
-            x = self.data[a[live][:, None] + np.arange(step, step + width)].astype(np.int16)
+            x = self.data[a[live][:, None] + np.arange(step, step + width)]
             y = other.data[b[live][:, None] + np.arange(step, step + width)]
-            d = x - y
-            k = (d != 0).argmax(axis=1)
-            v = d[np.arange(len(d)), k]
-            sign[live] = np.sign(v)
-            live, step = live[v == 0], step + width
+            row, k = np.arange(len(x)), (x != y).argmax(axis=1)
+            u, v = x[row, k], y[row, k]
+            sign[live] = (u > v).astype(np.int8) - (u < v)
+            live, step = live[u == v], step + width
         return sign
 
 
@@ -198,12 +216,20 @@ class Shard:
 ANCHORS = "kind int, doc_id long, n long, h1 long, h2 long, a long, ctx long, pos int, l int, r int"
 
 
-def _anchors(length: int, gram: int):
+def items_of(texts: list[bytes], words: bool) -> list[np.ndarray]:
+    """The bytes of each text, or the hashes of its lower-cased words."""
+    if not words:
+        return [np.frombuffer(t, dtype=np.uint8) for t in texts]
+    hashes, at = c.hash_words(texts, c.SPACED)
+    return [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _anchors(length: int, gram: int, words: bool):
     """Rows of documents (kind 0) and of the runs of windows that select one k-gram (kind 1)."""
     span = length - gram + 1
 
-    def runs(texts: list[bytes]):
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    def runs(texts: list[np.ndarray]):
+        data = np.concatenate(texts)
         n = len(data)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -242,8 +268,8 @@ def _anchors(length: int, gram: int):
         for batch in c.slices(batches, 1):
             ids, texts = np.array(batch.column(0).to_pylist(), dtype=np.int64), c.texts_of(batch.column(1))
             for lo, hi in c.pieces(texts):
-                own = texts[lo:hi]
-                marks = [hashlib.blake2b(t, digest_size=16).digest() for t in own]
+                own = items_of(texts[lo:hi], words)
+                marks = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in own]
                 h = np.frombuffer(b"".join(marks), dtype=np.int64).reshape(-1, 2)
                 fresh = []
                 for i, m in enumerate(marks):
@@ -267,33 +293,47 @@ def _batch(pa, *columns):
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
 
-def _contexts(batches):
+CONTEXTS = "bucket long, a long, ctx long, doc_id long, pos int, l int, full boolean, bytes binary"
+
+
+def _contexts(words: bool):
     """Cuts the wanted contexts out of texts."""
-    import pyarrow as pa
 
-    for batch in c.slices(batches, 1):
-        texts = c.texts_of(batch.column(1))
-        out: dict[str, list] = {k: [] for k in ("bucket", "a", "ctx", "doc_id", "pos", "l", "bytes")}
-        held = 0
-        for i, t, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
-            for w in wanted:
-                blob = t[w["pos"] - w["l"] : w["pos"] + w["r"]]
-                for k, v in zip(out, (w["bucket"], w["a"], w["ctx"], i, w["pos"], w["l"], blob), strict=True):
-                    out[k].append(v)
-                held += len(blob)
-            if held > 8_000_000:
-                yield _made(pa, out)
-                out, held = {k: [] for k in out}, 0
-        yield _made(pa, out)
+    def run(batches):
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in CONTEXTS.split(", ")]
+        for batch in c.slices(batches, 1):
+            ids, texts, asked = batch.column(0).to_pylist(), c.texts_of(batch.column(1)), batch.column(2).to_pylist()
+            out: dict[str, list] = {k: [] for k in names}
+            held = 0
+            for lo, hi in c.pieces(texts):
+                for i, t, wanted in zip(ids[lo:hi], items_of(texts[lo:hi], words), asked[lo:hi], strict=True):
+                    for w in wanted:
+                        blob = t[w["pos"] - w["l"] : w["pos"] + w["r"]].tobytes()
+                        for bucket in w["buckets"]:
+                            for k, v in zip(names, (bucket, w["a"], w["ctx"], i, w["pos"], w["l"], w["full"], blob), strict=True):
+                                out[k].append(v)
+                            held += len(blob)
+                    if held > 8_000_000:
+                        yield _made(pa, out)
+                        out, held = {k: [] for k in out}, 0
+            yield _made(pa, out)
+
+    return run
 
 
 def _made(pa, out):
-    kinds = {"pos": pa.int32(), "l": pa.int32(), "bytes": pa.binary()}
+    kinds = {"pos": pa.int32(), "l": pa.int32(), "full": pa.bool_(), "bytes": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
 
-def _match(length: int, shard_bytes: int):
-    """Per bucket: ranges of contexts that repeat elsewhere, relative to the k-gram."""
+def _match(length: int, shard_bytes: int, words: bool):
+    """Per bucket: ranges of contexts that repeat elsewhere, relative to the k-gram.
+
+    Of words, elsewhere is another document; a context that two documents have is in a place of its own.
+    """
+    kind = np.uint64 if words else np.uint8
 
     def run(group):
         import pyarrow as pa
@@ -303,11 +343,14 @@ def _match(length: int, shard_bytes: int):
         blobs = rows.column("bytes").to_pylist()
         docs = np.unique(doc, return_inverse=True)[1]
         places = (docs.astype(np.int64) << 34) + pos - left
+        if words:
+            full = rows.column("full").to_numpy()
+            places = np.where(full, -1 - np.arange(len(docs)), docs)
         shards: list[tuple[list[int], Shard]] = []
         held, own = 0, []
         for i in range(len(blobs) + 1):
             if own and (i == len(blobs) or held + len(blobs[i]) > shard_bytes):
-                shard = Shard([blobs[j] for j in own], [int(places[j]) for j in own], length)
+                shard = Shard([blobs[j] for j in own], [int(places[j]) for j in own], length, kind, words)
                 for _, before in shards:
                     shard.merge(before)
                 shards.append((own, shard))
@@ -319,7 +362,7 @@ def _match(length: int, shard_bytes: int):
         for own, shard in shards:
             at = 0
             for i in own:
-                many = len(blobs[i]) - length + 1
+                many = len(blobs[i]) // np.dtype(kind).itemsize - length + 1
                 hit = np.concatenate([[0], shard.repeated[at : at + many], [0]]).astype(np.int8)
                 at += many
                 change = np.diff(hit)
@@ -351,7 +394,8 @@ def _cut(batches):
             parts.append(t[at:])
             rest = b"".join(parts)
             removed.append(gone), spans.append(many), digest.append(hashlib.sha256(rest).hexdigest()), kept.append(rest)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
+        more = {"shared": batch.column(3)} if batch.num_columns > 3 else {}
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())} | more)
 
 
 def _united(ranges):
@@ -367,34 +411,60 @@ def _united(ranges):
     return F.aggregate(F.array_sort(ranges), begin, step, flush)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; kept are the bytes left."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = c.materialise(own.mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
+def repeated_ranges(own: DataFrame, length: int, gram: int, shard: int, words: bool = False) -> DataFrame:
+    """(doc_id, ranges): ranges of items (s, e) of own (doc_id, text) that windows of length items cover which
+    stand elsewhere too; of words, in another document."""
+    item = 8 if words else 1
+    scanned = c.materialise(own.mapInArrow(_anchors(length, gram, words), ANCHORS), "anchors")
     whole = scanned.where("kind = 0").select("doc_id", "n", "h1", "h2").where(F.col("n") >= length)
     copies = whole.groupBy("h1", "h2", "n").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2", "n")
     ranges = whole.join(copies, ["h1", "h2", "n"], "left_semi").select("doc_id", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
 
     runs = scanned.where("kind = 1").select("doc_id", "a", "ctx", "pos", "l", "r")
     place = F.struct("doc_id", "pos", "l", "r")
-    groups = c.materialise(runs.groupBy("a", "ctx").agg(F.min(place).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi")).select("a", "ctx", "lo", ((F.col("lo.doc_id") != F.col("hi.doc_id")) | (F.col("lo.pos") != F.col("hi.pos"))).alias("full")), "contexts")
+    twice = F.col("lo.doc_id") != F.col("hi.doc_id")
+    twice = twice if words else twice | (F.col("lo.pos") != F.col("hi.pos"))
+    groups = c.materialise(runs.groupBy("a", "ctx").agg(F.min(place).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi")).select("a", "ctx", "lo", twice.alias("full")), "contexts")
     full = groups.where("full").select("a", "ctx")
-    several = groups.groupBy("a").agg(F.count("*").alias("m"), F.min("full").alias("all_full")).where("m > 1 and not all_full").select("a")
-    wanted = c.materialise(groups.join(several, "a", "left_semi").select("a", "ctx", "lo.doc_id", "lo.pos", "lo.l", "lo.r"), "wanted")
+    several = groups.groupBy("a").agg(F.count("*").alias("m"), F.min("full").alias("all_full"), F.sum((F.col("lo.l") + F.col("lo.r")) * item).alias("w")).where("m > 1 and not all_full").select("a", "w")
+    wanted = c.materialise(groups.join(several, "a").select("a", "ctx", "lo.doc_id", "lo.pos", "lo.l", "lo.r", "full", "w"), "wanted")
     size = wanted.agg(F.sum(F.col("l") + F.col("r")).alias("b"), F.count("*").alias("m")).collect()[0]
-    buckets = max(1, -(-(size["b"] or 0) // shard))
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(F.pmod("a", F.lit(buckets)).cast("long").alias("bucket"), "a", "ctx", "pos", "l", "r")).alias("w"))
+    buckets = max(1, -(-(size["b"] or 0) * item // shard))
+    # a hot k-gram: blocks of half of HOT, and a bucket for each pair of them
+    blocks = F.ceil(F.col("w") * 2 / F.lit(HOT))
+    mine = F.pmod(F.xxhash64("ctx"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: -1 - F.pmod(F.xxhash64("a", F.least(mine, j), F.greatest(mine, j)), F.lit(1 << 40)))
+    where = F.when(F.col("w") > HOT, pairs).otherwise(F.array(F.pmod("a", F.lit(buckets)).cast("long")))
+    asked = wanted.withColumn("buckets", where).groupBy("doc_id").agg(F.collect_list(F.struct("buckets", "a", "ctx", "pos", "l", "r", "full")).alias("w"))
     few = size["m"] <= BROADCAST_ROWS
-    cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts, "bucket long, a long, ctx long, doc_id long, pos int, l int, bytes binary")
-    matched = cut.groupBy("bucket").applyInArrow(_match(length, shard), "a long, ctx long, s long, e long")
-    partial = c.materialise(matched, "matched")
+    cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts(words), CONTEXTS)
+    partial = c.materialise(cut.groupBy("bucket").applyInArrow(_match(length, shard, words), "a long, ctx long, s long, e long"), "matched")
     ranges = ranges.union(runs.join(full, ["a", "ctx"], "left_semi").select("doc_id", (F.col("pos") - F.col("l")).cast("long"), (F.col("pos") + F.col("r")).cast("long")))
     ranges = ranges.union(runs.join(partial, ["a", "ctx"]).select("doc_id", F.col("pos") + F.col("s"), F.col("pos") + F.col("e")))
-    by_doc = c.materialise(ranges.groupBy("doc_id").agg(_united(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")
-    cuts = by_doc.agg(F.sum(F.size("ranges"))).collect()[0][0] or 0
-    found = F.broadcast(by_doc) if cuts <= BROADCAST_ROWS else by_doc
-    return own.join(found, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return c.materialise(ranges.groupBy("doc_id").agg(_united(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; kept are the bytes left.
+
+    With passage, also n_shared_words and shared: the words, and ranges of words, in passages of that many
+    words or more that stand in another document too.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = [repeated_ranges(own, length, gram, shard)]
+    if passage:
+        found.append(repeated_ranges(own, passage, passage_gram, shard, True).withColumnRenamed("ranges", "shared"))
+    out = own
+    for f in found:
+        few = (f.agg(F.sum(F.size(f.columns[1]))).collect()[0][0] or 0) <= BROADCAST_ROWS
+        out = out.join(F.broadcast(f) if few else f, "doc_id", "left")
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    if not passage:
+        return out.select("doc_id", "text", "ranges").mapInArrow(_cut, kept)
+    shared = "shared array<struct<s: bigint, e: bigint>>"
+    words = F.aggregate(F.coalesce("shared", F.from_json(F.lit("[]"), shared.partition(" ")[2])), F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return out.select("doc_id", "text", "ranges", "shared").mapInArrow(_cut, f"{kept}, {shared}").withColumn("n_shared_words", words)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(c.table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(c.table(spark, sf_dir, "documents"), passage=PASSAGE).drop("kept", "shared")

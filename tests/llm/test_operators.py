@@ -378,6 +378,37 @@ def test_repeated_strings_go(make_docs, odd_texts, shard):
     assert suffix_dedup.suffix_dedup(make_docs([]).limit(0)).count() == 0
 
 
+def shared_brute(texts, length):
+    low = {i: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in texts.items()}
+    seen = {}
+    for i, w in low.items():
+        for k in range(len(w) - length + 1):
+            seen.setdefault(tuple(w[k : k + length]), set()).add(i)
+    return {i: len({j for k in range(len(w) - length + 1) if len(seen[tuple(w[k : k + length])]) > 1 for j in range(k, k + length)}) for i, w in low.items()}
+
+
+@pytest.mark.parametrize(("shard", "hot", "rows"), [(500_000, 8_000_000, 1_000_000), (3_000, 4_000, 0)])
+def test_repeated_strings_and_shared_passages_at_full_length(make_docs, odd_texts, monkeypatch, shard, hot, rows):
+    """400 bytes and 51 words: hot k-grams in blocks, both kinds of join, several partitions, repeats, ties and long texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(16)
+    draw = lambda n: " ".join(rng.choice([f"w{k}" for k in range(300)], size=n))
+    texts = dict(enumerate(odd_texts))
+    shared = [draw(n) for n in (50, 51, 60, 140, 400)]
+    for k in range(60):
+        texts[100 + k] = f"{draw(40 + k)} {shared[k % 5]} {draw(30)}" + (f"\n{shared[(k + 2) % 5].upper()}" if k % 3 else "")
+    texts[300] = texts[301] = draw(900)
+    own = draw(70)
+    texts[302] = f"{own} {draw(10)} {own}"  # repeats itself alone
+    texts[303], texts[304] = "x " * 400, "x\t" * 90
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(make_docs(texts).repartition(5), shard=shard, passage=suffix_dedup.PASSAGE).collect()}
+    brute, more = cut_brute({i: (t or "").encode() for i, t in texts.items()}, 400), shared_brute(texts, 51)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute
+    assert {i: r["n_shared_words"] for i, r in got.items()} == more
+    assert more[302] == 0 and brute[302][1] == 0 and more[101] >= 51
+
+
 def test_suffix_array_and_common_prefixes_match_sorting():
     rng = np.random.default_rng(7)
     for text in (rng.choice(list(b"ab"), size=500), np.full(200, 97), rng.integers(0, 256, size=300)):
