@@ -234,26 +234,47 @@ def test_boosted_trees_learn_and_agree_with_their_column(spark):
 
 def test_decontamination_matches_brute_force_in_one_pass_and_in_several(spark, make_docs, odd_texts, monkeypatch):
     items = {7: " ".join(f"q{k}" for k in range(25)), 10: "short item here", 11: None, 12: "", 3: " ".join(f"q{k}" for k in range(5, 20)), 8: "word3 word4 word5 word6 word7 word8 word9 word10 word11 word12"}
-    texts = dict(enumerate(odd_texts + ["a Q0 q1, q2 " + " ".join(f"q{k}" for k in range(3, 14)), "a short-item here short item", "q5 q6"]))
-    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    texts = dict(enumerate(odd_texts + ["a Q0 q1, q2 " + " ".join(f"q{k}" for k in range(3, 14)), "a short-item here short item", "q5 q6", "q9 q0 q1 then q2 q3 q4 q5 q6 q7 q8 out of order"]))
+    # two items of one item_id count each for itself
+    rows = [*items.items(), (7, "word3 word4 word5"), (7, "word20 word21 word22 word23")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     want = {}
     for i, t in texts.items():
-        w, hit, names = low(t), set(), set()
-        for n, q in items.items():
+        w, hit, names, near = low(t), set(), [], []
+        for n, q in rows:
             q = low(q)
-            for k in range(max(len(q) - 9, 1) if q else 0):
+            found = close = False
+            many = max(len(q) - 9, 1) if q else 0
+            for k in range(many):
                 x = q[k : k + 10]
                 for p in range(len(w) - len(x) + 1):
                     if w[p : p + len(x)] == x:
                         hit |= set(range(p, p + len(x)))
-                        names.add(str(n))
-        want[i] = (len(w), len(hit), sorted(names))
-    for rows in (decontaminate.QUERY_ROWS, 20):
-        monkeypatch.setattr(decontaminate, "QUERY_ROWS", rows)
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(make_docs(texts), bench).collect()}
-        assert got == want
+                        found = True
+                if k % 10 == 0 or k + 1 == many:
+                    rare = min(x, key=lambda z: (w.count(z), x.index(z)))
+                    close |= any(all(z in w[max(p - 12, 0) : p + 13] for z in x) for p in range(len(w)) if w[p] == rare)
+            names += [str(n)] * found
+            near += [str(n)] * (close and not found)
+        want[i] = (len(w), len(hit), sorted(names), sorted(near))
+    assert any(x[3] for x in want.values())
+    spans = []
+    for most, held in ((decontaminate.QUERY_ROWS, decontaminate.CANDIDATES), (20, 7)):
+        monkeypatch.setattr(decontaminate, "QUERY_ROWS", most)
+        monkeypatch.setattr(decontaminate, "CANDIDATES", held)
+        out = decontaminate.decontaminate(make_docs(texts), bench, near=12).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["near"]) for r in out} == want
+        assert all(sum(x["end"] - x["start"] for x in r["spans"]) == r["n_hit"] for r in out)
+        spans.append({r["doc_id"]: r["spans"] for r in out})
+    assert spans[0] == spans[1]
+
+
+def test_decontamination_of_nothing(spark, make_docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [tuple(r)[1:5] for r in decontaminate.decontaminate(make_docs(["a b", None]), none, near=5).collect()] == [(2, 0, [], []), (0, 0, [], [])]
+    assert decontaminate.decontaminate(make_docs([]).limit(0), none).count() == 0
 
 
 def test_items_without_id_hit_but_are_not_named(spark, make_docs):
