@@ -2,10 +2,14 @@
 
 Of the documents that pass the base rules, four transformed statistics (length of words, share of
 symbols, of repeated lines and of repeated words) are held against a minimum-covariance-determinant
-estimate of their language and source. Deterministic concentration steps find it: start from medians
-and quartile ranges, keep the `SUPPORT` share of the documents with the least distances, take their
-mean and covariance, and repeat. The covariance is then scaled so that the median distance is that of
-the chi-squared law, and a document is rejected where its squared Mahalanobis distance exceeds CUTOFF.
+estimate of their language and source: of all subsets of a share SUPPORT of its documents, the one whose covariance
+has the least determinant. It is searched from STARTS starts (medians and quartile ranges, the mean and
+covariance of all, and those of seeded subsets); a concentration step keeps the documents with the least
+distances and takes their mean and covariance, which lowers the determinant; steps go on until no start's
+determinant falls any more (MOST_STEPS at most; then the least so far holds), and the start with the least
+determinant gives the estimate. Covariances are regularised: FLOORS squared are added to the variances. The
+covariance is then scaled so that the median distance is that of the chi-squared law, and a document is
+rejected where its squared Mahalanobis distance exceeds CUTOFF.
 
 Everything is a DataFrame function: each step is one map-side combined aggregation by group and
 distance bin, so no group is gathered and a group of any size costs a table of bins. Statistics are
@@ -32,7 +36,9 @@ DIMS = ("x1", "x2", "x3", "x4")
 UNIT = 4096
 #: Added in quadrature to each statistic's spread: differences below it tell nothing.
 FLOORS = (0.05, 0.35, 0.06, 0.05)
-SUPPORT, STEPS, LEAST = 0.75, 3, 50
+SUPPORT, LEAST = 0.75, 50
+#: Starts of the search, concentration steps at most, and the fall of the log-determinant that counts.
+STARTS, MOST_STEPS, FALL = 5, 25, 1e-6
 #: chi-squared with 4 degrees of freedom: its median, and the point beyond which 1 in 10**6 lies.
 MEDIAN, CUTOFF = 3.3567, 33.38
 #: The median may scale distances up by this much at most: where floors make up a spread, it is low.
@@ -143,7 +149,8 @@ def _whitening(estimate: DataFrame) -> DataFrame:
             for k in range(j, i):
                 inner = inner + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             e = e.withColumn(f"w{i}{j}", -inner / F.col(f"l{i}{i}"))
-    return e.select("group", *[f"m{i}" for i in range(1, 5)], *[f"w{i}{j}" for i in range(1, 5) for j in range(1, i + 1)])
+    e = e.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, 5)), F.lit(0.0)))
+    return e.select("group", "start", "logdet", *[f"m{i}" for i in range(1, 5)], *[f"w{i}{j}" for i in range(1, 5) for j in range(1, i + 1)])
 
 
 def _start(stats: DataFrame) -> DataFrame:
@@ -156,27 +163,60 @@ def _start(stats: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("run") >= F.col("all") * q, F.col("bin"))) * F.lit(16.0 / UNIT)
     q = bins.groupBy("group", "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
     wide = q.groupBy("group").agg(*[F.max(F.when(F.col("k") == i, F.col("mid"))).alias(f"m{i}") for i in range(1, 5)], *[F.max(F.when(F.col("k") == i, F.pow((F.col("hi") - F.col("lo")) / 1.349, F.lit(2)) + FLOORS[i - 1] ** 2)).alias(f"c{i}{i}") for i in range(1, 5)])
-    return _whitening(wide.select("*", *[F.lit(0.0).alias(f"c{i}{j}") for i in range(1, 5) for j in range(1, i)]))
+    return _whitening(wide.select("*", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"c{i}{j}") for i in range(1, 5) for j in range(1, i)]))
 
 
 def _bin() -> Column:
     return F.floor(F.log(F.col("d2") + 1e-4) * BINS).cast("long")
 
 
+_PAIRS = [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
+_SUMS = [f"s{i}" for i in range(1, 5)] + [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Numbers, sums and sums of products of the statistics."""
+    exact = lambda x, k: F.sum(x.cast("decimal(20,0)")).alias(k)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[exact(F.col(f"x{i}"), f"s{i}") for i in range(1, 5)], *[exact(F.col(f"x{i}") * F.col(f"x{j}"), f"s{i}{j}") for i, j in _PAIRS])
+
+
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Mean and covariance by (group, start)."""
+    g = sums.groupBy("group", "start").agg(F.sum("n").cast("double").alias("n"), *[F.sum(k).cast("double").alias(k) for k in _SUMS])
+    cov = [((F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / UNIT**2 + F.lit(FLOORS[i - 1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return _whitening(g.select("group", "start", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(1, 5)], *cov))
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """Start 0: medians and quartile ranges; 1: all documents; others: seeded eighths."""
+    some = F.filter(F.sequence(F.lit(1), F.lit(STARTS - 1)), lambda k: (k == 1) | (F.pmod(F.xxhash64(*DIMS, k), F.lit(8)) == 0))
+    return _start(stats).unionByName(_estimate(_sums(stats.withColumn("start", F.explode(some)), "group", "start")))
+
+
 def _concentrate(stats: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step."""
+    """One concentration step of every (group, start) of estimate."""
     d = stats.join(estimate, "group").withColumn("d2", _distance()).withColumn("bin", _bin())
-    exact = lambda x: F.sum(x.cast("decimal(20,0)"))
-    sums = [exact(F.col(f"x{i}")).alias(f"s{i}") for i in range(1, 5)] + [exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(1, 5) for j in range(1, i + 1)]
-    bins = d.groupBy("group", "bin").agg(F.count("*").alias("n"), *sums)
-    part = Window.partitionBy("group")
+    part = Window.partitionBy("group", "start")
     before = F.sum("n").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    kept = bins.withColumn("before", before).withColumn("all", F.sum("n").over(part)).where(F.col("before") < F.ceil(F.col("all") * SUPPORT))
-    names = [f"s{i}" for i in range(1, 5)] + [f"s{i}{j}" for i in range(1, 5) for j in range(1, i + 1)]
-    g = kept.groupBy("group").agg(F.sum("n").cast("double").alias("n"), *[F.sum(k).cast("double").alias(k) for k in names])
-    cov = [(F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / UNIT**2 + F.lit(FLOORS[i - 1] ** 2 if i == j else 0.0) for i in range(1, 5) for j in range(1, i + 1)]
-    names = [f"c{i}{j}" for i in range(1, 5) for j in range(1, i + 1)]
-    return _whitening(g.select("group", *[(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in range(1, 5)], *[x.alias(k) for x, k in zip(cov, names, strict=True)]))
+    bins = _sums(d, "group", "start", "bin").withColumn("before", before).withColumn("all", F.sum("n").over(part))
+    return _estimate(bins.where(F.col("before") < F.ceil(F.col("all") * SUPPORT)))
+
+
+def least_determinant(stats: DataFrame) -> DataFrame:
+    """The estimate of each group of stats (group, x1..x4): that of least determinant over starts and steps."""
+    moving, found = c.materialise(_starts(stats), "mcd"), None
+    for step in range(MOST_STEPS):
+        new = c.materialise(_concentrate(stats, moving), "mcd")
+        found = new if found is None else found.unionByName(new)
+        if step:
+            before = moving.select("group", "start", F.col("logdet").alias("before"))
+            new = new.join(before, ["group", "start"]).where(F.col("logdet") < F.col("before") - FALL).drop("before")
+        if new.isEmpty():
+            break
+        moving = new
+    names = [x for x in found.columns if x != "group"]
+    best = found.groupBy("group").agg(F.min(F.struct("logdet", *[x for x in names if x != "logdet"])).alias("best"))
+    return best.select("group", *[F.col(f"best.{x}").alias(x) for x in names])
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -184,9 +224,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     counts = c.materialise(_statistics(quality_counts(docs)), "counts")
     stats = _grouped(counts)
     passed = stats.where(~F.col("base_failed")).select(F.explode("teaches").alias("group"), *DIMS)
-    estimate = c.materialise(_start(passed), "mcd")
-    for _ in range(STEPS):
-        estimate = c.materialise(_concentrate(passed, estimate), "mcd")
+    estimate = c.materialise(least_determinant(passed), "mcd")
     bins = passed.join(estimate, "group").withColumn("d2", _distance()).groupBy("group", _bin().alias("bin")).agg(F.count("*").alias("n"))
     part = Window.partitionBy("group")
     run = F.sum("n").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
