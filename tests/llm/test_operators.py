@@ -257,6 +257,19 @@ def test_markov_models_tell_held_out_samples_apart():
     assert np.mean(right) > 0.97
 
 
+def test_secrets_added_to_prose_are_found_and_nothing_else(make_docs):
+    """Random tokens of seeds that neither model nor threshold has seen, among words and identifiers."""
+    samples = secret_scan.labelled(300, seed=77)
+    texts, want = {}, set()
+    for k in range(0, len(samples) - 3, 3):
+        body = [t for t, y in samples[k : k + 3]]
+        texts[k] = "so " + " then ".join(body) + " end"
+        want |= {(k, t) for t, y in samples[k : k + 3] if y}
+    got = {(r["doc_id"], s["text"]) for r in secret_scan.find_secrets(make_docs(texts)).collect() for s in r["spans"]}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.98 * len(got)
+    assert secret_scan.find_secrets(make_docs([]).limit(0)).count() == 0
+
+
 def test_markov_alone_decides_on_letters_and_short_tokens(make_docs):
     strange = ["kQzXwVbTjRpLmNcHdGfSyJqZ", "xqzjvkwpbfhgtmzrqlxk", "Xq7zK2vW9pRt", "QzXkVwJpBqTr"]
     plain = ["internationalization", "AbstractSingletonProxyFactoryBean", "responsibility", "max_retry_count", "4432507379035540", "2024-01-31"]
