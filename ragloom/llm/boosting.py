@@ -82,9 +82,9 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int, r
     return Node(at[0], float(at[1]), _grow(x[low], g[low], h[low], depth - 1, least, ridge), _grow(x[~low], g[~low], h[~low], depth - 1, least, ridge))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 30, depth: int = 3, rate: float = 0.3, least: int = 8, ridge: float = 1.0) -> Trees:
-    """Logistic boosting on every row but each fourth; those calibrate the margin (Platt)."""
-    hold = np.arange(len(y)) % 4 == 0
+def fit_trees(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 30, depth: int = 3, rate: float = 0.3, least: int = 8, ridge: float = 1.0, hold: np.ndarray | None = None) -> Trees:
+    """Logistic boosting on the rows that are not in hold (each fourth by default); those calibrate the margin (Platt)."""
+    hold = np.arange(len(y)) % 4 == 0 if hold is None else hold
     fx, fy = x[~hold], y[~hold].astype(float)
     share = np.clip(fy.mean(), 1e-3, 1 - 1e-3)
     out = Trees(names, float(np.log(share / (1 - share))), [])

@@ -1,12 +1,14 @@
 """PII: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 Base rules find e-mail addresses, IP numbers, card numbers and phone numbers; their spans always stay.
-Wider generators propose further spans (phones without + in groups of 2-5, 3-4 and 2-5 digits, addresses
-spelled "name at host dot com", runs of 11 to 21 digits), which may overlap each other and the base
-spans. Not proposed: base matches that failed their check, as such, and national numbers under 11 digits
-in groups of two (01 23 45 67 89, 912 34 56 78). Boosted trees score a proposal by its format (length, digits, separators, checksum) and by the
-words around it; the score is calibrated on held-out samples and a threshold per generator keeps the
-selections at PRECISION. Of overlapping selections the best score stays, and none overlaps a base span.
+Wider generators propose further spans: addresses spelled "name at host dot com"; phones without + in groups
+of 2-5, 3-4 and 2-5 digits, or of 2-3 digits throughout (01 23 45 67 89, 912 34 56 78); runs of 11 to 21 digits,
+so also card numbers that failed their check; + numbers of too few or too many digits; dotted quads that
+failed their check or are written 10[.]0[.]0[.]1, and IPv6 addresses in full. Proposals may overlap each other;
+those that meet a base span are dropped, as base spans stay. Boosted trees score a proposal by its format
+(length, digits, separators, checksum) and by the words around it. Samples are dealt in four parts: two fit the trees, one
+calibrates their score, and on the last the threshold of a generator is chosen, that which keeps its
+selections at PRECISION. Of overlapping selections the best score stays.
 
 The trees are fitted on the driver with samples drawn from templates (SAMPLES snippets, seeded), whose
 features come from the same column expressions as the corpus's; scoring is a CASE WHEN expression.
@@ -43,16 +45,20 @@ BASE = {
 PROPOSALS = {
     "spelled": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{2,64}+ ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z]{2,10}+"),
     "local": ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{2,5}(?![0-9A-Za-z])"),
+    "pairs": ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,3}\)?(?:[ ./-][0-9]{2,3}){2,4}(?![0-9A-Za-z])"),
+    "plus": ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
+    "address": ("ip", r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]| dot |\.)[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![0-9A-Za-z:])"),
     "run": ("card", r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){10,20}(?![0-9A-Za-z])"),
 }
 CONTEXT = 24
-SAMPLES, SEED, PRECISION = 3_000, 23, 0.98
+SAMPLES, SEED, PRECISION = 7_200, 23, 0.98
 
-_PHONE = r"(?i)(phone|call|tel|mobile|cell|fax|whatsapp|dial|ring|reach|telefon|anruf|appel|llam)"
+_PHONE = r"(?i)(phone|call|tel|mobile|cell|fax|whatsapp|dial|ring|reach|telefon|anruf|ruf |tél|appel|llam)"
+_HOST = r"(?i)(\bip\b|host|server|address|login from|connect|ping|adresse|servidor|serveur)"
 _CARD = r"(?i)(card|visa|master|amex|credit|debit|payment|pay|carte|karte|tarjeta)"
 _MAIL = r"(?i)(mail|write|contact|reach|send|schreib|écri|escrib)"
 _OTHER = r"(?i)(order|invoice|isbn|version|ticket|serial|ref|item|code|total|page|number of|date|since|born|sku|no\.)"
-FEATURES = ("length", "digits", "groups", "spaces", "hyphens", "dots", "brackets", "letters", "luhn", "first_group", "phone_word", "card_word", "mail_word", "other_word", "year")
+FEATURES = ("length", "digits", "groups", "spaces", "hyphens", "dots", "brackets", "letters", "luhn", "first_group", "phone_word", "card_word", "mail_word", "host_word", "other_word", "year", "colons", "hex", "greatest", "last_group")
 
 
 def base_spans(text: Column) -> Column:
@@ -90,8 +96,13 @@ def _features(text: Column, s: Column) -> Column:
         "phone_word": flag(before.rlike(_PHONE)),
         "card_word": flag(before.rlike(_CARD)),
         "mail_word": flag(before.rlike(_MAIL)),
+        "host_word": flag(before.rlike(_HOST)),
         "other_word": flag(before.rlike(_OTHER)),
         "year": flag(m.rlike(r"(?<![0-9])(19|20)[0-9]{2}(?![0-9])")),
+        "colons": n(":"),
+        "hex": F.length(F.regexp_replace(m, "[^A-Fa-f]+", "")),
+        "greatest": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[0-9]{1,9}"), F.lit(0)), lambda g: g.cast("int"))), F.lit(0)),
+        "last_group": F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)),
     }
     return F.struct(*[values[k].cast("double").alias(k) for k in FEATURES])
 
@@ -120,7 +131,7 @@ def _snippets(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, str, int]]:
 
     out = []
     for i in range(n):
-        kind, good = ("spelled", "local", "run")[i % 3], r.random() < 0.5
+        kind, good = ("spelled", "local", "run", "pairs", "plus", "address")[i % 6], r.random() < 0.5
         lead, tail = filler(), filler()
         if kind == "spelled":
             a, d = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("{at}", "{dot}")])
@@ -133,6 +144,24 @@ def _snippets(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, str, int]]:
             text = f"{r.choice(['call', 'phone', 'tel.', 'mobile', 'fax', 'my cell is'])} {number}"
             if not good:
                 text = r.choice([f"order {digits(3)}-{digits(4)}-{digits(3)}", f"{r.choice(['19', '20'])}{digits(2)}-{digits(4)}", f"version {digits(2)}.{digits(3)}.{digits(2)}", f"{word()} {digits(3)} {digits(3)} {digits(3)}", f"pages {digits(3)}-{digits(3)}", f"total {digits(3)}.{digits(3)}.{digits(2)}", f"{word()} {digits(4)} {digits(4)} {digits(4)}"])
+        elif kind == "pairs":
+            pairs = lambda k, sep: sep.join(digits(2) for _ in range(k))
+            sep = r.choice([" ", " ", ".", "-"])
+            number = r.choice([f"0{r.randint(1, 9)}{sep}{pairs(4, sep)}", f"{r.choice('6789')}{digits(2)}{sep}{pairs(3, sep)}", f"{r.choice('6789')}{digits(2)}{sep}{digits(3)}{sep}{digits(3)}", f"0{digits(2)}{sep}{pairs(3, sep)}"])
+            text = f"{r.choice(['tél.', 'appelez le', 'llame al', 'telefon', 'ruf an', 'call', 'mobile', 'mein anruf', 'phone'])} {number}"
+            if not good:
+                text = r.choice([f"{word()} {pairs(r.randint(3, 5), r.choice([' ', '-', '.']))}", f"scores {pairs(5, ' ')}", f"draw {pairs(4, '-')}", f"version {digits(2)}.{digits(2)}.{digits(3)}", f"pages {digits(3)} {digits(3)} {digits(2)}", f"total {digits(3)}.{digits(3)}.{digits(3)}", f"date {digits(2)}.{digits(2)}.{digits(2)}", f"ref {digits(3)}-{digits(2)}-{digits(3)}"])
+        elif kind == "plus":
+            number = r.choice([f"+{digits(2)} {digits(2)} {digits(3)}", f"+{digits(2)} {digits(5)}", f"+{digits(2)} ({digits(3)}) {digits(4)}-{digits(4)} {digits(4)}", f"+{digits(3)} {digits(7)} {digits(7)}", f"+{digits(1)}-{digits(3)}-{digits(2)}"])
+            text = f"{r.choice(['call', 'phone', 'tel', 'mobile', 'fax', 'dial', 'telefon', 'llame'])} {number}"
+            if not good:
+                text = r.choice([f"{word()} +{digits(1)}.{digits(r.randint(1, 4))}", f"sum +{digits(2)} - {digits(2)}", f"from -{digits(1)} to +{digits(2)}", f"{word()} +{digits(3)}.{digits(2)}", f"total +{digits(18)}", f"score +{digits(2)}-{digits(2)}", f"{word()} +{digits(2)} {digits(3)}"])
+        elif kind == "address":
+            dot, part = r.choice(["[.]", "(.)", "[dot]", " dot "]), lambda: str(r.randint(0, 255))
+            number = r.choice([dot.join(part() for _ in range(4)), ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(8))])
+            text = f"{r.choice(['ip', 'host', 'server', 'login from', 'ping', word()])} {number}"
+            if not good:
+                text = r.choice([f"{r.choice(['version', 'section', word()])} {r.randint(256, 999)}.{part()}.{part()}.{part()}", f"{r.choice(['version', word()])} {part()}.{r.randint(256, 999)}.{part()}.{r.randint(256, 999)}", f"at {':'.join(digits(2) for _ in range(8))}", f"chapter {' dot '.join(str(r.randint(1, 9)) for _ in range(4))}"])
         else:
             k = r.randint(13, 15)
             text = f"{r.choice(['card', 'visa', 'pay with', 'credit card no', 'amex'])} {split(checked(k), r.choice([' ', '-', '']))}"
@@ -160,9 +189,10 @@ def models(spark: SparkSession) -> dict[str, tuple[Trees, float]]:
         for name in PROPOSALS:
             own = [r for r in found if r["generator"] == name]
             x, y = np.array([[r[k] for k in FEATURES] for r in own]), np.array([r["label"] for r in own])
-            trees = fit_trees(x, y, list(FEATURES))
-            hold = np.arange(len(y)) % 4 == 0
-            fitted[name] = (trees, max(threshold(trees.probability(x[hold]), y[hold], PRECISION), 0.5))
+            part = np.arange(len(y)) % 4
+            rest, cut = part != 3, part == 3
+            trees = fit_trees(x[rest], y[rest], list(FEATURES), hold=part[rest] == 2)
+            fitted[name] = (trees, max(threshold(trees.probability(x[cut]), y[cut], PRECISION), 0.5))
         _FITTED["all"] = fitted
     return _FITTED["all"]
 
