@@ -51,7 +51,7 @@ PROPOSALS = {
     "run": ("card", r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){10,20}(?![0-9A-Za-z])"),
 }
 CONTEXT = 24
-SAMPLES, SEED, PRECISION = 7_200, 23, 0.98
+SAMPLES, SEED, PRECISION, ROUNDS = 5_400, 23, 0.98, 14
 
 _PHONE = r"(?i)(phone|call|tel|mobile|cell|fax|whatsapp|dial|ring|reach|telefon|anruf|ruf |tél|appel|llam)"
 _HOST = r"(?i)(\bip\b|host|server|address|login from|connect|ping|adresse|servidor|serveur)"
@@ -191,7 +191,7 @@ def models(spark: SparkSession) -> dict[str, tuple[Trees, float]]:
             x, y = np.array([[r[k] for k in FEATURES] for r in own]), np.array([r["label"] for r in own])
             part = np.arange(len(y)) % 4
             rest, cut = part != 3, part == 3
-            trees = fit_trees(x[rest], y[rest], list(FEATURES), hold=part[rest] == 2)
+            trees = fit_trees(x[rest], y[rest], list(FEATURES), rounds=ROUNDS, hold=part[rest] == 2)
             fitted[name] = (trees, max(threshold(trees.probability(x[cut]), y[cut], PRECISION), 0.5))
         _FITTED["all"] = fitted
     return _FITTED["all"]
