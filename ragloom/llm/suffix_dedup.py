@@ -296,8 +296,8 @@ def _batch(pa, *columns):
 CONTEXTS = "bucket long, a long, ctx long, doc_id long, pos int, l int, full boolean, bytes binary"
 
 
-def _contexts(words: bool):
-    """Cuts the wanted contexts out of texts."""
+def _contexts(words: bool, buckets: int):
+    """Cuts the wanted contexts out of texts; a k-gram has a bucket by its hash, or pairs of blocks."""
 
     def run(batches):
         import pyarrow as pa
@@ -311,7 +311,7 @@ def _contexts(words: bool):
                 for i, t, wanted in zip(ids[lo:hi], items_of(texts[lo:hi], words), asked[lo:hi], strict=True):
                     for w in wanted:
                         blob = t[w["pos"] - w["l"] : w["pos"] + w["r"]].tobytes()
-                        for bucket in w["buckets"]:
+                        for bucket in w["pairs"] or (w["a"] % buckets,):
                             for k, v in zip(names, (bucket, w["a"], w["ctx"], i, w["pos"], w["l"], w["full"], blob), strict=True):
                                 out[k].append(v)
                             held += len(blob)
@@ -434,10 +434,9 @@ def repeated_ranges(own: DataFrame, length: int, gram: int, shard: int, words: b
     blocks = F.ceil(F.col("w") * 2 / F.lit(HOT))
     mine = F.pmod(F.xxhash64("ctx"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: -1 - F.pmod(F.xxhash64("a", F.least(mine, j), F.greatest(mine, j)), F.lit(1 << 40)))
-    where = F.when(F.col("w") > HOT, pairs).otherwise(F.array(F.pmod("a", F.lit(buckets)).cast("long")))
-    asked = wanted.withColumn("buckets", where).groupBy("doc_id").agg(F.collect_list(F.struct("buckets", "a", "ctx", "pos", "l", "r", "full")).alias("w"))
+    asked = wanted.withColumn("pairs", F.when(F.col("w") > HOT, pairs)).groupBy("doc_id").agg(F.collect_list(F.struct("pairs", "a", "ctx", "pos", "l", "r", "full")).alias("w"))
     few = size["m"] <= BROADCAST_ROWS
-    cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts(words), CONTEXTS)
+    cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts(words, buckets), CONTEXTS)
     partial = c.materialise(cut.groupBy("bucket").applyInArrow(_match(length, shard, words), "a long, ctx long, s long, e long"), "matched")
     ranges = ranges.union(runs.join(full, ["a", "ctx"], "left_semi").select("doc_id", (F.col("pos") - F.col("l")).cast("long"), (F.col("pos") + F.col("r")).cast("long")))
     ranges = ranges.union(runs.join(partial, ["a", "ctx"]).select("doc_id", F.col("pos") + F.col("s"), F.col("pos") + F.col("e")))
