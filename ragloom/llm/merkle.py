@@ -5,18 +5,21 @@ same range of `span` bytes form a range node, and FANOUT neighbouring nodes form
 root per file. Roots of two replicas are compared first; only children of mismatching nodes are looked
 at on the next level, down to the records, so an audit of sound replicas reads one row per file.
 
-A node has at most FANOUT children, and a range at most span bytes of records, so no aggregation gathers
-more than that; files of any size only add levels. Tree nodes are tables in the shared folder.
+A node has at most FANOUT children, and a range at most span offsets, so no aggregation gathers
+more than that; files of any size only add levels. Tree nodes are tables in the shared folder. Bytes are
+hashed where they are read: only digests are shuffled.
 
 A record of null bytes counts as empty. Where a replica has no record at an offset that the other has,
-the record is missing (or extra). Repeated records (same file and offset) fold into one leaf of their
-sorted digests. Empty tables are sound; if one replica is empty, every record of the other is missing or
+the record is missing (or extra). Repeated records (same file and offset) fold into one leaf, of their number
+and the sums of the words of their digests, so that any number of them costs one row; records at a null
+offset are such repeats, at the result's null offset. A null file is a file. Very long records are records.
+Empty tables are sound; if one replica is empty, every record of the other is missing or
 extra. Other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -26,11 +29,22 @@ FANOUT, SPAN = 16, 1 << 18
 FILE_RECORDS = 1024
 
 
+def digest_of(payload: Column) -> Column:
+    return F.sha2(F.coalesce(payload.cast("binary"), F.lit("").cast("binary")), 256)
+
+
 def leaves(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """(file_id, offset, digest, node): node is the offset range that the record lies in."""
-    digest = F.sha2(F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary")), 256)
-    got = records.select("file_id", "offset", digest.alias("d")).groupBy("file_id", "offset").agg(F.array_join(F.array_sort(F.collect_list("d")), "").alias("d"))
-    return got.select("file_id", "offset", F.when(F.length("d") > 64, F.sha2("d", 256)).otherwise(F.col("d")).alias("digest"), F.floor(F.col("offset") / span).cast("long").alias("node"))
+    """(file_id, offset, digest, node): node is the offset range that the record lies in.
+
+    records: file_id, offset, and payload or digest, the digest of the payload. file_id becomes a struct, so
+    that null equals null; a null offset is -1.
+    """
+    d = F.col("digest") if "digest" in records.columns else digest_of(F.col("payload"))
+    got = records.select(F.struct("file_id").alias("file_id"), F.coalesce(F.col("offset").cast("long"), F.lit(-1).cast("long")).alias("offset"), d.alias("d"))
+    word = lambda k: F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
+    got = got.groupBy("file_id", "offset").agg(F.count("*").alias("n"), F.min("d").alias("d"), *[F.sum(word(k)).alias(f"w{k}") for k in range(8)])
+    several = F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in ("n", *(f"w{k}" for k in range(8)))]), 256)
+    return got.select("file_id", "offset", F.when(F.col("n") > 1, several).otherwise(F.col("d")).alias("digest"), F.floor(F.col("offset") / span).cast("long").alias("node"))
 
 
 def _fold(rows: DataFrame, order: str) -> DataFrame:
@@ -48,22 +62,20 @@ def levels_above(ranges: DataFrame) -> int:
     return level
 
 
-def build_tree(leaf: DataFrame, height: int | None = None) -> list[DataFrame]:
-    """Nodes (file_id, node, digest) by level, ranges first, one root per file last."""
-    levels = [c.materialise(_fold(leaf, "offset"), "merkle")]
-    for _ in range(levels_above(levels[0]) if height is None else height):
-        up = levels[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FANOUT).cast("long"))
-        levels.append(c.materialise(_fold(up, "child"), "merkle"))
-    return levels
+def build_trees(*leaf: DataFrame) -> list[list[DataFrame]]:
+    """Nodes (file_id, node, digest) by level of each table of leaves, ranges first, one root per file last; all of one height."""
+    trees = [[c.materialise(_fold(x, "offset"), "merkle")] for x in leaf]
+    for _ in range(max(levels_above(t[0]) for t in trees)):
+        for t in trees:
+            up = t[-1].withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FANOUT).cast("long"))
+            t.append(c.materialise(_fold(up, "child"), "merkle"))
+    return trees
 
 
 def audit(one: DataFrame, two: DataFrame, span: int = SPAN) -> DataFrame:
     """(file_id, offset, status): records of one and two that differ: changed, missing (in two) or extra."""
     a, b = c.materialise(leaves(one, span), "leaves"), c.materialise(leaves(two, span), "leaves")
-    # both trees need the same height
-    first_a, first_b = _fold(a, "offset"), _fold(b, "offset")
-    height = max(levels_above(first_a), levels_above(first_b))
-    tree_a, tree_b = build_tree(a, height), build_tree(b, height)
+    tree_a, tree_b = build_trees(a, b)
     wrong = None
     for level_a, level_b in zip(reversed(tree_a), reversed(tree_b), strict=True):
         if wrong is not None:
@@ -75,30 +87,25 @@ def audit(one: DataFrame, two: DataFrame, span: int = SPAN) -> DataFrame:
     own = lambda x, name: x.join(wrong, ["file_id", "node"], "left_semi").select("file_id", "offset", F.col("digest").alias(name))
     both = own(a, "da").join(own(b, "db"), ["file_id", "offset"], "full").where(~F.col("da").eqNullSafe(F.col("db")))
     status = F.when(F.col("db").isNull(), "missing").when(F.col("da").isNull(), "extra").otherwise("changed")
-    return both.select("file_id", "offset", status.alias("status"))
+    return both.select(F.col("file_id.file_id").alias("file_id"), F.when(F.col("offset") >= 0, F.col("offset")).alias("offset"), status.alias("status"))
 
 
-def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Pages as records of files: file_id, page_id, offset and payload (address, blank line, body)."""
+def replicas(pages: DataFrame, file_records: int = FILE_RECORDS) -> tuple[DataFrame, DataFrame]:
+    """Pages as records of files (address, blank line, body), and a replica in which some payloads are altered at
+    equal length and some records are lost: file_id, page_id, offset and digest of each record."""
     payload = F.concat(F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
     rows = pages.select("page_id", F.floor(F.col("page_id") / file_records).cast("long").alias("file_id"), payload.alias("payload"))
-    sizes = rows.select("file_id", "page_id", F.octet_length("payload").cast("long").alias("n"))
+    flipped = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("\u0000"), F.expr("substring(payload, 2)"))).otherwise(F.col("payload"))
+    sizes = rows.select("file_id", "page_id", F.octet_length("payload").cast("long").alias("n"), digest_of(F.col("payload")).alias("digest"), digest_of(flipped).alias("other"))
     before = Window.partitionBy("file_id").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
-    return rows.join(at, ["file_id", "page_id"])
-
-
-def damaged(rows: DataFrame) -> DataFrame:
-    """A replica in which some payloads are altered at equal length and some records are lost."""
+    at = c.materialise(sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), "records")
     lost = F.col("page_id") % 193 == 7
-    flipped = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("\u0000"), F.expr("substring(payload, 2)"))).otherwise(F.col("payload"))
-    return rows.where(~lost).withColumn("payload", flipped)
+    return at.select("file_id", "page_id", "offset", "digest"), at.where(~lost).select("file_id", "page_id", "offset", F.col("other").alias("digest"))
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of every page's record against a replica with known damage."""
-    rows = records(c.table(spark, sf_dir, "pages"))
-    return audit(rows.select("file_id", "offset", "payload"), damaged(rows).select("file_id", "offset", "payload"))
+    return audit(*replicas(c.table(spark, sf_dir, "pages")))
 
 
 OP7_SQL = f"""
