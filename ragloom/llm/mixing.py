@@ -11,9 +11,11 @@ and document number j goes once more where floor((j + 1) * f + u) > floor(j * f
 this order have nearly equal sizes, so the words taken miss the target by about one document at most;
 of PHASES values of u a source uses the one that comes nearest.
 
-Ranks come from counts by (source, size) and by (source, size, salt), so no task holds a whole source.
+Ranks come from counts by (source, size) and by (source, size, salt), so no task holds a whole source. The
+sources themselves, however many, are sorted by range partitions: running sums within each, and the sums of
+the partitions before it.
 
-Null texts have size 0; documents of size 0 are never taken. A null source is a source of its own,
+Null texts have size 0; documents of size 0 are never taken. Very long texts count whole. A null source is a source of its own,
 ordered last. Equal rows are told apart by doc_id; an empty table gives an empty result. Other columns
 of the input are ignored, so their names cannot clash.
 """
@@ -38,19 +40,27 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long"), F.lit(0).cast("long"))
 
 
-def water_fill(sources: DataFrame, epochs: float = EPOCHS) -> DataFrame:
-    """Adds target to sources (size, weight): all of them share the sum of sizes.
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums, in order and each row included: sums maps new names to columns."""
+    parts = c.materialise(df.repartitionByRange(*order).withColumn("ragloom_part", F.spark_partition_id()), "range")
+    upto = Window.partitionBy("ragloom_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = parts.groupBy("ragloom_part").agg(*[F.sum(v).alias(f"ragloom_{k}") for k, v in sums.items()])
+    earlier = Window.orderBy("ragloom_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select("ragloom_part", *[F.coalesce(F.sum(f"ragloom_{k}").over(earlier), F.lit(0)).alias(f"ragloom_{k}") for k in sums])
+    out = parts.withColumns({k: F.sum(v).over(upto) for k, v in sums.items()}).join(F.broadcast(totals), "ragloom_part")
+    return out.withColumns({k: F.col(k) + F.col(f"ragloom_{k}") for k in sums}).select(*df.columns, *sums)
 
-    The sources of a corpus are its metadata; they are sorted in one window of two numbers a source.
-    """
-    every, upto = Window.partitionBy(), Window.orderBy("ratio", "source_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def water_fill(sources: DataFrame, epochs: float = EPOCHS) -> DataFrame:
+    """Adds target to sources (source_key, source_size, weight): all of them share the sum of sizes."""
     s = sources.withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    s = s.withColumn("total", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
-    s = s.withColumn("before", F.sum("cap").over(upto) - F.col("cap")).withColumn("rest", F.col("all_weight") - F.sum("weight").over(upto) + F.col("weight"))
+    s = c.materialise(running(s, ["ratio", "source_key"], {"caps": "cap", "weights": "weight"}), "caps")
+    total, every = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).collect()[0]
     # the level if this source is the first that is not capped; right for the first whose ratio reaches it
-    s = s.withColumn("level", F.try_divide(F.col("total") - F.col("before"), F.col("rest")))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source_key", "level"))).over(every)["level"])
-    return s.withColumn("target", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight"))))
+    level = F.try_divide(F.lit(float(total)) - (F.col("caps") - F.col("cap")), F.lit(every) - F.col("weights") + F.col("weight"))
+    first = s.withColumn("level", level).where("level <= ratio").agg(F.min(F.struct("ratio", "source_key", "level"))["level"]).collect()[0][0]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first) * F.col("weight"))
+    return s.drop("caps", "weights").withColumn("target", target)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -63,17 +73,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, epochs: float = EPOCHS, seed:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
     sized = sized.withColumn("source_key", key)
     totals = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy("source_key"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
-    targets = water_fill(totals.withColumn("weight", weight), epochs).select("source_key", "source_size", "weight", "target")
+    placed = running(totals.withColumn("one", F.lit(1)), ["source_key"], {"place": "one"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    targets = water_fill(placed.withColumn("weight", weight).drop("one", "place"), epochs).select("source_key", "source_size", "weight", "target")
     targets = c.materialise(targets, "targets")
 
     salt = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)).alias("salt")
     salted = sized.where("size > 0").withColumn("salt", salt)
     cells = c.materialise(salted.groupBy("source_key", "size", "salt").agg(F.count("*").alias("m")), "cells")
     by_size = cells.groupBy("source_key", "size").agg(F.sum("m").alias("m"))
-    running = Window.partitionBy("source_key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_size = by_size.withColumn("r0", F.sum("m").over(running) - F.col("m")).select("source_key", "size", "r0")
+    upto = Window.partitionBy("source_key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_size = by_size.withColumn("r0", F.sum("m").over(upto) - F.col("m")).select("source_key", "size", "r0")
     within = Window.partitionBy("source_key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_cell = cells.withColumn("r1", F.sum("m").over(within) - F.col("m")).drop("m").join(at_size, ["source_key", "size"])
     number = F.row_number().over(Window.partitionBy("source_key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
