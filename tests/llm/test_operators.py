@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.llm import boosting, decontaminate, merkle, mixing, ngram_jaccard, pii, quality, quotes, secret_scan, suffix_dedup, toxicity
+from ragloom.llm import boosting, common, decontaminate, merkle, mixing, ngram_jaccard, pii, quality, quotes, secret_scan, suffix_dedup, toxicity
 
 
 def words(t):
@@ -381,6 +381,20 @@ def test_audit_finds_exactly_the_damage(spark):
     got = sorted(tuple(r) for r in merkle.audit(one, two, span=4096).collect())
     assert got == [(1, 7000, "changed"), (1, 299000, "missing"), (2, 0, "changed"), (2, 500, "extra")]
     assert merkle.audit(one.limit(0), one.limit(0)).count() == 0
+    gone = merkle.audit(one, one.limit(0)).groupBy("status").count().collect()
+    assert [tuple(r) for r in gone] == [("missing", 900)]
+
+
+def test_audit_of_repeats_nulls_and_clashing_names(spark):
+    """Repeated offsets, null offsets, null files, null and very long payloads, columns with inner names."""
+    schema = "file_id string, offset long, payload string, node long, digest_ string, up long"
+    rows = [("a", 0, "x"), ("a", 0, "y"), ("a", 0, "y"), ("a", 9, None), ("a", None, "p"), ("a", None, "q"), (None, 5, "z" * 1_000_000), ("b", 70_000, "t")]
+    table = lambda rs: spark.createDataFrame([(*r, 1, "d", 2) for r in rs], schema)
+    one = table(rows)
+    assert merkle.audit(one, table(rows[::-1]).repartition(3), span=8).count() == 0
+    other = [("a", 0, "x"), ("a", 0, "x"), ("a", 0, "y"), ("a", 9, ""), ("a", None, "p"), (None, 5, "z" * 999_999 + "y"), ("b", 70_000, "t")]
+    got = {tuple(r) for r in merkle.audit(one, table(other), span=8).collect()}
+    assert got == {("a", 0, "changed"), ("a", None, "changed"), (None, 5, "changed")}
 
 
 # ---------------------------------------------------------------- toxicity
@@ -439,6 +453,33 @@ def test_mixing_fills_by_weight_up_to_the_cap(spark, make_docs, odd_texts):
     again = {r["doc_id"]: r for r in mixing.mix(docs.repartition(7)).collect()}
     assert all(again[i]["taken"] == got[i]["taken"] for i in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+    repeated = mixing.mix(docs.union(docs)).groupBy("doc_id").count().where("count <> 2").count()
+    assert repeated == 0
+
+
+def test_running_sums_over_range_partitions(spark):
+    rows = [(f"s{k:05d}", k % 7) for k in range(3000)]
+    got = mixing.running(spark.createDataFrame(rows, "k string, v long").repartition(5), ["k"], {"r": "v"}).orderBy("k").collect()
+    assert [r["r"] for r in got] == np.cumsum([v for _, v in rows]).tolist()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Spark:
+        conf = Conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Spark)
 
 
 # ---------------------------------------------------------------- suffix arrays
