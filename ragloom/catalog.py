@@ -73,8 +73,10 @@ def q_multi(s, d):
 
 
 def q_rrf(s, d):
-    v = q_vector(s, d).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))
-    return R.rrf(v.unionByName(v.withColumn("weight", F.lit(0.25)).where("rank <= 5")), 5).select("query_id", "chunk_id", "rank", "score", "hit_source")
+    v = q_vector(s, d).select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"), F.col("score").alias("semantic_score"), F.lit(0).alias("ranking_no"))
+    # a second ranking with scores of its own for odd chunks, none for even ones
+    second = v.where("rank <= 5").withColumns({"weight": F.lit(0.25), "ranking_no": F.lit(1), "semantic_score": F.when(F.col("chunk_id") % 2 == 1, F.round(F.col("semantic_score") / 2, 5))})
+    return R.rrf(v.unionByName(second), 5).select("query_id", "chunk_id", "rank", "score", "hit_source", "semantic_score")
 
 
 def q_rank_cap(s, d):
@@ -86,7 +88,7 @@ def q_metrics(s, d):
     e = _t(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     golden = q.join(e, "label").select("query_id", F.col("vec_id").alias("relevant_id"))
-    return E.metrics(q_vector(s, d), golden, 5).select("query_id", F.round("recall", 9).alias("recall"), "hit", F.round("rr", 9).alias("rr"))
+    return E.metrics(q_vector(s, d), golden, 5).select("query_id", F.round("recall", 9).alias("recall"), "hit", "ndcg", F.round("rr", 9).alias("rr"))
 
 
 def q_scope_counts(s, d):
@@ -186,13 +188,13 @@ _BI = "CASE WHEN length({0}) < 2 THEN [] ELSE list_distinct(list_transform(range
 ORACLE = {
     "vector_top_k": _VEC + "SELECT * FROM v",
     "bm25_top_k": _BM + 'SELECT * FROM r WHERE "rank" <= 10',
-    "rrf_fusion": _VEC + """, u AS (SELECT query_id, chunk_id, "rank", 0.5 w FROM v UNION ALL SELECT query_id, chunk_id, "rank", 0.25 FROM v WHERE "rank" <= 5),
- f AS (SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) / (60 + "rank")), 9) score, CASE WHEN count(*) >= 2 THEN 'hybrid' ELSE 'single' END hit_source FROM u GROUP BY 1, 2)
- SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", score, hit_source FROM f) WHERE "rank" <= 5""",
+    "rrf_fusion": _VEC + """, u AS (SELECT query_id, chunk_id, "rank", 0.5 w, score ss, 0 no FROM v UNION ALL SELECT query_id, chunk_id, "rank", 0.25, CASE WHEN chunk_id % 2 = 1 THEN round(score / 2, 5) END, 1 FROM v WHERE "rank" <= 5),
+ f AS (SELECT query_id, chunk_id, round(sum(CAST(w AS DOUBLE) / (60 + "rank")), 9) score, CASE WHEN count(*) >= 2 THEN 'hybrid' ELSE 'single' END hit_source, coalesce(max(CASE WHEN no = 1 THEN ss END), max(ss)) semantic_score FROM u GROUP BY 1, 2)
+ SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", score, hit_source, semantic_score FROM f) WHERE "rank" <= 5""",
     "cap_per_source": _VEC + "SELECT query_id, chunk_id, source_id, score FROM (SELECT v.*, source source_id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) nth FROM v JOIN documents ON doc_id = chunk_id) WHERE nth <= 1",
     "ir_metrics": _VEC + """, g AS (SELECT DISTINCT a.vec_id query_id, b.vec_id chunk_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0), n AS (SELECT query_id, count(*) n FROM g GROUP BY 1),
- f AS (SELECT query_id, sum(CASE WHEN "rank" <= 5 THEN 1 ELSE 0 END) m, min("rank") best FROM v JOIN g USING (query_id, chunk_id) GROUP BY 1)
- SELECT query_id, round(coalesce(CAST(m AS DOUBLE) / n, 0), 9) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(1.0::DOUBLE / best, 0), 9) rr FROM n LEFT JOIN f USING (query_id)""",
+ f AS (SELECT query_id, sum(CASE WHEN "rank" <= 5 THEN 1 ELSE 0 END) m, sum(CASE WHEN "rank" <= 5 THEN 1 / log2("rank" + 1) ELSE 0 END) dcg, min("rank") best FROM v JOIN g USING (query_id, chunk_id) GROUP BY 1)
+ SELECT query_id, round(coalesce(CAST(m AS DOUBLE) / n, 0), 9) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 9) ndcg, round(coalesce(1.0::DOUBLE / best, 0), 9) rr FROM n LEFT JOIN f USING (query_id)""",
     "scope_counts": "SELECT lang notebook_id, count(*) n_chunks, count(DISTINCT source) n_sources FROM documents GROUP BY 1",
     "neighbour_chunks": "SELECT a.doc_id hit_id, b.doc_id near_id FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id BETWEEN a.doc_id - 40 AND a.doc_id + 40 WHERE a.doc_id % 100 = 0",
     "representatives": "SELECT source_id, chunk_id FROM (SELECT source source_id, doc_id chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) n FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) f FROM documents) WHERE f = 1) WHERE n <= 3",

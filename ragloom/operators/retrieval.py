@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import text as T
 
-#: A side of at most this many rows may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A side of at most this many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
+#: Numbers in the matrices of a block of queries (8 bytes each), and rows that are scored at once.
+BLOCK_CELLS, SCORED_ROWS = 4_000_000, 1024
+
+
+def _width(f: Y.StructField) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(f.dataType, Y.StringType | Y.BinaryType):
+        return F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+    if isinstance(f.dataType, Y.ArrayType):
+        return F.greatest(F.size(f.name), F.lit(0)) * 16 + 24
+    return F.lit(8)
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Hints a broadcast if counting up to the bound shows that df is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Hints a broadcast if rows and bytes, counted up to the bound, show that df is small."""
+    few = df.limit(BROADCAST_ROWS + 1)
+    got = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum((_width(f) for f in df.schema), F.lit(0))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= BROADCAST_ROWS and got["b"] <= BROADCAST_BYTES else df
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,42 +43,211 @@ def top_k(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", t
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _better(best, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The k best of what is held (ids, scores: queries x k) and of new scores (queries x rows), ties to the least id."""
+    own = np.broadcast_to(ids, scores.shape)
+    if best is not None:
+        own, scores = np.concatenate([best[0], own], axis=1), np.concatenate([best[1], scores], axis=1)
+    order = np.lexsort((own, -scores), axis=1)[:, :k]
+    return np.take_along_axis(own, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
+def block_top_k(rows: DataFrame, queries: list, query_type: Y.DataType, k: int, scorer) -> DataFrame:
+    """(query_id, chunk_id, score): per task the k best rows for each of a block of queries.
+
+    scorer() gives a task's function of an Arrow batch: scores, queries x rows, -inf where a row is no hit.
+    A task holds k rows a query and SCORED_ROWS rows.
+    """
+    id_type = rows.schema["chunk_id"].dataType
+    schema = Y.StructType([Y.StructField("query_id", query_type), Y.StructField("chunk_id", id_type), Y.StructField("score", Y.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        score, best = scorer(), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
+                best = _better(best, np.array(part.column("chunk_id").to_pylist()), score(part), k)
+        if best is not None:
+            q, n = np.nonzero(best[1] > -np.inf)
+            ids = [queries[i] for i in q.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(query_type)), pa.array(best[0][q, n].tolist(), to_arrow_type(id_type)), pa.array(best[1][q, n])], names=["query_id", "chunk_id", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(rows: list, cells: int) -> list[list]:
+    """Rows in blocks of at most BLOCK_CELLS numbers at cells a row."""
+    n = max(BLOCK_CELLS // max(cells, 1), 1)
+    return [rows[i : i + n] for i in range(0, len(rows), n)]
+
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    out = parts[0] if parts else empty
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _scoped(batch, scopes: list | None) -> np.ndarray | None:
+    """Whether each query (row) may see each row of a batch (column); a null scope sees nothing."""
+    if scopes is None:
+        return None
+    code = {s: n for n, s in enumerate(dict.fromkeys(scopes)) if s is not None}
+    held = np.array([code.get(s, -1) for s in batch.column("scope").to_pylist()])
+    asked = np.array([code.get(s, -2) for s in scopes])
+    return asked[:, None] == held[None, :]
+
+
+def _cosines(queries: list[list[float]], scopes: list | None):
+    def scorer():
+        sizes = np.array([len(q) for q in queries])
+        by_size = {n: np.array([queries[i] for i in np.flatnonzero(sizes == n)], dtype=np.float64).reshape(-1, n) for n in np.unique(sizes).tolist()}
+
+        def unit(m: np.ndarray) -> np.ndarray:
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+        def score(batch):
+            rows = [v or [] for v in batch.column("v").to_pylist()]
+            many = np.array([len(v) for v in rows])
+            out = np.zeros((len(queries), len(rows)))
+            for n in np.unique(many).tolist():
+                at = np.flatnonzero(many == n)
+                v = np.array([rows[i] for i in at], dtype=np.float64).reshape(-1, n)
+                for m, q in by_size.items():
+                    both = min(n, m)
+                    out[np.ix_(np.flatnonzero(sizes == m), at)] = unit(q[:, :both]) @ unit(v[:, :both]).T
+            out = np.round(out, 12)  # equal vectors score the same wherever they stand
+            seen = _scoped(batch, scopes)
+            return out if seen is None else np.where(seen, out, -np.inf)
+
+        return score
+
+    return scorer
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """Exact cosine top-k of queries (query_id, qv) among vectors (chunk_id, v): a stated query set in blocks.
 
-    scope: a column of both; a query then sees the vectors of its scope alone, filtered before the top k.
+    Each block is a matrix product per batch of vectors; a task keeps k rows a query, so the shuffle moves
+    tasks x queries x k rows. Vectors of unequal length are compared over the shorter length; an empty or
+    zero one scores 0. scope: a column of both; a query then sees the vectors of its scope alone.
+    """
+    asked = queries.select("query_id", "qv", *([F.col(scope).alias("scope")] if scope else [])).collect()
+    rows = vectors.select("chunk_id", "v", *([F.col(scope).alias("scope")] if scope else []))
+    kind = queries.schema["query_id"].dataType
+    width = max((len(r["qv"] or ()) for r in asked), default=1)
+    parts = [block_top_k(rows, [r["query_id"] for r in b], kind, k, _cosines([list(r["qv"] or ()) for r in b], [r["scope"] for r in b] if scope else None)) for b in _blocks(asked, max(width, SCORED_ROWS))]
+    return top_k(_union(parts, queries.limit(0).join(vectors.limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))), k)
+
+
+def postings(chunks: DataFrame, tokens: Column) -> DataFrame:
+    """(chunk_id, tokens): 64-bit hashes of each chunk's tokens in order, 8 bytes each.
+
+    An index that can be written once: bm25_top_k takes chunks with this column and reads no text.
     """
-    return top_k(vectors.join(_small(queries), scope).select("query_id", "chunk_id", cosine(F.col("qv"), F.col("v")).alias("score")), k)
+    return chunks.select("*", F.transform(tokens, lambda t: F.xxhash64(t)).alias("tokens"))
+
+
+def _counted(terms: np.ndarray):
+    """Per task: chunks and tokens, and of each query term the chunks that have it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        df, n, size = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            flat, doc, _ = _flat(batch)
+            n, size = n + batch.num_rows, size + len(flat)
+            at, doc = _numbers(flat, doc, terms)
+            df += np.bincount(np.unique(doc * max(len(terms), 1) + at) % max(len(terms), 1), minlength=len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([size]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["n", "size", "df"])
 
+    return run
 
-def postings(chunks: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, chunk_id, tf) and (chunk_id, len)."""
-    t = chunks.select("chunk_id", tokens.alias("tokens"))
-    return t.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), t.select("chunk_id", F.size("tokens").alias("len"))
+
+def _flat(batch):
+    """The token hashes of a batch, their rows, and the number of tokens of each row."""
+    column = batch.column("tokens")
+    many = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    if column.null_count:
+        many = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, many)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), many), many
+
+
+def _numbers(flat: np.ndarray, doc: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens that are query terms: the term's number and the row."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+    ok = terms[at] == flat
+    return at[ok], doc[ok]
+
+
+def _bm25(terms: np.ndarray, weight: np.ndarray, scopes: list | None, avg: float, k1: float, b: float):
+    """terms: sorted hashes; weight: terms x queries, idf times the term's count in the query."""
+
+    def scorer():
+        def score(batch):
+            flat, doc, many = _flat(batch)
+            at, doc = _numbers(flat, doc, terms)
+            cells, tf = np.unique(doc * len(terms) + at, return_counts=True)
+            doc, at = cells // len(terms), cells % len(terms)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * many[doc] / max(avg, 1e-12)))
+            used, column = np.unique(at, return_inverse=True)
+            dense = np.zeros((batch.num_rows, len(used)))
+            dense[doc, column] = part
+            out = (dense @ weight[used]).T
+            out = np.where(out > 0, np.round(out, 6), -np.inf)
+            seen = _scoped(batch, scopes)
+            return out if seen is None else np.where(seen, out, -np.inf)
+
+        return score
+
+    return scorer
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1: float = 1.2, b: float = 0.75, scope: str | None = None) -> DataFrame:
     """BM25 top-k of queries (query_id, query) among chunks (chunk_id, text); repeated query terms count again.
 
-    scope: a column of both that hits must share; the statistics stay those of all chunks.
+    A stated query set in blocks: one pass over the chunks counts the query terms, a second scores blocks of
+    queries as matrix products and keeps k rows a query and task, so no token is shuffled. chunks may be
+    an index made by postings(). scope: a column of both that hits must share; the statistics stay those of
+    all chunks.
     """
-    post, size = postings(chunks, tokens(F.col("text")))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hit = post.join(_small(terms.select("term").distinct()), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "term").join(terms, "term").join(size, "chunk_id").join(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    if scope:
-        asked, held = queries.select("query_id", F.col(scope).alias("asked")), chunks.select("chunk_id", F.col(scope).alias("held"))
-        scored = scored.join(_small(asked), "query_id").join(held, "chunk_id").where("asked = held")
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("qf")
-    return top_k(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    index = chunks if "tokens" in chunks.columns else postings(chunks, tokens(F.col("text")))
+    index = index.select("chunk_id", "tokens", *([F.col(scope).alias("scope")] if scope else []))
+    asked = queries.select("query_id", F.transform(tokens(F.col("query")), lambda t: F.xxhash64(t)).alias("tokens"), *([F.col(scope).alias("scope")] if scope else [])).collect()
+    kind = queries.schema["query_id"].dataType
+    terms = np.unique(np.array([t for r in asked for t in r["tokens"] or ()], dtype=np.int64))
+    stats = index.select("tokens").mapInArrow(_counted(terms), "n long, size long, df array<long>")
+    each = stats.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    df = np.zeros(len(terms), dtype=np.int64)
+    for r in stats.select(F.posexplode("df").alias("i", "d")).where("d > 0").groupBy("i").agg(F.sum("d").alias("d")).collect():
+        df[r["i"]] = r["d"]
+    n = each["n"] or 0
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6) if n else np.zeros(len(terms))
+    parts = []
+    for block in _blocks(asked, max(len(terms), SCORED_ROWS)):
+        own = np.unique(np.array([t for r in block for t in r["tokens"] or ()], dtype=np.int64))
+        weight = np.zeros((len(own), len(block)))
+        for q, r in enumerate(block):
+            np.add.at(weight[:, q], np.searchsorted(own, np.array(r["tokens"] or (), dtype=np.int64)), 1)
+        weight *= idf[np.searchsorted(terms, own)][:, None]
+        parts.append(block_top_k(index, [r["query_id"] for r in block], kind, k, _bm25(own, weight, [r["scope"] for r in block] if scope else None, (each["size"] or 0) / max(n, 1), k1, b)))
+    return top_k(_union(parts, queries.limit(0).join(chunks.limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))), k)
 
 
 def rrf(rankings: DataFrame, k: int | None = None, constant: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion of (query_id, chunk_id, rank, weight); two rankings make a hybrid hit."""
-    got = rankings.where("weight > 0").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (F.lit(constant) + F.col("rank"))), 9).alias("score"), F.count("*").alias("lists"))
+    """Weighted reciprocal-rank fusion of (query_id, chunk_id, rank, weight); two rankings make a hybrid hit.
+
+    With semantic_score and ranking_no, a hit carries the score of the last ranking that has one.
+    """
+    last = [F.max_by("semantic_score", F.when(F.col("semantic_score").isNotNull(), F.col("ranking_no"))).alias("semantic_score")] if "semantic_score" in rankings.columns else []
+    got = rankings.where("weight > 0").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (F.lit(constant) + F.col("rank"))), 9).alias("score"), F.count("*").alias("lists"), *last)
     got = got.withColumn("hit_source", F.when(F.col("lists") >= 2, "hybrid").otherwise("single"))
     return top_k(got, k) if k else got
 
@@ -117,8 +301,10 @@ def lexical_boost(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", version: str = "version") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    return old.unionByName(new).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Old and new rows, the highest version of each key; of equal versions the new row, then the greatest by its values."""
+    old, new = old.withColumn("fresh", F.lit(0)), new.withColumn("fresh", F.lit(1))
+    w = Window.partitionBy(key).orderBy(F.desc(version), F.desc("fresh"), F.desc(F.xxhash64(*[c for c in new.columns if c != "fresh"])))
+    return old.unionByName(new).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "fresh")
 
 
 def ingest_plan(files: DataFrame, state: DataFrame) -> DataFrame:
