@@ -47,10 +47,9 @@ def heading_boost(hits: DataFrame, alpha: float) -> DataFrame:
 def index_inject(hits: DataFrame, queries: DataFrame, index: DataFrame, n: int, alpha: float, idf: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score): the pool plus alpha * overlap for the n best entries of index (chunk_id, caption).
 
-    Pairs are found by an equi-join on bigrams, which loses nothing at an overlap over 0. Entries that the
-    pool lacks join it with their bonus alone.
+    Entries that the pool lacks join it with their bonus alone.
     """
-    pairs = R.caption_join(queries, index.select("caption").distinct(), 0.0).where("overlap > 0")
+    pairs = R.caption_join(queries, index.select("caption").distinct(), LEAST_OVERLAP)  # no idf is above 1
     if idf is not None:
         pairs = pairs.join(idf.select("caption", "idf"), "caption", "left").withColumn("overlap", F.col("overlap") * F.coalesce("idf", F.lit(1.0)))
     best = R.top_k(pairs.where(F.col("overlap") >= LEAST_OVERLAP).join(index, "caption"), n, "overlap")

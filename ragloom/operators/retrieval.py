@@ -285,11 +285,68 @@ def caption_idf(captions: DataFrame) -> DataFrame:
     return got.select("caption", "df", F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 9).alias("idf"))
 
 
+def shared_grams(queries: DataFrame, items: DataFrame, key: str, least: float | None = None) -> DataFrame:
+    """Of queries and items (key), each with grams (array of distinct strings): (query_id, key, both, nq, nc).
+
+    A stated query set in blocks: shared grams are counted by a matrix product per batch of items, so that no
+    gram is shuffled. With least, pairs of a Jaccard overlap of least or more that share a gram; without, per
+    query and task the one row that shares most.
+    """
+    hashed = F.transform("grams", lambda g: F.xxhash64(g)).alias("tokens")
+    asked = queries.select("query_id", hashed).collect()
+    kind, key_type = queries.schema["query_id"].dataType, items.schema[key].dataType
+    schema = Y.StructType([Y.StructField("query_id", kind), Y.StructField(key, key_type), *[Y.StructField(x, Y.LongType()) for x in ("both", "nq", "nc")]])
+    every = len({t for r in asked for t in r["tokens"] or ()})
+
+    def block(rows: list):
+        ids = [r["query_id"] for r in rows]
+        terms = np.unique(np.array([t for r in rows for t in r["tokens"] or ()], dtype=np.int64))
+        size = np.array([len(r["tokens"] or ()) for r in rows])
+
+        def run(batches):
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            there = np.zeros((len(terms), len(rows)), dtype=np.float32)
+            for q, r in enumerate(rows):
+                there[np.searchsorted(terms, np.array(r["tokens"] or (), dtype=np.int64)), q] = 1
+            best = np.zeros(len(rows)), [None] * len(rows), np.zeros(len(rows))
+
+            def batch_of(q, names, both, nc):
+                return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], to_arrow_type(kind)), pa.array(names, to_arrow_type(key_type)), *[pa.array(np.asarray(x).astype(np.int64)) for x in (both, size[q], nc)]], names=schema.names)
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, SCORED_ROWS):
+                    part = batch.slice(at, SCORED_ROWS)
+                    flat, doc, many = _flat(part)
+                    term, doc = _numbers(flat, doc, terms)
+                    used, column = np.unique(term, return_inverse=True)
+                    dense = np.zeros((part.num_rows, len(used)), dtype=np.float32)
+                    dense[doc, column] = 1
+                    both = dense @ there[used]
+                    names = part.column(key)
+                    if least is None:
+                        top = both.argmax(axis=0)
+                        for q in np.flatnonzero(both[top, np.arange(len(rows))] > best[0]).tolist():
+                            best[0][q], best[1][q], best[2][q] = both[top[q], q], names[int(top[q])].as_py(), many[top[q]]
+                    else:
+                        n, q = np.nonzero((both > 0) & (both >= (least - 1e-8) * (many[:, None] + size - both)))
+                        yield batch_of(q, names.take(pa.array(n)).to_pylist(), both[n, q], many[n])
+            if least is None:
+                q = np.flatnonzero(best[0])
+                yield batch_of(q, [best[1][i] for i in q.tolist()], best[0][q], best[2][q])
+
+        return run
+
+    rows = items.select(key, hashed)
+    parts = [rows.mapInArrow(block(b), schema) for b in _blocks(asked, max(every, SCORED_ROWS))]
+    return _union(parts, rows.sparkSession.createDataFrame([], schema))
+
+
 def caption_join(queries: DataFrame, captions: DataFrame, least: float = 0.10) -> DataFrame:
-    """(query_id, caption, overlap >= least): pairs that share a bigram are found by an equi-join on bigrams."""
-    q = queries.select("query_id", T.bigrams(F.col("query")).alias("qb"))
-    c = captions.select("caption", T.bigrams(F.col("caption")).alias("cb"))
-    shared = q.select("query_id", F.size("qb").alias("nq"), F.explode("qb").alias("g")).join(c.select("caption", F.size("cb").alias("nc"), F.explode("cb").alias("g")), "g").groupBy("query_id", "caption", "nq", "nc").agg(F.count("*").alias("both"))
+    """(query_id, caption, overlap >= least) of pairs that share a bigram."""
+    q = queries.select("query_id", T.bigrams(F.col("query")).alias("grams"))
+    shared = shared_grams(q, captions.select("caption", T.bigrams(F.col("caption")).alias("grams")), "caption", least)
     return shared.withColumn("overlap", F.round(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")), 9)).where(F.col("overlap") >= least).select("query_id", "caption", "overlap")
 
 

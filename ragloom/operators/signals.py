@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import retrieval as R
 
 #: Chunks that the vocabulary signals look at, by position.
 SAMPLE = 256
@@ -13,16 +14,17 @@ ENRICH_BELOW, ENRICH_UP_TO = 0.30, 0.40
 
 
 def body_recall(queries: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(query_id, recall): the largest share of a query's bigrams that one body (chunk_id, text) holds; 0 if none.
+    """(query_id, recall): the largest share of a query's bigrams that one body (chunk_id, text) holds; 0 if none."""
+    q = queries.select("query_id", T.bigrams(F.col("query")).alias("grams"))
+    shared = R.shared_grams(q, bodies.select("chunk_id", T.bigrams(F.col("text")).alias("grams")), "chunk_id")
+    best = shared.groupBy("query_id").agg(F.max(F.col("both") / F.col("nq")).alias("recall"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
-    Pairs that share a bigram are found by an equi-join; counts are combined before the shuffle.
-    """
-    q = queries.select("query_id", T.bigrams(F.col("query")).alias("qb"))
-    grams = q.select("query_id", F.size("qb").alias("n"), F.explode("qb").alias("g"))
-    body = bodies.select("chunk_id", F.explode(T.bigrams(F.col("text"))).alias("g"))
-    shared = body.join(grams, "g").groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("m"))
-    best = shared.groupBy("query_id").agg(F.max(F.col("m") / F.col("n")).alias("recall"))
-    return q.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"))
+
+def title_match(queries: DataFrame, chunks: DataFrame, n: int = SAMPLE) -> DataFrame:
+    """(query_id, recall) against the last headings of the first n chunks that have one."""
+    own = chunks.withColumn("text", F.trim(F.try_element_at("heading_path", F.lit(-1)))).where("text <> ''")
+    return body_recall(queries, sample(own, n))
 
 
 def recall_mean(queries: DataFrame, bodies: DataFrame) -> DataFrame:
