@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_documents, catalog_text
+from . import catalog_documents, catalog_parts, catalog_text
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import retrieval as R
@@ -170,6 +170,7 @@ QUERIES = {
     "vector_top_k_scoped": q_vector_scoped, "bm25_top_k_scoped": q_bm25_scoped, "multi_query_rrf": q_multi,
     **catalog_text.QUERIES,
     **catalog_documents.QUERIES,
+    **catalog_parts.QUERIES,
 }
 
 _VEC = """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -228,4 +229,5 @@ ORACLE = {
  SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", chunk_id, source_id, score, hit_source FROM c WHERE nth <= 2) WHERE "rank" <= 10""",
     **catalog_text.oracle(_VEC, _HEAD, _BI),
     **catalog_documents.ORACLE,
+    **catalog_parts.oracle(_VEC, _BM, _BI),
 }

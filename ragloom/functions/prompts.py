@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Phrases and keywords that routing looks for; replace them for other languages.
 REFUSALS = ("わかりません", "見つかりません", "not found", "i don't know", "cannot answer")
-SUMMARY_WORDS = ("要約", "まとめ", "概要", "summary", "summarize", "overview")
+# Keywords of summary questions. The English ones are our addition.
+SUMMARY_WORDS = ("要約", "概要", "全体像", "要点", "まとめて", "について教えて") + ("summary", "summarize", "overview")
 SUFFIX = " ｜ シナリオ: "
 STOP = ("<end_of_turn>", "<|im_end|>")
 
@@ -131,6 +132,31 @@ def enrich(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) == 0, text).when(text.rlike(r"^\([^)]*\)"), F.concat(F.regexp_extract(text, r"^\(([^)]*)\)", 0).substr(F.lit(1), F.instr(text, ")") - 1), F.lit(SUFFIX), extra, F.substring(text, F.instr(text, ")"), F.length(text)))).otherwise(F.concat(F.lit("("), extra, F.lit(")\n"), text))
 
 
+def judge_prompt(query: Column, context: Column, answer: Column) -> Column:
+    return F.concat(F.lit("How much of the answer do the sources support? Reply with one number from 0.0 to 1.0.\nSources:\n"), context, F.lit("\nQuestion: "), query, F.lit("\nAnswer: "), answer, F.lit("\nNumber:"))
+
+
+def rewrite_prompt(query: Column, most: int) -> Column:
+    return F.concat(F.lit(f"Write up to {most} other ways to search for this, as a numbered list and nothing else.\n"), query)
+
+
+def expand_prompt(query: Column) -> Column:
+    return F.concat(F.lit("Give lines PARAPHRASE: (three), SUBQUESTION: (three) and HYDE: (one short passage that would answer).\n"), query)
+
+
+def intent_prompt(query: Column) -> Column:
+    return F.concat(F.lit("Classify the question. Reply with three lines:\nINTENT: summary, lookup, compare or smalltalk\nTOPIC: a few words, or all\nSOURCES: names, separated by commas\n"), query)
+
+
+def questions_prompt(text: Column, most: int) -> Column:
+    return F.concat(F.lit(f"List up to {most} questions that this passage answers, numbered.\n"), text)
+
+
+def tokenize_for_fts(tokens: Column) -> Column:
+    """Tokens as a text that a full-text index splits at spaces; control characters are taken out."""
+    return F.array_join(F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"\p{Cc}", "")), lambda t: t != ""), " ")
+
+
 def risk_findings(text: Column) -> Column:
     """Findings (severity, category) in a contract clause."""
     kind = "array<struct<severity:string,category:string>>"

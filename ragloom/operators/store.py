@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from . import retrieval as R
+
 CHUNKS = "chunk_id string, source_id string, ord int, text string, heading_path array<string>, page int, embedding array<float>, version long, deleted string, notebook_id string"
 
 
@@ -44,6 +47,10 @@ class ChunkStore:
     def delete_by_notebook(self, notebook: str, version: int | None = None) -> int:
         return self._tombstone(notebook, None, version)
 
+    def delete_sources(self, notebook: str, sources: DataFrame, version: int | None = None) -> None:
+        """Tombstones for all source_ids of a table at once."""
+        self._put(sources.select("source_id").distinct().withColumns({"notebook_id": F.lit(notebook), "deleted": F.lit("source"), "version": F.lit(version or time.time_ns())}))
+
     def chunks(self, notebook: str | None = None) -> DataFrame:
         """The latest version of each chunk that no later tombstone covers; a notebook prunes partitions."""
         try:
@@ -66,6 +73,33 @@ class ChunkStore:
         new._put(self.chunks().withColumn("deleted", F.lit(None).cast("string")))
         return new
 
+    # The store's side of retrieval: a notebook prunes partitions, a scope filters before the top k.
+
+    def _scope(self, notebook: str | None, sources: DataFrame | None) -> DataFrame:
+        c = self.chunks(notebook)
+        return c if sources is None else c.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+
+    def search_vectors(self, queries: DataFrame, k: int, notebook: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+        """The k nearest chunks of queries (query_id, qv)."""
+        return R.vector_top_k(queries, self._scope(notebook, sources).where("embedding is not null").select("chunk_id", F.col("embedding").alias("v")), k)
+
+    def search_keywords(self, queries: DataFrame, k: int, notebook: str | None = None, sources: DataFrame | None = None, tokens=T.words) -> DataFrame:
+        """The k best chunks of queries (query_id, query) by BM25; statistics are those of the scope."""
+        return R.bm25_top_k(queries, self._scope(notebook, sources).select("chunk_id", "text"), k, tokens)
+
+    def neighbours(self, hits: DataFrame, width: int, notebook: str | None = None) -> DataFrame:
+        """(hit_id, near_id) of hits (chunk_id): chunks of the same source within width positions."""
+        c = self.chunks(notebook).select("chunk_id", "source_id", "ord")
+        return R.neighbours(c.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "hit_id"), c, width).select("hit_id", "near_id")
+
+    def representatives(self, per_source: int, notebook: str | None = None, sources: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
+        """First chunks of the sources in scope, or those on a topic, by source and position."""
+        c = self._scope(notebook, sources)
+        return (R.representatives(c, per_source) if topic is None else representatives_for_topic(c, topic, per_source)).orderBy("source_id", "ord", "chunk_id")
+
+    def index(self, kind: str, notebook: str | None = None) -> DataFrame:
+        return index_of(self.chunks(notebook), kind)
+
     def count_chunks(self, notebook: str | None = None, source: str | None = None) -> int:
         c = self.chunks(notebook)
         return (c.where(F.col("source_id") == source) if source is not None else c).count()
@@ -74,6 +108,50 @@ class ChunkStore:
         return self.chunks(notebook).select("source_id").distinct().count()
 
 
+#: Characters of a text that captions and defined terms are looked for in: fixed values.
+CAPTION_HEAD, TERM_HEAD = 200, 400
+
+
+def index_of(chunks: DataFrame, kind: str) -> DataFrame:
+    """(chunk_id, caption) of all captions, headings (joined by /) or defined terms of chunks."""
+    text = F.col("text")
+    if kind == "captions":
+        got = chunks.select("chunk_id", T.caption_or_lead(F.substring(text, 1, CAPTION_HEAD)).alias("caption"))
+    elif kind == "headings":
+        got = chunks.select("chunk_id", F.array_join("heading_path", "/").alias("caption"))
+    elif kind == "defined_terms":
+        got = chunks.select("chunk_id", F.explode(T.defined_terms(F.substring(text, 1, TERM_HEAD))).alias("caption"))
+    else:
+        raise ValueError(f"no index of {kind}")
+    return got.where("caption <> ''")
+
+
+def caption_samples(chunks: DataFrame, most: int) -> DataFrame:
+    """The first captions by position."""
+    own = chunks.withColumn("caption", T.caption_or_lead(F.substring("text", 1, CAPTION_HEAD))).where("caption is not null")
+    return own.orderBy("ord", "chunk_id").limit(most).select("caption")
+
+
+def source_counts(chunks: DataFrame, exactly: int | None = None) -> DataFrame:
+    """(source_id, n): chunks of each source; those with an exact number only, where asked."""
+    got = chunks.groupBy("source_id").agg(F.count("*").alias("n"))
+    return got if exactly is None else got.where(F.col("n") == exactly)
+
+
+def largest_source(chunks: DataFrame) -> DataFrame:
+    """The source with the most chunks, the least id on ties."""
+    return source_counts(chunks).orderBy(F.desc("n"), "source_id").limit(1)
+
+
+def text_like(chunks: DataFrame, pattern: str) -> DataFrame:
+    return chunks.where(F.col("text").like(pattern))
+
+
+def documents_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the document (source) of their chunk; hits of chunks that are gone drop out."""
+    return hits.join(chunks.select("chunk_id", F.col("source_id").alias("doc_id")), "chunk_id")
+
+
 def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
@@ -90,9 +168,7 @@ def texts_by_source(chunks: DataFrame) -> DataFrame:
 
 def substring_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The first k chunks, by position, that hold the whole query in either case; score 1."""
-    from .retrieval import _small
-
-    hit = chunks.join(_small(queries.select("query_id", F.lower("query").alias("q"))), F.contains(F.lower("text"), F.col("q")))
+    hit = chunks.join(R._small(queries.select("query_id", F.lower("query").alias("q"))), F.contains(F.lower("text"), F.col("q")))
     w = Window.partitionBy("query_id").orderBy("ord", "chunk_id")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("score"))
 
@@ -118,11 +194,9 @@ def block_at(blocks: DataFrame, positions: DataFrame) -> DataFrame:
 
 def representatives_for_topic(chunks: DataFrame, topic: Column, per_source: int) -> DataFrame:
     """Chunks whose heading has the topic, else those whose text has it, else the representatives."""
-    from .retrieval import representatives
-
     head = F.contains(F.lower(F.concat_ws(" ", "heading_path")), F.lower(topic))
     body = F.contains(F.lower("text"), F.lower(topic))
     c = chunks.withColumn("tier", F.when(head, 1).when(body, 2).otherwise(3)).withColumn("best", F.min("tier").over(Window.partitionBy("source_id")))
     named = c.where("tier = best and best < 3").withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy("ord", "chunk_id"))).where(F.col("n") <= per_source)
-    rest = representatives(c.where("best = 3"), per_source)
+    rest = R.representatives(c.where("best = 3"), per_source)
     return named.drop("tier", "best", "n").unionByName(rest.drop("tier", "best"))

@@ -19,11 +19,19 @@ def fingerprint(files: DataFrame) -> Column:
     return F.concat_ws(":", F.col("length"), F.unix_micros("modificationTime"))
 
 
-def read_files(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
-    """Files below a folder with kind and fingerprint; contents are read only where used."""
+def read_files(spark: SparkSession, path: str, hidden: bool = False, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """Files below a folder with kind and fingerprint; contents are read only where used.
+
+    extensions: suffixes to take, in either case; all without. Hidden files and those in hidden folders below
+    the root are left out unless asked for; the root itself may be hidden. Links are followed where the file
+    system does.
+    """
     got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     got = got.withColumn("kind", detect_kind(F.col("path"))).withColumn("fingerprint", fingerprint(got))
-    return got if hidden else got.where(~F.col("path").rlike(r"/\.[^/]+$"))
+    if extensions:
+        got = got.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
+    below = F.substring("path", F.instr("path", path.rstrip("/")) + len(path.rstrip("/")), F.length("path"))
+    return got if hidden else got.where(~below.rlike(r"/\.[^/]"))
 
 
 def paragraphs(text: Column) -> Column:

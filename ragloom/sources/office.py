@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 BLOCKS = "path string, block_idx int, text string, heading_path array<string>, page int"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 SHEET_ROWS = 20
 
@@ -40,7 +42,19 @@ def parse_markdown(content: bytes) -> Iterator[Block]:
         return [(text, [h for _, h in stack], None)] if text else []
 
     lines = content.decode("utf-8", errors="replace").splitlines()
+    fence = listed = None
     for line in lines:
+        mark = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
+        if mark and (fence is None or mark[1].startswith(fence)):
+            fence = mark[1] if fence is None else None
+            continue
+        if fence is not None:
+            held.append(line)
+            continue
+        item = re.match(r"\s*(?:[-*+]|\d+[.)])\s+", line)
+        if listed and not item and line.strip() and not line[0].isspace():  # the list has ended
+            yield from flush()
+        listed = item or (listed if line[:1].isspace() or not line.strip() else None)
         m = re.match(r"(#{1,6})\s+(.*?)\s*#*$", line)
         underline = re.match(r"(=+|-+)\s*$", line)
         if m:
@@ -79,15 +93,44 @@ def _cells(z: zipfile.ZipFile, name: str, shared: list[str]) -> Iterator[list[st
         yield out
 
 
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """id -> (type, file) of the relations of a part of the package."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    path = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}")
+    return {r.get("Id"): (r.get("Type", "").rpartition("/")[2], path(r.get("Target", ""))) for r in ElementTree.fromstring(z.read(rels))}
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, file) of the sheets in the workbook's order, by relation, else by number."""
+    found = _targets(z, "xl/workbook.xml")
+    sheets = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"))
+    by_id = lambda s: found.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None), (None, None))[1]
+    return [(s.get("name"), by_id(s) or f"xl/worksheets/sheet{i}.xml") for i, s in enumerate(sheets, 1)]
+
+
+def sheet_texts(content: bytes) -> list[str]:
+    """One text per sheet in order; a sheet that cannot be read is empty."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        for _, sheet in _sheets(z):
+            try:
+                out.append("\n".join(" | ".join(r) for r in _cells(z, sheet, shared) if any(x.strip() for x in r)))
+            except (KeyError, ValueError, IndexError, ElementTree.ParseError):
+                out.append("")
+    return out
+
+
 def parse_xlsx(content: bytes) -> Iterator[Block]:
     """Blocks of SHEET_ROWS rows under the sheet's name, each led by the header row."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-        for title, sheet in zip(titles, sheets, strict=False):
-            rows = [" | ".join(r) for r in _cells(z, sheet, shared)]
+        for title, sheet in _sheets(z):
+            rows = [" | ".join(r) for r in _cells(z, sheet, shared)] if sheet in names else []
             if not rows:
                 continue
             for i in range(max(1, -(-(len(rows) - 1) // SHEET_ROWS))):
@@ -100,35 +143,76 @@ def _paragraphs(xml: bytes) -> str:
     return "\n".join(t for t in ("".join(x.text or "" for x in p.iter(f"{_A}t")) for p in ElementTree.fromstring(xml).iter(f"{_A}p")) if t.strip())
 
 
-def parse_pptx(content: bytes) -> Iterator[Block]:
-    """A block per slide in order of its number, and one for its notes."""
+#: Placeholders of notes that are not text: fixed values.
+FURNITURE = ("sldNum", "dt", "ftr")
+
+
+def notes_body(xml: bytes) -> str:
+    """Paragraphs of the shapes of a notes page, without slide numbers, dates and footers."""
+    shapes = ElementTree.fromstring(xml).iter(f"{_P}sp")
+    own = [s for s in shapes if not any(p.get("type") in FURNITURE for p in s.iter(f"{_P}ph"))]
+    return "\n".join(t for t in (_paragraphs(ElementTree.tostring(s)) for s in own) if t)
+
+
+def _slides(content: bytes) -> Iterator[tuple[str, str]]:
+    """(text, notes) of the slides in order of their numbers; notes by relation, else by number."""
     number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        for page, name in enumerate(sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number), 1):
-            if text := _paragraphs(z.read(name)):
-                yield text, [f"Slide {page}"], page
-            notes = f"ppt/notesSlides/notesSlide{number(name)}.xml"
-            if notes in names and (text := _paragraphs(z.read(notes))):
-                yield text, [f"Slide {page}", "Notes"], page
+        for name in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
+            related = _targets(z, name)
+            notes = next((t for kind, t in related.values() if kind == "notesSlide"), None if related else f"ppt/notesSlides/notesSlide{number(name)}.xml")
+            yield _paragraphs(z.read(name)), notes_body(z.read(notes)) if notes in names else ""
+
+
+def parse_pptx(content: bytes) -> Iterator[Block]:
+    """A block per slide in order of its number, and one for its notes."""
+    for page, (text, notes) in enumerate(_slides(content), 1):
+        if text:
+            yield text, [f"Slide {page}"], page
+        if notes:
+            yield notes, [f"Slide {page}", "Notes"], page
+
+
+def slide_texts(content: bytes) -> list[str]:
+    """One text per slide, its notes behind it."""
+    return [text + (f"\n\nNotes:\n{notes}" if notes else "") for text, notes in _slides(content)]
 
 
 PARSERS = {"text": parse_text, "markdown": parse_markdown, "docx": parse_docx, "xlsx": parse_xlsx, "pptx": parse_pptx}
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Blocks of (path, kind, content) rows; kinds without parser give none."""
+def parse_one(kind: str | None, content: bytes | None) -> tuple[list[Block], str | None]:
+    """Blocks, or why there are none: images have no text of their own, audio needs a recogniser."""
+    if kind == "image":
+        return [], None
+    if kind not in PARSERS:
+        return [], f"no parser for {kind}"
+    if content is None:
+        return [], "no content"
+    try:
+        return list(PARSERS[kind](content)), None
+    except Exception as e:  # noqa: BLE001 - a damaged file costs its own row, not the job
+        return [], f"{type(e).__name__}: {e}"[:200]
+
+
+def parse_all(files: DataFrame) -> DataFrame:
+    """Blocks of (path, kind, content) rows with their kind, and for a file that cannot be parsed one row with an error."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
             for path, kind, content in zip(*(batch.column(k).to_pylist() for k in ("path", "kind", "content")), strict=True):
-                if kind in PARSERS and content is not None:
-                    rows += [(path, i, *b) for i, b in enumerate(PARSERS[kind](content))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True)], names=["path", "block_idx", "text", "heading_path", "page"])
+                blocks, error = parse_one(kind, content)
+                rows = [(path, kind, i, *b, None) for i, b in enumerate(blocks)] + ([(path, kind, None, None, None, None, error)] if error else [])
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True)], names=["path", "kind", "block_idx", "text", "heading_path", "page", "error"])
 
-    return files.select("path", "kind", "content").mapInArrow(run, BLOCKS)
+    return files.select("path", "kind", "content").mapInArrow(run, "path string, kind string, block_idx int, text string, heading_path array<string>, page int, error string")
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Blocks of (path, kind, content) rows; files that cannot be parsed give none."""
+    return parse_all(files).where("error is null").drop("kind", "error")
