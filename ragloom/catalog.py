@@ -134,13 +134,6 @@ def q_caption_join(s, d):
     return R.caption_join(_queries(s, d), _captions(s, d).select("caption").distinct())
 
 
-def q_citations(s, d):
-    c = _t(s, d, "conversations").where("role = 'assistant'")
-    answers = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(F.lit("[1] and [3] "), "text").alias("answer"))
-    hits = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit(1).alias("rank"), "text")
-    return E.verify_citations(answers, hits)
-
-
 def q_prompt(s, d):
     turn = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
     return _t(s, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["line"]), "\n")).alias("prompt_md5"))
@@ -166,7 +159,7 @@ def q_recency(s, d):
 QUERIES = {
     "hybrid_search": q_hybrid, "vector_top_k": q_vector, "bm25_top_k": q_bm25, "rrf_fusion": q_rrf, "cap_per_source": q_rank_cap, "ir_metrics": q_metrics, "scope_counts": q_scope_counts,
     "neighbour_chunks": q_neighbours, "representatives": q_representatives, "noise_filter": q_noise, "sentence_split": q_sentences, "char_bigrams": q_bigrams, "sliding_windows": q_windows,
-    "page_headings": q_headings, "caption_idf": q_caption_idf, "caption_overlap_join": q_caption_join, "citation_check": q_citations, "prompt_assembly": q_prompt, "ingest_plan": q_ingest, "upsert": q_upsert, "recency_boost": q_recency,
+    "page_headings": q_headings, "caption_idf": q_caption_idf, "caption_overlap_join": q_caption_join, "prompt_assembly": q_prompt, "ingest_plan": q_ingest, "upsert": q_upsert, "recency_boost": q_recency,
     "vector_top_k_scoped": q_vector_scoped, "bm25_top_k_scoped": q_bm25_scoped, "multi_query_rrf": q_multi,
     **catalog_text.QUERIES,
     **catalog_documents.QUERIES,
@@ -205,7 +198,6 @@ ORACLE = {
     "page_headings": _HEAD + "SELECT page_id, caption FROM h",
     "caption_idf": _HEAD + "SELECT caption, df, round(greatest(least(ln((n + 1.0::DOUBLE) / (df + 1)) / greatest(ln((n + 1.0::DOUBLE) / 2), 1e-6), 1.0), 0.0), 6) idf FROM (SELECT caption, count(*) df FROM h GROUP BY 1), (SELECT count(*) n FROM h)",
     "caption_overlap_join": _HEAD + ", c AS (SELECT DISTINCT caption, regexp_replace(caption, '\\s+', '', 'g') t FROM h), cb AS (SELECT caption, " + _BI.format("t") + " b FROM c), q AS (SELECT item_id query_id, regexp_replace(text, '\\s+', '', 'g') t FROM benchmark), qb AS (SELECT query_id, " + _BI.format("t") + " b FROM q), p AS (SELECT query_id, caption, len(list_intersect(qb.b, cb.b)) x, len(qb.b) + len(cb.b) y FROM qb, cb) SELECT query_id, caption, round(CAST(x AS DOUBLE) / (y - x), 9) overlap FROM p WHERE x > 0 AND round(CAST(x AS DOUBLE) / (y - x), 9) >= 0.10",
-    "citation_check": "SELECT conv_id * 100 + turn query_id, CAST(2 AS BIGINT) total, CAST(1 AS BIGINT) unsupported, 0.5::DOUBLE ratio FROM conversations WHERE role = 'assistant'",
     "prompt_assembly": "SELECT conv_id, md5(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn)) prompt_md5 FROM conversations GROUP BY 1",
     "ingest_plan": "SELECT 'd/' || doc_id || '.md' path, CASE WHEN quality IS NULL THEN 'new' WHEN quality = 1 THEN 'unchanged' ELSE 'changed' END outcome, 'markdown' kind FROM documents LEFT JOIN labels USING (doc_id)",
     "upsert": "SELECT o_orderkey chunk_id, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END price, o_orderstatus status, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END version FROM orders",

@@ -277,10 +277,25 @@ def q_corpus_chunks(s, d):
     return J.corpus_chunks(corpus, True).select("chunk_id", "source_id", F.array_join("heading_path", "/").alias("heading"), F.md5("text").alias("digest"))
 
 
+def q_answer_sources(s, d):
+    """What questions of each intent are answered from: summaries, comparisons, small talk, lookups."""
+    v = _t(s, d, "embeddings")
+    q = _queries(s, d).join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+    engine = Engine(_docs(s, d), v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")))
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("lookup", "compare", "summary", "smalltalk")]), (F.col("query_id") % 4 + 1).cast("int"))
+    return engine.sources_of(q.withColumn("intent", kinds), SearchOptions(k=10, drop_noise=False)).select("query_id", "rank", "chunk_id", F.md5("text").alias("digest"))
+
+
+def q_text_hashes(s, d):
+    """Hash embeddings of texts, checked by the hash's own arithmetic."""
+    v = _t(s, d, "benchmark").select("item_id", M.hash_embedding(F.col("text"), 12).alias("v"))
+    return v.select("item_id", F.posexplode("v").alias("dim", "x")).select("item_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 QUERIES = {
     "ingest_store": q_ingest_store, "ingest_counts": q_ingest_report, "store_search": q_store_search, "store_indexes": q_indexes, "source_counts": q_sources, "caption_samples": q_caption_samples, "topic_representatives": q_topic, "hit_documents": q_hit_documents,
-    "engine_search": q_search, "weight_sweep": q_sweep, "metrics_summary": q_summary, "golden_granularity": q_golden_kind, "corpus_signals": q_signals, "title_match": q_title_match,
-    "article_leads": q_leads, "specific_queries": q_specific, "model_replies": q_replies, "expanded_queries": q_expand, "context_blocks": q_context, "middle_truncate": q_truncate, "must_include": q_must, "sentence_spans": q_spans, "fts_tokens": q_fts, "compressor_sentences": q_compressed, "overlap_tokens": q_overlap, "cited_turns": q_citation_spans,
+    "engine_search": q_search, "answer_sources": q_answer_sources, "text_hashes": q_text_hashes, "weight_sweep": q_sweep, "metrics_summary": q_summary, "golden_granularity": q_golden_kind, "corpus_signals": q_signals, "title_match": q_title_match,
+    "article_leads": q_leads, "specific_queries": q_specific, "model_replies": q_replies, "expanded_queries": q_expand, "context_blocks": q_context, "middle_truncate": q_truncate, "must_include": q_must, "sentence_spans": q_spans, "fts_tokens": q_fts, "compressor_sentences": q_compressed, "overlap_tokens": q_overlap, "citation_check": q_citation_spans,
     "paragraph_blocks": q_paragraphs, "transcript_blocks": q_segments, "page_lines": q_lines, "sparse_text": q_sparse, "corpus_chunks": q_corpus_chunks,
 }
 
@@ -333,6 +348,23 @@ def oracle(vec: str, bm: str, bi: str) -> dict[str, str]:
  l AS (SELECT query_id, chunk_id, source_id, hit_source, CASE WHEN len(ts) = 0 THEN s ELSE round(s * (1 + 0.5::DOUBLE * len(list_filter(ts, lambda w: contains(body, w))) / len(ts)), 9) END score FROM t),
  c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, chunk_id) nth FROM l)
  SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank", chunk_id, source_id, score, hit_source FROM c WHERE nth <= 2) WHERE "rank" <= 10""",
+        "answer_sources": bm + """, vq AS (SELECT vec_id query_id, embedding qv FROM embeddings JOIN benchmark ON item_id = vec_id),
+ vs AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM vq, embeddings),
+ vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, chunk_id) "rank" FROM vs),
+ u AS (SELECT query_id, chunk_id, "rank" FROM vr WHERE "rank" <= 50 UNION ALL SELECT r.query_id, r.chunk_id, r."rank" FROM r JOIN vq USING (query_id) WHERE r."rank" <= 50),
+ f AS (SELECT query_id, chunk_id, round(sum(0.5::DOUBLE / (60 + "rank")), 9) s FROM u GROUP BY 1, 2),
+ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) k FROM f),
+ t AS (SELECT query_id, chunk_id, source source_id, s, lower(d.text) body, list_distinct(list_transform(list_filter(regexp_extract_all(b.text, '[A-Za-z0-9_]{2,}'), lambda w: regexp_matches(w, '[A-Za-z0-9]')), lambda w: lower(w))) ts FROM p JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE k <= 50),
+ l AS (SELECT query_id, chunk_id, source_id, CASE WHEN len(ts) = 0 THEN s ELSE round(s * (1 + 0.5::DOUBLE * len(list_filter(ts, lambda w: contains(body, w))) / len(ts)), 9) END score FROM t),
+ c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, chunk_id) nth FROM l),
+ h AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) "rank" FROM c WHERE query_id % 4 = 0 OR (query_id % 4 = 1 AND nth <= 2)),
+ rep AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) AS INT) "rank" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) n FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) f FROM documents) WHERE f = 1) WHERE n <= 20),
+ a AS (SELECT query_id, chunk_id, "rank" FROM h WHERE "rank" <= 10 UNION ALL SELECT query_id, doc_id, "rank" FROM vq, rep WHERE query_id % 4 = 2 AND "rank" <= 20)
+ SELECT query_id, "rank", chunk_id, md5(text) digest FROM a JOIN documents ON doc_id = chunk_id""",
+        "text_hashes": """WITH b AS (SELECT item_id, hex(encode(text)) x FROM benchmark), y AS (SELECT item_id, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substring(x, i, 2) AS UHUGEINT)) y FROM b),
+ h AS (SELECT item_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, y), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) h FROM y),
+ r AS (SELECT item_id, i, ((h * CAST(pow(2, i * 7 % 64) AS UHUGEINT)) % 18446744073709551616::UHUGEINT + h // CAST(pow(2, 64 - i * 7 % 64) AS UHUGEINT)) % 4294967296::UHUGEINT low FROM h, (SELECT unnest(range(0, 12)) i))
+ SELECT item_id, CAST(i AS INT) dim, round(CAST(CAST((CAST(low AS DOUBLE) - CASE WHEN low >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648 AS FLOAT) AS DOUBLE), 6) x FROM r""",
         "weight_sweep": vec + mean('SELECT CAST(k AS INT) run_id, query_id, chunk_id, "rank" FROM v, (SELECT unnest([3, 5, 10]) k) WHERE "rank" <= k', "run_id,"),
         "metrics_summary": vec + mean('SELECT 1 run_id, query_id, chunk_id, "rank" FROM v'),
         "golden_granularity": "SELECT 'docs' kind, 'doc' granularity UNION ALL SELECT 'parents', 'parent' UNION ALL SELECT 'others', 'doc'",
@@ -355,7 +387,7 @@ def oracle(vec: str, bm: str, bi: str) -> dict[str, str]:
         "fts_tokens": "SELECT doc_id, md5(trim('日本 本語 語の の本 と木 ' || array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w)), ' '))) digest FROM documents",
         "compressor_sentences": "WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, '. ', '! '), '[^。！？!?\\n]*[。！？!?\\n]|[^。！？!?\\n]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') p FROM documents) SELECT doc_id, len(p) n, md5(array_to_string(p, '|')) digest FROM p",
         "overlap_tokens": "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w)))), ' ') tokens FROM conversations",
-        "cited_turns": """WITH a AS (SELECT conv_id, turn, text, regexp_extract(text || ' ', '[^。.!?\\n]*$', 0) said FROM conversations WHERE role = 'assistant'), k AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(said || '1 and 2', '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) s FROM a),
+        "citation_check": """WITH a AS (SELECT conv_id, turn, text, regexp_extract(text || ' ', '[^。.!?\\n]*$', 0) said FROM conversations WHERE role = 'assistant'), k AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(said || '1 and 2', '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) s FROM a),
  h AS (SELECT conv_id, turn + 1 turn, list_distinct(list_transform(regexp_extract_all(text, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) t FROM conversations),
  x AS (SELECT k.conv_id, k.turn, CASE WHEN t IS NULL OR (len(s) > 0 AND CAST(len(list_intersect(s, t)) AS DOUBLE) / len(s) < 0.05) THEN 1 ELSE 0 END bad FROM k LEFT JOIN h USING (conv_id, turn)) SELECT conv_id * 1000 + turn query_id, CAST(2 AS BIGINT) total, CAST(1 + bad AS BIGINT) unsupported, round((1 + bad) / 2.0::DOUBLE, 9) ratio FROM x""",
         "paragraph_blocks": "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') b, len(string_split(text, '. ')) n_pages FROM documents) SELECT doc_id, generate_subscripts(b, 1) - 1 n, md5(unnest(b)) digest, n_pages FROM p",

@@ -104,7 +104,7 @@ def _scoped(batch, scopes: list | None) -> np.ndarray | None:
 def _cosines(queries: list[list[float]], scopes: list | None):
     def scorer():
         sizes = np.array([len(q) for q in queries])
-        by_size = {n: np.array([queries[i] for i in np.flatnonzero(sizes == n)], dtype=np.float64).reshape(-1, n) for n in np.unique(sizes).tolist()}
+        by_size = {n: np.array([queries[i] for i in np.flatnonzero(sizes == n)], dtype=np.float64).reshape((sizes == n).sum(), n) for n in np.unique(sizes).tolist()}
 
         def unit(m: np.ndarray) -> np.ndarray:
             norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -116,7 +116,7 @@ def _cosines(queries: list[list[float]], scopes: list | None):
             out = np.zeros((len(queries), len(rows)))
             for n in np.unique(many).tolist():
                 at = np.flatnonzero(many == n)
-                v = np.array([rows[i] for i in at], dtype=np.float64).reshape(-1, n)
+                v = np.array([rows[i] for i in at], dtype=np.float64).reshape(len(at), n)
                 for m, q in by_size.items():
                     both = min(n, m)
                     out[np.ix_(np.flatnonzero(sizes == m), at)] = unit(q[:, :both]) @ unit(v[:, :both]).T

@@ -7,7 +7,7 @@ generator a text. Without them the plan is the same, with those steps left out o
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ from ..operators import boosts as B
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import signals as G
+from ..operators.store import ChunkStore
+from . import parts
+
+#: Chunks that a summary is made from, and hits of a source in a comparison.
+PER_SUMMARY, PER_COMPARED = 20, 2
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,17 @@ class Engine:
     embed: Callable[[Column], Column] | None = None
     rewrite: Callable[[Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
-    generate: Callable[[Column], Column] = field(default=lambda prompt: F.concat(F.lit("echo: "), F.element_at(F.split(prompt, "\n"), -1)))
+    generate: Callable[[Column], Column] = field(default=parts.echo)
     tokens: Callable[[Column], Column] = T.words
+    classify: Callable[[Column], Column] = field(default=parts.IntentClassifier().column)
+    compress: Callable[[Column, Column], Column] | None = None
+    meta: DataFrame | None = None
+
+    @classmethod
+    def of_store(cls, store: ChunkStore, notebook: str | None = None, sources: DataFrame | None = None, **rest) -> Engine:
+        """An engine over what a store holds of a notebook and a scope of sources."""
+        c = store._scope(notebook, sources)
+        return cls(c.select("chunk_id", "source_id", "ord", "text", "heading_path"), c.where("embedding is not null").select("chunk_id", F.col("embedding").alias("v")), **rest)
 
     def auto(self, options: SearchOptions) -> SearchOptions:
         """Options with heading boosts and one hit per source switched on where the corpus asks for them."""
@@ -99,6 +113,8 @@ class Engine:
         hits = B.caption_boost(hits, o.caption_alpha, idf) if o.caption_alpha > 0 else hits
         hits = B.heading_boost(hits, o.heading_alpha) if o.heading_alpha > 0 else hits
         hits = R.lexical_boost(hits, o.lexical_alpha) if o.lexical_alpha > 0 else hits
+        if self.meta is not None:
+            hits = B.source_meta_boost(hits, self.meta, F.unix_millis(F.current_timestamp()))
         hits = R.cap_per_source(hits, o.per_source)
         if o.rerank_weight > 0 and self.rerank is not None and not o.most_variants:
             ranked = R.top_k(hits, 5 * o.k).withColumn("ce", self.rerank(F.col("query"), F.col("text")))
@@ -107,16 +123,35 @@ class Engine:
             hits = R.top_k(hits, o.k)
         return hits.select("query_id", "rank", "chunk_id", "source_id", "score", "hit_source")
 
+    def sources_of(self, queries: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
+        """(query_id, rank, chunk_id, text) that queries (query_id, query, qv, intent) are answered from.
+
+        lookup: the hits of search; compare: those with at most two a source; summary: the first chunks of the
+        sources in scope, PER_SUMMARY of them in order of source and position; smalltalk: none.
+        """
+        asked = queries.select("query_id", "query", "qv")
+        by = lambda *kinds: asked.join(queries.where(F.col("intent").isin(*kinds)).select("query_id"), "query_id", "left_semi")
+        found = self.search(by("lookup"), o).unionByName(self.search(by("compare"), replace(o, per_source=PER_COMPARED)))
+        first = R.representatives(self.chunks, PER_SUMMARY).orderBy("source_id", "ord", "chunk_id").limit(PER_SUMMARY).agg(F.collect_list("chunk_id").alias("ids"))
+        ids = first.first()["ids"]  # PER_SUMMARY at most
+        kind = self.chunks.schema["chunk_id"].dataType
+        listed = F.array(*[F.lit(i) for i in ids]).cast(f"array<{kind.simpleString()}>")
+        summary = by("summary").select("query_id", F.posexplode(listed).alias("rank", "chunk_id")).withColumn("rank", F.col("rank") + 1)
+        every = found.select("query_id", "rank", "chunk_id").unionByName(summary)
+        got = every.join(self.chunks.select("chunk_id", "text"), "chunk_id").join(R._small(queries.select("query_id", "query")), "query_id")
+        text = F.when(self.compress(F.col("query"), F.col("text")) != "", self.compress(F.col("query"), F.col("text"))).otherwise(F.col("text")) if self.compress else F.col("text")
+        return got.select("query_id", "rank", "chunk_id", text.alias("text"))
+
     def ask(self, queries: DataFrame, o: SearchOptions = SearchOptions(), least_support: float = 0.5) -> DataFrame:
         """(query_id, intent, context, answer, total, unsupported, ratio, reliable).
 
         An answer without any citation, though there were hits, is generated once more with a stricter
         prompt; reliable says whether few enough citations lack support.
         """
-        hits = self.search(queries, o).join(self.chunks.select("chunk_id", "text"), "chunk_id")
+        known = queries.withColumn("intent", self.classify(F.col("query")))
+        hits = self.sources_of(known, o)
         context = P.context_block(hits)
-        intent = F.coalesce(P.fast_intent(F.col("query")), F.when(P.is_summary_query(F.col("query")), "summary"), F.lit("lookup"))
-        rows = queries.select("query_id", "query", intent.alias("intent")).join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+        rows = known.select("query_id", "query", "intent").join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         prompt = lambda rule: F.concat(F.lit(rule), F.col("context"), F.lit("\n"), F.col("query"))
         first = self.generate(prompt("Answer from the sources and cite them as [n].\n"))
         again = self.generate(prompt("Cite a source as [n] after every sentence.\n"))

@@ -23,8 +23,8 @@ def read_files(spark: SparkSession, path: str, hidden: bool = False, extensions:
     """Files below a folder with kind and fingerprint; contents are read only where used.
 
     extensions: suffixes to take, in either case; all without. Hidden files and those in hidden folders below
-    the root are left out unless asked for; the root itself may be hidden. Links are followed where the file
-    system does.
+    the root are left out; the root itself may be hidden. hidden keeps those that the file listing returns: Spark's
+    own leaves out names that begin with . or _. Links are followed where the file system does.
     """
     got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     got = got.withColumn("kind", detect_kind(F.col("path"))).withColumn("fingerprint", fingerprint(got))
