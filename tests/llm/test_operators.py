@@ -422,6 +422,16 @@ def test_toxicity_learns_and_leaves_group_mentions_alone(spark, make_docs):
     assert toxicity.swap_identity("Muslim men") == "jewish girls"
 
 
+def test_toxicity_of_empty_tables_and_labels_of_one_class(spark, make_docs):
+    docs = make_docs(["a b", None, "", "a b"])
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for rows, low, high in (([], 0, 0.5), ([(i, 0) for i in range(4)], 0, 0.01), ([(i, 1) for i in range(4)], 0.99, 1)):
+        got = [r["score"] for r in toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(rows))).collect()]
+        assert len(got) == 4 and all(low <= s <= high for s in got)
+    none = docs.limit(0)
+    assert toxicity.score(none, toxicity.fit(none, table([(1, 1), (2, 0)]))).count() == 0
+
+
 # ---------------------------------------------------------------- mixing
 
 
