@@ -1,7 +1,9 @@
 """The corpus pipeline: filter, deduplicate, decontaminate, redact and mix the documents of sf_dir.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
-the columns of documents. Null texts are kept by the filters and have size 0 in the mix.
+the columns of documents; further columns go, whatever their names. Null and empty texts are kept by the
+filters and have size 0 in the mix. Of equal texts the document with the least doc_id stays. Texts are read
+whole, however long. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
