@@ -10,16 +10,20 @@ Jaccard distance d = 1 - |x & y| / |x | y| is a metric, so everything below is e
    that never share such a region are further apart than r; the rest fall into islands, the
    connected components of shared regions. Rare shingles come first in the order, so a passage that
    many documents quote does not tie them together.
-3. Islands with more shingles than `cap` are split over the cluster: several documents of the island
+   This step is a prefix filter seen as pivots: it proves most pairs apart, and pairs that it leaves are only
+   kept where the sums of their counters leave room for a link; real documents are pivots from step 3 on.
+3. Islands with more shingles than `cap`, or more than MEMBERS documents, are split over the cluster: several documents of the island
    are pivots; every member goes to its nearest one if that is within r (its core, linked at once);
    members with r < d(y, p) <= 2r are replicated into p's region, since d(x, p) <= r and d(x, y) <= r
    give d(y, p) <= 2r; a core is cut into blocks; members in no core recurse with new pivots.
-4. Islands and regions of up to `cap` shingles are joined by the same rule inside one task.
+4. Islands and regions of up to `cap` shingles and MEMBERS documents are joined by the same rule inside one
+   task, whose work is at most MEMBERS passes over `cap` shingles.
 
 Sets are held as 64-bit hashes of shingles: two different shingles agree with probability 2**-64.
 
 Null, empty and wordless texts have no shingles and link with nothing. Texts of fewer than n words
-are one shingle, the whole sequence. Repeated rows (same doc_id) act as one document. An empty table
+are one shingle, the whole sequence. Very long texts are read whole, in slices of their own. Ties between
+pivots go to the rarer counter, then the lesser hash, or the lesser doc_id. Repeated rows (same doc_id) act as one document. An empty table
 gives an empty result. Further columns of the input are ignored, so their names cannot clash.
 """
 
@@ -40,6 +44,8 @@ CAP = 8_000_000
 COUNTERS = 1 << 18
 #: (doc_id, region) pairs up to this number are broadcast (16 bytes each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Documents that one task may hold as one region.
+MEMBERS = 8192
 PIVOTS = 8
 #: Least and largest number of counters of the contracted space, a byte each.
 DIMS = (64, 8192)
@@ -365,6 +371,10 @@ def _name(*parts: int) -> int:
     return int(c.signed(c.mix(np.array([sum((p & (1 << 64) - 1) * k for p, k in zip(parts, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True)) & (1 << 64) - 1], dtype=np.uint64)))[0])
 
 
+def _too_large(cap: int):
+    return (F.col("w") > cap) | (F.col("m") > MEMBERS)
+
+
 def _split_large(large: DataFrame, num: int, den: int, cap: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Step 3: edges, and regions of up to cap shingles. large: SETS of too large regions."""
     edges, small = [], []
@@ -387,9 +397,9 @@ def _split_large(large: DataFrame, num: int, den: int, cap: int) -> tuple[list[D
         by = windows.join(plan, "region").withColumn("j", F.pmod(F.xxhash64("id"), "wides")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         small.append(own.select(part("c", F.col("i"), F.col("j")).alias("region"), "id", "n", "elems", F.lit(0).cast("long").alias("core")).unionByName(by.select(part("c", F.col("i"), F.col("j")).alias("region"), "id", "n", "elems", F.lit(None).cast("long").alias("core"))))
         far = far.select("region", "id", "n", "elems", "core")
-        weight = far.groupBy("region").agg(F.sum("n").alias("w"))
-        small.append(far.join(weight.where(F.col("w") <= cap), "region", "left_semi"))
-        large = far.join(weight.where(F.col("w") > cap), "region", "left_semi")
+        weight = far.groupBy("region").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
+        small.append(far.join(weight.where(~_too_large(cap)), "region", "left_semi"))
+        large = far.join(weight.where(_too_large(cap)), "region", "left_semi")
         if large.isEmpty():
             return edges, small
     # Far from each other however pivots fall: every pair of blocks is a region of its own.
@@ -433,7 +443,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, num: int = NUM, den: i
     if _repeats(each):
         texts = texts.dropDuplicates(["doc_id"])
     sets = texts.select("doc_id", "text", "region").mapInArrow(_sets(n), SETS)
-    weight = members.groupBy("region").agg(F.sum("n").alias("w")).where(F.col("w") > cap).select("region")
+    weight = members.groupBy("region").agg(F.sum("n").alias("w"), F.count("*").alias("m")).where(_too_large(cap)).select("region")
     edges: list[DataFrame] = []
     if weight.isEmpty():
         small = [sets]

@@ -32,7 +32,7 @@ def link_brute(texts):
     return {i: (len(sets[i]), root[i]) for i in texts}
 
 
-@pytest.mark.parametrize("cap", [ngram_jaccard.CAP, 150])
+@pytest.mark.parametrize("cap", [ngram_jaccard.CAP, 150, 100_000])
 def test_join_links_what_brute_force_links(make_docs, odd_texts, cap, monkeypatch):
     rng = np.random.default_rng(5)
     texts = dict(enumerate(odd_texts))
@@ -44,6 +44,9 @@ def test_join_links_what_brute_force_links(make_docs, odd_texts, cap, monkeypatc
         texts[100 + k] = " ".join(w)
     if cap != ngram_jaccard.CAP:
         monkeypatch.setattr(ngram_jaccard, "WIDE", 2)
+        monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
+    if cap == 100_000:  # split by number
+        monkeypatch.setattr(ngram_jaccard, "MEMBERS", 6)
     got = {r[0]: (r[1], r[2]) for r in ngram_jaccard.ngram_jaccard_join(make_docs(texts), cap=cap).collect()}
     assert got == link_brute(texts)
 
