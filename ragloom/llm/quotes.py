@@ -18,7 +18,7 @@ first passage of the least level) and the root of its thread, so that (conv_id,
 order of replies. All of it is DataFrame functions. Threads are found by pointer doubling in the shared
 folder.
 
-A null text is empty. A message that only quotes has an empty own text. A quote without original links
+A null text is empty; a very long one is read whole, as one row. A message that only quotes has an empty own text. A quote without original links
 to nothing. Repeated rows (same conv_id and turn) are kept; ties between originals go to the least
 (conv_id, turn). An empty table gives an empty result. Other columns are ignored, so their names cannot
 clash.

@@ -209,6 +209,78 @@ def luhn(d):
     return sum(x - 9 if x > 9 else x for x in (int(ch) * (1 + i % 2) for i, ch in enumerate(reversed(d)))) % 10 == 0
 
 
+def quotes_brute(rows):
+    """(conv, turn) -> (own text, quotes, reply, root), message by message."""
+    norm = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    parsed = {}
+    for conv, turn, text in rows:
+        runs = []
+        for line in re.split("\r?\n", text or ""):
+            m = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+            level, rest = (m[1].count(">"), line[m.end() :]) if m else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(rest)
+            else:
+                runs.append((level, [rest]))
+        passages = [(level, "\n".join(ls)) for level, ls in runs]
+        own = "\n".join(t for level, t in passages if level == 0) if ">" in (text or "") else text or ""
+        parsed[conv, turn] = (own, [p for p in passages if p[0] > 0 and p[1].strip(" ")])
+    keys, lines = {}, {}
+    for at, (own, _) in parsed.items():
+        parts = [own, *re.split(r"\n[ \t]*\n", own), *[x for x in own.split("\n") if len(re.split(r"\s+", x.strip(" "))) >= 4]]
+        keys[at] = {norm(p) for p in parts if norm(p)}
+        lines[at] = [norm(x) for x in own.split("\n") if norm(x)]
+
+    def link(at, passage):
+        want = [norm(x) for x in passage.split("\n") if norm(x)]
+        whole = sorted(a for a in keys if norm(passage) and norm(passage) in keys[a])
+        runs = sorted(a for a in lines if want and any(lines[a][i : i + len(want)] == want for i in range(len(lines[a]))))
+        near = lambda found: next((a for a in found if a[0] == at[0]), None)
+        far = lambda found: found[0] if found else None
+        return next((a for a in (near(whole), near(runs), far(whole), far(runs)) if a and a < at), None)
+
+    reply = {}
+    for at, (_, quotes) in parsed.items():
+        found = sorted((level, k, a) for k, (level, text) in enumerate(quotes) if (a := link(at, text)))
+        if found:
+            reply[at] = found[0][2]
+    out = {}
+    for at, (own, quotes) in parsed.items():
+        root = at
+        while root in reply:
+            root = reply[root]
+        out[at] = (own, len(quotes), reply.get(at), root)
+    return out
+
+
+def test_quotes_match_brute_force_with_repeats_ties_and_long_texts(spark):
+    rng = np.random.default_rng(31)
+    line = lambda: " ".join(rng.choice([f"w{k}" for k in range(40)], size=rng.integers(1, 7)))
+    common = "we all agree on this"
+    rows, seen = [], []
+    for conv in range(10):
+        for turn in range(7):
+            body = [line() for _ in range(rng.integers(1, 5))] + ([""] if turn % 2 else []) + [line()] + ([common] if turn == 1 else [])
+            quoted = []
+            if seen and rng.random() < 0.8:
+                c, t, ls = seen[rng.integers(max(len(seen) - 6, 0), len(seen))]
+                i = rng.integers(0, len(ls))
+                part = ls[i : i + rng.integers(1, 4)]
+                quoted = ["> " + x.upper() for x in part] + [f">> {common}"] * (turn % 3 == 0)
+            rows.append((conv, turn, "\n".join(quoted + body)))
+            seen.append((conv, turn, body))
+    rows += [(20, 0, None), (20, 1, "> " + common), (20, 2, "long " * 50_000), (20, 3, "> " + "LONG " * 50_000 + "\nyes"), (20, 4, "> never said\nno"), (20, 5, "")]
+    want = quotes_brute(rows)
+    table = spark.createDataFrame([(c, t, "user", x, 7, "h") for c, t, x in rows + rows[:9]], "conv_id long, turn long, role string, text string, hash long, lines string")
+    got = quotes.link_quotes(table).collect()
+    assert len(got) == len(rows) + 9 and sum(1 for r in want.values() if r[2]) > 20
+    for r in got:
+        own, n, reply, root = want[r["conv_id"], r["turn"]]
+        assert (r["text"], r["n_quotes"]) == (own, n)
+        assert ((r["reply_conv"], r["reply_turn"]) if r["reply_turn"] is not None else None) == reply
+        assert (r["root_conv"], r["root_turn"]) == root
+
+
 def pii_brute(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
     ok = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 8 <= len(digits(m)) <= 15}
