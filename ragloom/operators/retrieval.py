@@ -153,7 +153,7 @@ def postings(chunks: DataFrame, tokens: Column) -> DataFrame:
 
 
 def _counted(terms: np.ndarray):
-    """Per task: chunks and tokens, and of each query term the chunks that have it."""
+    """Per task: of each query term the chunks that have it; behind them, the numbers of chunks and of tokens."""
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +164,7 @@ def _counted(terms: np.ndarray):
             n, size = n + batch.num_rows, size + len(flat)
             at, doc = _numbers(flat, doc, terms)
             df += np.bincount(np.unique(doc * max(len(terms), 1) + at) % max(len(terms), 1), minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([size]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["n", "size", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms) + 2)), pa.array(np.concatenate([df, [n, size]]))], names=["i", "d"])
 
     return run
 
@@ -223,12 +223,11 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1
     asked = queries.select("query_id", F.transform(tokens(F.col("query")), lambda t: F.xxhash64(t)).alias("tokens"), *([F.col(scope).alias("scope")] if scope else [])).collect()
     kind = queries.schema["query_id"].dataType
     terms = np.unique(np.array([t for r in asked for t in r["tokens"] or ()], dtype=np.int64))
-    stats = index.select("tokens").mapInArrow(_counted(terms), "n long, size long, df array<long>")
-    each = stats.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
-    df = np.zeros(len(terms), dtype=np.int64)
-    for r in stats.select(F.posexplode("df").alias("i", "d")).where("d > 0").groupBy("i").agg(F.sum("d").alias("d")).collect():
+    counts = index.select("tokens").mapInArrow(_counted(terms), "i long, d long").where("d > 0").groupBy("i").agg(F.sum("d").alias("d"))
+    df = np.zeros(len(terms) + 2, dtype=np.int64)
+    for r in counts.collect():  # two more than the query terms
         df[r["i"]] = r["d"]
-    n = each["n"] or 0
+    df, n, size = df[:-2], int(df[-2]), int(df[-1])
     idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6) if n else np.zeros(len(terms))
     parts = []
     for block in _blocks(asked, max(len(terms), SCORED_ROWS)):
@@ -237,7 +236,7 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, tokens=T.words, k1
         for q, r in enumerate(block):
             np.add.at(weight[:, q], np.searchsorted(own, np.array(r["tokens"] or (), dtype=np.int64)), 1)
         weight *= idf[np.searchsorted(terms, own)][:, None]
-        parts.append(block_top_k(index, [r["query_id"] for r in block], kind, k, _bm25(own, weight, [r["scope"] for r in block] if scope else None, (each["size"] or 0) / max(n, 1), k1, b)))
+        parts.append(block_top_k(index, [r["query_id"] for r in block], kind, k, _bm25(own, weight, [r["scope"] for r in block] if scope else None, size / max(n, 1), k1, b)))
     return top_k(_union(parts, queries.limit(0).join(chunks.limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))), k)
 
 
