@@ -17,18 +17,23 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _turns(s, d, head: str):
-    text = F.concat(F.lit(f"{head} "), F.col("turn").cast("string"), F.lit(head and "\n"), F.col("text"))
+def _turns(s, d, head: str, tail: str = ""):
+    text = F.concat(F.lit(head), F.col("turn").cast("string"), F.lit(f"{tail}\n"), F.col("text"))
     return _t(s, d, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").cast("int").alias("block_idx"), text.alias("text"), F.array("role").alias("heading_path"), F.col("turn").cast("int").alias("page"))
 
 
 def q_articles(s, d):
-    got = D.article_segments(_turns(s, d, "Section"))
+    got = D.article_segments(_turns(s, d, "Section "))
+    return got.select("source_id", "block_idx", F.array_join("heading_path", "/").alias("heading"), F.md5("text").alias("text_md5"), "page")
+
+
+def q_articles_ja(s, d):
+    got = D.article_segments(_turns(s, d, "第", "条"))
     return got.select("source_id", "block_idx", F.array_join("heading_path", "/").alias("heading"), F.md5("text").alias("text_md5"), "page")
 
 
 def q_chapters(s, d):
-    got = D.with_chapters(D.split_at_chapters(_turns(s, d, "Chapter")))
+    got = D.with_chapters(D.split_at_chapters(_turns(s, d, "Chapter ")))
     return got.select("source_id", "block_idx", "chapter", "page")
 
 
@@ -47,12 +52,17 @@ def q_around(s, d):
     return _t(s, d, "benchmark").select("item_id", F.md5(T.surrounding_sentence(F.col("text"), F.floor(F.length("text") / 2).cast("int"))).alias("sentence"))
 
 
-QUERIES = {"article_segments": q_articles, "chapter_marks": q_chapters, "model_feasibility": q_feasible, "held_back": q_held, "surrounding_sentence": q_around}
+QUERIES = {"article_segments": q_articles, "article_segments_ja": q_articles_ja, "chapter_marks": q_chapters, "model_feasibility": q_feasible, "held_back": q_held, "surrounding_sentence": q_around}
 
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
+def _articles(label: str, line: str) -> str:
+    return f"SELECT CAST(conv_id AS VARCHAR) source_id, CAST(turn - lo AS INT) block_idx, was || '/' || {label} heading, md5({_TRIM.format(f'({line} || chr(10) || text)')}) text_md5, CAST(turn_was AS INT) page FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) n, lag(role, 1, role) OVER (PARTITION BY conv_id ORDER BY turn) was, lag(turn, 1, turn) OVER (PARTITION BY conv_id ORDER BY turn) turn_was, min(turn) OVER (PARTITION BY conv_id) lo FROM conversations) WHERE n >= 3"
+
+
 ORACLE = {
-    "article_segments": f"SELECT CAST(conv_id AS VARCHAR) source_id, CAST(turn - lo AS INT) block_idx, was || '/Section ' || turn heading, md5({_TRIM.format('''('Section ' || turn || chr(10) || text)''')}) text_md5, CAST(turn_was AS INT) page FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) n, lag(role, 1, role) OVER (PARTITION BY conv_id ORDER BY turn) was, lag(turn, 1, turn) OVER (PARTITION BY conv_id ORDER BY turn) turn_was, min(turn) OVER (PARTITION BY conv_id) lo FROM conversations) WHERE n >= 3",
+    "article_segments_ja": _articles("'第' || turn || '条'", "'第' || turn || '条'"),
+    "article_segments": _articles("'Section ' || turn", "'Section ' || turn"),
     "chapter_marks": "SELECT CAST(conv_id AS VARCHAR) source_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) block_idx, 'Chapter ' || turn chapter, CAST(turn AS INT) page FROM conversations",
     "model_feasibility": """WITH m AS (SELECT * FROM (VALUES (0, 1693, 120), (1, 2715, 140), (2, 12797, 200), (3, 14725, 130)) t(i, size_mb, kib)),
  r AS (SELECT c_custkey, size_mb, CAST(round(kib * 8192 * CASE WHEN c_custkey % 8 < 4 THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END / 1024) AS INT) kv, greatest(CAST(round(c_acctbal * 4) AS INT) - 4096, 0) + CASE WHEN c_custkey % 3 = 0 THEN 6000 ELSE 0 END av FROM customer JOIN m ON i = c_custkey % 4)

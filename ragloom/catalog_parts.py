@@ -292,11 +292,29 @@ def q_text_hashes(s, d):
     return v.select("item_id", F.posexplode("v").alias("dim", "x")).select("item_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def q_compress(s, d):
+    """Texts cut to the sentences that share most with a query, and a floor of the best."""
+    text, query = F.regexp_replace("text", r"\. ", "! "), F.substring("text", 5, 30)
+    return _t(s, d, "benchmark").select("item_id", F.md5(parts.OverlapCompressor()(query, text)).alias("digest"))
+
+
+def q_source_texts(s, d):
+    return D.texts_by_source(_docs(s, d)).select("source_id", F.size("texts").cast("long").alias("n"), F.md5(F.array_join("texts", "\n")).alias("digest"))
+
+
+def q_nearest(s, d):
+    """Per cited turn the sentence that is nearest to the citing one."""
+    c = _t(s, d, "conversations")
+    answers = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.regexp_replace("text", r"[.!?\s]+$", ""), F.lit(" [1].")).alias("answer"))
+    hits = c.select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("query_id"), F.lit(1).alias("rank"), "text")
+    return E.citation_spans(answers, hits).select("query_id", "rank", F.md5("said").alias("said"), F.md5("sentence").alias("sentence"), "overlap")
+
+
 QUERIES = {
     "ingest_store": q_ingest_store, "ingest_counts": q_ingest_report, "store_search": q_store_search, "store_indexes": q_indexes, "source_counts": q_sources, "caption_samples": q_caption_samples, "topic_representatives": q_topic, "hit_documents": q_hit_documents,
     "engine_search": q_search, "answer_sources": q_answer_sources, "text_hashes": q_text_hashes, "weight_sweep": q_sweep, "metrics_summary": q_summary, "golden_granularity": q_golden_kind, "corpus_signals": q_signals, "title_match": q_title_match,
     "article_leads": q_leads, "specific_queries": q_specific, "model_replies": q_replies, "expanded_queries": q_expand, "context_blocks": q_context, "middle_truncate": q_truncate, "must_include": q_must, "sentence_spans": q_spans, "fts_tokens": q_fts, "compressor_sentences": q_compressed, "overlap_tokens": q_overlap, "citation_check": q_citation_spans,
-    "paragraph_blocks": q_paragraphs, "transcript_blocks": q_segments, "page_lines": q_lines, "sparse_text": q_sparse, "corpus_chunks": q_corpus_chunks,
+    "paragraph_blocks": q_paragraphs, "transcript_blocks": q_segments, "page_lines": q_lines, "sparse_text": q_sparse, "corpus_chunks": q_corpus_chunks, "compressed_texts": q_compress, "texts_by_source": q_source_texts, "citation_spans": q_nearest,
 }
 
 
@@ -393,6 +411,16 @@ def oracle(vec: str, bm: str, bi: str) -> dict[str, str]:
         "paragraph_blocks": "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') b, len(string_split(text, '. ')) n_pages FROM documents) SELECT doc_id, generate_subscripts(b, 1) - 1 n, md5(unnest(b)) digest, n_pages FROM p",
         "transcript_blocks": "WITH c AS (SELECT 'a/b/' || conv_id || '-' || turn || '.wav' path, conv_id || '-' || turn || '.wav' f, text, role, md5(text || chr(10) || '  ' || chr(10) || role) body FROM conversations) SELECT path, CAST(0 AS BIGINT) block_idx, md5(text) digest, 'Audio/' || f heading, body FROM c WHERE trim(text) <> '' UNION ALL SELECT path, 2, md5(role), 'Audio/' || f, body FROM c",
         "page_lines": "WITH w AS (SELECT item_id, string_split(text, ' ') w FROM benchmark), k AS (SELECT item_id, list_reverse(list_filter(list_transform(range(0, len(w)), lambda i: CASE WHEN i % 7 <> 3 AND i % 5 <> 0 AND trim(w[i + 1]) <> '' THEN w[i + 1] END), lambda x: x IS NOT NULL)) k FROM w) SELECT item_id, array_to_string(k, ' ') lines, md5(array_to_string(list_concat(['日本語'], k), chr(10))) digest FROM k",
+        "compressed_texts": f"""WITH p AS (SELECT item_id, substring(text, 5, 30) q, list_filter(list_transform(regexp_extract_all(replace(text, '. ', '! '), '[^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') p FROM benchmark),
+ e AS (SELECT item_id, unnest(p) s, generate_subscripts(p, 1) i, len(p) n, regexp_replace(q, '\\s+', '', 'g') q FROM p), t AS (SELECT *, regexp_replace(s, '\\s+', '', 'g') t FROM e), g AS (SELECT item_id, s, i, n, {bi.format('q')} qb, {bi.format('t')} sb FROM t),
+ c AS (SELECT *, CASE WHEN len(qb) = 0 THEN 0 ELSE round(CAST(len(list_intersect(qb, sb)) AS DOUBLE) / len(qb), 9) END score FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) k FROM c)
+ SELECT item_id, md5(string_agg(s, ' ' ORDER BY i)) digest FROM r WHERE score >= 0.2 OR k <= greatest(3, ceil(n * 0.3)) GROUP BY 1""",
+        "texts_by_source": "SELECT source source_id, count(*) n, md5(string_agg(text, chr(10) ORDER BY doc_id)) digest FROM documents GROUP BY 1",
+        "citation_spans": """WITH a AS (SELECT conv_id, turn, regexp_extract(regexp_replace(text, '[.!?\\s]+$', '') || ' [1].', '[^。.!?\n]*[.]$', 0) said FROM conversations WHERE role = 'assistant'),
+ h AS (SELECT conv_id, turn + 1 turn, regexp_extract_all(text, '[^。.!?\n]*[。.!?\n]|[^。.!?\n]+$') p FROM conversations), e AS (SELECT conv_id, turn, unnest(p) s, generate_subscripts(p, 1) i FROM h),
+ x AS (SELECT a.conv_id, a.turn, said, s, i, list_distinct(list_transform(regexp_extract_all(said, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) l, list_distinct(list_transform(regexp_extract_all(s, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) m FROM a JOIN e USING (conv_id, turn) WHERE trim(s, ' ') <> ''),
+ y AS (SELECT *, CASE WHEN len(list_intersect(l, m)) = 0 THEN 0 ELSE round(CAST(len(list_intersect(l, m)) AS DOUBLE) / (len(l) + len(m) - len(list_intersect(l, m))), 9) END overlap FROM x)
+ SELECT conv_id * 1000 + turn query_id, CAST(1 AS INT) "rank", md5(said) said, md5(s) sentence, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, i) k FROM y) WHERE k = 1""",
         "sparse_text": "SELECT doc_id, md5(replace(replace(text, 'the', '—'), lang, '—')) digest FROM documents",
         "corpus_chunks": "SELECT CAST(doc_id AS VARCHAR) chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE CAST(doc_id AS VARCHAR) END source_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE CAST(doc_id AS VARCHAR) END heading, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE '(' || source || ')' || chr(10) || text END) digest FROM documents",
     }

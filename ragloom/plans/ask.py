@@ -86,7 +86,7 @@ class Engine:
     def pool(self, queries: DataFrame, o: SearchOptions) -> DataFrame:
         """Vector and keyword rankings of all variants, fused by weighted reciprocal ranks."""
         v = self.variants(queries, o).withColumn("vid", F.concat_ws("/", "query_id", "variant_no"))
-        base = T.hybrid_weight(F.col("query"), o.semantic) if o.adjust_weight else F.lit(o.semantic)
+        base = T.hybrid_weight(F.col("query"), o.semantic) if o.adjust_weight else F.lit(min(max(o.semantic, 0.0), 1.0))
         v = v.withColumn("semantic", base)
         n = 5 * o.k
         vec = R.vector_top_k(v.select(F.col("vid").alias("query_id"), "qv"), self.vectors, n).withColumn("kind", F.lit("vector"))

@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 10, semantic: float = 0.5, per_source: int = 0) -> DataFrame:
     """Vector and keyword top 5k, fused by reciprocal ranks, boosted by words, capped by source, cut to k."""
-    pool = 5 * k
+    pool, semantic = 5 * k, min(max(semantic, 0.0), 1.0)
     vec = R.vector_top_k(queries.select("query_id", "qv"), vectors, pool).select("query_id", "chunk_id", "rank", F.lit(semantic).alias("weight"))
     key = R.bm25_top_k(queries.select("query_id", "query"), chunks, pool).select("query_id", "chunk_id", "rank", F.lit(1 - semantic).alias("weight"))
     fused = R.rrf(vec.unionByName(key), pool).drop("rank")
