@@ -45,6 +45,8 @@ MEDIAN, CUTOFF = 3.3567, 33.38
 SCALE = 1.5
 WINDOW = 5
 BINS = 32
+#: Estimates (about 200 bytes each) up to this number are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -115,6 +117,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
     group = F.when(~F.col("small"), alone).when(~F.col("rare"), lang).otherwise("*")
     teaches = F.array_compact(F.array(F.when(~F.col("small"), alone), F.when(~F.col("rare") & F.col("pools"), lang), whole))
     names = own.select(F.col("lang").alias("l"), F.col("source").alias("s"), group.alias("group"), teaches.alias("teaches"))
+    names = F.broadcast(names) if own.count() <= BROADCAST_ROWS else names
     return stats.join(names, stats["lang"].eqNullSafe(names["l"]) & stats["source"].eqNullSafe(names["s"])).drop("l", "s")
 
 
@@ -193,6 +196,12 @@ def _starts(stats: DataFrame) -> DataFrame:
     return _start(stats).unionByName(_estimate(_sums(stats.withColumn("start", F.explode(some)), "group", "start")))
 
 
+def _few(stats: DataFrame):
+    """Hints a broadcast of estimates where stats have few groups; rows of a hot group then stay where they are."""
+    few = stats.select("group").distinct().count() * STARTS <= BROADCAST_ROWS
+    return lambda estimate: F.broadcast(estimate) if few else estimate
+
+
 def _concentrate(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step of every (group, start) of estimate."""
     d = stats.join(estimate, "group").withColumn("d2", _distance()).withColumn("bin", _bin())
@@ -204,9 +213,9 @@ def _concentrate(stats: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def least_determinant(stats: DataFrame) -> DataFrame:
     """The estimate of each group of stats (group, x1..x4): that of least determinant over starts and steps."""
-    moving, found = c.materialise(_starts(stats), "mcd"), None
+    moving, found, small = c.materialise(_starts(stats), "mcd"), None, _few(stats)
     for step in range(MOST_STEPS):
-        new = c.materialise(_concentrate(stats, moving), "mcd")
+        new = c.materialise(_concentrate(stats, small(moving)), "mcd")
         found = new if found is None else found.unionByName(new)
         if step:
             before = moving.select("group", "start", F.col("logdet").alias("before"))
@@ -225,12 +234,13 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = _grouped(counts)
     passed = stats.where(~F.col("base_failed")).select(F.explode("teaches").alias("group"), *DIMS)
     estimate = c.materialise(least_determinant(passed), "mcd")
-    bins = passed.join(estimate, "group").withColumn("d2", _distance()).groupBy("group", _bin().alias("bin")).agg(F.count("*").alias("n"))
+    small = _few(stats)
+    bins = passed.join(small(estimate), "group").withColumn("d2", _distance()).groupBy("group", _bin().alias("bin")).agg(F.count("*").alias("n"))
     part = Window.partitionBy("group")
     run = F.sum("n").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     middle = bins.withColumn("run", run).withColumn("all", F.sum("n").over(part)).where(F.col("run") * 2 >= F.col("all")).groupBy("group").agg(F.exp(F.min("bin") / BINS).alias("middle"))
     scaled = c.materialise(estimate.join(middle, "group").withColumn("scale", F.lit(MEDIAN) / F.greatest("middle", F.lit(MEDIAN / SCALE))), "mcd")
-    out = stats.join(scaled, "group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
+    out = stats.join(small(scaled), "group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 

@@ -149,7 +149,9 @@ def test_mcd_finds_the_least_determinant_and_its_verdicts(spark):
         assert flag(ours)[:80].all() and (flag(ours) == flag(theirs)).mean() > 0.99
 
 
-def test_quality_of_repeated_rows(make_docs):
+@pytest.mark.parametrize("rows", [quality.BROADCAST_ROWS, 0])
+def test_quality_of_repeated_rows(make_docs, monkeypatch, rows):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", rows)
     docs = make_docs([" ".join(f"word{k * j % 91}" for k in range(40)) for j in range(1, 8)])
     got = quality.quality(docs.union(docs)).collect()
     assert len(got) == 14 and len({tuple(r) for r in got}) == 7
