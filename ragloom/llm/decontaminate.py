@@ -8,9 +8,11 @@ apart by their position offsets, kept in one header row of the block.
 Windows of benchmark items are searched in a block all at once. Windows of which a term has no postings
 there are out. Of the others the rarest term's positions, less the term's offset, are candidate starts;
 the list of every further term, less its own offset, is intersected with them, from rare to frequent,
-until none is left or the phrase has been matched whole. Proximity search widens the intersection: the
-windows that stand side by side in an item (each of `window` words, and the item's last) are near where
-every term stands within `near` words of the rarest, in one document.
+until none is left or the phrase has been matched whole. Proximity search widens the intersection: any
+window is near where every term stands within `near` words of the rarest, in one document. There the
+rarest is the term with the fewest positions in that document, of ties the window's first, so that a
+match does not hang on which other documents share the block; the block's rarest term only names the
+documents to look at.
 
 Index rows for terms that no query has cannot matter and are left out where `terms` says so (8 bytes a
 distinct term of the benchmark are sent to the tasks). The index is written once; windows are sent to the
@@ -136,12 +138,15 @@ class Block:
         return at[at >= 0]
 
     def near(self, terms: list[int], distance: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term within distance, in the same document."""
-        parts = sorted((self.positions(t) for t in dict.fromkeys(terms)), key=len)
-        at, doc = parts[0], np.searchsorted(self.ends, parts[0], side="right")
-        for other in parts[1:]:
-            if not len(other) or not len(at):
-                return np.zeros(0, np.int32)
+        """Positions of a document's rarest term that have every other term within distance, in the same document."""
+        parts = [self.positions(t) for t in dict.fromkeys(terms)]
+        if not all(map(len, parts)):
+            return np.zeros(0, np.int32)
+        docs = [np.searchsorted(self.ends, x, side="right") for x in parts]
+        rare = np.argmin([np.bincount(d, minlength=len(self.ends)) for d in docs], axis=0)
+        at = np.sort(np.concatenate([x[rare[d] == k] for k, (x, d) in enumerate(zip(parts, docs, strict=True))]))
+        doc = np.searchsorted(self.ends, at, side="right")
+        for other in parts:
             lo = np.maximum(at - distance, np.where(doc > 0, self.ends[doc - 1], 0))
             hi = np.minimum(at + distance, self.ends[doc] - 1)
             ok = np.searchsorted(other, lo) < np.searchsorted(other, hi, side="right")
@@ -190,7 +195,6 @@ class Windows:
         flat = [w for own in items for w in own]
         self.length = np.array([len(w) for w in flat], dtype=np.int64)
         self.item = np.repeat(np.arange(len(items)), [len(own) for own in items])
-        self.aside = np.array([k % size == 0 or k + 1 == len(own) for own in items for k in range(len(own))], dtype=bool)
         self.terms, number = np.unique(np.array([t for w in flat for t in w], dtype=np.int64), return_inverse=True)
         self.matrix = np.full((len(flat), size), -1, dtype=np.int64)
         self.matrix[np.arange(size) < self.length[:, None]] = number
@@ -241,21 +245,38 @@ class Bound:
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
     def near(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, document number) of proximity matches of windows side by side."""
-        ends = self.block.ends
+        """(window, document number) of proximity matches."""
+        ends, size = self.block.ends, self.windows.matrix.shape[1]
         key = self.owner << 32 | self.flat
+        # postings of a term in a document: where they begin in flat, and how many they are
+        pair = self.owner << 32 | np.searchsorted(ends, self.flat, side="right")
+        pair, begin, many = np.unique(pair, return_index=True, return_counts=True)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        rows = self.rows[self.windows.aside[self.rows]]
-        for m, order, w, at in self._candidates(rows):
+        for m, order, w, at in self._candidates(self.rows):
             doc = np.searchsorted(ends, at, side="right")
+            once = np.append(True, (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))[: len(w)]
+            w, doc = w[once], doc[once]
+            # the document's rarest term of each window: fewest positions, then column
+            least, own = np.full(len(w), np.iinfo(np.int64).max), np.zeros(len(w), np.int64)
+            for j in range(size):
+                col = order[w, j]
+                term = m[w, col]
+                found = np.minimum(np.searchsorted(pair, np.maximum(term, 0) << 32 | doc), len(pair) - 1)
+                ok = (term < 0) | (pair[found] == (term << 32 | doc))
+                rank = np.where(term < 0, np.iinfo(np.int64).max, many[found] * size + col)
+                own = np.where(rank < least, found, own)[ok]
+                w, doc, least = w[ok], doc[ok], np.minimum(least, rank)[ok]
+            n = many[own]
+            at = self.flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            w, doc = np.repeat(w, n), np.repeat(doc, n)
             lo = np.maximum(at - distance, np.where(doc > 0, ends[doc - 1], 0))
             hi = np.minimum(at + distance, ends[doc] - 1)
-            for j in range(1, m.shape[1]):
+            for j in range(size):
                 term = m[w, order[w, j]]
                 next_ = np.searchsorted(key, np.maximum(term, 0) << 32 | lo)
                 ok = (term < 0) | (key[np.minimum(next_, len(key) - 1)] <= (term << 32 | hi)) & (next_ < len(key))
                 w, doc, lo, hi = w[ok], doc[ok], lo[ok], hi[ok]
-            out.append((rows[w], doc))
+            out.append((self.rows[w], doc))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 

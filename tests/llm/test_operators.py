@@ -423,6 +423,40 @@ def test_decontamination_matches_brute_force_in_one_pass_and_in_several(spark, m
     assert spans[0] == spans[1]
 
 
+def test_proximity_looks_at_every_window_however_documents_share_blocks(spark, make_docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    item = [f"q{k}" for k in range(25)]
+    short = [f"s{k}" for k in range(10)]
+    benchmark = {1: item, 2: short, 3: item[3:6], **{n: [f"v{k}" for k in rng.integers(0, 14, n)] for n in (9, 10, 11, 13, 17, 24)}}
+    texts = [item[k : k + 10][::-1] for k in (0, 3, 8, 14, 15)] + [item[3:12], item[4:14][::-1] + ["and"] * 9 + item[15:25]]
+    # s0 is the rarest word here and within reach of all; in a block with the documents after it s1 is rarer, and is not
+    texts += [["s2", "s3", *["and"] * 10, "s0", *["and"] * 4, "s1", "s1", "s4", "s5", "s6", "s7", "s8", "s9"], ["s0"] * 9, ["s0", "s9"] * 5]
+    texts += [[f"v{k}" for k in rng.integers(0, 16, rng.integers(5, 120))] for _ in range(60)]
+    want, between = {}, 0
+    for i, w in enumerate(texts):
+        near = []
+        for n, q in benchmark.items():
+            close = []
+            for k in range(max(len(q) - 9, 1)):
+                x = q[k : k + 10]
+                rare = min(x, key=lambda z: (w.count(z), x.index(z)))
+                close.append(any(all(z in w[max(p - 12, 0) : p + 13] for z in x) for p in range(len(w)) if w[p] == rare))
+            exact = any(w[p : p + 10] == q[k : k + 10] or len(q) < 10 and w[p : p + len(q)] == q for k in range(max(len(q) - 9, 1)) for p in range(len(w)))
+            near += [str(n)] * (any(close) and not exact)
+            between += any(close) and not exact and not any(c for k, c in enumerate(close) if k % 10 == 0 or k + 1 == len(close))
+        want[i] = sorted(near)
+    assert between >= 5
+    assert want[7] == ["2"]
+    bench = spark.createDataFrame([(n, " ".join(q)) for n, q in benchmark.items()], "item_id long, text string")
+    docs = make_docs([" ".join(w) for w in texts])
+    for parts, held in ((1, decontaminate.CANDIDATES), (8, 7), (len(texts), 7)):
+        monkeypatch.setattr(decontaminate, "CANDIDATES", held)
+        out = decontaminate.decontaminate(docs.repartition(parts), bench, near=12).collect()
+        assert {r["doc_id"]: r["near"] for r in out} == want
+        found = decontaminate.search(decontaminate.build_index(docs.repartition(parts)), {2: decontaminate.query_terms(" ".join(short))}, distance=12)
+        assert [tuple(r) for r in found.collect()] == [(2, 7, 12)]
+
+
 def test_decontamination_of_nothing(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:5] for r in decontaminate.decontaminate(make_docs(["a b", None]), none, near=5).collect()] == [(2, 0, [], []), (0, 0, [], [])]
