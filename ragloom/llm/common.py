@@ -138,9 +138,10 @@ def _byte_table(separators: Iterable[int]) -> np.ndarray:
     return out
 
 
-#: Words [^\x20\x09-\x0D]+ and [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (lower-cased text), as tables over bytes.
+#: Words [^\x20\x09-\x0D]+, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ and [^\x00-\x40\x5B-\x60\x7B-\x7F]+ (lower-cased text), as tables over bytes.
 SPACED = _byte_table(SPACE_BYTES)
 ALNUM = _byte_table([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+LETTERS = _byte_table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
 def word_spans(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
