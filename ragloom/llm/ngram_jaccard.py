@@ -23,7 +23,9 @@ Sets are held as 64-bit hashes of shingles: two different shingles agree with pr
 
 Null, empty and wordless texts have no shingles and link with nothing. Texts of fewer than n words
 are one shingle, the whole sequence. Very long texts are read whole, in slices of their own. Ties between
-pivots go to the rarer counter, then the lesser hash, or the lesser doc_id. Repeated rows (same doc_id) act as one document. An empty table
+pivots go to the rarer counter, then the lesser hash. Repeated rows (same doc_id and text) act as one document; different
+texts under one doc_id link each for itself. A text whose rows all have a null doc_id has no name: it links with nothing and its
+component is null; a copy of a named text shares that one's component. An empty table
 gives an empty result. Further columns of the input are ignored, so their names cannot clash.
 """
 
@@ -238,11 +240,15 @@ def class_hash(size: int, s1: int, s2: int) -> int:
 
 
 def _sets(n: int):
+    """The sets of (id, text, region), where id is the class of the text; other texts of the same doc_id go."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in c.slices(batches, 1):
-            blobs = [s.tobytes() for s in shingle_sets(c.texts_of(batch.column(1)), n)]
+            sets = list(shingle_sets(c.texts_of(batch.column(1)), n))
+            own = [class_hash(len(s), *signature(s)) == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            batch, blobs = batch.filter(pa.array(own, pa.bool_())), [s.tobytes() for s, x in zip(sets, own, strict=True) if x]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(b) // 8 for b in blobs], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64())], names=["region", "id", "n", "elems", "core"])
 
     return run
@@ -434,15 +440,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, num: int = NUM, den: i
     near = placed.repartition("gid").sortWithinPartitions("gid").mapInArrow(_runs(_neighbours(num, den)), "a long, b long").union(wide).distinct()
     islands = c.materialise(c.components(near), "islands")
     c.drop_scratch(rows)
-    members = c.materialise(classes.select("rep", "n", F.col("cls").alias("id")).join(islands, "id").select(F.col("rep").alias("doc_id"), F.col("component").alias("region"), "n"), "members")
+    return join_islands(own, each, classes, islands, n, num, den, cap)
+
 
-    # 3 and 4: regions
-    picked = members.select("doc_id", "region")
+def join_islands(own: DataFrame, each: DataFrame, classes: DataFrame, islands: DataFrame, n: int, num: int, den: int, cap: int) -> DataFrame:
+    """Steps 3 and 4: (doc_id, n_shingles, component_id) from islands (id, component) of classes, links decided on full sets.
+
+    own: (doc_id, text). each: a row (doc_id, n, s1, s2) per document. classes: (n, s1, s2, cls, rep), rep the least doc_id.
+    """
+    members = classes.select("rep", "n", F.col("cls").alias("id")).join(islands, "id")
+    members = c.materialise(members.select(F.col("rep").alias("doc_id"), "id", F.col("component").alias("region"), "n"), "members")
+    picked = members.select("doc_id", "id", "region")
     few = members.count() <= BROADCAST_ROWS
     texts = own.join(F.broadcast(picked) if few else picked, "doc_id")
+    sets = texts.select("id", "text", "region").mapInArrow(_sets(n), SETS)
     if _repeats(each):
-        texts = texts.dropDuplicates(["doc_id"])
-    sets = texts.select("doc_id", "text", "region").mapInArrow(_sets(n), SETS)
+        sets = sets.dropDuplicates(["id"])
     weight = members.groupBy("region").agg(F.sum("n").alias("w"), F.count("*").alias("m")).where(_too_large(cap)).select("region")
     edges: list[DataFrame] = []
     if weight.isEmpty():
@@ -457,11 +470,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, num: int = NUM, den: i
     links = edges[0]
     for e in edges[1:]:
         links = links.unionByName(e)
-    linked = c.components(links).select(F.col("id").alias("rep"), "component")
+    linked = c.materialise(c.components(links).select(F.col("id").alias("cls"), "component").join(classes.select("cls", "rep"), "cls"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
 
     # back to documents
-    named = classes.join(linked, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return each.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(linked.join(least, "component").select("cls", "least"), "cls", "left").select("n", "s1", "s2", F.coalesce("least", "rep").alias("least"))
+    return each.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _repeats(each: DataFrame) -> bool:
