@@ -139,19 +139,31 @@ def parse_xlsx(content: bytes) -> Iterator[Block]:
                     yield "\n".join([rows[0], *body]), [title, f"rows {i * SHEET_ROWS + 2}"], None
 
 
-def _paragraphs(xml: bytes) -> str:
-    return "\n".join(t for t in ("".join(x.text or "" for x in p.iter(f"{_A}t")) for p in ElementTree.fromstring(xml).iter(f"{_A}p")) if t.strip())
-
-
 #: Placeholders of notes that are not text: fixed values.
 FURNITURE = ("sldNum", "dt", "ftr")
 
 
+def _drawn_text(xml: bytes, furniture: tuple[str, ...] = ()) -> str:
+    """The text of a drawing, a line per paragraph, but for that of shapes whose placeholder is furniture."""
+    out: list[str] = []
+
+    def walk(node, seen: bool) -> None:
+        if node.tag == f"{_P}sp":
+            seen = not any(p.get("type") in furniture for p in node.iter(f"{_P}ph"))
+        if node.tag == f"{_A}t" and seen:
+            out.append(node.text or "")
+        for child in node:
+            walk(child, seen)
+        if node.tag == f"{_A}p":
+            out.append("\n")
+
+    walk(ElementTree.fromstring(xml), True)
+    return "".join(out).strip()
+
+
 def notes_body(xml: bytes) -> str:
-    """Paragraphs of the shapes of a notes page, without slide numbers, dates and footers."""
-    shapes = ElementTree.fromstring(xml).iter(f"{_P}sp")
-    own = [s for s in shapes if not any(p.get("type") in FURNITURE for p in s.iter(f"{_P}ph"))]
-    return "\n".join(t for t in (_paragraphs(ElementTree.tostring(s)) for s in own) if t)
+    """Text of a notes page, in shapes or outside them, without slide numbers, dates and footers."""
+    return _drawn_text(xml, FURNITURE)
 
 
 def _slides(content: bytes) -> Iterator[tuple[str, str]]:
@@ -162,7 +174,7 @@ def _slides(content: bytes) -> Iterator[tuple[str, str]]:
         for name in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
             related = _targets(z, name)
             notes = next((t for kind, t in related.values() if kind == "notesSlide"), None if related else f"ppt/notesSlides/notesSlide{number(name)}.xml")
-            yield _paragraphs(z.read(name)), notes_body(z.read(notes)) if notes in names else ""
+            yield _drawn_text(z.read(name)), notes_body(z.read(notes)) if notes in names else ""
 
 
 def parse_pptx(content: bytes) -> Iterator[Block]:
@@ -175,8 +187,8 @@ def parse_pptx(content: bytes) -> Iterator[Block]:
 
 
 def slide_texts(content: bytes) -> list[str]:
-    """One text per slide, its notes behind it."""
-    return [text + (f"\n\nNotes:\n{notes}" if notes else "") for text, notes in _slides(content)]
+    """One text per slide, its notes behind it; of a blank slide the notes alone."""
+    return ["\n\n".join(x for x in (text, f"Notes:\n{notes}" if notes else "") if x) for text, notes in _slides(content)]
 
 
 PARSERS = {"text": parse_text, "markdown": parse_markdown, "docx": parse_docx, "xlsx": parse_xlsx, "pptx": parse_pptx}

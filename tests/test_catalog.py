@@ -21,10 +21,11 @@ def duck():
 def test_query_matches_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    rows = sorted(tuple(r[c] for c in columns) for r in got.collect())
+    by_value = lambda row: [(x is not None, x) for x in row]  # noqa: E731 - nulls first
+    rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=by_value)
     if name in catalog.ORACLE:
         want = duck.sql(catalog.ORACLE[name])
         assert sorted(want.columns) == columns
-        assert rows == sorted(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())
+        assert rows == sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=by_value)
     else:
         assert rows

@@ -58,6 +58,17 @@ def test_slides_and_their_notes():
     assert [(t, p) for t, _, p in office.parse_pptx(deck())] == [("first", 1), ("said aloud", 1), ("last", 2)]
 
 
+def test_notes_outside_shapes_and_of_blank_slides():
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    par = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    footer = f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="ftr"/></p:nvPr></p:nvSpPr><p:txBody>{par("page foot")}</p:txBody></p:sp>'
+    notes = f"<p:notes {ns}><p:graphicFrame><a:tbl>{par('in a table')}</a:tbl></p:graphicFrame>{footer}<p:sp><p:txBody>{par('said')}<a:p/>{par('again')}</p:txBody></p:sp></p:notes>"
+    assert office.notes_body(notes.encode()) == "in a table\n\nsaid\n\nagain"
+    blank = zipped({"ppt/slides/slide1.xml": f"<p:sld {ns}/>", "ppt/notesSlides/notesSlide1.xml": notes})
+    assert office.slide_texts(blank) == ["Notes:\nin a table\n\nsaid\n\nagain"]
+    assert [h for _, h, _ in office.parse_pptx(blank)] == [["Slide 1", "Notes"]]
+
+
 def test_markdown_fences_and_lists():
     text = "# Top\n```\n# not a heading\n```\nbody\n\n- one\n- two\n\nafter the list\n## Sub\nend"
     got = [(t, h) for t, h, _ in office.parse_markdown(text.encode())]
