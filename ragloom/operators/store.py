@@ -1,8 +1,14 @@
-"""A chunk store over Parquet: versions of rows in a folder, partitioned by notebook.
+"""A chunk store over Parquet: commits of rows, delete vectors, and snapshots that say what is live.
 
-Writes only add files: an upsert adds rows of a higher version, a deletion adds a tombstone for a source
-or a notebook. So a job that dies and is run again leaves the same rows, and readers never see half a
-rewrite. Reads keep the latest version of a chunk; compact() writes what is left to another folder.
+data/commit=C/notebook_id=N/ holds the rows that one write added and dead/by=C/ the places (commit, notebook,
+file, row) of rows that it replaced or deleted. snapshots/ says which commits are live and which notebooks have been emptied
+since. A write finds the rows that it replaces by keys alone, and is seen only when its snapshot has been
+published: a job that dies before leaves files that nobody reads, and one that is run again under the same
+batch changes nothing. A read prunes commits and notebooks and leaves out dead places by a broadcast of their
+list, which a write keeps below MOST_DEAD by compaction, so texts and vectors are neither sorted nor shuffled.
+
+One writer at a time; any number of readers. A null notebook is the notebook ''. Rows with a null chunk_id are
+never replaced. Of rows of one chunk_id in one write the one with the greatest digest of its values stays.
 """
 
 from __future__ import annotations
@@ -14,9 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.snapshots import Snapshots
 from . import retrieval as R
 
-CHUNKS = "chunk_id string, source_id string, ord int, text string, heading_path array<string>, page int, embedding array<float>, version long, deleted string, notebook_id string"
+CHUNKS = "chunk_id string, source_id string, ord int, text string, heading_path array<string>, page int, embedding array<float>, version long"
+#: Kept beside the values: a digest that settles repeats.
+DATA = CHUNKS + ", digest long, commit long, notebook_id string"
+DEAD = "commit long, notebook_id string, file string, row long, by long"
+#: Dead places (about 150 bytes each) that a read may broadcast; a write that passes it compacts the store.
+MOST_DEAD = 400_000
+#: Where a row is; a task gives its files in the folders of several notebooks one name.
+PLACE = ["commit", "notebook_id", "file", "row"]
 
 
 @dataclass
@@ -24,55 +38,130 @@ class ChunkStore:
     spark: SparkSession
     path: str
 
-    def _put(self, rows: DataFrame) -> None:
-        have = {f.name: f.dataType for f in self.spark.createDataFrame([], CHUNKS).schema}
-        full = rows.select(*[(F.col(k) if k in rows.columns else F.lit(None)).cast(v).alias(k) for k, v in have.items()])
-        full.write.mode("append").partitionBy("notebook_id").parquet(self.path)
-
-    def upsert(self, rows: DataFrame, version: int | None = None) -> None:
-        self._put(rows.withColumn("version", F.lit(version or time.time_ns())).withColumn("deleted", F.lit(None).cast("string")))
+    @property
+    def _snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, f"{self.path}/snapshots")
+
+    def snapshot(self) -> dict:
+        """What is live: commits, emptied notebooks with the last commit they were emptied of, dead places, last batch by stream."""
+        return {"commits": [], "gone": {}, "dead": [], "n_dead": 0, "last": 0, "batches": {}} | self._snapshots.latest()[1]
+
+    def _publish(self, snap: dict) -> None:
+        self._snapshots.publish(self._snapshots.latest()[0] + 1, snap)
+
+    def _next(self, snap: dict, version: int | None) -> int:
+        if version is not None and version <= snap["last"]:
+            raise ValueError(f"version {version} is not above {snap['last']}, the store's last one")
+        return version or max(time.time_ns(), snap["last"] + 1)
+
+    def _live(self, snap: dict, notebook: str | None = None, commits: list[int] | None = None) -> DataFrame:
+        """Live rows with their places; commits and notebooks prune folders."""
+        commits = snap["commits"] if commits is None else commits
+        if not commits:
+            return self.spark.createDataFrame([], DATA + ", file string, row long")
+        rows = self.spark.read.schema(DATA).parquet(f"{self.path}/data").where(F.col("commit").isin(commits))
+        rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        rows = rows.withColumn("notebook_id", F.coalesce("notebook_id", F.lit("")))
+        rows = rows.where(F.col("notebook_id") == notebook) if notebook is not None else rows
+        gone = {k: v for k, v in snap["gone"].items() if notebook in (None, k)}
+        if gone:
+            upto = F.create_map(*[F.lit(x) for pair in gone.items() for x in pair])
+            rows = rows.where(F.col("commit") > F.coalesce(F.try_element_at(upto, "notebook_id"), F.lit(-1)))
+        if snap["dead"]:
+            dead = self.spark.read.schema(DEAD).parquet(f"{self.path}/dead").where(F.col("by").isin(snap["dead"])).select(*PLACE)
+            rows = rows.join(F.broadcast(dead), PLACE, "left_anti")
+        return rows
+
+    def _bury(self, snap: dict, commit: int, places: DataFrame) -> int:
+        """Writes dead places of a commit; their number."""
+        places.select(*PLACE).write.mode("overwrite").parquet(f"{self.path}/dead/by={commit}")
+        n = self.spark.read.schema(DEAD).parquet(f"{self.path}/dead").where(F.col("by") == commit).count()
+        if n:
+            snap["dead"], snap["n_dead"] = [*snap["dead"], commit], snap["n_dead"] + n
+        return n
 
-    def _tombstone(self, notebook: str, source: str | None, version: int | None) -> int:
-        held = self.chunks(notebook)
-        held = held.where(F.col("source_id") == source) if source is not None else held
-        n = held.count()
-        row = [(notebook, source, "source" if source is not None else "notebook", version or time.time_ns())]
-        self._put(self.spark.createDataFrame(row, "notebook_id string, source_id string, deleted string, version long"))
+    def _write(self, rows: DataFrame, commit: int) -> None:
+        have = {f.name: f.dataType for f in self.spark.createDataFrame([], DATA).schema}
+        full = rows.withColumn("version", F.lit(commit)) if "version" not in rows.columns else rows
+        full = full.select(*[(F.col(k) if k in full.columns else F.lit(None)).cast(v).alias(k) for k, v in have.items() if k not in ("commit", "digest")])
+        full = full.withColumn("digest", F.xxhash64(*[k for k in full.columns if k not in ("version", "notebook_id")]))
+        full.write.mode("overwrite").partitionBy("notebook_id").parquet(f"{self.path}/data/commit={commit}")
+
+    def upsert(self, rows: DataFrame, version: int | None = None, replace: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Adds rows, in place of those of the same notebook and chunk_id; the number of chunks added.
+
+        replace: sources (notebook_id, source_id) whose other chunks go in the same step. A version that is there
+        already is skipped. batch: a stream's name and the number of its batch; a batch not above the last of its
+        stream has been written and is skipped.
+        """
+        snap = self.snapshot()
+        if version in snap["commits"] or (batch is not None and batch[1] <= snap["batches"].get(batch[0], -1)):
+            return 0
+        commit = self._next(snap, version)
+        self._write(rows.drop("version"), commit)
+        new = self._live(snap | {"dead": [], "gone": {}}, commits=[commit]).select("chunk_id", "digest", *PLACE)
+        held = self._live(snap).select("chunk_id", "source_id", *PLACE)
+        places = held.join(R._small(new.select("notebook_id", "chunk_id").where("chunk_id is not null")), ["notebook_id", "chunk_id"], "left_semi").select(*PLACE)
+        if replace is not None:
+            sources = replace.select(F.coalesce("notebook_id", F.lit("")).alias("notebook_id"), "source_id")
+            places = places.unionByName(held.join(R._small(sources), ["notebook_id", "source_id"], "left_semi").select(*PLACE)).distinct()
+        best = Window.partitionBy("notebook_id", "chunk_id").orderBy(F.desc("digest"), "file", "row")
+        again = new.where("chunk_id is not null").withColumn("n", F.row_number().over(best)).where("n > 1").select(*PLACE)
+        self._bury(snap, commit, places.unionByName(again))
+        repeats = self.spark.read.schema(DEAD).parquet(f"{self.path}/dead").where((F.col("by") == commit) & (F.col("commit") == commit)).count() if commit in snap["dead"] else 0
+        snap["commits"], snap["last"] = [*snap["commits"], commit], commit
+        if batch is not None:
+            snap["batches"] = snap["batches"] | {batch[0]: batch[1]}
+        self._publish(snap)
+        added = new.count() - repeats
+        if snap["n_dead"] > MOST_DEAD:
+            self.compact()
+        return added
+
+    def _delete(self, sources: DataFrame, version: int | None) -> int:
+        snap = self.snapshot()
+        commit = self._next(snap, version)
+        held = self._live(snap).select("source_id", *PLACE)
+        n = self._bury(snap, commit, held.join(R._small(sources), ["notebook_id", "source_id"], "left_semi"))
+        self._publish(snap | {"last": commit})
+        if snap["n_dead"] > MOST_DEAD:
+            self.compact()
         return n
 
     def delete_by_source(self, notebook: str, source: str, version: int | None = None) -> int:
         """Number of chunks removed."""
-        return self._tombstone(notebook, source, version)
+        return self._delete(self.spark.createDataFrame([(notebook, source)], "notebook_id string, source_id string"), version)
 
-    def delete_by_notebook(self, notebook: str, version: int | None = None) -> int:
-        return self._tombstone(notebook, None, version)
+    def delete_sources(self, notebook: str, sources: DataFrame, version: int | None = None) -> int:
+        """All sources of a table at once; the number of chunks removed."""
+        return self._delete(sources.select(F.lit(notebook).alias("notebook_id"), "source_id").distinct(), version)
 
-    def delete_sources(self, notebook: str, sources: DataFrame, version: int | None = None) -> None:
-        """Tombstones for all source_ids of a table at once."""
-        self._put(sources.select("source_id").distinct().withColumns({"notebook_id": F.lit(notebook), "deleted": F.lit("source"), "version": F.lit(version or time.time_ns())}))
+    def delete_by_notebook(self, notebook: str, version: int | None = None) -> int:
+        """Number of chunks removed. Only the snapshot changes."""
+        snap = self.snapshot()
+        n, commit = self._live(snap, notebook).count(), self._next(snap, version)
+        self._publish(snap | {"gone": snap["gone"] | {notebook: snap["last"]}, "last": commit})
+        return n
 
     def chunks(self, notebook: str | None = None) -> DataFrame:
-        """The latest version of each chunk that no later tombstone covers; a notebook prunes partitions."""
-        try:
-            rows = self.spark.read.schema(CHUNKS).parquet(self.path)
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], CHUNKS)
-        rows = rows.where(F.col("notebook_id") == notebook) if notebook is not None else rows
-        latest = Window.partitionBy("notebook_id", "chunk_id").orderBy(F.desc("version"))
-        live = rows.where("deleted is null").withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n", "deleted")
-        gone = rows.where("deleted is not null").groupBy("notebook_id", F.when(F.col("deleted") == "source", F.col("source_id")).alias("source_id")).agg(F.max("version").alias("gone"))
-        by_source = gone.where("source_id is not null").withColumnRenamed("gone", "gone_source")
-        by_book = gone.where("source_id is null").select("notebook_id", F.col("gone").alias("gone_book"))
-        j = live.join(by_source, ["notebook_id", "source_id"], "left").join(by_book, "notebook_id", "left")
-        return j.where("version > coalesce(gone_source, -1) and version > coalesce(gone_book, -1)").drop("gone_source", "gone_book")
-
-    def compact(self, path: str) -> ChunkStore:
-        new = ChunkStore(self.spark, path)
-        new._put(self.chunks().withColumn("deleted", F.lit(None).cast("string")))
+        """The live chunks: a scan of the live commits less a broadcast list of places."""
+        return self._live(self.snapshot(), notebook).drop("digest", "commit", "file", "row")
+
+    def compact(self, path: str | None = None) -> ChunkStore:
+        """Writes the live rows as one commit, to another folder or in place; rows keep their version."""
+        snap, new = self.snapshot(), ChunkStore(self.spark, path or self.path)
+        commit = self._next(snap, None)
+        new._write(self.chunks().hint("rebalance", "notebook_id"), commit)
+        new._publish(snap | {"commits": [commit], "gone": {}, "dead": [], "n_dead": 0, "last": commit})
         return new
 
+    def vacuum(self) -> None:
+        """Deletes what the last snapshot does not need; readers of older snapshots must have ended."""
+        s, snap = self._snapshots, self.snapshot()
+        s.forget_before(s.latest()[0])
+        s.delete_folders(f"{self.path}/data", {f"commit={n}" for n in snap["commits"]})
+        s.delete_folders(f"{self.path}/dead", {f"by={n}" for n in snap["dead"]})
+
     # The store's side of retrieval: a notebook prunes partitions, a scope filters before the top k.
 
     def _scope(self, notebook: str | None, sources: DataFrame | None) -> DataFrame:

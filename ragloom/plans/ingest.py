@@ -58,19 +58,19 @@ class Ingest:
     enrich: Callable[[DataFrame], DataFrame] | None = None
     cache: IndexCache | None = None
 
-    def index_chunks(self, notebook: str, chunks: DataFrame, version: int | None = None) -> int:
-        """Embeds and stores chunks (chunk_id, source_id, ord, text, ...); their number."""
-        version = version or time.time_ns()
+    def index_chunks(self, notebook: str, chunks: DataFrame, replace: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Embeds and stores chunks (chunk_id, source_id, ord, text, ...), in place of the sources in replace; their number."""
         own = self.enrich(chunks) if self.enrich else chunks
         own = own.withColumn("embedding", self.embed(T.embedding_text(F.col("heading_path"), F.col("text"))))
-        self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), version)
-        return self.store.chunks(notebook).where(F.col("version") == version).count()
+        gone = replace.select(F.lit(notebook).alias("notebook_id"), "source_id") if replace is not None else None
+        return self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), replace=gone, batch=batch)
 
-    def ingest(self, notebook: str, files: DataFrame) -> DataFrame:
+    def ingest(self, notebook: str, files: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Counts of files (path, kind, fingerprint, content): total, ingested, unchanged, skipped, failed, and chunks written.
 
         A file of unknown kind is skipped; one that cannot be read fails and is tried again next time. The
-        chunks of a changed file take the place of those it had.
+        chunks of a changed file take the place of those it had, in the same step. The state is written after the
+        chunks: a run that died between the two stores the same chunks again. batch: see ChunkStore.upsert.
         """
         spark, version = files.sparkSession, time.time_ns()
         state = self.cache.get() if self.cache else spark.createDataFrame([], STATE)
@@ -84,8 +84,7 @@ class Ingest:
         total, bad = files.count(), failed.count()
         done = known.where("outcome <> 'unchanged'").join(failed, "path", "left_anti")
         blocks = parsed.where("error is null").join(known.select("path", "source_id"), "path").drop("path", "error")
-        self.store.delete_sources(notebook, done.where("outcome = 'changed'").select("source_id"), version)
-        many = self.index_chunks(notebook, self.chunker(blocks), version + 1)
+        many = self.index_chunks(notebook, self.chunker(blocks), done.where("outcome = 'changed'"), batch)
         if self.cache:
             self.cache.put(done, version)
         old = n.get("unchanged", 0)

@@ -1,13 +1,34 @@
-"""Incremental ingest: a file stream whose batches are upserted, so that a replay changes nothing."""
+"""Incremental ingest: a file stream whose batches go into a store, once each however often they are run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..plans.ingest import Ingest
 
-def ingest_stream(spark: SparkSession, path: str, schema, checkpoint: str, sink: Callable[[DataFrame, int], None], fmt: str = "parquet", files: int = 100):
-    """Starts a stream over new files of a folder, `files` a batch; runs until all that is there is read."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Rows of a feed of files; modified orders the versions of a path.
+FILES = "path string, kind string, fingerprint string, content binary, modified long"
+
+
+def ingest_sink(ingest: Ingest, notebook: str, name: str) -> Callable[[DataFrame, int], None]:
+    """A sink of batches of FILES: the newest row of each path is ingested into a notebook under the stream's name.
+
+    The store takes a batch once, and the state is written after the store: a batch that ran in part, or runs
+    again, leaves what one run leaves. Equally new rows of a path: the greatest fingerprint.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("fingerprint"))
+        files = batch.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "modified")
+        ingest.ingest(notebook, files, (name, number))
+
+    return sink
+
+
+def ingest_stream(spark: SparkSession, path: str, ingest: Ingest, notebook: str, checkpoint: str, name: str, fmt: str = "parquet", files: int = 100):
+    """Starts a stream over new files of a folder of FILES, `files` a batch; runs until all that is there is read."""
+    rows = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").format(fmt).load(path)
+    return rows.writeStream.queryName(name).foreachBatch(ingest_sink(ingest, notebook, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
