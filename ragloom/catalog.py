@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_documents, catalog_parts, catalog_text
+from . import catalog_documents, catalog_index, catalog_parts, catalog_text
 from .functions import text as T
 from .operators import evaluation as E
 from .operators import retrieval as R
@@ -164,6 +164,7 @@ QUERIES = {
     **catalog_text.QUERIES,
     **catalog_documents.QUERIES,
     **catalog_parts.QUERIES,
+    **catalog_index.QUERIES,
 }
 
 _VEC = """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -222,4 +223,5 @@ ORACLE = {
     **catalog_text.oracle(_VEC, _HEAD, _BI),
     **catalog_documents.ORACLE,
     **catalog_parts.oracle(_VEC, _BM, _BI),
+    **catalog_index.oracle(_BM),
 }

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import embed as M
+from .operators import evaluation as E
+from .operators import retrieval as R
 from .operators import store as D
+from .operators.term_index import TermIndex
 from .plans import parts
 from .plans.ingest import IndexCache, Ingest
+from .sources import corpora as J
 from .sources import files as S
 from .sources.scratch import shared_folder
 from .streaming.ingest import ingest_stream
@@ -61,6 +65,65 @@ _STREAM = """SELECT sha256('d/' || doc_id || '.txt') source_id, CAST(i AS INT) o
  FROM (SELECT doc_id, text, unnest(range(0, 1 + CAST(greatest(ceil((length(text) - 350) / 290.0), 0) AS BIGINT))) i FROM documents WHERE length(text) > 0)"""
 
 
-QUERIES = {"store_snapshot": q_store_snapshot, "stream_ingest": q_stream_ingest}
+def _chunks(s, d):
+    return _t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
-ORACLE = {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM}
+
+def _queries(s, d):
+    return _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def q_bm25_index(s, d):
+    """BM25 from the term index: the buckets of the query terms alone are read."""
+    index = TermIndex.build(_chunks(s, d), shared_folder(s, "terms"))
+    return index.top_k(_queries(s, d), 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
+#: Entries of the items: the second and third word are the term, two words and three words after them the synonyms.
+_ENTRY = "array_join(slice(w, 2, 2), ' ')", ("array_join(slice(w, 4, 2), ' ')", "array_join(slice(w, 6, 3), ' ')", "'the'")
+
+
+def q_sparse_corpus(s, d):
+    """Documents without the synonyms of the entries that their heads name."""
+    items = _t(s, d, "benchmark").select(F.split("text", r"\s+").alias("w"), "item_id").where("size(w) >= 8")
+    entries = items.groupBy(F.expr(_ENTRY[0]).alias("term")).agg(F.min(F.struct("item_id", F.array(*[F.expr(x) for x in _ENTRY[1]]).alias("synonyms"))).alias("x")).select("term", "x.synonyms")
+    corpus = _t(s, d, "documents").select("doc_id", F.lit("the").alias("caption"), F.concat(F.when(F.col("doc_id") % 3 == 0, "the。").otherwise(""), "text").alias("text"))
+    heads = _t(s, d, "documents").where("doc_id % 7 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.col("source").alias("caption"), F.substring("text", 1, 2000).alias("text"))
+    return J.sparse_corpus(corpus.unionByName(heads), entries).select("doc_id", F.md5("text").alias("digest"))
+
+
+def q_weight_grid(s, d):
+    """One hybrid retrieval, scored at five weights; items of one label are relevant to each other."""
+    e = _t(s, d, "embeddings").select("vec_id", "label", "embedding")
+    q = _queries(s, d).join(e, F.col("query_id") == F.col("vec_id")).drop("vec_id")
+    golden = q.select("query_id", "label").join(e.select("label", F.col("vec_id").alias("relevant_id")), "label").select("query_id", "relevant_id")
+    vectors = R.vector_top_k(q.select("query_id", F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 50)
+    return E.weight_grid(vectors, R.bm25_top_k(q.select("query_id", "query"), _chunks(s, d), 50), golden, [0.0, 0.25, 0.5, 0.75, 1.0], 10)
+
+
+QUERIES = {"store_snapshot": q_store_snapshot, "stream_ingest": q_stream_ingest, "bm25_index": q_bm25_index, "sparse_corpus": q_sparse_corpus, "weight_grid": q_weight_grid}
+
+_SPARSE = """WITH b AS (SELECT item_id, regexp_split_to_array(text, '\\s+') w FROM benchmark), e0 AS (SELECT array_to_string(w[2:3], ' ') term, item_id, [array_to_string(w[4:5], ' '), array_to_string(w[6:8], ' '), 'the'] syn FROM b WHERE len(w) >= 8),
+ e AS (SELECT term, arg_min(syn, item_id) syn FROM e0 GROUP BY 1),
+ s AS (SELECT term, list(x ORDER BY length(x) DESC, i) syn FROM (SELECT term, unnest(syn) x, unnest(range(len(syn))) i FROM e) GROUP BY 1),
+ c AS (SELECT doc_id, 'the' caption, CASE WHEN doc_id % 3 = 0 THEN 'the。' ELSE '' END || text t FROM documents UNION ALL SELECT doc_id + 1000000, source, substring(text, 1, 2000) FROM documents WHERE doc_id % 7 = 0),
+ h AS (SELECT doc_id, term, syn, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term) n FROM c JOIN s ON contains(substring(caption || t, 1, 300), term)),
+ g AS (SELECT doc_id, list(x ORDER BY n, i) syns FROM (SELECT doc_id, n, unnest(syn) x, unnest(range(len(syn))) i FROM h WHERE n <= 3) JOIN c USING (doc_id) WHERE x <> caption AND x <> '' GROUP BY 1),
+ r AS (SELECT doc_id, list_reduce(list_prepend(t, coalesce(syns, [])), lambda a, x: replace(a, x, '—')) t FROM c LEFT JOIN g USING (doc_id))
+ SELECT doc_id, md5(replace(replace(regexp_replace(t, '—{2,}', '—', 'g'), '—。', '。'), '。—', '。')) digest FROM r"""
+
+
+def oracle(bm: str) -> dict[str, str]:
+    grid = bm + """, vq AS (SELECT vec_id query_id, embedding qv, label FROM embeddings JOIN benchmark ON item_id = vec_id),
+ vs AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM vq, embeddings),
+ vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 12) DESC, chunk_id) "rank" FROM vs),
+ w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE semantic),
+ u AS (SELECT semantic, query_id, chunk_id, "rank", semantic w FROM vr, w WHERE "rank" <= 50 UNION ALL SELECT semantic, r.query_id, r.chunk_id, r."rank", 1 - semantic FROM r JOIN vq USING (query_id), w WHERE r."rank" <= 50),
+ f AS (SELECT semantic, query_id, chunk_id, round(sum(w / (60 + "rank")), 9) s FROM u WHERE w > 0 GROUP BY 1, 2, 3),
+ p AS (SELECT *, row_number() OVER (PARTITION BY semantic, query_id ORDER BY s DESC, chunk_id) k FROM f),
+ g AS (SELECT query_id, e.vec_id chunk_id FROM vq JOIN embeddings e USING (label)), n AS (SELECT query_id, count(*) n FROM g GROUP BY 1),
+ m AS (SELECT semantic, query_id, count(*) m, sum(1 / log2(k + 1)) dcg, min(k) best FROM p JOIN g USING (query_id, chunk_id) WHERE k <= 10 GROUP BY 1, 2),
+ x AS (SELECT semantic, query_id, coalesce(CAST(m AS DOUBLE) / n, 0) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 9) ndcg, coalesce(1.0::DOUBLE / best, 0) rr
+   FROM w CROSS JOIN n LEFT JOIN m USING (semantic, query_id))
+ SELECT semantic, count(*) queries, round(avg(recall), 6) recall, round(avg(hit), 6) hit, round(avg(ndcg), 6) ndcg, round(avg(rr), 6) rr FROM x GROUP BY 1"""
+    return {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM, "bm25_index": bm + 'SELECT * FROM r WHERE "rank" <= 10', "sparse_corpus": _SPARSE, "weight_grid": grid}

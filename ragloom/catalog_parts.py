@@ -421,6 +421,6 @@ def oracle(vec: str, bm: str, bi: str) -> dict[str, str]:
  x AS (SELECT a.conv_id, a.turn, said, s, i, list_distinct(list_transform(regexp_extract_all(said, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) l, list_distinct(list_transform(regexp_extract_all(s, '[\\p{Han}]{2,}|[A-Za-z0-9０-９]{2,}'), lambda w: lower(w))) m FROM a JOIN e USING (conv_id, turn) WHERE trim(s, ' ') <> ''),
  y AS (SELECT *, CASE WHEN len(list_intersect(l, m)) = 0 THEN 0 ELSE round(CAST(len(list_intersect(l, m)) AS DOUBLE) / (len(l) + len(m) - len(list_intersect(l, m))), 9) END overlap FROM x)
  SELECT conv_id * 1000 + turn query_id, CAST(1 AS INT) "rank", md5(said) said, md5(s) sentence, overlap FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, i) k FROM y) WHERE k = 1""",
-        "sparse_text": "SELECT doc_id, md5(replace(replace(text, 'the', '—'), lang, '—')) digest FROM documents",
+        "sparse_text": "SELECT doc_id, md5(regexp_replace(replace(replace(text, 'the', '—'), lang, '—'), '—{2,}', '—', 'g')) digest FROM documents",
         "corpus_chunks": "SELECT CAST(doc_id AS VARCHAR) chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE CAST(doc_id AS VARCHAR) END source_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE CAST(doc_id AS VARCHAR) END heading, md5(CASE WHEN doc_id % 3 = 0 THEN text ELSE '(' || source || ')' || chr(10) || text END) digest FROM documents",
     }

@@ -130,7 +130,11 @@ def q_chat(s, d):
 
 
 def q_substring(s, d):
-    q = _queries(s, d).withColumn("query", F.regexp_extract("query", r"^\S+ \S+", 0)).where("query <> ''")
+    """Whole items, their first two words (ids from 10,000), two letters and one (20,000, 30,000), and a query that nothing has."""
+    q = _queries(s, d)
+    part = lambda add, text: q.select((F.col("query_id") + add).alias("query_id"), text.alias("query"))
+    words = part(10_000, F.regexp_extract("query", r"^\S+ \S+", 0)).where("query <> ''")
+    q = part(0, F.col("query")).unionByName(words).unionByName(part(20_000, F.substring("query", 3, 2))).unionByName(part(30_000, F.substring("query", 1, 1))).unionByName(part(40_000, F.concat("query", F.lit("\u00e9\u00e9"))))
     return D.substring_search(q, _docs(s, d), 5).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -279,7 +283,7 @@ def oracle(vec: str, head: str, bi: str) -> dict[str, str]:
         "weight_adjust": "WITH t AS (SELECT item_id query_id, text, length(regexp_replace(text, '\\s', '', 'g')) n, length(regexp_replace(text, '[^぀-ヿ]', '', 'g')) k, length(regexp_replace(text, '[^一-鿿A-Za-z0-9０-９]', '', 'g')) o FROM benchmark) SELECT query_id, CASE WHEN length(text) < 4 OR n = 0 THEN 0.5::DOUBLE ELSE round(greatest(least(0.5::DOUBLE + greatest(least(CAST(k AS DOUBLE) / n - CAST(o AS DOUBLE) / n, 1.0::DOUBLE), -1.0::DOUBLE) * 0.2::DOUBLE, 0.95::DOUBLE), 0.05::DOUBLE), 9) END weight FROM t",
         "code_snippet": "SELECT conv_id, turn, regexp_matches(text, '[A-Z_]{4}') OR length(regexp_replace(text, '[^(){};=%<>]', '', 'g')) >= 2 OR len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: contains(w, '_') AND length(w) >= 4)) > 0 OR len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) >= 5 AND regexp_matches(w, '^[A-Z][A-Za-z]+[A-Z]'))) > 0 code, regexp_matches(lower(text), '要約|概要|全体像|要点|まとめて|について教えて|summary|summarize|overview') summary FROM conversations",
         "chat_prompts": "WITH t AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) f FROM conversations), g AS (SELECT conv_id, any_value(f) f, coalesce(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (role <> 'system'), '') c, coalesce(string_agg('<start_of_turn>' || CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END || chr(10) || CASE WHEN turn = f THEN 'Be brief.' || chr(10) || chr(10) ELSE '' END || text || '<end_of_turn>' || chr(10), '' ORDER BY turn) FILTER (role <> 'system'), '') m FROM t GROUP BY 1) SELECT conv_id, md5(c || '<|im_start|>assistant' || chr(10)) chatml, md5(m || '<start_of_turn>user' || chr(10) || CASE WHEN f IS NULL THEN 'Be brief.' || chr(10) || chr(10) ELSE '' END || 'And then?<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)) gemma FROM g",
-        "substring_search": "WITH q AS (SELECT item_id query_id, lower(regexp_extract(text, '^\\S+ \\S+')) q FROM benchmark) SELECT * FROM (SELECT query_id, doc_id chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INT) \"rank\" FROM q JOIN documents ON contains(lower(text), q) WHERE q <> '') WHERE \"rank\" <= 5",
+        "substring_search": "WITH b AS (SELECT item_id, text FROM benchmark), q AS (SELECT item_id query_id, lower(text) q FROM b UNION ALL SELECT item_id + 10000, lower(regexp_extract(text, '^\\S+ \\S+')) FROM b WHERE regexp_extract(text, '^\\S+ \\S+') <> '' UNION ALL SELECT item_id + 20000, lower(substring(text, 3, 2)) FROM b UNION ALL SELECT item_id + 30000, lower(substring(text, 1, 1)) FROM b UNION ALL SELECT item_id + 40000, lower(text) || 'éé' FROM b) SELECT * FROM (SELECT query_id, doc_id chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INT) \"rank\" FROM q JOIN documents ON contains(lower(text), q)) WHERE \"rank\" <= 5",
         "chunks_by_ids": "SELECT doc_id chunk_id, source source_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "delete_by": "SELECT doc_id chunk_id, source source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "golden_missing": "SELECT doc_id relevant_id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",

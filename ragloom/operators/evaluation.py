@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions import text as T
-from .retrieval import _small
+from .retrieval import _small, rrf
 
 
 def metrics(hits: DataFrame, golden: DataFrame, k: int) -> DataFrame:
@@ -74,3 +74,18 @@ def weight_sweep(runs: DataFrame, golden: DataFrame, k: int) -> DataFrame:
     wanted = golden.join(_small(runs.select("run_id").distinct()))
     per = metrics(keyed, wanted.select(F.struct("run_id", "query_id").alias("query_id"), "relevant_id"), k)
     return per.groupBy(F.col("query_id.run_id").alias("run_id")).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "hit", "ndcg", "rr")])
+
+
+def weight_grid(vectors: DataFrame, keywords: DataFrame, golden: DataFrame, weights: list[float], k: int) -> DataFrame:
+    """(semantic, queries, recall, hit, ndcg, rr): mean metrics of hybrid search at each semantic weight.
+
+    vectors and keywords are the two rankings (query_id, chunk_id, rank) of one retrieval: every weight fuses and
+    scores the same ranks, exploded over the grid, in one job. Weights are clamped to 0 .. 1; one of 0 leaves its
+    ranking out. Golden queries without hits count.
+    """
+    grid = F.explode(F.array(*[F.lit(min(max(float(w), 0.0), 1.0)) for w in dict.fromkeys(weights)])).alias("semantic")
+    keyed = lambda df, *columns: df.select("*", grid).select(F.struct("semantic", "query_id").alias("query_id"), *columns)
+    ranked = keyed(vectors, "chunk_id", "rank", F.col("semantic").alias("weight")).unionByName(keyed(keywords, "chunk_id", "rank", (1 - F.col("semantic")).alias("weight")))
+    per = metrics(rrf(ranked, k), keyed(golden, "relevant_id"), k)
+    means = [F.round(F.avg(x), 6).alias(x) for x in ("recall", "hit", "ndcg", "rr")]
+    return per.groupBy(F.col("query_id.semantic").alias("semantic")).agg(F.count("*").alias("queries"), *means)

@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import shared_folder
 from ..sources.snapshots import Snapshots
 from . import retrieval as R
+from .gram_index import GramIndex
 
 CHUNKS = "chunk_id string, source_id string, ord int, text string, heading_path array<string>, page int, embedding array<float>, version long"
 #: Kept beside the values: a digest that settles repeats.
@@ -256,10 +258,8 @@ def texts_by_source(chunks: DataFrame) -> DataFrame:
 
 
 def substring_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The first k chunks, by position, that hold the whole query in either case; score 1."""
-    hit = chunks.join(R._small(queries.select("query_id", F.lower("query").alias("q"))), F.contains(F.lower("text"), F.col("q")))
-    w = Window.partitionBy("query_id").orderBy("ord", "chunk_id")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("score"))
+    """The first k chunks, by position, that hold the whole query in either case; score 1. By a trigram index made for this call."""
+    return GramIndex.build(chunks, shared_folder(chunks.sparkSession, "substrings")).search(queries, chunks, k)
 
 
 def pages_without_text(blocks: DataFrame, sizes: DataFrame) -> DataFrame:

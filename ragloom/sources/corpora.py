@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.patterns import contained
+from ..operators.retrieval import _small
+
 CORPUS = "doc_id string, parent_id string, title string, caption string, text string"
 GOLDEN = "name string, items array<struct<query string, relevant array<string>, tags array<string>>>"
 
@@ -44,23 +47,44 @@ def thesaurus(json: Column) -> Column:
     return F.transform(entries, row)
 
 
-def thesaurus_terms(chunks: DataFrame, entries: DataFrame, head: int = 200, most: int = 3) -> DataFrame:
-    """(chunk_id, terms): what the longest `most` entries found in a chunk's head add, by their mode."""
-    from pyspark.sql import Window
+def longest_entries(texts: DataFrame, entries: DataFrame, key: str, head: int, most: int) -> DataFrame:
+    """Entries, beside key, whose term stands in the first `head` characters of text: the longest `most` of them."""
+    hit = contained(texts, entries, key, head)
+    w = Window.partitionBy(key).orderBy(F.desc(F.length("term")), "term")
+    return hit.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).join(_small(entries), "term")
 
-    from ..operators.retrieval import _small
 
-    hit = chunks.select("chunk_id", F.substring("text", 1, head).alias("head")).join(_small(entries), F.contains(F.col("head"), F.col("term")))
-    w = Window.partitionBy("chunk_id").orderBy(F.desc(F.length("term")), "term")
+def thesaurus_terms(chunks: DataFrame, entries: DataFrame, head: int = 200, most: int = 3) -> DataFrame:
+    """(chunk_id, terms): what the longest `most` entries found in a chunk's head add, by their mode."""
     none = F.array().cast("array<string>")
     own = F.concat(F.when(F.col("enrich_mode") == "scenario_only", none).otherwise(F.col("synonyms")), F.when(F.col("enrich_mode") == "literal_only", none).otherwise(F.col("scenarios")))
-    best = hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    best = longest_entries(chunks, entries, "chunk_id", head, most)
     return best.groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("terms"))
 
 
-def sparse_text(text: Column, synonyms: Column, filler: str = "—") -> Column:
-    """The text with each synonym replaced by a filler."""
-    return F.aggregate(synonyms, text, lambda t, s: F.replace(t, s, F.lit(filler)))
+#: Characters of caption and text that entries are looked for in, and entries taken of a row: fixed values.
+PROBE, PROBE_ENTRIES, FILLER = 300, 3, "—"
+
+
+def sparse_text(text: Column, synonyms: Column, filler: str = FILLER) -> Column:
+    """The text with each synonym replaced by a filler, in their order; runs of fillers and those beside a full stop shrink."""
+    out = F.aggregate(F.filter(synonyms, lambda s: s != ""), text, lambda t, s: F.replace(t, s, F.lit(filler)))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, f"{filler}{{2,}}", filler), f"{filler}。", "。"), f"。{filler}", "。")
+
+
+def sparse_corpus(corpus: DataFrame, entries: DataFrame) -> DataFrame:
+    """A corpus (doc_id, caption, text, ...) whose texts have lost the synonyms of the entries that they are about.
+
+    Entries are those whose term is in the first PROBE characters of caption and text, the longest PROBE_ENTRIES, each
+    with its synonyms from the longest; a synonym that is the caption stays. Texts without an entry shrink fillers alone.
+    """
+    probe = corpus.select("doc_id", F.concat("caption", "text").alias("text"))
+    entry = F.struct((-F.length("term")).alias("length"), "term", "synonyms")
+    found = longest_entries(probe, entries, "doc_id", PROBE, PROBE_ENTRIES).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    longest = lambda e: F.transform(F.array_sort(F.transform(e["synonyms"], lambda s, i: F.struct((-F.length(s)).alias("length"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+    synonyms = F.coalesce(F.flatten(F.transform("entries", longest)), F.array().cast("array<string>"))
+    own = F.filter(synonyms, lambda s: s != F.col("caption"))
+    return corpus.join(found, "doc_id", "left").withColumn("text", sparse_text(F.col("text"), own)).drop("entries")
 
 
 def law_articles(xml: Column, preview: int = 100) -> Column:
