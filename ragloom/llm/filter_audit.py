@@ -41,28 +41,34 @@ BLOCK, GROWTH = 256, 4
 BROADCAST_ROWS = 1_000_000
 
 
-def failures(text: Column) -> Column:
-    """The bits of A to D of a text that is not null."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    sizes = let(words, lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("own")))
+def failures(own: DataFrame) -> DataFrame:
+    """Adds mask, the bits of A to D, to rows with a text that is not null."""
+    # a column of its own, so that the words are split once
+    parts = own.withColumn("parts", F.split("text", r"[\x20\x09-\x0D]+"))
+    # only the first and the last part of a split can be empty
+    none = (F.get("parts", F.lit(0)) == "").cast("int") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
+    parts = parts.withColumns({"many": F.size("parts") - none, "distinct": F.size(F.array_distinct("parts")) - F.least(none, F.lit(1))}).drop("parts")
     flags = (
-        sizes["all"] < MIN_WORDS,
-        sizes["own"] * 100 < sizes["all"] * MIN_DISTINCT,
-        F.length(F.regexp_replace(text, "[^A-Z]+", "")) * 100 > F.length(text) * MAX_CAPITALS,
-        text.rlike(SYMBOLS),
+        F.col("many") < MIN_WORDS,
+        F.col("distinct") * 100 < F.col("many") * MIN_DISTINCT,
+        F.regexp_count("text", F.lit("[A-Z]")) * 100 > F.length("text") * MAX_CAPITALS,
+        F.col("text").rlike(SYMBOLS),
     )
-    return sum((f.cast("int") * (1 << k) for k, f in enumerate(flags)), F.lit(0))
+    return parts.withColumn("mask", sum((f.cast("int") * (1 << k) for k, f in enumerate(flags)), F.lit(0))).drop("many", "distinct")
 
 
 def class_chain(text: Column) -> Column:
     """Classes of a text: by its length, then by each block with the class before it; its size is that of the rounds."""
-    length = F.length(text)
-    # block k begins at BLOCK * (GROWTH**k - 1) / (GROWTH - 1); the last one that begins within the text ends it
-    last = F.ceil(F.log(float(GROWTH), length * (GROWTH - 1) / F.lit(float(BLOCK)) + 1)).cast("int")
-    begin = lambda k: F.least(F.lit(BLOCK) * (F.pow(F.lit(GROWTH), k) - 1) / (GROWTH - 1), length).cast("int")
-    block = lambda k: F.substring(text, begin(k) + 1, begin(k + 1) - begin(k))
-    rounds = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, F.array(F.xxhash64(length)), lambda a, k: F.array_append(a, F.xxhash64(F.element_at(a, -1), block(k))))
+
+    def of_length(length: Column) -> Column:
+        # block k begins at BLOCK * (GROWTH**k - 1) / (GROWTH - 1); the last one that begins within the text ends it
+        last = F.ceil(F.log(float(GROWTH), length * (GROWTH - 1) / F.lit(float(BLOCK)) + 1)).cast("int")
+        begin = lambda k: F.least(F.lit(BLOCK) * (F.pow(F.lit(GROWTH), k) - 1) / (GROWTH - 1), length).cast("int")
+        block = lambda k: F.substring(text, begin(k) + 1, begin(k + 1) - begin(k))
+        rounds = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rounds, F.array(F.xxhash64(length)), lambda a, k: F.array_append(a, F.xxhash64(F.element_at(a, -1), block(k))))
+
+    return let(F.length(text), of_length)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -88,7 +94,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     """(doc_id, part, mask): the filters that each document fails."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    read = c.materialise(own.select("doc_id", "part", failures(F.col("text")).alias("mask"), class_chain(F.col("text")).alias("chain")), "masks")
+    read = c.materialise(failures(own).select("doc_id", "part", "mask", class_chain(F.col("text")).alias("chain")), "masks")
     shared = c.materialise(refine(read.groupBy("chain").agg(F.count("*").alias("n"))), "shared")
     # the full texts of what survives; equal ones become one row within each task
     keys = _small(shared)
