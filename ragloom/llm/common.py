@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that end words: ASCII space and \t \n \v \f \r.
@@ -91,6 +91,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id as a long; of a row without one a key made of its text, above 2**62 and so after all usual ids.
+
+    Rows without an id whose texts are equal have one key, like repeated rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text, F.lit("no id")), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 # ---------------------------------------------------------------- hashing
 
 

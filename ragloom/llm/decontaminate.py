@@ -18,7 +18,8 @@ Index rows for terms that no query has cannot matter and are left out where `ter
 distinct term of the benchmark are sent to the tasks). The index is written once; windows are sent to the
 tasks in passes of at most QUERY_ROWS over it.
 
-Null texts and texts without words have no postings and are not hit. Items without words have no
+Null texts and texts without words have no postings and are not hit. A null doc_id stays null beside its
+document's counts. Items without words have no
 window. Repeated documents and items count each for itself, also items of one item_id; an empty table
 gives an empty result. An item without an item_id hits like any other and is only left out of items.
 Overlapping and repeated matches of a word count it once. Texts are read whole: a text longer than a
@@ -45,7 +46,7 @@ CANDIDATES = 2_000_000
 QUERY_ROWS = 100_000
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
-INDEX = "block long, term long, positions binary, docs binary, ends binary"
+INDEX = "block long, term long, positions binary, docs binary, named binary, ends binary"
 
 
 def _index(terms: np.ndarray | None):
@@ -57,13 +58,16 @@ def _index(terms: np.ndarray | None):
         block = TaskContext.get().partitionId() << 32
         for part in c.slices(batches, 1, BLOCK_BYTES):
             if len(part):
-                yield _block(pa, block, part.column(0).to_numpy(zero_copy_only=False), c.texts_of(part.column(1)), wanted)
+                ids = part.column(0)
+                named = ids.is_valid().to_numpy(zero_copy_only=False)
+                yield _block(pa, block, ids.fill_null(0).to_numpy(), named, c.texts_of(part.column(1)), wanted)
                 block += 1
 
     return run
 
 
-def _block(pa, block: int, ids: np.ndarray, texts: list[bytes], wanted: np.ndarray | None):
+def _block(pa, block: int, ids: np.ndarray, named: np.ndarray, texts: list[bytes], wanted: np.ndarray | None):
+    """Rows of the index; named says which ids are not null."""
     words, ends, base = [], [], 0
     for lo, hi in c.pieces(texts):
         w, at = c.hash_words(texts[lo:hi], c.ALNUM)
@@ -94,6 +98,7 @@ def _block(pa, block: int, ids: np.ndarray, texts: list[bytes], wanted: np.ndarr
             "term": pa.array([0, *c.signed(term[first]).tolist()], pa.int64()),
             "positions": pa.concat_arrays([pa.nulls(1, pa.binary()), lists]),
             "docs": pa.concat_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), none]),
+            "named": pa.concat_arrays([pa.array([named.astype(np.uint8).tobytes()], pa.binary()), none]),
             "ends": pa.concat_arrays([pa.array([end.tobytes()], pa.binary()), none]),
         }
     )
@@ -113,6 +118,7 @@ class Block:
         blobs = table.column("positions").to_pylist()
         head = next(i for i, d in enumerate(table.column("docs").to_pylist()) if d is not None)
         self.docs = np.frombuffer(table.column("docs")[head].as_py(), dtype=np.int64)
+        self.named = np.frombuffer(table.column("named")[head].as_py(), dtype=np.uint8) > 0
         self.ends = np.frombuffer(table.column("ends")[head].as_py(), dtype=np.int64)
         self.lists = {t: b for t, b in zip(term.tolist(), blobs, strict=True) if b is not None}
 
@@ -169,7 +175,8 @@ def search(index: DataFrame, phrases: dict[int, list[int]], distance: int | None
             at = block.phrase(terms) if distance is None else block.near(terms, distance)
             doc = np.searchsorted(block.ends, at, side="right")
             start = np.where(doc > 0, block.ends[doc - 1], 0)
-            out += zip([q] * len(at), block.docs[doc].tolist(), (at - start).tolist(), strict=True)
+            ids = np.where(block.named[doc], block.docs[doc].astype(object), None)
+            out += zip([q] * len(at), ids.tolist(), (at - start).tolist(), strict=True)
         q, d, p = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query": pa.array(q, pa.int64()), "doc_id": pa.array(d, pa.int64()), "position": pa.array(p, pa.int64())})
 
@@ -324,7 +331,7 @@ def _hits(items: list[list[tuple[int, ...]]], names: list[str], size: int, near:
             close = lists(doc, windows.item[v], {*zip(exact[0].tolist(), exact[1].tolist(), strict=True)})
         n = block.ends - start - 1
         hits = hit[block.ends - 1] - hit[start] if total else np.zeros(rows, np.int64)
-        return pa.table({"block": pa.array(np.full(rows, group.column("block")[0].as_py())), "number": pa.array(np.arange(rows)), "doc_id": pa.array(block.docs), "n_words": pa.array(n), "n_hit": pa.array(hits.astype(np.int64)), "items": pa.array(found, pa.list_(pa.string())), "near": pa.array(close, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+        return pa.table({"block": pa.array(np.full(rows, group.column("block")[0].as_py())), "number": pa.array(np.arange(rows)), "doc_id": pa.array(block.docs, mask=~block.named), "n_words": pa.array(n), "n_hit": pa.array(hits.astype(np.int64)), "items": pa.array(found, pa.list_(pa.string())), "near": pa.array(close, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
 
     return run
 

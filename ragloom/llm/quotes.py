@@ -19,7 +19,8 @@ order of replies. All of it is DataFrame functions. Threads are found by pointer
 folder.
 
 A null text is empty; a very long one is read whole, as one row. A message that only quotes has an empty own text. A quote without original links
-to nothing. Repeated rows (same conv_id and turn) are kept; ties between originals go to the least
+to nothing. A message with a null conv_id or turn is kept, but has no place in the order: it links to nothing, nothing
+links to it, and its root is itself. Repeated rows (same conv_id and turn) are kept; ties between originals go to the least
 (conv_id, turn). An empty table gives an empty result. Other columns are ignored, so their names cannot
 clash.
 """

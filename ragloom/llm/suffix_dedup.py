@@ -23,8 +23,8 @@ in another document too, whatever their bytes and white space: shared lists thei
 is cut for them, as 51 words can be fewer than `length` bytes.
 
 Null texts are empty. Texts shorter than `length` keep everything. Repeated rows are copies of each
-other, so long ones go whole; doc_id is the key of the result and must be unique. Matches never cross
-documents. An empty table gives an empty result. Other columns are ignored, so their names cannot clash.
+other, so long ones go whole; a doc_id that is not null must name one text. Rows with a null doc_id are told
+apart by their texts and keep the null in the result. Matches never cross documents. An empty table gives an empty result. Other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -449,20 +449,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard:
     With passage, also n_shared_words and shared: the words, and ranges of words, in passages of that many
     words or more that stand in another document too.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = [repeated_ranges(own, length, gram, shard)]
+    own = docs.select(F.col(id_col).cast("long").alias("given"), c.row_key(id_col, text_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = own.select("doc_id", "text")
+    found = [repeated_ranges(keyed, length, gram, shard)]
     if passage:
-        found.append(repeated_ranges(own, passage, passage_gram, shard, True).withColumnRenamed("ranges", "shared"))
+        found.append(repeated_ranges(keyed, passage, passage_gram, shard, True).withColumnRenamed("ranges", "shared"))
     out = own
     for f in found:
         few = (f.agg(F.sum(F.size(f.columns[1]))).collect()[0][0] or 0) <= BROADCAST_ROWS
         out = out.join(F.broadcast(f) if few else f, "doc_id", "left")
     kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     if not passage:
-        return out.select("doc_id", "text", "ranges").mapInArrow(_cut, kept)
+        return out.select("given", "text", "ranges").mapInArrow(_cut, kept)
     shared = "shared array<struct<s: bigint, e: bigint>>"
     words = F.aggregate(F.coalesce("shared", F.from_json(F.lit("[]"), shared.partition(" ")[2])), F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return out.select("doc_id", "text", "ranges", "shared").mapInArrow(_cut, f"{kept}, {shared}").withColumn("n_shared_words", words)
+    return out.select("given", "text", "ranges", "shared").mapInArrow(_cut, f"{kept}, {shared}").withColumn("n_shared_words", words)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
