@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
 the columns of documents; further columns go, whatever their names. Null and empty texts are kept by the
-filters and have size 0 in the mix. Of equal texts the document with the least doc_id stays. Texts are read
-whole, however long. An empty table stays empty through all stages.
+filters and have size 0 in the mix. Of equal texts the document with the least doc_id stays. A document without
+a doc_id goes under a key made of its text, which is above all ids: it is a copy of a named one before it is
+kept for itself. Texts are read whole, however long. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ BROADCAST_ROWS = 2_000_000
 PLACEHOLDER = "[SECRET]"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = c.materialise(ids.select("doc_id"), "dropped")
-    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, c.row_key("doc_id", "text").alias("ragloom_key"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Documents of _keyed whose key is not among the doc_ids of keys."""
+    keys = c.materialise(keys.select(F.col("doc_id").alias("ragloom_key")), "dropped")
+    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "ragloom_key", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +40,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group stays."""
-    groups = ngram_jaccard.ngram_jaccard_join(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    keyed = _keyed(docs)
+    groups = ngram_jaccard.ngram_jaccard_join(keyed, id_col="ragloom_key")
+    return _without(keyed, groups.where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, c.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0"))
+    keyed = _keyed(docs)
+    found = decontaminate.decontaminate(keyed.drop("doc_id").withColumnRenamed("ragloom_key", "doc_id"), c.table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.where("n_hit > 0"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
