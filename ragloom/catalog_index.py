@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import embed as M
+from .operators import chunking as C
 from .operators import evaluation as E
 from .operators import retrieval as R
 from .operators import store as D
@@ -113,6 +114,23 @@ _SPARSE = """WITH b AS (SELECT item_id, regexp_split_to_array(text, '\\s+') w FR
  SELECT doc_id, md5(replace(replace(regexp_replace(t, '—{2,}', '—', 'g'), '—。', '。'), '。—', '。')) digest FROM r"""
 
 
+def _recursive() -> str:
+    """recursive_chunks: a level for each separator, pieces kept in order by their path."""
+    ctes, last = ["l0 AS (SELECT doc_id, [0] path, coalesce(text, '') t FROM documents)"], 0
+    for sep in C.SEPARATORS[:-1]:
+        q = " || ".join("chr(10)" for _ in sep) if sep.strip("\n") == "" else f"'{sep}'"
+        units = f"list_filter(list_transform(range(1, len(string_split(t, {q})) + 1), lambda i: string_split(t, {q})[i] || CASE WHEN i < len(string_split(t, {q})) THEN {q} ELSE '' END), lambda u: u <> '')"
+        fold = "list_reduce(list_prepend([''], list_transform(u, lambda x: [x])), lambda a, x: CASE WHEN a[len(a)] <> '' AND length(a[len(a)]) + length(x[1]) > 350 THEN list_append(a, right(a[len(a)], 60) || x[1]) ELSE list_append(a[1:len(a) - 1], a[len(a)] || x[1]) END)"
+        ctes.append(f"u{last} AS (SELECT doc_id, path, {units} u FROM l{last} WHERE length(t) > 600)")
+        ctes.append(f"p{last} AS (SELECT doc_id, path, {fold} p FROM u{last})")
+        ctes.append(f"l{last + 1} AS (SELECT doc_id, list_append(path, 0) path, t FROM l{last} WHERE length(t) <= 600 UNION ALL SELECT doc_id, list_append(path, i), p[i] FROM (SELECT doc_id, path, p, unnest(range(1, len(p) + 1)) i FROM p{last}))")
+        last += 1
+    ctes.append(f"w AS (SELECT doc_id, list_append(path, 0) path, t FROM l{last} WHERE length(t) <= 600 UNION ALL SELECT doc_id, list_append(path, i), substring(t, i * 290 + 1, 350) FROM (SELECT doc_id, path, t, unnest(range(0, 1 + CAST(ceil((length(t) - 350) / 290.0) AS BIGINT))) i FROM l{last} WHERE length(t) > 600))")
+    ctes.append("f AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY path) rn FROM w WHERE length(trim(t, ' ')) >= 4 AND length(regexp_replace(t, '[^\\p{L}]', '', 'g')) >= 4)")
+    ctes.append("o AS (SELECT doc_id, t, rn, sum(CASE WHEN length(t) < 80 AND rn > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY rn) - 1 ord FROM f)")
+    return "WITH " + ",\n ".join(ctes) + "\n SELECT CAST(doc_id AS VARCHAR) source_id, CAST(ord AS INT) ord, sha256(doc_id || '|' || CAST(ord AS INT)) chunk_id, md5(string_agg(t, chr(10) ORDER BY rn)) digest FROM o GROUP BY doc_id, ord"
+
+
 def oracle(bm: str) -> dict[str, str]:
     grid = bm + """, vq AS (SELECT vec_id query_id, embedding qv, label FROM embeddings JOIN benchmark ON item_id = vec_id),
  vs AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM vq, embeddings),
@@ -126,4 +144,4 @@ def oracle(bm: str) -> dict[str, str]:
  x AS (SELECT semantic, query_id, coalesce(CAST(m AS DOUBLE) / n, 0) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 9) ndcg, coalesce(1.0::DOUBLE / best, 0) rr
    FROM w CROSS JOIN n LEFT JOIN m USING (semantic, query_id))
  SELECT semantic, count(*) queries, round(avg(recall), 6) recall, round(avg(hit), 6) hit, round(avg(ndcg), 6) ndcg, round(avg(rr), 6) rr FROM x GROUP BY 1"""
-    return {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM, "bm25_index": bm + 'SELECT * FROM r WHERE "rank" <= 10', "sparse_corpus": _SPARSE, "weight_grid": grid}
+    return {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM, "bm25_index": bm + 'SELECT * FROM r WHERE "rank" <= 10', "sparse_corpus": _SPARSE, "weight_grid": grid, "recursive_chunks": _recursive()}

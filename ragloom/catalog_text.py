@@ -222,7 +222,7 @@ def q_box(s, d):
 
 
 def q_resample(s, d):
-    return _t(s, d, "embeddings").select("vec_id", F.explode(F.slice(A.resample(F.col("embedding"), 8000, 16_000), 1, 128)).alias("x")).groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
+    return _t(s, d, "embeddings").select("vec_id", F.explode(A.resample(F.col("embedding"), 8000, 16_000)).alias("x")).groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
 def q_projections(s, d):
@@ -238,7 +238,7 @@ def q_report(s, d):
 
 def q_recursive(s, d):
     b = _docs(s, d).select(F.col("chunk_id").cast("string").alias("source_id"), F.lit(0).alias("block_idx"), "text", "heading_path", F.lit(None).cast("int").alias("page"))
-    return C.chunk_blocks(b).select("source_id", "ord", "chunk_id", F.length("text").alias("chars"))
+    return C.chunk_blocks(b).select("source_id", "ord", "chunk_id", F.md5("text").alias("digest"))
 
 
 def q_hash_embed(s, d):
