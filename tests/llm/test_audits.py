@@ -218,6 +218,23 @@ def test_near_copies_of_rows_without_id_and_of_one_id(spark, join):
     assert got == sorted([(5, 56, 5), (0, 56, 5), (7, 57, 5), (0, 1, 0), (9, 2, 3), (9, 57, 5), (3, 2, 3)])
 
 
+# ---------------------------------------------------------------- secrets in the tables' prose
+
+
+def test_secret_model_of_the_corpus_leaves_its_prose_alone(spark):
+    """No find beside base spans in the tables, and 0.9 of unseen random strings of each length and kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = secret_scan.fit(docs)
+    found = secret_scan.find_secrets(docs, fitted=fitted).select(F.explode("spans").alias("s")).where("s.kind = 'random'")
+    assert found.count() == 0
+    samples = [(s, max(n for n in secret_scan.LENGTHS if n <= len(s)), s.isalpha(), s.islower(), s.isupper()) for s, y in secret_scan.labelled(1500, seed=123) if y]
+    rows = spark.createDataFrame(samples, "s string, step int, alpha boolean, lower boolean, upper boolean")
+    hit = (secret_scan.log_ratio(F.col("s"), fitted) > secret_scan.threshold(F.length("s"), fitted)).cast("double")
+    scored = rows.withColumn("hit", hit)
+    assert min(r[1] for r in scored.groupBy("step").agg(F.avg("hit")).collect()) >= 0.9
+    assert min(r[3] for r in scored.where("alpha").groupBy("lower", "upper", F.col("step") < 16).agg(F.avg("hit")).collect()) >= 0.88
+
+
 # ---------------------------------------------------------------- rows without ids
 
 
