@@ -64,7 +64,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
         return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
 
-    spans = secret_scan.spans_of(F.col("text"))
+    spans = secret_scan.spans_of(F.col("text"), secret_scan.fit(docs))
     clean = docs.withColumn("text", F.col("text").cast("string")).withColumn("ragloom_spans", spans)
     some = F.size("ragloom_spans") > 0
     text = F.when(some, let(F.col("ragloom_spans"), redact)).otherwise(F.col("text"))
