@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 _CJK = r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾟ]"
 
 
@@ -38,6 +40,59 @@ def page_lines(blocks: Column, least: float) -> Column:
     return F.transform(ordered, lambda b: b["text"])
 
 
+#: A line this share of the page's text wide runs over all columns: it ends the columns above it.
+FULL_WIDTH = 0.6
+#: Lines that are decoration: marks alone, or a page number among marks.
+DECORATION = r"^[\s\p{Punct}—–―・…─━│|]*(?:\d{1,4}[\s\p{Punct}—–―・…─━│|]*)?$"
+
+
+def reading_order(blocks: Column, least: float, width: Column | None = None, height: Column | None = None) -> Column:
+    """Texts of lines (kind, x0, y0, x1, y1, confidence, text) as they are read: by band, column, then from the top.
+
+    Kept are lines inside the page, confident and not blank. Columns are what gaps leave between the lines' spans
+    over x; lines of FULL_WIDTH of the text's width lie across them, and each begins a band of columns of its own. Each
+    line is compared with the full lines and the columns of its page.
+    """
+    inside = lambda b: b["kind"].startswith("line_") & (b["x0"] >= 0) & (b["y0"] >= 0) & (b["x1"] > b["x0"]) & (b["y1"] > b["y0"])
+    fits = lambda b: (F.lit(True) if width is None else b["x1"] <= width) & (F.lit(True) if height is None else b["y1"] <= height)
+    kept = F.filter(blocks, lambda b: inside(b) & fits(b) & (b["confidence"] >= least) & (F.trim(b["text"]) != ""))
+
+    def placed(lines: Column) -> Column:
+        return T.let(F.array_max(F.transform(lines, lambda b: b["x1"])) - F.array_min(F.transform(lines, lambda b: b["x0"])), lambda span: of_span(lines, span))
+
+    def of_span(lines: Column, span: Column) -> Column:
+        full = lambda b: (b["x1"] - b["x0"]) >= span * FULL_WIDTH
+        narrow = F.array_sort(F.transform(F.filter(lines, lambda b: ~full(b)), lambda b: F.struct(b["x0"].alias("x0"), b["x1"].alias("x1"))))
+        begin = F.struct(F.lit(None).cast("double").alias("edge"), F.array().cast("array<double>").alias("starts"))
+
+        def step(a: Column, b: Column) -> Column:
+            gap = a["edge"].isNull() | (b["x0"] > a["edge"])
+            starts = F.when(gap, F.array_append(a["starts"], b["x0"].cast("double"))).otherwise(a["starts"])
+            return F.struct(F.greatest(a["edge"], b["x1"].cast("double")).alias("edge"), starts.alias("starts"))
+
+        def order(x: Column) -> Column:
+            starts, wide = x["starts"], x["wide"]
+
+            def key(b: Column) -> Column:
+                # a full line comes before the columns of the band that it begins
+                band = F.size(F.filter(wide, lambda y: y < b["y0"])) * 2 + F.when(full(b), 1).otherwise(0)
+                column = F.when(full(b), 0).otherwise(F.size(F.filter(starts, lambda x: x <= b["x0"])))
+                return F.struct(band.alias("band"), column.alias("column"), b["y0"].alias("y0"), b["x0"].alias("x0"), b["text"].alias("text"))
+
+            return F.transform(F.array_sort(F.transform(lines, key)), lambda k: k["text"])
+
+        tops = F.transform(F.filter(lines, full), lambda b: b["y0"])
+        return T.let(F.struct(F.aggregate(narrow, begin, step, lambda a: a["starts"]).alias("starts"), tops.alias("wide")), order)
+
+    return F.when(F.size(blocks) == 0, F.array().cast("array<string>")).otherwise(T.let(kept, placed))
+
+
+def clean_lines(lines: Column) -> Column:
+    """Lines without decoration, and a line that repeats the one before it once."""
+    own = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~x.rlike(DECORATION))
+    return T.let(own, lambda x: F.filter(x, lambda t, i: (i == 0) | (t != F.coalesce(F.get(x, i - 1), F.lit("")))))
+
+
 def segments_as_blocks(transcripts: DataFrame) -> DataFrame:
     """(path, block_idx, text, heading_path) of transcripts (path, segments array of text); blank segments go."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -7,8 +7,12 @@ as new versions, so a run that is repeated leaves the same rows.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from queue import Full, Queue
+from threading import Event, Thread
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +24,8 @@ from ..sources import files as S
 from ..sources import office
 from . import parts
 
+#: Pages that a task hands on at once.
+ROWS_OUT = 256
 STATE = "path string, source_id string, fingerprint string, version long"
 
 
@@ -98,26 +104,111 @@ class Ingest:
         return self.ingest(notebook, S.read_files(self.store.spark, path, hidden, extensions))
 
 
-def recognise_pages(pages: DataFrame, engine: Callable[[], Callable[[bytes], str]]) -> DataFrame:
-    """(source_id, page, text) of page images (source_id, page, content) by an engine that each task makes once.
+PAGES = "source_id string, page int, text string, failed boolean"
 
-    Tasks take pages in Arrow batches, so no more than a batch waits for the engine; a page that fails is empty.
+
+def _pages_out(rows: list[tuple]):
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, kinds, strict=True)], names=["source_id", "page", "text", "failed"])
+
+
+def overlapped(pages: Iterator[tuple], engine: Callable[[bytes], str], workers: int) -> Iterator[tuple]:
+    """(source_id, page, text, failed) of pages (source_id, page, image, error), in order, read while others are recognised.
+
+    A thread reads ahead into a queue of 2 * workers pages and waits when it is full; workers pages are with the
+    engine at a time. So 3 * workers + 1 pages are held at most, however fast they are read. A page that fails, and
+    one that comes with an error, is empty and marked.
+    """
+    waiting: Queue = Queue(2 * workers)
+    stop, end = Event(), object()
+
+    def read() -> None:
+        last = end
+        try:
+            for page in pages:
+                while not stop.is_set():
+                    try:
+                        waiting.put(page, timeout=0.1)
+                        break
+                    except Full:
+                        continue
+                if stop.is_set():
+                    return
+        except Exception as e:  # noqa: BLE001 - the reader's error is raised where the pages are taken
+            last = e
+        while not stop.is_set():
+            try:
+                return waiting.put(last, timeout=0.1)
+            except Full:
+                continue
+
+    def recognise(source, page, image, error) -> tuple:
+        if error is not None:
+            return source, page, "", True
+        try:
+            return source, page, engine(image), False
+        except Exception:  # noqa: BLE001 - one bad page must not end the job
+            return source, page, "", True
+
+    reader = Thread(target=read, daemon=True)
+    reader.start()
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            busy: deque = deque()
+            while (page := waiting.get()) is not end:
+                if isinstance(page, Exception):
+                    raise page
+                busy.append(pool.submit(recognise, *page))
+                if len(busy) >= workers:
+                    yield busy.popleft().result()
+            while busy:
+                yield busy.popleft().result()
+    finally:
+        stop.set()
+        reader.join()
+
+
+def recognise_files(files: DataFrame, pages_of: Callable[[], Callable[[bytes], Iterator[tuple[int, bytes]]]], engine: Callable[[], Callable[[bytes], str]], workers: int = 2) -> DataFrame:
+    """(source_id, page, text, failed) of files (source_id, content): a rasteriser and an engine, made once a task, run side by side.
+
+    A file whose rasteriser fails keeps the pages it gave and has one more row, with a null page, that is marked failed.
     """
 
     def run(batches):
-        import pyarrow as pa
+        raster, own = pages_of(), engine()
+
+        def pages():
+            for batch in batches:
+                for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    try:
+                        for page, image in raster(content):
+                            yield source, page, image, None
+                    except Exception as e:  # noqa: BLE001 - a damaged file costs its own row
+                        yield source, None, b"", e
+
+        out: list[tuple] = []
+        for row in overlapped(pages(), own, workers):
+            out.append(row)
+            if len(out) >= ROWS_OUT:
+                yield _pages_out(out)
+                out = []
+        yield _pages_out(out)
+
+    return files.select(F.col("source_id").cast("string"), "content").mapInArrow(run, PAGES)
 
+
+def recognise_pages(pages: DataFrame, engine: Callable[[], Callable[[bytes], str]], workers: int = 2) -> DataFrame:
+    """(source_id, page, text) of page images (source_id, page, content); a page that fails is empty."""
+
+    def run(batches):
         own = engine()
-        for batch in batches:
-            out = []
-            for content in batch.column(2).to_pylist():
-                try:
-                    out.append(own(content))
-                except Exception:  # noqa: BLE001 - one bad page must not end the job
-                    out.append("")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["source_id", "page", "text"])
-
-    return pages.select(F.col("source_id").cast("string"), F.col("page").cast("int"), "content").mapInArrow(run, "source_id string, page int, text string")
+        rows = ((s, p, c, None) for batch in batches for s, p, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        yield _pages_out(list(overlapped(rows, own, workers)))
+
+    return pages.select(F.col("source_id").cast("string"), F.col("page").cast("int"), "content").mapInArrow(run, PAGES).drop("failed")
 
 
 def no_text() -> Callable[[bytes], str]:

@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
 
+from . import markdown
+
 BLOCKS = "path string, block_idx int, text string, heading_path array<string>, page int"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -32,41 +34,8 @@ def parse_text(content: bytes) -> Iterator[Block]:
 
 
 def parse_markdown(content: bytes) -> Iterator[Block]:
-    """Blocks under a stack of headings; a heading closes those of its depth and deeper."""
-    stack: list[tuple[int, str]] = []
-    held: list[str] = []
-
-    def flush():
-        text = "\n".join(held).strip()
-        held.clear()
-        return [(text, [h for _, h in stack], None)] if text else []
-
-    lines = content.decode("utf-8", errors="replace").splitlines()
-    fence = listed = None
-    for line in lines:
-        mark = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
-        if mark and (fence is None or mark[1].startswith(fence)):
-            fence = mark[1] if fence is None else None
-            continue
-        if fence is not None:
-            held.append(line)
-            continue
-        item = re.match(r"\s*(?:[-*+]|\d+[.)])\s+", line)
-        if listed and not item and line.strip() and not line[0].isspace():  # the list has ended
-            yield from flush()
-        listed = item or (listed if line[:1].isspace() or not line.strip() else None)
-        m = re.match(r"(#{1,6})\s+(.*?)\s*#*$", line)
-        underline = re.match(r"(=+|-+)\s*$", line)
-        if m:
-            yield from flush()
-            stack = [h for h in stack if h[0] < len(m[1])] + [(len(m[1]), m[2])]
-        elif underline and held and held[-1].strip():
-            title, depth = held.pop().strip(), 1 if line[0] == "=" else 2
-            yield from flush()
-            stack = [h for h in stack if h[0] < depth] + [(depth, title)]
-        else:
-            held.append(re.sub(r"^\s*(?:[-*+]|\d+[.)])\s+", "", line))
-    yield from flush()
+    """Blocks under a stack of headings, markup left out; see the module markdown."""
+    yield from ((text, path, None) for text, path in markdown.blocks(content.decode("utf-8", errors="replace")))
 
 
 def parse_docx(content: bytes) -> Iterator[Block]:

@@ -72,7 +72,7 @@ def test_notes_outside_shapes_and_of_blank_slides():
 def test_markdown_fences_and_lists():
     text = "# Top\n```\n# not a heading\n```\nbody\n\n- one\n- two\n\nafter the list\n## Sub\nend"
     got = [(t, h) for t, h, _ in office.parse_markdown(text.encode())]
-    assert got == [("# not a heading\nbody\n\none\ntwo", ["Top"]), ("after the list", ["Top"]), ("end", ["Top", "Sub"])]
+    assert got == [("# not a heading\nbody\none\ntwo", ["Top"]), ("after the list", ["Top"]), ("end", ["Top", "Sub"])]
 
 
 def test_bad_files_cost_their_own_row(spark):
