@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import embed as M
+from .functions import prompts as P
 from .operators import chunking as C
 from .operators import evaluation as E
 from .operators import retrieval as R
@@ -102,7 +103,35 @@ def q_weight_grid(s, d):
     return E.weight_grid(vectors, R.bm25_top_k(q.select("query_id", "query"), _chunks(s, d), 50), golden, [0.0, 0.25, 0.5, 0.75, 1.0], 10)
 
 
-QUERIES = {"store_snapshot": q_store_snapshot, "stream_ingest": q_stream_ingest, "bm25_index": q_bm25_index, "sparse_corpus": q_sparse_corpus, "weight_grid": q_weight_grid}
+def q_refusals(s, d):
+    """Answers that hold a refusal among more and more of an item's words: refusals, and their faithfulness to other words."""
+    phrases = F.explode(F.array(*[F.lit(x) for x in P.REFUSALS])).alias("phrase")
+    made = _t(s, d, "benchmark").select("item_id", "text", phrases).select("item_id", "phrase", "text", F.explode(F.array(*[F.lit(n) for n in (0, 4, 12, 20, 30, 60)])).alias("more"))
+    answer = F.concat("phrase", F.expr("substring(text, 1, more)"))
+    scored = made.select("item_id", "phrase", "more", P.looks_like_refusal(answer).alias("refusal"), E.faithfulness(answer, F.lit("zq")).alias("score"))
+    return scored.withColumn("score", F.when(F.col("refusal"), F.col("score")).otherwise(-1.0))
+
+
+#: Wide forms of the small letters, which the compatibility form makes plain.
+_PLAIN, _WIDE = "abcdefghijklmnopqrstuvwxyz", "".join(chr(ord(x) + 0xFEE0) for x in "abcdefghijklmnopqrstuvwxyz")
+
+
+def q_nfkc(s, d):
+    """Texts of wide letters and ligatures, made plain."""
+    wide = F.translate("text", _PLAIN, _WIDE)
+    text = F.when(F.col("doc_id") % 3 == 0, wide).when(F.col("doc_id") % 3 == 1, F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01"))).otherwise(F.col("text"))
+    return _t(s, d, "documents").select("doc_id", F.md5(M.nfkc(text)).alias("digest"))
+
+
+def q_hash_embed(s, d):
+    """Dimensions of the bigram embedding of each document, the strongest first, of equal ones the least first."""
+    v = _t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), M.bigram_embedding(F.col("text")).alias("v"))
+    ranked = F.array_sort(F.filter(F.transform("v", lambda x, i: F.struct((-x).alias("x"), i.alias("i"))), lambda p: p["x"] < 0))
+    norm = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4)
+    return v.select("chunk_id", F.size(ranked).alias("dims"), F.md5(F.array_join(F.transform(ranked, lambda p: p["i"].cast("string")), ",")).alias("ranked"), F.when(F.size(ranked) > 0, norm).otherwise(0.0).alias("norm"))
+
+
+QUERIES = {"refusals": q_refusals, "nfkc_texts": q_nfkc, "hash_embedding": q_hash_embed, "store_snapshot": q_store_snapshot, "stream_ingest": q_stream_ingest, "bm25_index": q_bm25_index, "sparse_corpus": q_sparse_corpus, "weight_grid": q_weight_grid}
 
 _SPARSE = """WITH b AS (SELECT item_id, regexp_split_to_array(text, '\\s+') w FROM benchmark), e0 AS (SELECT array_to_string(w[2:3], ' ') term, item_id, [array_to_string(w[4:5], ' '), array_to_string(w[6:8], ' '), 'the'] syn FROM b WHERE len(w) >= 8),
  e AS (SELECT term, arg_min(syn, item_id) syn FROM e0 GROUP BY 1),
@@ -131,6 +160,23 @@ def _recursive() -> str:
     return "WITH " + ",\n ".join(ctes) + "\n SELECT CAST(doc_id AS VARCHAR) source_id, CAST(ord AS INT) ord, sha256(doc_id || '|' || CAST(ord AS INT)) chunk_id, md5(string_agg(t, chr(10) ORDER BY rn)) digest FROM o GROUP BY doc_id, ord"
 
 
+_HASHED = """WITH d AS (SELECT doc_id, text t, length(text) n FROM documents),
+ g AS (SELECT doc_id, CASE WHEN n = 1 THEN t ELSE substring(t, i, 2) END g FROM (SELECT doc_id, t, n, unnest(range(1, greatest(n, 2))) i FROM d WHERE n > 0)),
+ c AS (SELECT doc_id, g, count(*) c FROM g GROUP BY 1, 2),
+ b AS (SELECT g, list_transform(range(0, length(hex(encode(g))) // 2), lambda i: CAST('0x' || substring(hex(encode(g)), 2 * i + 1, 2) AS INT)) b FROM (SELECT DISTINCT g FROM c)),
+ h AS (SELECT g, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(b, lambda x: CAST(x AS HUGEINT))), lambda a, x: (CAST(xor(CAST(a AS UBIGINT), CAST(x AS UBIGINT)) AS HUGEINT) * 1099511628211) % 18446744073709551616) h FROM b),
+ e AS (SELECT doc_id, CAST(h % 256 AS INT) dim, sum(c) c FROM c JOIN h USING (g) GROUP BY 1, 2),
+ r AS (SELECT doc_id, count(*) dims, md5(string_agg(dim, ',' ORDER BY c DESC, dim)) ranked FROM e GROUP BY 1)
+ SELECT doc_id chunk_id, CAST(coalesce(dims, 0) AS INT) dims, coalesce(ranked, md5('')) ranked, CASE WHEN dims > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END norm FROM documents LEFT JOIN r USING (doc_id)"""
+
+
+def _refusals() -> str:
+    phrases = ", ".join("'" + x.replace("'", "''") + "'" for x in P.REFUSALS)
+    return f"""WITH p AS (SELECT unnest([{phrases}]) phrase), a AS (SELECT item_id, phrase, more, lower(phrase || substring(text, 1, more)) t FROM benchmark, p, (SELECT unnest([0, 4, 12, 20, 30, 60]) more)),
+ f AS (SELECT item_id, a.phrase, more, bool_or(contains(t, p.phrase) AND length(t) <= length(p.phrase) * 16 // 10 + 8) refusal FROM a, p GROUP BY 1, 2, 3)
+ SELECT item_id, phrase, CAST(more AS INT) more, refusal, CASE WHEN refusal THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END score FROM f"""
+
+
 def oracle(bm: str) -> dict[str, str]:
     grid = bm + """, vq AS (SELECT vec_id query_id, embedding qv, label FROM embeddings JOIN benchmark ON item_id = vec_id),
  vs AS (SELECT query_id, vec_id chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM vq, embeddings),
@@ -144,4 +190,5 @@ def oracle(bm: str) -> dict[str, str]:
  x AS (SELECT semantic, query_id, coalesce(CAST(m AS DOUBLE) / n, 0) recall, CASE WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 9) ndcg, coalesce(1.0::DOUBLE / best, 0) rr
    FROM w CROSS JOIN n LEFT JOIN m USING (semantic, query_id))
  SELECT semantic, count(*) queries, round(avg(recall), 6) recall, round(avg(hit), 6) hit, round(avg(ndcg), 6) ndcg, round(avg(rr), 6) rr FROM x GROUP BY 1"""
-    return {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM, "bm25_index": bm + 'SELECT * FROM r WHERE "rank" <= 10', "sparse_corpus": _SPARSE, "weight_grid": grid, "recursive_chunks": _recursive()}
+    return {"store_snapshot": _SNAPSHOT, "stream_ingest": _STREAM, "bm25_index": bm + 'SELECT * FROM r WHERE "rank" <= 10', "sparse_corpus": _SPARSE, "weight_grid": grid, "recursive_chunks": _recursive(),
+            "refusals": _refusals(), "nfkc_texts": "SELECT doc_id, md5(text) digest FROM documents", "hash_embedding": _HASHED}

@@ -385,7 +385,9 @@ def oracle(vec: str, bm: str, bi: str) -> dict[str, str]:
  SELECT item_id, CAST(i AS INT) dim, round(CAST(CAST((CAST(low AS DOUBLE) - CASE WHEN low >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648 AS FLOAT) AS DOUBLE), 6) x FROM r""",
         "weight_sweep": vec + mean('SELECT CAST(k AS INT) run_id, query_id, chunk_id, "rank" FROM v, (SELECT unnest([3, 5, 10]) k) WHERE "rank" <= k', "run_id,"),
         "metrics_summary": vec + mean('SELECT 1 run_id, query_id, chunk_id, "rank" FROM v'),
-        "golden_granularity": "SELECT 'docs' kind, 'doc' granularity UNION ALL SELECT 'parents', 'parent' UNION ALL SELECT 'others', 'doc'",
+        "golden_granularity": """WITH r AS (SELECT 'docs' kind, CAST(doc_id AS VARCHAR) id FROM labels UNION ALL SELECT 'parents', source FROM documents UNION ALL SELECT 'others', url FROM pages),
+ f AS (SELECT kind, bool_and(id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)) d, bool_and(id IN (SELECT source FROM documents WHERE source IS NOT NULL)) p FROM r GROUP BY 1)
+ SELECT kind, CASE WHEN d THEN 'doc' WHEN p THEN 'parent' ELSE 'doc' END granularity FROM f""",
         "corpus_signals": f"""WITH d AS (SELECT doc_id, lang, source, {legal} t FROM documents), cap AS (SELECT doc_id, t, coalesce({caption}, {lead}) c FROM d), first AS (SELECT t, c FROM cap WHERE c IS NOT NULL ORDER BY doc_id LIMIT 256),
  b AS (SELECT regexp_replace(substring(t, 1, instr(t, c) - 1) || substring(t, instr(t, c) + length(c)), '\\s+', '', 'g') t, regexp_replace(c, '\\s+', '', 'g') c FROM first), g AS (SELECT {bi.format('t')} tb, {bi.format('c')} cb FROM b)
  SELECT 'specific' kind, round(avg(CAST({specific} AS DOUBLE)), 9) "value" FROM (SELECT {asked} q FROM benchmark) UNION ALL SELECT 'caption_length', round(avg(length(c)), 9) FROM cap WHERE length(c) > 0

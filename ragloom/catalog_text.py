@@ -241,16 +241,12 @@ def q_recursive(s, d):
     return C.chunk_blocks(b).select("source_id", "ord", "chunk_id", F.md5("text").alias("digest"))
 
 
-def q_hash_embed(s, d):
-    return _docs(s, d).select("chunk_id", F.round(R.cosine(M.bigram_embedding(F.col("text")), M.bigram_embedding(M.nfkc(F.col("text")))), 5).alias("same"))
-
-
 QUERIES = {
     "lexical_boost": q_lexical, "caption_boost": q_caption_boost, "heading_boost": q_heading_boost, "source_meta_boost": q_meta_boost, "rerank_blend": q_rerank, "score_max_merge": q_score_max, "caption_inject": q_inject,
     "bigram_overlaps": q_pairs, "query_body_recall": q_body_recall, "extract_terms": q_terms, "retrieval_noise": q_noise_full, "weight_adjust": q_weight, "code_snippet": q_code, "chat_prompts": q_chat, "substring_search": q_substring,
     "chunks_by_ids": q_by_ids, "delete_by": q_delete, "golden_missing": q_missing_golden, "pages_without_text": q_missing_pages, "block_at_position": q_block_at, "faithfulness": q_faithfulness, "faithfulness_summary": q_faithfulness_summary,
     "thesaurus_enrich": q_thesaurus, "contract_risks": q_risks, "contract_revisions": q_revisions, "template_compare": q_template, "density_signals": q_density, "tokenizer_signals": q_tokenizer, "auto_options": q_options, "enrich_recommend": q_enrichment,
-    "union_box": q_box, "linear_resample": q_resample, "text_projections": q_projections, "index_report": q_report, "recursive_chunks": q_recursive, "hash_embedding": q_hash_embed,
+    "union_box": q_box, "linear_resample": q_resample, "text_projections": q_projections, "index_report": q_report, "recursive_chunks": q_recursive,
 }
 
 

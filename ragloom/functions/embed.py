@@ -92,10 +92,11 @@ def pooled_embedding(ids: Column, weights: np.ndarray) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form; plain ASCII texts do not leave the JVM's result."""
+    """Compatibility normal form; plain ASCII texts stay in the JVM, the function gets nulls in their place."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return run(text)
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(run(F.when(~plain, text)))

@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases and keywords that routing looks for; replace them for other languages.
-REFUSALS = ("わかりません", "見つかりません", "not found", "i don't know", "cannot answer")
+# Phrases of answers that say nothing. The short and the English ones are our addition.
+REFUSALS = (
+    "参考資料に該当する情報は見つかりませんでした",
+    "参考資料に該当する情報がありません",
+    "参考資料には該当する情報がありません",
+    "情報は見つかりませんでした",
+    "情報なし",
+    "回答できません",
+    "答えられません",
+) + ("わかりません", "見つかりません", "not found", "i don't know", "cannot answer")
 # Keywords of summary questions. The English ones are our addition.
 SUMMARY_WORDS = ("要約", "概要", "全体像", "要点", "まとめて", "について教えて") + ("summary", "summarize", "overview")
 SUFFIX = " ｜ シナリオ: "
@@ -19,7 +28,7 @@ def is_summary_query(text: Column) -> Column:
 
 def looks_like_refusal(text: Column) -> Column:
     """A refusal phrase that makes up most of the text."""
-    t = F.lower(F.trim(text))
+    t = F.lower(text)
     return F.exists(F.array(*[F.lit(w) for w in REFUSALS]), lambda w: F.contains(t, w) & (F.length(t) <= F.floor(F.length(w) * 1.6) + 8))
 
 
