@@ -9,14 +9,15 @@
    = 0.98 and stay together in 1.7 branches on average, unlike ones (s < 0.5) in less than one, so theirs die out.
 3. Nodes of up to SMALL documents are compared exhaustively, sketch by sketch. In larger ones each document is first
    compared with PIVOTS documents of the node: one that agrees with a pivot in CORE of the coordinates leaves the
-   node with it, and whatever agrees in ATTACH is bound to that pivot too, so that no partner of the ones that
-   left is lost; the others branch on. Nodes still large at DEPTH are bound whole.
+   node with it, and whatever agrees in ATTACH is bound to that pivot too; the others branch on. Agreement is a metric
+   on sketches: what agrees in NEAR coordinates with one that left agrees in CORE - (COORDINATES - NEAR) = ATTACH or
+   more with its pivot, so no partner of the ones that left is lost. Nodes still large at DEPTH are bound whole.
 4. What is bound together is a candidate group, no link yet. The links of each group are decided on the full
    shingle sets, exactly, by the join of ngram_jaccard's regions (large groups are split by pivots over the cluster).
 
-Recall: a linked pair (s >= 0.85) shares no root branch of any tree with probability 0.15 ** 16 = 7e-14; with the
-sub-trees below large nodes counted (a branching process that dies out with 0.03) it is lost with 0.176 ** 16 =
-9e-13 at most. Sketches of a linked pair agree in less than NEAR of the coordinates with 1e-6 or less, and
+Recall: a linked pair (s >= 0.85) shares no root branch of any tree with probability 0.15 ** 12 = 1e-10; with the
+sub-trees below large nodes counted (a branching process that dies out with 0.03) it is lost with 0.176 ** 12 =
+9e-10 at most. Sketches of a linked pair agree in less than NEAR of the coordinates with 1e-6 or less, and
 one pair lost does not part documents that others hold together. Links confirmed are exact: two different
 shingles agree as 64-bit hashes with probability 2**-64.
 
@@ -38,12 +39,13 @@ from . import common as c
 from . import ngram_jaccard as nj
 
 NUM, DEN = 85, 100
-COORDINATES, TREES, BRANCHES, DEPTH, SEED = 128, 8, 2, 8, 29
+COORDINATES, TREES, BRANCHES, DEPTH, SEED = 128, 6, 2, 8, 29
 #: Documents of a node that are compared exhaustively.
-SMALL = 256
+SMALL = 2048
 PIVOTS = 8
-#: Coordinates of COORDINATES in which sketches must agree: 0.85 and 0.75 less three to five deviations.
-NEAR, CORE, ATTACH = 89, 96, 45
+#: Coordinates of COORDINATES in which sketches must agree: NEAR is 0.85 less five deviations.
+NEAR, CORE = 89, 76
+ATTACH = CORE - (COORDINATES - NEAR)
 #: Pivots (about 200 bytes each) up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -127,66 +129,78 @@ def _exhaust(num: int, den: int):
     return nj._runs(group)
 
 
-def _branch(num: int, den: int, level: int):
-    """Members of large nodes beside their pivots: edges (a, b), and rows (node, cls) of the next level."""
+def _branch(level: int):
+    """Members of large nodes beside their pivots: edges (a, b), each once a task, and rows (node, cls) of the next level."""
 
     def run(batches):
         import pyarrow as pa
 
+        told: set[tuple[int, int]] = set()
         for batch in batches:
-            node, cls, n = (batch.column(k).to_numpy() for k in ("node", "cls", "n"))
+            node, cls = (batch.column(k).to_numpy() for k in ("node", "cls"))
             v, pivots = _sketches(batch.column("v")), batch.column("pivots").to_pylist()
             stays = np.ones(len(node), dtype=bool)
             edges, cache = [], {}
             for i, own in enumerate(pivots):
                 if node[i] not in cache:
-                    cache[node[i]] = ([p["cls"] for p in own], np.array([p["n"] for p in own]), np.frombuffer(b"".join(p["v"] for p in own), dtype=np.uint8).reshape(-1, COORDINATES))
-                names, sizes, sketches = cache[node[i]]
+                    cache[node[i]] = (np.array([p["cls"] for p in own]), np.frombuffer(b"".join(p["v"] for p in own), dtype=np.uint8).reshape(-1, COORDINATES))
+                names, sketches = cache[node[i]]
                 same = (sketches == v[i]).sum(axis=1)
-                edges += [(int(cls[i]), names[k]) for k in np.flatnonzero(same >= ATTACH) if names[k] != cls[i]]
-                stays[i] = not ((same >= CORE) & _fit(sizes, n[i], num, den)).any()
+                bound = names[same >= ATTACH]
+                if len(bound):  # to the least pivot, and the pivots to it
+                    root = int(bound.min())
+                    edges += [(x, root) for x in (int(cls[i]), *bound.tolist()) if x != root and (x, root) not in told]
+                    told.update(edges[-len(bound) - 1 :])
+                stays[i] = not (same >= CORE).any()
+            if len(told) > 1_000_000:
+                told.clear()
             left = np.flatnonzero(stays)
             nodes = []
             for b in range(BRANCHES):
                 salt = c.mix(node[left].view(np.uint64) + np.uint64(level * BRANCHES + b + 1))
                 pick = (salt % np.uint64(COORDINATES)).astype(np.int64)
                 nodes.append(c.signed(c.mix(salt ^ (v[left, pick].astype(np.uint64) + np.uint64(1) << np.uint64(48)))))
-            below = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            below, names = np.unique(np.stack([np.concatenate(nodes), np.tile(cls[left], BRANCHES)]), axis=1)
             pad, gap = [None] * len(edges), [None] * len(below)
-            yield pa.RecordBatch.from_arrays([pa.array([*pad, *below.tolist()], pa.int64()), pa.array([*pad, *np.tile(cls[left], BRANCHES).tolist()], pa.int64()), pa.array([a for a, _ in edges] + gap, pa.int64()), pa.array([b for _, b in edges] + gap, pa.int64())], names=["node", "cls", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([*pad, *below.tolist()], pa.int64()), pa.array([*pad, *names.tolist()], pa.int64()), pa.array([a for a, _ in edges] + gap, pa.int64()), pa.array([b for _, b in edges] + gap, pa.int64())], names=["node", "cls", "a", "b"])
 
     return run
 
 
-def candidate_edges(classes: DataFrame, num: int = NUM, den: int = DEN) -> list[DataFrame]:
+def candidate_edges(classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Steps 2 and 3: edges (a, b) over classes (cls, n, v, nodes) that bind candidate groups."""
     sketches = classes.select("cls", "n", "v")
-    rows = c.materialise(classes.select("cls", F.explode("nodes").alias("node")), "nodes")
-    edges = []
+    rows = classes.select("cls", F.explode("nodes").alias("node"))
+    small, edges = [], []
     for level in range(1, DEPTH + 1):
         sizes = c.materialise(rows.groupBy("node").agg(F.count("*").alias("m"), F.min("cls").alias("a")).where("m > 1"), "sizes")
         shared = rows.join(sizes, "node")
-        small = shared.where(F.col("m") <= SMALL).select("node", "cls").join(sketches, "cls").select("node", "cls", "n", "v")
-        edges.append(c.materialise(small.repartition("node").sortWithinPartitions("node").mapInArrow(_exhaust(num, den), "a long, b long").distinct(), "near"))
-        large = sizes.where(F.col("m") > SMALL)
-        if large.isEmpty():
+        small.append(shared.where(F.col("m") <= SMALL).select("node", "cls"))
+        large = sizes.where(F.col("m") > SMALL).count()
+        if not large:
             break
         wide = shared.where(F.col("m") > SMALL)
         if level == DEPTH:
-            edges.append(wide.where("a <> cls").select("a", F.col("cls").alias("b")).distinct())
+            edges.append(wide.where("a <> cls").select("a", F.col("cls").alias("b")))
             break
         members = wide.select("node", "cls").join(sketches, "cls")
         slot = F.xxhash64("cls", F.lit(level))
         # at most PIVOTS a node, by minima within each task first
-        chosen = members.groupBy("node", F.pmod(slot, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(slot.alias("h"), "cls", "n", "v")).alias("x"))
-        pivots = chosen.groupBy("node").agg(F.collect_list(F.struct("x.cls", "x.n", "x.v")).alias("pivots"))
-        if large.count() * PIVOTS <= BROADCAST_ROWS:
+        chosen = members.groupBy("node", F.pmod(slot, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(slot.alias("h"), "cls", "v")).alias("x"))
+        pivots = chosen.groupBy("node").agg(F.collect_list(F.struct("x.cls", "x.v")).alias("pivots"))
+        if large * PIVOTS <= BROADCAST_ROWS:
             pivots = F.broadcast(pivots)
-        made = members.join(pivots, "node").select("node", "cls", "n", "v", "pivots").mapInArrow(_branch(num, den, level), "node long, cls long, a long, b long")
+        made = members.join(pivots, "node").select("node", "cls", "v", "pivots").mapInArrow(_branch(level), "node long, cls long, a long, b long")
         made = c.materialise(made, "branches")
-        edges.append(made.where("a is not null").select("a", "b").distinct())
+        edges.append(made.where("a is not null").select("a", "b"))
         rows = made.where("node is not null").select("cls", "node")
-    return edges
+    nodes = small[0]
+    for s in small[1:]:
+        nodes = nodes.unionByName(s)
+    out = nodes.join(sketches, "cls").select("node", "cls", "n", "v").repartition("node").sortWithinPartitions("node").mapInArrow(_exhaust(num, den), "a long, b long")
+    for e in edges:
+        out = out.unionByName(e)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = nj.N_WORDS, num: int = NUM, den: int = DEN, cap: int = nj.CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,11 +209,7 @@ def near_duplicates(docs: DataFrame, n: int = nj.N_WORDS, num: int = NUM, den: i
     each = c.materialise(own.mapInArrow(_scan(n), "doc_id long, n long, s1 long, s2 long, cls long, v binary, nodes array<long>"), "sketches")
     classes = each.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("cls", "v", "nodes")).alias("x"))
     classes = c.materialise(classes.select("n", "s1", "s2", "rep", "x.*"), "classes")
-    edges = candidate_edges(classes, num, den)
-    bound = edges[0]
-    for e in edges[1:]:
-        bound = bound.unionByName(e)
-    islands = c.materialise(c.components(bound), "islands")
+    islands = c.materialise(c.components(candidate_edges(classes, num, den)), "islands")
     return nj.join_islands(own, each, classes, islands, n, num, den, cap)
 
 
