@@ -247,13 +247,14 @@ def _sets(n: int):
 
         for batch in c.slices(batches, 1):
             sets = list(shingle_sets(c.texts_of(batch.column(1)), n))
-            own = [class_hash(len(s), *signature(s)) == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            own = [class_hash(len(s), *signature(s)) & ID_BITS == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
             batch, blobs = batch.filter(pa.array(own, pa.bool_())), [s.tobytes() for s, x in zip(sets, own, strict=True) if x]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(b) // 8 for b in blobs], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64())], names=["region", "id", "n", "elems", "core"])
 
     return run
 
 
+ID_BITS = (1 << 63) - 1
 SETS = "region long, id long, n long, elems binary, core long"
 
 
@@ -448,7 +449,9 @@ def join_islands(own: DataFrame, each: DataFrame, classes: DataFrame, islands: D
 
     own: (doc_id, text). each: a row (doc_id, n, s1, s2) per document. classes: (n, s1, s2, cls, rep), rep the least doc_id.
     """
-    members = classes.select("rep", "n", F.col("cls").alias("id")).join(islands, "id")
+    # regions name classes by numbers of 63 bits: less than 0 means no core there
+    classes = classes.withColumn("id", F.col("cls").bitwiseAND(F.lit(ID_BITS)))
+    members = classes.select("rep", "n", "cls", "id").join(islands.withColumnRenamed("id", "cls"), "cls")
     members = c.materialise(members.select(F.col("rep").alias("doc_id"), "id", F.col("component").alias("region"), "n"), "members")
     picked = members.select("doc_id", "id", "region")
     few = members.count() <= BROADCAST_ROWS
@@ -470,11 +473,11 @@ def join_islands(own: DataFrame, each: DataFrame, classes: DataFrame, islands: D
     links = edges[0]
     for e in edges[1:]:
         links = links.unionByName(e)
-    linked = c.materialise(c.components(links).select(F.col("id").alias("cls"), "component").join(classes.select("cls", "rep"), "cls"), "linked")
+    linked = c.materialise(c.components(links).select("id", "component").join(classes.select("id", "rep"), "id"), "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
 
     # back to documents
-    named = classes.join(linked.join(least, "component").select("cls", "least"), "cls", "left").select("n", "s1", "s2", F.coalesce("least", "rep").alias("least"))
+    named = classes.join(linked.join(least, "component").select("id", "least"), "id", "left").select("n", "s1", "s2", F.coalesce("least", "rep").alias("least"))
     return each.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
