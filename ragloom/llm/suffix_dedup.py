@@ -43,6 +43,8 @@ PASSAGE, PASSAGE_GRAM = 51, 6
 SHARD = 500_000
 #: Bytes of contexts of one k-gram that go to one bucket.
 HOT = 8_000_000
+#: Alignments of a window on its k-gram that are told apart before contexts are sorted.
+ALIGNED = 16
 #: Contexts to fetch, or ranges to cut, up to this number are broadcast (about 40 bytes each); more are
 #: joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -328,7 +330,28 @@ def _made(pa, out):
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
 
-def _match(length: int, shard_bytes: int, words: bool):
+def alike(blobs: list[bytes], a: np.ndarray, left: np.ndarray, length: int, gram: int, kind: type = np.uint8) -> np.ndarray:
+    """Numbers of the contexts that may share a window with another of their k-gram (a, left items into the context).
+
+    Equal windows have their k-gram at the same place, so they agree on one of ALIGNED blocks that surround it. The
+    hash of each block that a context holds is taken; a context whose blocks are all its own shares no window.
+    """
+    data = np.frombuffer(b"".join(blobs), dtype=kind)
+    ends = np.cumsum([len(b) // data.itemsize for b in blobs])
+    starts = np.concatenate([[0], ends[:-1]])
+    prefix, at = c.prefix_hash(data), starts + left
+    width = -(-(length - gram) // ALIGNED)
+    kept = np.zeros(len(blobs), dtype=bool)
+    for g in range(ALIGNED):
+        lo, hi = at - g * width, at - (g + 1) * width + length
+        own = np.flatnonzero((lo >= starts) & (hi <= ends))
+        key = c.span_hash(prefix, lo[own], hi[own]) ^ a[own].view(_U)
+        _, number, many = np.unique(key, return_inverse=True, return_counts=True)
+        kept[own[many[number] > 1]] = True
+    return np.flatnonzero(kept)
+
+
+def _match(length: int, gram: int, shard_bytes: int, words: bool):
     """Per bucket: ranges of contexts that repeat elsewhere, relative to the k-gram.
 
     Of words, elsewhere is another document; a context that two documents have is in a place of its own.
@@ -348,7 +371,7 @@ def _match(length: int, shard_bytes: int, words: bool):
             places = np.where(full, -1 - np.arange(len(docs)), docs)
         shards: list[tuple[list[int], Shard]] = []
         held, own = 0, []
-        for i in range(len(blobs) + 1):
+        for i in [*alike(blobs, a, left, length, gram, kind).tolist(), len(blobs)]:
             if own and (i == len(blobs) or held + len(blobs[i]) > shard_bytes):
                 shard = Shard([blobs[j] for j in own], [int(places[j]) for j in own], length, kind, words)
                 for _, before in shards:
@@ -437,7 +460,7 @@ def repeated_ranges(own: DataFrame, length: int, gram: int, shard: int, words: b
     asked = wanted.withColumn("pairs", F.when(F.col("w") > HOT, pairs)).groupBy("doc_id").agg(F.collect_list(F.struct("pairs", "a", "ctx", "pos", "l", "r", "full")).alias("w"))
     few = size["m"] <= BROADCAST_ROWS
     cut = own.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "text", "w").mapInArrow(_contexts(words, buckets), CONTEXTS)
-    partial = c.materialise(cut.groupBy("bucket").applyInArrow(_match(length, shard, words), "a long, ctx long, s long, e long"), "matched")
+    partial = c.materialise(cut.groupBy("bucket").applyInArrow(_match(length, gram, shard, words), "a long, ctx long, s long, e long"), "matched")
     ranges = ranges.union(runs.join(full, ["a", "ctx"], "left_semi").select("doc_id", (F.col("pos") - F.col("l")).cast("long"), (F.col("pos") + F.col("r")).cast("long")))
     ranges = ranges.union(runs.join(partial, ["a", "ctx"]).select("doc_id", F.col("pos") + F.col("s"), F.col("pos") + F.col("e")))
     return c.materialise(ranges.groupBy("doc_id").agg(_united(F.collect_set(F.struct("s", "e"))).alias("ranges")), "ranges")

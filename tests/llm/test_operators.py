@@ -679,3 +679,22 @@ def test_suffix_array_and_common_prefixes_match_sorting():
             x, y = b[sa[k - 1] :], b[sa[k] :]
             n = next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))
             assert lcp[k] == min(n, 40)
+
+
+def test_contexts_that_share_no_window_are_left_out_of_shards():
+    rng = np.random.default_rng(8)
+    length, gram, blobs, left = 40, 8, [], []
+    core = rng.integers(97, 123, size=gram).astype(np.uint8).tobytes()
+    # one k-gram between random sides; some take a part of another's sides, shorter or longer than a window
+    for i in range(300):
+        a, b = (bytearray(rng.integers(97, 123, size=n).astype(np.uint8).tobytes()) for n in rng.integers(16, 33, size=2))
+        if i % 3 == 0 and i:
+            j = int(rng.integers(i))
+            k, m = int(rng.integers(33)), int(rng.integers(33))
+            k, m = min(k, len(a), left[j]), min(m, len(b), len(blobs[j]) - left[j] - gram)
+            a[len(a) - k :], b[:m] = blobs[j][left[j] - k : left[j]], blobs[j][left[j] + gram : left[j] + gram + m]
+        blobs.append(bytes(a) + core + bytes(b)), left.append(len(a))
+    windows = [{b[s : s + length] for s in range(len(b) - length + 1)} for b in blobs]
+    sharing = {i for i, own in enumerate(windows) if any(own & other for j, other in enumerate(windows) if j != i)}
+    kept = set(suffix_dedup.alike(blobs, np.zeros(len(blobs), np.int64), np.array(left), length, gram).tolist())
+    assert sharing and sharing <= kept and len(kept) < len(blobs) // 2
