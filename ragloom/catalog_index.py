@@ -98,7 +98,7 @@ def q_weight_grid(s, d):
     """One hybrid retrieval, scored at five weights; items of one label are relevant to each other."""
     e = _t(s, d, "embeddings").select("vec_id", "label", "embedding")
     q = _queries(s, d).join(e, F.col("query_id") == F.col("vec_id")).drop("vec_id")
-    golden = q.select("query_id", "label").join(e.select("label", F.col("vec_id").alias("relevant_id")), "label").select("query_id", "relevant_id")
+    golden = q.select("query_id", "label"), e.select(F.col("vec_id").alias("relevant_id"), "label")
     vectors = R.vector_top_k(q.select("query_id", F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 50)
     return E.weight_grid(vectors, R.bm25_top_k(q.select("query_id", "query"), _chunks(s, d), 50), golden, [0.0, 0.25, 0.5, 0.75, 1.0], 10)
 

@@ -129,7 +129,7 @@ def q_sweep(s, d):
     """Mean metrics of three runs that keep the first 3, 5 and 10 vector hits."""
     e = _t(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    golden = q.join(e, "label").select("query_id", F.col("vec_id").alias("relevant_id"))
+    golden = q, e.select(F.col("vec_id").alias("relevant_id"), "label")
     hits = R.vector_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 10)
     runs = hits.select(F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("run_id"), "query_id", "chunk_id", "rank").where("rank <= run_id")
     return E.weight_sweep(runs, golden, 5)
@@ -138,7 +138,7 @@ def q_sweep(s, d):
 def q_summary(s, d):
     e = _t(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    golden = q.join(e, "label").select("query_id", F.col("vec_id").alias("relevant_id"))
+    golden = q, e.select(F.col("vec_id").alias("relevant_id"), "label")
     hits = R.vector_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), 10)
     return E.summarise(E.metrics(hits, golden, 5))
 

@@ -10,14 +10,32 @@ from ..functions import text as T
 from .retrieval import _small, rrf
 
 
-def metrics(hits: DataFrame, golden: DataFrame, k: int) -> DataFrame:
+#: Relevant pairs (query_id, relevant_id), or the labels of queries (query_id, label) and of items (relevant_id, label):
+#: items of a query's label are relevant to it, and the pairs, as many as queries times items of a label, are never made.
+Golden = DataFrame | tuple[DataFrame, DataFrame]
+
+
+def _relevant(hits: DataFrame, golden: Golden) -> tuple[DataFrame, DataFrame]:
+    """(query_id, n): the number of relevant rows of each query that has any; and the hits that are relevant."""
+    if isinstance(golden, DataFrame):
+        rel = golden.select("query_id", F.col("relevant_id").alias("chunk_id")).distinct()
+        return rel.groupBy("query_id").agg(F.count("*").alias("n")), hits.join(rel, ["query_id", "chunk_id"], "left_semi")
+    queries, items = (df.select(F.col(x).alias(y), "label").where("label is not null").distinct() for df, x, y in zip(golden, ("query_id", "relevant_id"), ("query_id", "chunk_id"), strict=True))
+    one = queries.join(items.groupBy("label").agg(F.count("*").alias("n")), "label").select("query_id", "n")
+    # an item and a query that share several labels are one pair
+    several = lambda df, x: df.groupBy(x).agg(F.collect_set("label").alias("labels")).where(F.size("labels") > 1).select(x, F.explode("labels").alias("label"))
+    again = several(queries, "query_id").join(several(items, "chunk_id"), "label").groupBy("query_id", "chunk_id").agg((1 - F.count("*")).alias("n")).select("query_id", "n")
+    size = one.unionByName(again).groupBy("query_id").agg(F.sum("n").alias("n"))
+    rel = hits.select("query_id", "chunk_id").distinct().join(queries, "query_id").join(items, ["chunk_id", "label"]).select("query_id", "chunk_id").distinct()
+    return size, hits.join(rel, ["query_id", "chunk_id"], "left_semi")
+
+
+def metrics(hits: DataFrame, golden: Golden, k: int) -> DataFrame:
     """Per query recall, hit and nDCG at k, and reciprocal rank over the whole list; no relevant rows: 1."""
-    rel = golden.select("query_id", F.col("relevant_id").alias("chunk_id")).distinct()
-    size = rel.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = hits.join(rel, ["query_id", "chunk_id"], "left_semi")
+    size, found = _relevant(hits, golden)
     top = F.col("rank") <= k
     agg = found.groupBy("query_id").agg(F.sum(top.cast("int")).alias("m"), F.sum(F.when(top, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.min("rank").alias("best"))
-    all_q = hits.select("query_id").union(golden.select("query_id")).distinct()
+    all_q = hits.select("query_id").union(size.select("query_id")).distinct()
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     j = all_q.join(size, "query_id", "left").join(agg, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -68,15 +86,17 @@ def citation_spans(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return j.groupBy("query_id", "rank", "said").agg(best.alias("x")).select("query_id", "rank", "said", "x.sentence", "x.overlap")
 
 
-def weight_sweep(runs: DataFrame, golden: DataFrame, k: int) -> DataFrame:
+def weight_sweep(runs: DataFrame, golden: Golden, k: int) -> DataFrame:
     """Mean metrics of each run (run_id, query_id, chunk_id, rank) over the golden queries."""
     keyed = runs.withColumn("query_id", F.struct("run_id", "query_id"))
-    wanted = golden.join(_small(runs.select("run_id").distinct()))
-    per = metrics(keyed, wanted.select(F.struct("run_id", "query_id").alias("query_id"), "relevant_id"), k)
+    asked, items = (golden, None) if isinstance(golden, DataFrame) else golden
+    wanted = asked.join(_small(runs.select("run_id").distinct()))
+    wanted = wanted.select(F.struct("run_id", "query_id").alias("query_id"), *[x for x in asked.columns if x != "query_id"])
+    per = metrics(keyed, wanted if items is None else (wanted, items), k)
     return per.groupBy(F.col("query_id.run_id").alias("run_id")).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "hit", "ndcg", "rr")])
 
 
-def weight_grid(vectors: DataFrame, keywords: DataFrame, golden: DataFrame, weights: list[float], k: int) -> DataFrame:
+def weight_grid(vectors: DataFrame, keywords: DataFrame, golden: Golden, weights: list[float], k: int) -> DataFrame:
     """(semantic, queries, recall, hit, ndcg, rr): mean metrics of hybrid search at each semantic weight.
 
     vectors and keywords are the two rankings (query_id, chunk_id, rank) of one retrieval: every weight fuses and
@@ -86,6 +106,7 @@ def weight_grid(vectors: DataFrame, keywords: DataFrame, golden: DataFrame, weig
     grid = F.explode(F.array(*[F.lit(min(max(float(w), 0.0), 1.0)) for w in dict.fromkeys(weights)])).alias("semantic")
     keyed = lambda df, *columns: df.select("*", grid).select(F.struct("semantic", "query_id").alias("query_id"), *columns)
     ranked = keyed(vectors, "chunk_id", "rank", F.col("semantic").alias("weight")).unionByName(keyed(keywords, "chunk_id", "rank", (1 - F.col("semantic")).alias("weight")))
-    per = metrics(rrf(ranked, k), keyed(golden, "relevant_id"), k)
+    wanted = keyed(golden, "relevant_id") if isinstance(golden, DataFrame) else (keyed(golden[0], "label"), golden[1])
+    per = metrics(rrf(ranked, k), wanted, k)
     means = [F.round(F.avg(x), 6).alias(x) for x in ("recall", "hit", "ndcg", "rr")]
     return per.groupBy(F.col("query_id.semantic").alias("semantic")).agg(F.count("*").alias("queries"), *means)

@@ -154,3 +154,16 @@ def test_search_and_ask(spark):
     answer = engine.ask(queries, SearchOptions(k=3)).collect()[0]
     assert answer["answer"] == "[stub] number7 contract" and answer["total"] == 0 and answer["context"].startswith("<source id=1>")
     assert engine.auto(SearchOptions()).per_source == 1
+
+
+def test_metrics_by_labels_are_those_of_the_pairs_and_make_none(spark):
+    asked = spark.createDataFrame([(q, q % 3) for q in range(40)] + [(1, 2), (2, 0), (50, None)], "query_id long, label int")
+    items = spark.createDataFrame([(i, i % 3) for i in range(60)] + [(7, 2), (8, 0), (9, None), (7, 1)], "relevant_id long, label int")
+    pairs = asked.join(items, "label").select("query_id", "relevant_id")
+    hits = spark.createDataFrame([(q, (q * 7 + r * r) % 60, r) for q in [*range(35), 50, 51] for r in range(1, 8)], "query_id long, chunk_id long, rank int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(E.metrics(hits, (asked, items), 5)) == rows(E.metrics(hits, pairs, 5))
+    runs = hits.select(F.explode(F.array(F.lit(3), F.lit(7))).alias("run_id"), "*").where("rank <= run_id")
+    assert rows(E.weight_sweep(runs, (asked, items), 5)) == rows(E.weight_sweep(runs, pairs, 5))
+    v = hits.where("rank % 2 = 0")
+    assert rows(E.weight_grid(v, hits, (asked, items), [0.0, 0.5], 5)) == rows(E.weight_grid(v, hits, pairs, [0.0, 0.5], 5))
