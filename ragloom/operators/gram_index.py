@@ -9,11 +9,13 @@ a query of one or two bytes is looked up by the range of grams that it begins.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..sources.scratch import shared_folder
 from . import retrieval as R
@@ -120,3 +122,64 @@ class GramIndex:
         every = asked.where("q = ''").select("query_id").join(F.broadcast(first))
         w = Window.partitionBy("query_id").orderBy("ord", "chunk_id")
         return found.unionByName(every).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("score"))
+
+
+def first_holding(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """As GramIndex.search, without an index: one pass over the texts, in slices, for a stated query set.
+
+    A slice is one buffer of texts in order of position. A query is looked for in it up to the position of the k-th hit
+    that the task has, so frequent queries end after a few texts; a task keeps k rows a query.
+    """
+    asked = [(r["query_id"], r["q"]) for r in queries.select("query_id", F.lower("query").alias("q")).where("query is not null").collect()]
+    of: dict[bytes, list] = {}
+    for i, q in asked:
+        of.setdefault(q.encode(), []).append(i)
+    kinds = [queries.schema["query_id"].dataType, *(chunks.schema[x].dataType for x in ("chunk_id", "ord"))]
+    schema = Y.StructType([Y.StructField(x, t) for x, t in zip(("query_id", "chunk_id", "ord"), kinds, strict=True)])
+    rank = lambda x: (x is not None, x if x is not None else 0)  # noqa: E731 - nulls come first
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        best: dict[bytes, list] = {q: [] for q in of}
+        for batch in slices(batches, 2):
+            ids, ords, texts = (batch.column(x).to_pylist() for x in range(3))
+            keys = [(rank(o), rank(i)) for o, i in zip(ords, ids, strict=True)]
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            keys = [keys[x] for x in order]
+            own = [texts[x].encode() for x in order]
+            data = b"\0".join([*own, b""])
+            ends = np.cumsum([len(t) + 1 for t in own]).tolist()
+            for q, held in best.items():
+                at, row, last = 0, 0, len(own) if len(held) < k else bisect_left(keys, held[-1][0])
+                while row < last and (p := data.find(q, at, ends[last - 1])) >= 0:
+                    row = bisect_right(ends, p, row)
+                    if p + len(q) >= ends[row]:  # it would run into the next text
+                        at = p + 1
+                        continue
+                    insort(held, (keys[row], ids[order[row]], ords[order[row]]), key=lambda x: x[0])
+                    del held[k:]
+                    at, row = ends[row], row + 1
+                    if len(held) == k:
+                        last = bisect_left(keys, held[-1][0])
+        found = [(i, chunk, o) for q, held in best.items() for _, chunk, o in held for i in of[q]]
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), to_arrow_type(t)) for v, t in zip(columns, kinds, strict=True)], names=schema.names)
+
+    texts = chunks.where("text is not null").select("chunk_id", "ord", F.lower("text").alias("text"))
+    w = Window.partitionBy("query_id").orderBy("ord", "chunk_id")
+    return texts.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.lit(1.0).alias("score"))
+
+
+def slices(batches, column: int):
+    """Slices of Arrow batches of about SLICE_BYTES of a text column; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(int(np.searchsorted(ends, before + SLICE_BYTES, side="right")), at + 1)
+            yield batch.slice(at, end - at)
+            at = end

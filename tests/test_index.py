@@ -189,3 +189,50 @@ def test_weight_grid_scores_each_weight_like_a_search_of_its_own(spark):
         want = E.summarise(E.metrics(R.rrf(both, 5), golden, 5)).first()
         assert (r["queries"], r["recall"], r["hit"], r["ndcg"], r["rr"]) == (want["queries"], want["recall"], want["hit"], want["ndcg"], want["rr"]) and r["queries"] == 5
     assert got[0.0]["ndcg"] != got[1.0]["ndcg"]
+
+
+def test_substring_search_is_one_pass_that_keeps_the_first(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdé "), size=rng.integers(0, 30))) for _ in range(400)]
+    rows = [(k, None if k % 97 == 0 else int(rng.integers(50)), t) for k, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows[::-1], "chunk_id long, ord int, text string").repartition(3)
+    queries = ["a", "é ", "abc", texts[5][:12] + "ab", texts[9], "", "dcba", "abcdabcd", "\0"]
+    want = set()
+    for q, s in enumerate(queries):
+        own = sorted((o is not None, o or 0, c) for c, o, t in rows if s in t)
+        want |= {(q, c, n) for n, (_, _, c) in enumerate(own[:6], 1)}
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    got = D.substring_search(asked, chunks, 6)
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got.collect()} == want
+    plan = plan_of(got)
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_token_slices_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "SLICE_TOKENS", 10)
+    tokens = [[1] * n for n in (3, 4, 0, 25, 10, 1, 0, 9, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.int64()))], names=["tokens"])
+    for part in (batch, batch.slice(2)):
+        got = [x.column("tokens").to_pylist() for x in R.token_slices([part])]
+        assert [t for x in got for t in x] == part.column("tokens").to_pylist()
+        assert all(len(x) == 1 or sum(map(len, x)) <= 10 for x in got) and len(got) > 3
+    assert [x.num_rows for x in R.token_slices([batch.slice(0, 0)])] == []
+
+
+def test_injected_entries_are_few_before_they_are_ranked(spark, monkeypatch):
+    from ragloom.operators import boosts
+
+    seen = []
+    top_k = R.top_k
+    monkeypatch.setattr(R, "top_k", lambda rows, *a: (seen.append(rows.count()), top_k(rows, *a))[1])
+    captions = ["alpha beta"] * 300 + ["alpha gamma"] * 200 + ["alpha"] * 3 + ["omega"] * 50
+    index = spark.createDataFrame([(k * 7919 % 1009, x) for k, x in enumerate(captions)], "chunk_id long, caption string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "zz")], "query_id long, query string")
+    none = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in boosts.index_inject(none, asked, index, 5, 0.5).collect()}
+    pairs = R.caption_join(asked, index.select("caption").distinct(), boosts.LEAST_OVERLAP)
+    best = top_k(pairs.join(index, "caption"), 5, "overlap")
+    assert got == {(r["query_id"], r["chunk_id"]): pytest.approx(0.5 * r["overlap"]) for r in best.collect()}
+    assert seen == [26]
