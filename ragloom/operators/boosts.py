@@ -47,12 +47,17 @@ def heading_boost(hits: DataFrame, alpha: float) -> DataFrame:
 def index_inject(hits: DataFrame, queries: DataFrame, index: DataFrame, n: int, alpha: float, idf: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score): the pool plus alpha * overlap for the n best entries of index (chunk_id, caption).
 
-    Entries that the pool lacks join it with their bonus alone.
+    Entries that the pool lacks join it with their bonus alone. Entries of one caption score alike, so the n least of
+    each caption, for the captions that fewer than n better, are all that is joined.
     """
     pairs = R.caption_join(queries, index.select("caption").distinct(), LEAST_OVERLAP)  # no idf is above 1
     if idf is not None:
         pairs = pairs.join(idf.select("caption", "idf"), "caption", "left").withColumn("overlap", F.col("overlap") * F.coalesce("idf", F.lit(1.0)))
-    best = R.top_k(pairs.where(F.col("overlap") >= LEAST_OVERLAP).join(index, "caption"), n, "overlap")
+    near = Window.partitionBy("query_id").orderBy(F.desc("overlap"))
+    pairs = pairs.where(F.col("overlap") >= LEAST_OVERLAP).withColumn("better", F.rank().over(near)).where(F.col("better") <= n).drop("better")
+    first = Window.partitionBy("caption").orderBy("chunk_id")
+    entries = index.select("chunk_id", "caption").withColumn("r", F.row_number().over(first)).where(F.col("r") <= n).drop("r")
+    best = R.top_k(pairs.join(entries, "caption"), n, "overlap")
     bonus = best.select("query_id", "chunk_id", (F.lit(alpha) * F.col("overlap")).alias("score"))
     return hits.select("query_id", "chunk_id", "score").unionByName(bonus).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
 
