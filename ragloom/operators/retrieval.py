@@ -13,6 +13,8 @@ from ..functions import text as T
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 #: Numbers in the matrices of a block of queries (8 bytes each), and rows that are scored at once.
 BLOCK_CELLS, SCORED_ROWS = 4_000_000, 1024
+#: Tokens that are counted at once; a longer text stands alone.
+SLICE_TOKENS = 500_000
 
 
 def _width(f: Y.StructField) -> Column:
@@ -58,7 +60,7 @@ def block_top_k(rows: DataFrame, queries: list, query_type: Y.DataType, k: int,
     scorer() gives a task's function of an Arrow batch: scores, queries x rows, -inf where a row is no hit.
     A task holds k rows a query and SCORED_ROWS rows.
     """
-    id_type = rows.schema["chunk_id"].dataType
+    id_type, tokens = rows.schema["chunk_id"].dataType, "tokens" in rows.columns
     schema = Y.StructType([Y.StructField("query_id", query_type), Y.StructField("chunk_id", id_type), Y.StructField("score", Y.DoubleType())])
 
     def run(batches):
@@ -66,7 +68,7 @@ def block_top_k(rows: DataFrame, queries: list, query_type: Y.DataType, k: int,
         from pyspark.sql.pandas.types import to_arrow_type
 
         score, best = scorer(), None
-        for batch in batches:
+        for batch in token_slices(batches) if tokens else batches:
             for at in range(0, batch.num_rows, SCORED_ROWS):
                 part = batch.slice(at, SCORED_ROWS)
                 best = _better(best, np.array(part.column("chunk_id").to_pylist()), score(part), k)
@@ -159,7 +161,7 @@ def _counted(terms: np.ndarray):
         import pyarrow as pa
 
         df, n, size = np.zeros(len(terms), np.int64), 0, 0
-        for batch in batches:
+        for batch in token_slices(batches):
             flat, doc, _ = _flat(batch)
             n, size = n + batch.num_rows, size + len(flat)
             at, doc = _numbers(flat, doc, terms)
@@ -169,6 +171,18 @@ def _counted(terms: np.ndarray):
     return run
 
 
+def token_slices(batches):
+    """Slices of batches of about SLICE_TOKENS tokens, so that a task's arrays do not grow with its batches."""
+    for batch in batches:
+        column = batch.column("tokens")
+        ends = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(ends, ends[at] + SLICE_TOKENS, side="right")) - 1, at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _flat(batch):
     """The token hashes of a batch, their rows, and the number of tokens of each row."""
     column = batch.column("tokens")

@@ -36,7 +36,7 @@ def _counts(id_type: str):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in R.token_slices(batches):
             flat, doc, many = R._flat(batch)
             order = np.lexsort((flat, doc))
             flat, doc = flat[order], doc[order]
