@@ -8,10 +8,11 @@ of letters alone or of digits alone are scored like others.
 
 Both models are counts of character pairs in labelled samples (SAMPLES of each, seeded, of which a share
 HELD is held out of both). fit() adds to the ordinary ones the words of the corpus's own prose: runs of WORD letters
-or more found TWICE or more often in a bounded sample, about PROSE_DOCS different texts of up to PROSE_CHARS characters
-chosen by their hashes. Thresholds come from held-out samples alone: that of a length lies midway between
-the greatest ratio of ordinary samples of about that length and that which 99 % of random ones exceed, above
-all ordinary ones, and above all but PROSE_RATE of the held-out half of the prose's words of LEAST letters or more.
+or more that stand in two different texts, counted over all whole texts. Thresholds come from held-out samples alone: that
+of a length lies midway between the greatest ratio of ordinary samples of about that length and that which 99 % of random
+ones exceed, above all ordinary ones, and above all but PROSE_RATE of the prose's words of LEAST letters or more in the
+held-out half of the texts, to a bin of ratios (BIN). Words are counted and scored by Spark; the driver gets character pairs
+and bins.
 Over the corpus the ratio is a lookup in one literal table; it is one pass of DataFrame functions without a shuffle.
 
 Null texts are empty and have no spans. Texts are read whole. Repeated rows give repeated results. An
@@ -43,10 +44,10 @@ _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 LEAST, SAMPLES, SEED, HELD = 12, 4_000, 29, 0.375
 #: Lengths from which a threshold holds; the last is for all longer tokens.
 LENGTHS = (12, 14, 16, 20, 28)
-#: The sample of prose: documents, their characters, the letters of a word, and the share of long words above a threshold.
-PROSE_DOCS, PROSE_CHARS, WORD, PROSE_RATE = 4_000, 20_000, 4, 0.001
-#: What a pair of the prose counts for in capitals, and how often a word must stand in its half of the sample: a secret does not.
-CAPITALS, TWICE = 0.1, 2
+#: Prose: the letters of a word, the share of long words above a threshold, and the width of a bin of their ratios.
+WORD, PROSE_RATE, BIN = 4, 0.001, 0.01
+#: What a pair of the prose counts for in capitals.
+CAPITALS = 0.1
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % LEAST
 
@@ -110,8 +111,8 @@ class Model:
     cuts: tuple[float, ...]
 
 
-def train(pairs: np.ndarray | None = None, long_words: list[tuple[str, int]] = ()) -> Model:
-    """The models of the labelled samples and of pairs, counts of a prose's character pairs; long_words: held-out (word, count)."""
+def train(pairs: np.ndarray | None = None) -> Model:
+    """The models of the labelled samples and of pairs, counts of a prose's character pairs."""
     place = {ch: i for i, ch in enumerate(ALPHABET)}
     size = len(ALPHABET)
     counts = np.full((2, size, size), 0.25)
@@ -132,16 +133,6 @@ def train(pairs: np.ndarray | None = None, long_words: list[tuple[str, int]] = (
             scores[step(len(s))][y].append(ratio(s))
     most = [max(ordinary) for ordinary, _ in scores]
     cuts = [max(m + 2.0, 2.0, (m + float(np.quantile(rare, 0.01))) / 2) for m, (_, rare) in zip(most, scores, strict=True)]
-    prose: list[list[tuple[float, int]]] = [[] for _ in LENGTHS]
-    for w, n in long_words:
-        prose[step(len(w))].append((ratio(np.array([place[ch] for ch in w])), n))
-    for k, own in enumerate(prose):
-        above, allowed = 0, PROSE_RATE * sum(n for _, n in own)
-        for value, n in sorted(own, reverse=True):
-            above += n
-            if above > allowed:
-                cuts[k] = max(cuts[k], value)
-                break
     return Model(tuple(table.ravel().tolist()), tuple(cuts))
 
 
@@ -151,22 +142,37 @@ def _fixed() -> Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model of the labelled samples and of a sample of the prose of docs; the driver gets pairs and long words of the sample."""
-    text, range_ = F.col(text_col).cast("string"), 1 << 30
-    share = min(PROSE_DOCS / max(docs.count(), 1), 1.0)
-    some = docs.select(text.alias("t")).where(F.length("t") <= PROSE_CHARS).select("t", F.xxhash64("t", F.lit(SEED)).alias("h"))
-    # by hash within each task: equal texts count once, and no text but the sample's is moved
-    some = some.where(F.pmod(F.shiftright("h", 1), F.lit(range_)) < int(share * range_)).dropDuplicates(["h"])
+    """The model of the labelled samples and of the prose of all docs."""
+    text = F.col(text_col).cast("string")
     found = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]?[a-z]{%d,}+(?![A-Za-z0-9+/_=-])" % (WORD - 1)), F.lit(0))
     # half of the texts give pairs, the other half the words that thresholds must clear
-    words = some.select((F.pmod("h", F.lit(2)) == 0).alias("held"), F.explode(found).alias("w")).groupBy("held", "w").agg(F.count("*").alias("n"))
-    words = c.materialise(words.where(F.col("n") >= TWICE), "prose")
+    own = docs.select(text.alias("t"), F.xxhash64(text, F.lit(SEED)).alias("h")).select("h", F.explode(found).alias("w"))
+    words = own.groupBy((F.pmod("h", F.lit(2)) == 0).alias("held"), "w").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # a secret stands in one text and its copies, a word in texts that differ
+    words = c.materialise(words.where("lo <> hi").select("held", "w", "n"), "prose")
     pair = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))
     pairs, place = np.zeros((len(ALPHABET), len(ALPHABET))), {ch: i for i, ch in enumerate(ALPHABET)}
     for r in words.where("not held").select("n", F.explode(pair).alias("p")).groupBy("p").agg(F.sum("n").alias("n")).collect():
         for p, share in ((r["p"], 1.0), (r["p"].upper(), CAPITALS)):
             pairs[place[p[0]], place[p[1]]] += r["n"] * share
-    return train(pairs, [(r["w"], r["n"]) for r in words.where("held").where(F.length("w") >= LEAST).collect()])
+    return _cleared(train(pairs), words.where("held").where(F.length("w") >= LEAST).select("w", "n"))
+
+
+def _cleared(fitted: Model, words: DataFrame) -> Model:
+    """The model with thresholds above all but PROSE_RATE of the words (w, n) of each length."""
+    step = sum(((F.length("w") >= k).cast("int") for k in LENGTHS[1:]), F.lit(0))
+    scored = words.select("n", step.alias("k"), log_ratio(F.col("w"), fitted).alias("ratio"), threshold(F.length("w"), fitted).alias("cut"))
+    bins = scored.groupBy("k", F.when(F.col("ratio") > F.col("cut"), F.ceil(F.col("ratio") / BIN)).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    cuts = list(fitted.cuts)
+    for k in range(len(cuts)):
+        own = [(r["bin"], r["n"]) for r in bins if r["k"] == k]
+        above, allowed = 0, PROSE_RATE * sum(n for _, n in own)
+        for at, n in sorted((x for x in own if x[0] is not None), reverse=True):
+            above += n
+            if above > allowed:
+                cuts[k] = max(cuts[k], at * BIN)
+                break
+    return Model(fitted.table, tuple(cuts))
 
 
 def model() -> tuple[tuple[float, ...], float]:

@@ -291,3 +291,19 @@ def test_keys_of_rows(spark):
     assert keys[0] == 1 and keys[1] == keys[2] > 2**61 and keys[3] == keys[4] != keys[1]
 
 
+
+
+def test_the_ordinary_model_counts_every_text(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("etaoins"), size=9)) for _ in range(50)]
+    common = [(i, f"{words[i % 50]} row{i}") for i in range(9_000)]
+    # words of three letters of their own, in a few long texts only
+    rare = [(10_000 + i, "pad " * 8_000 + f"zqxjzqxjzqxj {i}") for i in range(8)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    place = secret_scan.ALPHABET.index
+    at = place("z") * len(secret_scan.ALPHABET) + place("q")
+    without, fitted = secret_scan.fit(table(common)), secret_scan.fit(table(common + rare))
+    assert fitted.table[at] < without.table[at]
+    # a string that copies of one text alone have is not a word
+    copies = [(20_000 + i, "zqxjzqxjzqxj once") for i in range(50)]
+    assert secret_scan.fit(table(common + copies)).table == without.table
