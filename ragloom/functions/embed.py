@@ -34,16 +34,24 @@ def bigram_embedding(text: Column, dim: int = 256, spaces: bool = True) -> Colum
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
+        known: dict[int, int] = {}
+
+        def of(pair: int) -> int:
+            found = known.get(pair)
+            if found is None:
+                found = known[pair] = fnv1a((chr(pair >> 21) + chr(pair & 0x1FFFFF)).encode()) % dim
+            return found
 
         def one(t):
             t = t or ""
             t = t if spaces else "".join(t.split())
             v = np.zeros(dim)
-            for g in [t[i : i + 2] for i in range(len(t) - 1)] if len(t) > 1 else list(t):
-                if g not in known:
-                    known[g] = fnv1a(g.encode()) % dim
-                v[known[g]] += 1
+            if len(t) > 1:
+                code = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+                pairs, many = np.unique(code[:-1] << 21 | code[1:], return_counts=True)
+                np.add.at(v, [of(p) for p in pairs.tolist()], many)
+            elif t:
+                v[fnv1a(t.encode()) % dim] += 1
             return _unit(v)
 
         return texts.map(one)

@@ -167,3 +167,13 @@ def test_metrics_by_labels_are_those_of_the_pairs_and_make_none(spark):
     assert rows(E.weight_sweep(runs, (asked, items), 5)) == rows(E.weight_sweep(runs, pairs, 5))
     v = hits.where("rank % 2 = 0")
     assert rows(E.weight_grid(v, hits, (asked, items), [0.0, 0.5], 5)) == rows(E.weight_grid(v, hits, pairs, [0.0, 0.5], 5))
+
+
+def test_bigram_embedding_counts_pairs_of_any_characters(spark):
+    texts = ["", "a", "é", "\0x", "漢字漢字漢", "a b", "x\U0001f600\U0001f600", None, "the cat the hat" * 50]
+    got = [r["v"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", M.bigram_embedding(F.col("t"), 32).alias("v")).orderBy("i").collect()]
+    for t, v in zip(texts, got, strict=True):
+        want = np.zeros(32)
+        for g in [t[i : i + 2] for i in range(len(t) - 1)] if len(t or "") > 1 else list(t or ""):
+            want[M.fnv1a(g.encode()) % 32] += 1
+        assert v == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist(), abs=1e-6)
