@@ -6,13 +6,13 @@ strings explains better than that of ordinary identifiers and long words: the lo
 the token's character pairs must exceed a threshold for the token's length. Nothing else decides: tokens
 of letters alone or of digits alone are scored like others.
 
-Both models are counts of character pairs in labelled samples (SAMPLES of each, seeded, of which a share
-HELD is held out of both). fit() adds to the ordinary ones the words of the corpus's own prose: runs of WORD letters
-or more that stand in two different texts, counted over all whole texts. Thresholds come from held-out samples alone: that
-of a length lies midway between the greatest ratio of ordinary samples of about that length and that which 99 % of random
-ones exceed, above all ordinary ones, and above all but PROSE_RATE of the prose's words of LEAST letters or more in the
-held-out half of the texts, to a bin of ratios (BIN). Words are counted and scored by Spark; the driver gets character pairs
-and bins.
+Both models are counts of character pairs in labelled samples (SAMPLES of each, seeded and made, not taken from the corpus;
+a share HELD of them is held out of both). fit() adds to the ordinary ones the words of the corpus's own prose: runs of WORD letters
+or more that stand in two different texts, counted over all whole texts. The threshold of a length lies midway between the
+greatest ratio of held-out ordinary samples of about that length and that which 99 % of random ones exceed, above all
+ordinary ones, and above all but PROSE_RATE of the prose's words of LEAST letters or more, to a bin of ratios (BIN). For that the
+words of all texts are scored twice: by the model of the half of the texts that they are not counted from, so that no word clears
+itself, and by the model of all. Words are counted and scored by Spark; the driver gets character pairs and bins.
 Over the corpus the ratio is a lookup in one literal table; it is one pass of DataFrame functions without a shuffle.
 
 Null texts are empty and have no spans. Texts are read whole. Repeated rows give repeated results. An
@@ -111,15 +111,21 @@ class Model:
     cuts: tuple[float, ...]
 
 
+@lru_cache(maxsize=1)
+def _samples() -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """The labelled samples as places in ALPHABET, and which are held out."""
+    place = {ch: i for i, ch in enumerate(ALPHABET)}
+    codes = [(np.array([place[ch] for ch in s]), y) for s, y in labelled()]
+    return codes, np.random.default_rng(SEED).random(len(codes)) < HELD
+
+
 def train(pairs: np.ndarray | None = None) -> Model:
     """The models of the labelled samples and of pairs, counts of a prose's character pairs."""
-    place = {ch: i for i, ch in enumerate(ALPHABET)}
     size = len(ALPHABET)
     counts = np.full((2, size, size), 0.25)
     if pairs is not None:
         counts[0] += pairs
-    codes = [(np.array([place[ch] for ch in s]), y) for s, y in labelled()]
-    held = np.random.default_rng(SEED).random(len(codes)) < HELD
+    codes, held = _samples()
     for (s, y), out in zip(codes, held, strict=True):
         if not out:
             np.add.at(counts[y], (s[:-1], s[1:]), 1)
@@ -145,27 +151,29 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The model of the labelled samples and of the prose of all docs."""
     text = F.col(text_col).cast("string")
     found = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]?[a-z]{%d,}+(?![A-Za-z0-9+/_=-])" % (WORD - 1)), F.lit(0))
-    # half of the texts give pairs, the other half the words that thresholds must clear
     own = docs.select(text.alias("t"), F.xxhash64(text, F.lit(SEED)).alias("h")).select("h", F.explode(found).alias("w"))
-    words = own.groupBy((F.pmod("h", F.lit(2)) == 0).alias("held"), "w").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    half = F.pmod("h", F.lit(2))
+    words = own.groupBy("w").agg(F.count("*").alias("n"), F.sum(half).alias("odd"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     # a secret stands in one text and its copies, a word in texts that differ
-    words = c.materialise(words.where("lo <> hi").select("held", "w", "n"), "prose")
+    words = c.materialise(words.where("lo <> hi").select("w", F.array(F.col("n") - F.col("odd"), "odd").alias("n")), "prose")
     pair = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))
-    pairs, place = np.zeros((len(ALPHABET), len(ALPHABET))), {ch: i for i, ch in enumerate(ALPHABET)}
-    for r in words.where("not held").select("n", F.explode(pair).alias("p")).groupBy("p").agg(F.sum("n").alias("n")).collect():
+    pairs, place = np.zeros((2, len(ALPHABET), len(ALPHABET))), {ch: i for i, ch in enumerate(ALPHABET)}
+    for r in words.select("n", F.explode(pair).alias("p")).groupBy("p").agg(*[F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in (0, 1)]).collect():
         for p, share in ((r["p"], 1.0), (r["p"].upper(), CAPITALS)):
-            pairs[place[p[0]], place[p[1]]] += r["n"] * share
-    return _cleared(train(pairs), words.where("held").where(F.length("w") >= LEAST).select("w", "n"))
+            pairs[:, place[p[0]], place[p[1]]] += np.array([r["n0"], r["n1"]]) * share
+    return _cleared(train(pairs.sum(axis=0)), [train(pairs[k]) for k in (0, 1)], words.where(F.length("w") >= LEAST))
 
 
-def _cleared(fitted: Model, words: DataFrame) -> Model:
-    """The model with thresholds above all but PROSE_RATE of the words (w, n) of each length."""
+def _cleared(fitted: Model, halves: list[Model], words: DataFrame) -> Model:
+    """The model with thresholds above all but PROSE_RATE of the words (w, n by half) of each length, scored by it and by the other half's model."""
     step = sum(((F.length("w") >= k).cast("int") for k in LENGTHS[1:]), F.lit(0))
-    scored = words.select("n", step.alias("k"), log_ratio(F.col("w"), fitted).alias("ratio"), threshold(F.length("w"), fitted).alias("cut"))
-    bins = scored.groupBy("k", F.when(F.col("ratio") > F.col("cut"), F.ceil(F.col("ratio") / BIN)).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    scored = words.select("n", step.alias("k"), threshold(F.length("w"), fitted).alias("cut"), F.explode(F.array(
+        *[F.struct(F.lit(way).alias("way"), log_ratio(F.col("w"), by).alias("ratio"), n.alias("n")) for way, by, n in
+          (("other", halves[1], F.get("n", F.lit(0))), ("other", halves[0], F.get("n", F.lit(1))), ("all", fitted, F.get("n", F.lit(0)) + F.get("n", F.lit(1))))])).alias("s")).select("k", "cut", "s.*")
+    bins = scored.where("n > 0").groupBy("way", "k", F.when(F.col("ratio") > F.col("cut"), F.ceil(F.col("ratio") / BIN)).alias("bin")).agg(F.sum("n").alias("n")).collect()
     cuts = list(fitted.cuts)
-    for k in range(len(cuts)):
-        own = [(r["bin"], r["n"]) for r in bins if r["k"] == k]
+    for way, k in {(r["way"], r["k"]) for r in bins}:
+        own = [(r["bin"], r["n"]) for r in bins if (r["way"], r["k"]) == (way, k)]
         above, allowed = 0, PROSE_RATE * sum(n for _, n in own)
         for at, n in sorted((x for x in own if x[0] is not None), reverse=True):
             above += n

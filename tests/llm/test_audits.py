@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force, and rows without ids in all operators that key on them."""
 
 import hashlib
+import itertools
 import re
 from fractions import Fraction
 from itertools import permutations
@@ -307,3 +308,20 @@ def test_the_ordinary_model_counts_every_text(spark):
     # a string that copies of one text alone have is not a word
     copies = [(20_000 + i, "zqxjzqxjzqxj once") for i in range(50)]
     assert secret_scan.fit(table(common + copies)).table == without.table
+
+
+def test_the_ordinary_model_takes_no_half_of_the_texts_alone(spark):
+    """Pairs are those of every word in two different texts, whichever half the texts fall into; thresholds clear words of either half."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("qxzjkw"), size=14)) for _ in range(40)]
+    rows = [(2 * i + k, f"{w} {w} text {k} {i}") for i, w in enumerate(words) for k in (0, 1)]
+    fitted = secret_scan.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    place = secret_scan.ALPHABET.index
+    pairs = np.zeros((len(secret_scan.ALPHABET),) * 2)
+    for w, n in [*((w, 4) for w in words), ("text", 80)]:
+        for a, b in itertools.pairwise(w):
+            pairs[place(a), place(b)] += n
+            pairs[place(a.upper()), place(b.upper())] += n * secret_scan.CAPITALS
+    assert np.allclose(fitted.table, secret_scan.train(pairs).table, atol=2e-6)
+    scored = spark.createDataFrame([(w,) for w in words], "w string").select((secret_scan.log_ratio(F.col("w"), fitted) > secret_scan.threshold(F.length("w"), fitted)).alias("hit"))
+    assert scored.where("hit").count() == 0
