@@ -69,7 +69,7 @@ class Ingest:
         own = self.enrich(chunks) if self.enrich else chunks
         own = own.withColumn("embedding", self.embed(T.embedding_text(F.col("heading_path"), F.col("text"))))
         gone = replace.select(F.lit(notebook).alias("notebook_id"), "source_id") if replace is not None else None
-        return self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), replace=gone, batch=batch)
+        return self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), replace=gone, batch=batch, notebook=notebook)
 
     def ingest(self, notebook: str, files: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Counts of files (path, kind, fingerprint, content): total, ingested, unchanged, skipped, failed, and chunks written.
@@ -84,13 +84,16 @@ class Ingest:
         known = known.persist()
         # counted before anything is written: a write to the state's folder makes Spark read it again
         n = {r["outcome"]: r["n"] for r in known.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
-        fresh = files.join(known.where("outcome <> 'unchanged'").select("path", "source_id", "outcome"), "path")
-        parsed = office.parse_all(fresh).persist()
+        # contents are shuffled by path only where many of them have not changed
+        fresh = files.where("kind is not null")
+        if n.get("unchanged"):
+            fresh = fresh.join(R._small(known.where("outcome <> 'unchanged'").select("path")), "path", "left_semi")
+        parsed = office.parse_whole(fresh).persist()
         failed = parsed.where("error is not null").select("path").distinct()
         total, bad = files.count(), failed.count()
         done = known.where("outcome <> 'unchanged'").join(failed, "path", "left_anti")
-        blocks = parsed.where("error is null").join(known.select("path", "source_id"), "path").drop("path", "error")
-        many = self.index_chunks(notebook, self.chunker(blocks), done.where("outcome = 'changed'"), batch)
+        sources = parsed.where("error is null").select(F.sha2("path", 256).alias("source_id"), "kind", "blocks")
+        many = self.index_chunks(notebook, parts.chunk_sources(self.chunker, sources), done.where("outcome = 'changed'"), batch)
         if self.cache:
             self.cache.put(done, version)
         old = n.get("unchanged", 0)

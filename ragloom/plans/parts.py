@@ -27,6 +27,13 @@ CHUNK_COLUMNS = ("source_id", "ord", "chunk_id", "text", "heading_path", "page")
 # ---------------------------------------------------------------- chunkers
 
 
+def chunk_sources(chunker: Callable[[DataFrame], DataFrame], sources: DataFrame) -> DataFrame:
+    """Chunks of (source_id, kind, blocks), a source with all its blocks a row: by the chunker's whole() where it has one."""
+    if hasattr(chunker, "whole"):
+        return chunker.whole(sources)
+    return chunker(sources.select("source_id", "kind", F.explode("blocks").alias("b")).select("source_id", "kind", "b.*"))
+
+
 @dataclass(frozen=True)
 class WindowChunker:
     """Sliding windows of each block's characters, numbered within the source."""
@@ -39,8 +46,16 @@ class WindowChunker:
 
         cut = blocks.select("source_id", "block_idx", "heading_path", "page", F.posexplode(T.windows(F.col("text"), self.size, self.overlap)).alias("part", "text"))
         order = Window.partitionBy("source_id").orderBy("block_idx", "part")
-        own = cut.withColumn("ord", (F.row_number().over(order) - 1).cast("int"))
-        return own.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", F.col("ord").cast("string")), 256)).select(*CHUNK_COLUMNS)
+        return self._named(cut.withColumn("ord", (F.row_number().over(order) - 1).cast("int")))
+
+    def whole(self, sources: DataFrame) -> DataFrame:
+        """The same of rows (source_id, blocks), numbered within the row: no text is shuffled or sorted."""
+        cut = lambda b: F.transform(T.windows(b["text"], self.size, self.overlap), lambda w: F.struct(w.alias("text"), b["heading_path"].alias("heading_path"), b["page"].alias("page")))
+        parts = F.flatten(F.transform(F.filter("blocks", lambda b: b["text"].isNotNull()), cut))
+        return self._named(sources.select("source_id", F.posexplode(parts).alias("ord", "x")).select("source_id", "ord", "x.*"))
+
+    def _named(self, chunks: DataFrame) -> DataFrame:
+        return chunks.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_id", F.col("ord").cast("string")), 256)).select(*CHUNK_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -68,6 +83,13 @@ class DispatchChunker:
             out = out.unionByName(chunker(blocks.where(F.col("kind") == kind)))
         return out
 
+    def whole(self, sources: DataFrame) -> DataFrame:
+        known = list(self.by_kind)
+        out = chunk_sources(self.rest, sources.where(F.col("kind").isNull() | ~F.col("kind").isin(known)))
+        for kind, chunker in self.by_kind.items():
+            out = out.unionByName(chunk_sources(chunker, sources.where(F.col("kind") == kind)))
+        return out
+
 
 # ---------------------------------------------------------------- enrichers
 

@@ -184,3 +184,36 @@ def test_source_questions(spark):
     assert D.text_like(c, "x%").count() == 2
     with pytest.raises(ValueError, match="no index"):
         D.index_of(c, "other")
+
+
+def test_chunks_of_whole_sources_are_those_of_their_blocks_and_shuffle_nothing(spark, tmp_path, monkeypatch):
+    texts = ["one block " * 9, "first\n\n" + "second é " * 12 + "\n\nthird", "", "x"]
+    files = spark.createDataFrame([(f"f{i}", "text", str(i), t.encode()) for i, t in enumerate(texts)] + [("bad", "docx", "9", b"no")], "path string, kind string, fingerprint string, content binary")
+    chunker, row = parts.WindowChunker(20, 5), lambda r: (r["source_id"], r["ord"], r["chunk_id"], r["text"])
+    whole = office.parse_whole(files).withColumnRenamed("path", "source_id")
+    assert whole.where("error is not null").count() == 1 and whole.count() == 5
+    by_block = chunker(office.parse_all(files).where("error is null").withColumnRenamed("path", "source_id"))
+    for own in (chunker, parts.DispatchChunker({"text": chunker})):
+        assert sorted(map(row, parts.chunk_sources(own, whole).collect())) == sorted(map(row, by_block.collect()))
+    plans, upsert = [], D.ChunkStore.upsert
+
+    def kept(self, rows, *a, **k):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString().partition("InMemoryRelation")[0])
+        return upsert(self, rows, *a, **k)
+
+    monkeypatch.setattr(D.ChunkStore, "upsert", kept)
+    store = D.ChunkStore(spark, str(tmp_path / "store"))
+    Ingest(store, lambda t: M.bigram_embedding(t, 8), chunker).ingest("n", files)
+    assert store.count_chunks("n") == by_block.count()
+    assert not any(x in plans[0] for x in ("Window", "Join", "Sort", "Repartition"))
+
+
+def test_dead_places_across_words_of_64(spark, tmp_path):
+    """Deletions in two writes that share words of 64 places, ids that repeat in a write, and a compaction of one notebook."""
+    store = D.ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.range(0, 300, 1, 1).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source_id"), F.col("id").cast("int").alias("ord"), F.lit("t").alias("text"), F.lit("n").alias("notebook_id"))
+    assert store.upsert(rows.unionByName(rows.where("ord >= 290")), notebook="n") == 300
+    assert store.delete_by_source("n", "s3") == 43 and store.delete_by_source("n", "s0") == 43
+    want = [k for k in range(300) if k % 7 not in (0, 3)]
+    ords = lambda s: sorted(r["ord"] for r in s.chunks("n").select("ord").collect())
+    assert ords(store) == want and ords(store.compact()) == want and store.snapshot()["dead"] == []
