@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import bits as B
 from ..operators import retrieval as R
 from ..operators.store import ChunkStore
 from ..sources import files as S
@@ -36,13 +37,15 @@ class IndexCache:
     spark: SparkSession
     path: str
 
-    def get(self) -> DataFrame:
+    def get(self, paths: DataFrame | None = None) -> DataFrame:
+        """All that is held, or a part of it with all of the paths: rows of others are left out before they are shuffled."""
         try:
             rows = self.spark.read.schema(STATE).parquet(self.path)
         except Exception as e:  # nothing was written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            rows = self.spark.createDataFrame([], STATE)
+            rows, paths = self.spark.createDataFrame([], STATE), None
+        rows = rows if paths is None else B.maybe_in(rows, paths, ["path"], "near").where("near")
         latest = rows.groupBy("path").agg(F.max_by(F.struct("source_id", "fingerprint"), "version").alias("x"))
         return latest.select("path", "x.*").where("fingerprint is not null")
 
@@ -79,7 +82,7 @@ class Ingest:
         chunks: a run that died between the two stores the same chunks again. batch: see ChunkStore.upsert.
         """
         spark, version = files.sparkSession, time.time_ns()
-        state = self.cache.get() if self.cache else spark.createDataFrame([], STATE)
+        state = self.cache.get(files.select("path")) if self.cache else spark.createDataFrame([], STATE)
         known = R.ingest_plan(files.where("kind is not null"), state.select("path", "fingerprint")).select("path", "kind", "fingerprint", "outcome", F.sha2("path", 256).alias("source_id"))
         known = known.persist()
         # counted before anything is written: a write to the state's folder makes Spark read it again
@@ -91,7 +94,7 @@ class Ingest:
         parsed = office.parse_whole(fresh).persist()
         failed = parsed.where("error is not null").select("path").distinct()
         total, bad = files.count(), failed.count()
-        done = known.where("outcome <> 'unchanged'").join(failed, "path", "left_anti")
+        done = known.where("outcome <> 'unchanged'").join(F.broadcast(failed) if bad <= R.BROADCAST_ROWS else failed, "path", "left_anti")
         sources = parsed.where("error is null").select(F.sha2("path", 256).alias("source_id"), "kind", "blocks")
         many = self.index_chunks(notebook, parts.chunk_sources(self.chunker, sources), done.where("outcome = 'changed'"), batch)
         if self.cache:

@@ -7,23 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
 from ..plans.ingest import Ingest
 
 #: Rows of a feed of files; modified orders the versions of a path.
 FILES = "path string, kind string, fingerprint string, content binary, modified long"
 
 
+def newest(files: DataFrame) -> DataFrame:
+    """The newest row of each path, of equally new ones that of the greatest fingerprint; contents are shuffled only where paths repeat."""
+    order = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("fingerprint"))
+    h = F.xxhash64("path")
+    repeated = files.groupBy(h.alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("repeats"))
+    rows = files.withColumn("h", h).join(R._small(repeated), "h", "left").drop("h")
+    best = rows.where("repeats").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return rows.where("repeats is null").unionByName(best).drop("repeats")
+
+
 def ingest_sink(ingest: Ingest, notebook: str, name: str) -> Callable[[DataFrame, int], None]:
     """A sink of batches of FILES: the newest row of each path is ingested into a notebook under the stream's name.
 
     The store takes a batch once, and the state is written after the store: a batch that ran in part, or runs
-    again, leaves what one run leaves. Equally new rows of a path: the greatest fingerprint.
+    again, leaves what one run leaves. A batch before the last one of the store has its state too and is not read again.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("fingerprint"))
-        files = batch.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "modified")
-        ingest.ingest(notebook, files, (name, number))
+        if number >= ingest.store.snapshot()["batches"].get(name, -1):
+            ingest.ingest(notebook, newest(batch).drop("modified"), (name, number))
 
     return sink
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import embed as M
+from ragloom.operators import bits as B
 from ragloom.operators import evaluation as E
 from ragloom.operators import patterns
 from ragloom.operators import retrieval as R
@@ -20,7 +21,7 @@ from ragloom.plans import parts
 from ragloom.plans.ingest import IndexCache, Ingest
 from ragloom.sources import corpora as J
 from ragloom.sources.snapshots import Conflict, Snapshots
-from ragloom.streaming.ingest import FILES, ingest_sink, ingest_stream
+from ragloom.streaming.ingest import FILES, ingest_sink, ingest_stream, newest
 
 ROWS = "notebook_id string, source_id string, chunk_id string, ord int, text string"
 
@@ -236,3 +237,85 @@ def test_injected_entries_are_few_before_they_are_ranked(spark, monkeypatch):
     best = top_k(pairs.join(index, "caption"), 5, "overlap")
     assert got == {(r["query_id"], r["chunk_id"]): pytest.approx(0.5 * r["overlap"]) for r in best.collect()}
     assert seen == [26]
+
+
+def shuffled(spark, work):
+    """Bytes that the tasks of a piece of work write for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    done = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = done()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(v for k, v in done().items() if k not in before)
+
+
+def test_filters_of_keys_pass_every_key_and_few_others(spark, monkeypatch):
+    rows = spark.range(0, 40_000, 1, 4).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("n"))
+    keys = rows.where("cast(k as long) % 5 = 0 and n = 0").unionByName(spark.createDataFrame([(None, 0)], "k string, n long"))
+    want = keys.where("k is not null").count()
+    got = B.maybe_in(rows, keys, ["n", "k"], "near").where("near")
+    assert got.join(keys, ["k", "n"], "left_semi").count() == want == 4_000 and got.count() < want + 400 and got.columns == ["k", "n", "near"]
+    assert B.maybe_in(rows, keys.limit(0), ["k"], "near").where("near").count() == 0
+    monkeypatch.setattr(B, "MOST_BUCKETS", 1)  # more keys than bits: nothing is lost
+    assert B.maybe_in(rows, keys, ["n", "k"], "near").where("near").join(keys, ["k", "n"], "left_semi").count() == want
+
+
+def test_a_write_shuffles_what_it_replaces_whatever_the_store_holds(spark, tmp_path, monkeypatch):
+    """Two stores, one eight times the other; broadcasts of the keys are out of bounds, as they are for a large batch."""
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 100)
+    rows = lambda n, text: spark.range(0, n, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("chunk_id"), F.concat(F.lit("s"), F.expr("cast(id div 8 as string)")).alias("source_id"), F.col("id").cast("int").alias("ord"), F.lit(text).alias("text"), F.lit("n").alias("notebook_id"))
+    took = []
+    for n in (20_000, 160_000):
+        store, batch = D.ChunkStore(spark, str(tmp_path / f"store-{n}")), rows(4_000, "new")
+        store.upsert(rows(n, "old"), notebook="n")
+        sources = batch.select("notebook_id", "source_id").distinct().where("source_id <> 's7'")
+        took.append(shuffled(spark, lambda store=store, batch=batch, sources=sources: store.upsert(batch, replace=sources, notebook="n")))
+        assert store.snapshot()["n_dead"] == 4_000 and store.count_chunks("n") == n and store.chunks().where("text = 'new'").count() == 4_000
+    assert took[1] < 1.5 * took[0], took
+
+
+def test_dead_rows_are_read_as_bits_and_compacted_when_they_are_half(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "MOST_DEAD", 3)
+    rows = spark.range(0, 9_000, 1, 1).select(F.col("id").cast("string").alias("chunk_id"), F.lit("s").alias("source_id"), F.col("id").cast("int").alias("ord"), F.lit("t").alias("text"), F.lit("n").alias("notebook_id"))
+    store = D.ChunkStore(spark, str(tmp_path / "store"))
+    store.upsert(rows)
+    for k in range(3):  # 2,000 dead a write, beside each other and with live ones between
+        store.upsert(rows.where(f"ord % 4 = {k} and ord < 8000").withColumn("text", F.lit(f"u{k}")), k + 1 + store.snapshot()["last"])
+    snap = store.snapshot()
+    assert len(snap["commits"]) == 4 and snap["n_dead"] == 6_000 and snap["n_rows"] == 15_000
+    want = [(k, f"u{k % 4}" if k < 8000 and k % 4 < 3 else "t") for k in range(9_000)]
+    read = lambda: sorted((r["ord"], r["text"]) for r in store.chunks("n").collect())
+    assert read() == want
+    store.upsert(rows.where("ord < 4000").withColumn("text", F.lit("v")))
+    assert store.snapshot()["n_dead"] == 0 and len(store.snapshot()["commits"]) == 1 and store.snapshot()["n_rows"] == 9_000
+    assert read() == [(k, "v" if k < 4000 else t) for k, t in want]
+
+
+def test_dead_places_of_one_row_each_are_read(spark, tmp_path):
+    """Lists as they were written before they held words."""
+    store = D.ChunkStore(spark, str(tmp_path / "store"))
+    store.upsert(spark.createDataFrame([("n", "s", f"c{k}", k, "t") for k in range(200)], ROWS).coalesce(1))
+    places = store._live(store.snapshot()).where("ord % 3 = 0").select(*D.PLACE)
+    places.write.parquet(str(tmp_path / "store" / "dead" / "by=9"))
+    store._publish(store.snapshot() | {"dead": [9], "n_dead": 67})
+    assert sorted(r["ord"] for r in store.chunks().collect()) == [k for k in range(200) if k % 3]
+
+
+def test_a_stream_shuffles_contents_only_where_paths_repeat_and_reads_old_batches_once(spark, tmp_path, monkeypatch):
+    row = lambda path, text, n: (path, "text", text, text.encode(), n)
+    files = [row("a", "x", 1), row("a", "y", 2), row("b", "x", 1), row(None, "x", 1), row(None, "z", 1), row("c", "x", 3)]
+    got = sorted((r["path"] or "", r["fingerprint"]) for r in newest(spark.createDataFrame(files, FILES)).collect())
+    assert got == [("", "z"), ("a", "y"), ("b", "x"), ("c", "x")]
+    big = spark.range(0, 4_000, 1, 4).select(F.col("id").cast("string").alias("path"), F.lit("text").alias("kind"), F.lit("f").alias("fingerprint"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("content"), F.lit(1).cast("long").alias("modified"))
+    assert shuffled(spark, lambda: newest(big).write.format("noop").mode("overwrite").save()) < 4_000 * 64
+    store, cache, read = D.ChunkStore(spark, str(tmp_path / "store")), IndexCache(spark, str(tmp_path / "state")), []
+    ingest = Ingest(store, lambda t: M.bigram_embedding(t, 8), parts.WindowChunker(40, 0), cache=cache)
+    whole = Ingest.ingest
+    monkeypatch.setattr(Ingest, "ingest", lambda self, notebook, files, batch=None: (read.append(batch[1]), whole(self, notebook, files, batch))[1])
+    sink = ingest_sink(ingest, "n", "feed")
+    first, second = (spark.createDataFrame([row("a", t, n), row(str(n), t, n)], FILES) for n, t in enumerate(("one", "two")))
+    for batch, number in ((first, 0), (second, 1), (first, 0), (second, 1)):
+        sink(batch, number)
+    assert read == [0, 1, 1] and {r["path"]: r["fingerprint"] for r in cache.get().collect()} == {"a": "two", "0": "one", "1": "two"}
+    assert sorted(r["text"] for r in store.chunks("n").collect()) == ["one", "two", "two"]
