@@ -60,6 +60,7 @@ def q_stream_ingest(s, d):
     many = max(s.sparkContext.defaultParallelism // 2, 1)
     for turn in range(2):
         ingest_stream(s, feed, ingest, "all", shared_folder(s, f"checkpoint-{turn}"), "feed", files=many).awaitTermination()
+    store.settle()
     return store.chunks("all").select("source_id", "ord", F.md5("text").alias("digest"), F.size("embedding").alias("dims"))
 
 

@@ -59,20 +59,21 @@ class IndexCache:
 
 @dataclass(frozen=True)
 class Ingest:
-    """store and embed are needed; without a cache every file counts as new."""
+    """store and embed are needed; without a cache every file counts as new. later: see ChunkStore.upsert."""
 
     store: ChunkStore
     embed: Callable[[Column], Column]
     chunker: Callable[[DataFrame], DataFrame] = parts.DocumentChunker()
     enrich: Callable[[DataFrame], DataFrame] | None = None
     cache: IndexCache | None = None
+    later: bool = False
 
     def index_chunks(self, notebook: str, chunks: DataFrame, replace: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
         """Embeds and stores chunks (chunk_id, source_id, ord, text, ...), in place of the sources in replace; their number."""
         own = self.enrich(chunks) if self.enrich else chunks
         own = own.withColumn("embedding", self.embed(T.embedding_text(F.col("heading_path"), F.col("text"))))
         gone = replace.select(F.lit(notebook).alias("notebook_id"), "source_id") if replace is not None else None
-        return self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), replace=gone, batch=batch, notebook=notebook)
+        return self.store.upsert(own.withColumn("notebook_id", F.lit(notebook)), replace=gone, batch=batch, notebook=notebook, later=self.later)
 
     def ingest(self, notebook: str, files: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Counts of files (path, kind, fingerprint, content): total, ingested, unchanged, skipped, failed, and chunks written.
@@ -83,24 +84,25 @@ class Ingest:
         """
         spark, version = files.sparkSession, time.time_ns()
         state = self.cache.get(files.select("path")) if self.cache else spark.createDataFrame([], STATE)
-        known = R.ingest_plan(files.where("kind is not null"), state.select("path", "fingerprint")).select("path", "kind", "fingerprint", "outcome", F.sha2("path", 256).alias("source_id"))
-        known = known.persist()
+        known = R.ingest_plan(files.select("path", "kind", "fingerprint"), state.select("path", "fingerprint"))
+        known = known.withColumns({"outcome": F.expr("if(kind is null, 'skipped', outcome)"), "source_id": F.sha2("path", 256)}).persist()
         # counted before anything is written: a write to the state's folder makes Spark read it again
         n = {r["outcome"]: r["n"] for r in known.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
         # contents are shuffled by path only where many of them have not changed
         fresh = files.where("kind is not null")
         if n.get("unchanged"):
-            fresh = fresh.join(R._small(known.where("outcome <> 'unchanged'").select("path")), "path", "left_semi")
+            fresh = fresh.join(R._small(known.where("outcome in ('new', 'changed')").select("path")), "path", "left_semi")
         parsed = office.parse_whole(fresh).persist()
         failed = parsed.where("error is not null").select("path").distinct()
-        total, bad = files.count(), failed.count()
-        done = known.where("outcome <> 'unchanged'").join(F.broadcast(failed) if bad <= R.BROADCAST_ROWS else failed, "path", "left_anti")
+        total, bad = sum(n.values()), failed.count()
+        done = known.where("outcome in ('new', 'changed')")
+        if bad:
+            done = done.join(F.broadcast(failed) if bad <= R.BROADCAST_ROWS else failed, "path", "left_anti")
         sources = parsed.where("error is null").select(F.sha2("path", 256).alias("source_id"), "kind", "blocks")
-        many = self.index_chunks(notebook, parts.chunk_sources(self.chunker, sources), done.where("outcome = 'changed'"), batch)
+        many = self.index_chunks(notebook, parts.chunk_sources(self.chunker, sources), done.where("outcome = 'changed'") if n.get("changed") else None, batch)
         if self.cache:
             self.cache.put(done, version)
-        old = n.get("unchanged", 0)
-        row = (total, sum(n.values()) - old - bad, old, total - sum(n.values()), bad, many)
+        row = (total, n.get("new", 0) + n.get("changed", 0) - bad, n.get("unchanged", 0), n.get("skipped", 0), bad, many)
         parsed.unpersist()
         known.unpersist()
         return spark.createDataFrame([row], "total long, ingested long, unchanged long, skipped long, failed long, chunks long")

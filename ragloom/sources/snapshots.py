@@ -62,6 +62,10 @@ class Snapshots:
             if n < number:
                 fs.delete(path(f"{self.path}/{n:012d}.json"), False)
 
+    def folders(self, parent: str) -> set[str]:
+        fs, _, path = self._fs()
+        return {f.getPath().getName() for f in fs.listStatus(path(parent)) if f.isDirectory()} if fs.exists(path(parent)) else set()
+
     def delete_folders(self, parent: str, keep: set[str]) -> None:
         """Deletes the folders in parent that are not to be kept."""
         fs, _, path = self._fs()

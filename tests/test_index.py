@@ -324,3 +324,56 @@ def test_a_stream_shuffles_contents_only_where_paths_repeat_and_reads_old_batche
         sink(batch, number)
     assert read == [0, 1, 1] and {r["path"]: r["fingerprint"] for r in cache.get().collect()} == {"a": "two", "0": "one", "1": "two"}
     assert sorted(r["text"] for r in store.chunks("n").collect()) == ["one", "two", "two"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_settled_later_a_store_holds_what_it_holds_settled_at_once(spark, tmp_path, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    schema = "notebook_id string, source_id string, chunk_id string, ord int, text string"
+    pick = lambda names: names[int(rng.integers(len(names)))]
+    once, later = (D.ChunkStore(spark, str(tmp_path / name)) for name in ("once", "later"))
+    read = lambda s: sorted(tuple(map(str, r)) for r in s.chunks().select("notebook_id", "source_id", "chunk_id", "ord", "text").collect())
+    waited = 0
+    for step in range(6):
+        monkeypatch.setattr(D, "LEAST_LATER", 40 if step > 3 else 1_000_000)
+        rows = [(pick("mn"), pick(["s0", "s1", "s2", None]), pick([*"abcdefgh", None]), k, f"{step} {k}") for k in range(14)]
+        rows = spark.createDataFrame(rows, schema).repartition(3)
+        gone = [(pick(["m", "n", None]), pick(["s0", "s1", "s2", None])) for _ in range(3)] if step % 3 else None
+        gone = gone and spark.createDataFrame(gone, "notebook_id string, source_id string").distinct()
+        once.upsert(rows, replace=gone)
+        later.upsert(rows, replace=gone, later=True, batch=("feed", step))
+        assert later.upsert(rows, replace=gone, later=True, batch=("feed", step)) == 0
+        waited = max(waited, len(later.snapshot()["later"]))
+        assert read(later) == read(once)
+        if step == 1:
+            assert later.settle() and later.settle() == 0 and later.snapshot()["later"] == []
+            assert read(later) == read(once)
+    assert waited > 1
+    assert later.delete_by_source("m", "s0") == once.delete_by_source("m", "s0") and later.snapshot()["n_later"] == 0
+    later.compact()
+    later.vacuum()
+    assert read(later) == read(once) and later.snapshot()["n_rows"] == len(read(once))
+
+
+def test_a_batch_reads_no_more_the_more_the_store_holds(spark, tmp_path):
+    rows = lambda n: spark.range(0, n, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("chunk_id"), F.concat(F.lit("s"), F.expr("cast(id div 8 as string)")).alias("source_id"), F.col("id").cast("int").alias("ord"), F.lit("old").alias("text"), F.lit("n").alias("notebook_id"))
+    files = spark.range(0, 200, 1, 2).select(F.col("id").cast("string").alias("path"), F.lit("text").alias("kind"), F.lit("f").alias("fingerprint"), F.lit("some text").cast("binary").alias("content"), F.lit(1).cast("long").alias("modified"))
+    files.write.parquet(str(tmp_path / "files"))
+    jvm_doubles = lambda: spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        seen = status.stageList(None, False, False, jvm_doubles(), None)
+        return {(x.stageId(), x.attemptId()): x.inputRecords() for x in (seen.apply(k) for k in range(seen.size()))}
+
+    took = []
+    for n in (20_000, 160_000):
+        store = D.ChunkStore(spark, str(tmp_path / f"store-{n}"))
+        store.upsert(rows(n), notebook="n")
+        sink = ingest_sink(Ingest(store, lambda t: M.bigram_embedding(t, 8), parts.WindowChunker(40, 0)), "n", "feed")
+        before = stages()
+        sink(spark.read.schema(FILES).parquet(str(tmp_path / "files")), 0)
+        took.append(sum(v for k, v in stages().items() if k not in before))
+        assert store.count_chunks("n") == n + 200
+    assert 0 < took[1] < 1.1 * took[0], took
