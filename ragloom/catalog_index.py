@@ -54,7 +54,8 @@ def q_stream_ingest(s, d):
     for wave, (which, text) in enumerate((("doc_id % 7 <> 0", older), ("doc_id % 2 = 0", F.col("text")), ("doc_id % 2 = 1 or doc_id % 5 = 0", F.col("text")))):
         rows = docs.where(which).withColumn("text", text)
         rows = rows.select("path", S.detect_kind(F.col("path")).alias("kind"), F.md5("text").alias("fingerprint"), F.col("text").cast("binary").alias("content"), F.lit(wave).cast("long").alias("modified"))
-        rows.write.parquet(f"{feed}/wave-{wave}")
+        # small row groups: a batch is fewer files than there are cores, and a group is read by one task
+        rows.write.option("parquet.block.size", 4 << 20).parquet(f"{feed}/wave-{wave}")
     store = D.ChunkStore(s, shared_folder(s, "store"))
     ingest = Ingest(store, lambda t: M.bigram_embedding(t, 16), parts.WindowChunker(350, 60), cache=IndexCache(s, shared_folder(s, "state")))
     many = max(s.sparkContext.defaultParallelism // 2, 1)

@@ -29,32 +29,58 @@ def _unit(v: np.ndarray) -> list[float]:
     return (v / n if n else v).astype(np.float32).tolist()
 
 
+#: Characters that are counted at once, and pairs of distinct characters that have a place in a table.
+SLICE_CHARS, MOST_PAIRS = 1_000_000, 4_000_000
+
+
+def bigram_counts(texts: list[str], dim: int, known: dict[int, int]) -> np.ndarray:
+    """(texts, dim): how many adjacent pairs of characters each text has in each hashed dimension; known keeps hashes."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    out = np.zeros((len(texts), dim))
+    if len(code) > 1:
+        chars = np.flatnonzero(np.bincount(code))
+        rank = np.zeros(chars[-1] + 1, dtype=np.int64)
+        rank[chars] = np.arange(len(chars))
+        own, at = np.repeat(np.arange(len(texts)), lengths), rank[code]
+        inside = own[:-1] == own[1:]
+        pairs = (at[:-1] * len(chars) + at[1:])[inside]
+        if len(chars) ** 2 <= MOST_PAIRS:
+            table = np.zeros(len(chars) ** 2, dtype=np.int64)
+            table[pairs] = 1
+            found = np.flatnonzero(table)
+            table[found] = np.arange(len(found))
+            which = table[pairs]
+        else:
+            found, which = np.unique(pairs, return_inverse=True)
+        names = (chars[found // len(chars)] << 21 | chars[found % len(chars)]).tolist()
+        for pair in names:
+            if pair not in known:
+                known[pair] = fnv1a((chr(pair >> 21) + chr(pair & 0x1FFFFF)).encode()) % dim
+        dims = np.array([known[pair] for pair in names], dtype=np.int64)
+        out += np.bincount(own[:-1][inside] * dim + dims[which], minlength=out.size).reshape(out.shape)
+    for i in np.flatnonzero(lengths == 1):
+        out[i, fnv1a(texts[i].encode()) % dim] += 1
+    return out
+
+
 def bigram_embedding(text: Column, dim: int = 256, spaces: bool = True) -> Column:
     """Counts of adjacent pairs of characters in hashed dimensions, at unit length; spaces=False drops white space."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         known: dict[int, int] = {}
-
-        def of(pair: int) -> int:
-            found = known.get(pair)
-            if found is None:
-                found = known[pair] = fnv1a((chr(pair >> 21) + chr(pair & 0x1FFFFF)).encode()) % dim
-            return found
-
-        def one(t):
-            t = t or ""
-            t = t if spaces else "".join(t.split())
-            v = np.zeros(dim)
-            if len(t) > 1:
-                code = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-                pairs, many = np.unique(code[:-1] << 21 | code[1:], return_counts=True)
-                np.add.at(v, [of(p) for p in pairs.tolist()], many)
-            elif t:
-                v[fnv1a(t.encode()) % dim] += 1
-            return _unit(v)
-
-        return texts.map(one)
+        own = [t or "" for t in texts]
+        own = own if spaces else ["".join(t.split()) for t in own]
+        ends, out, first = np.cumsum([len(t) for t in own]), [], 0
+        while first < len(own):
+            upto = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_CHARS, "right"))
+            upto = max(upto, first + 1)
+            v = bigram_counts(own[first:upto], dim, known)
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            out += list((v / np.where(n == 0, 1, n)).astype(np.float32))
+            first = upto
+        return pd.Series(out, index=texts.index, dtype=object)
 
     return run(text)
 

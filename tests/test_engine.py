@@ -177,3 +177,23 @@ def test_bigram_embedding_counts_pairs_of_any_characters(spark):
         for g in [t[i : i + 2] for i in range(len(t) - 1)] if len(t or "") > 1 else list(t or ""):
             want[M.fnv1a(g.encode()) % 32] += 1
         assert v == pytest.approx((want / (np.linalg.norm(want) or 1)).tolist(), abs=1e-6)
+
+
+def test_bigrams_of_many_texts_are_those_of_each(monkeypatch):
+    import numpy as np
+
+    from ragloom.functions import embed
+
+    def alone(t, dim):
+        v = np.zeros(dim)
+        for k in range(max(len(t) - 1, 0)):
+            v[embed.fnv1a(t[k : k + 2].encode()) % dim] += 1
+        if len(t) == 1:
+            v[embed.fnv1a(t.encode()) % dim] += 1
+        return v
+
+    texts = ["", "a", "ab", "", "", "aab aab", "漢", "漢字漢字", "😀x", "\0\0\0", " ", "é" * 9, "z", ""]
+    for most_pairs in (4_000_000, 0):
+        monkeypatch.setattr(embed, "MOST_PAIRS", most_pairs)
+        assert embed.bigram_counts(texts, 8, {}).tolist() == [alone(t, 8).tolist() for t in texts]
+    assert embed.bigram_counts([], 8, {}).shape == (0, 8) and embed.bigram_counts(["", ""], 8, {}).sum() == 0
