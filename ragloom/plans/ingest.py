@@ -50,7 +50,8 @@ class IndexCache:
         return latest.select("path", "x.*").where("fingerprint is not null")
 
     def put(self, rows: DataFrame, version: int | None = None) -> None:
-        rows.select("path", "source_id", "fingerprint", F.lit(version or time.time_ns()).alias("version")).write.mode("append").parquet(self.path)
+        rows = rows.select("path", "source_id", "fingerprint", F.lit(version or time.time_ns()).alias("version"))
+        rows.hint("rebalance").write.mode("append").parquet(self.path)  # few files a write, as each is opened by every get()
 
     def forget(self, paths: DataFrame, version: int | None = None) -> None:
         none = F.lit(None).cast("string")

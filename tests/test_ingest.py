@@ -217,3 +217,9 @@ def test_dead_places_across_words_of_64(spark, tmp_path):
     want = [k for k in range(300) if k % 7 not in (0, 3)]
     ords = lambda s: sorted(r["ord"] for r in s.chunks("n").select("ord").collect())
     assert ords(store) == want and ords(store.compact()) == want and store.snapshot()["dead"] == []
+
+
+def test_the_state_keeps_few_files_a_write(spark, tmp_path):
+    cache = IndexCache(spark, str(tmp_path / "state"))
+    cache.put(spark.range(0, 800, 1, 8).select(F.col("id").cast("string").alias("path"), F.lit("s").alias("source_id"), F.lit("f").alias("fingerprint")))
+    assert len(list((tmp_path / "state").glob("*.parquet"))) == 1 and cache.get().count() == 800
